@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from listingspark.llm import bpe, media, url_filter
+from listingspark.llm import bpe, fingerprints, language, media, toxicity, url_filter
 
 
 def queries():
     return {
         "op1_media_columns": media.op1_media_columns,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_language": language.op7_language,
         "op10_bpe": bpe.op10_bpe,
     }
 
