@@ -1,9 +1,10 @@
 """Operator 6, toxicity by the nearest labelled examples.
 
 Learning, from labelled rows only:
-- The vocabulary is the TERMS words (runs of letters, A-Z in lower case) whose presence is tied most closely to the label, by
-  chi-squared over all labelled rows; a word needs at least MIN_ROWS of them, a chi-squared of MIN_CHI and MIN_SHARE of the
-  greatest (words that follow a single copied text fall short of it).
+- Near copies of one text would make all its words look telling, so of the labelled rows with the same least 5-word shingle
+  hash and the same label one is kept (the one with the smallest key).
+- The vocabulary is the TERMS words (runs of letters, A-Z in lower case) tied most closely to the label by chi-squared over
+  these rows. A word needs MIN_ROWS of them, and the lower end of its share of toxic rows (Wilson, 95 %) must be MIN_SHARE.
 - Inverse document frequencies of the vocabulary come from all documents.
 - Examples are at most EXAMPLES labelled rows, half of each label while both suffice, chosen by a hash of the key: this bound
   keeps the index, which is broadcast, within a few megabytes. Equal vectors are one example with their counts of both labels.
@@ -27,9 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingspark.llm.arrays import gathered, pieces, vector_rows, vector_sum, word_hashes
+from listingspark.llm.arrays import gathered, pieces, shingle_sets, staged, vector_rows, vector_sum, word_hashes
 
-TERMS, MIN_ROWS, MIN_CHI, MIN_SHARE, EXAMPLES, BLOCK, K, SMOOTH = 256, 5, 30.0, 0.2, 4096, 64, 15, 0.5
+TERMS, MIN_ROWS, MIN_SHARE, EXAMPLES, BLOCK, K, SMOOTH = 512, 8, 0.5, 4096, 64, 15, 0.5
 THRESHOLD = 0.7
 
 #: Letters are A-Z, a-z and every byte of a character beyond ASCII.
@@ -126,16 +127,25 @@ def _vectors(row: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray,
 def learn(labelled: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> Model | None:
     """labelled: (key, text, label 0/1); corpus: (text). None without labelled rows."""
     labelled = labelled.where(F.col(label).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(label).cast("int").alias("y"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [int(s[0]) >> 1 if len(s) else -1 for _, _, data, offsets in pieces(batch.column(1)) for s in shingle_sets(data, offsets, 5)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["key", "text", "y", "least"])
+
+    labelled = labelled.mapInArrow(least, "key long, text string, y int, least long").groupBy("least", "y").agg(F.min_by(F.struct("key", "text"), F.coalesce("key", F.lit(-1))).alias("row")).select("row.key", "row.text", "y")
+    labelled = staged(labelled, "labelled")
     rows, positive = labelled.agg(F.count("*"), F.sum("y")).first()
     if not rows:
         return None
     words = F.array_distinct(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x60\x7b-\x7f]+"))
     seen = labelled.select("y", F.explode(words).alias("word")).where("word != '' and length(word) <= 64").groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
-    expected = F.col("n") * (positive / rows)
-    spread = F.col("n") * (positive / rows) * (1 - positive / rows) * (rows - F.col("n")) / max(1, rows - 1)
-    chi = F.when(spread > 0, F.pow(F.abs(F.col("t") - expected), 2) / spread)
-    chosen = seen.where(F.col("n") >= MIN_ROWS).withColumn("chi", chi).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "word").limit(TERMS).collect()
-    vocabulary = Vocabulary(sorted(r["word"] for r in chosen if r["chi"] >= MIN_SHARE * chosen[0]["chi"]))
+    n, t, p, z = F.col("n"), F.col("t"), positive / rows, 1.96
+    spread = n * (p * (1 - p)) * (rows - n) / max(1, rows - 1)
+    chi = F.when(spread > 0, F.pow(t - n * p, F.lit(2)) / spread)
+    low = (t / n + z * z / (2 * n) - z * F.sqrt((t / n * (1 - t / n) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+    chosen = seen.where((n >= MIN_ROWS) & (low >= MIN_SHARE)).withColumn("chi", chi).where("chi is not null").orderBy(F.desc("chi"), "word").limit(TERMS)
+    vocabulary = Vocabulary(sorted(r["word"] for r in chosen.collect()))
     width = len(vocabulary.words)
     shared = labelled.sparkSession.sparkContext.broadcast(vocabulary)
 
