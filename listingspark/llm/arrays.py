@@ -6,9 +6,11 @@ megabytes, so that a task's memory doesn't depend on the size of its partition (
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -150,14 +152,23 @@ BLOCK = 1 << 16
 VECTOR = "name string, block int, part int, payload binary"
 
 
+def _pack(v: np.ndarray) -> bytes:
+    kind = "<u4" if v.max(initial=0) < 1 << 32 else "<i8"
+    return kind.encode() + zlib.compress(v.astype(kind).tobytes(), 1)
+
+
+def _unpack(payload: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(payload[3:]), payload[:3].decode()).astype(np.int64)
+
+
 def vector_rows(name: str, vector: np.ndarray, part: int) -> pa.RecordBatch:
-    """A task's share of a vector, in blocks without those of zeros only."""
+    """A task's share of a vector of counts, in blocks without those of zeros only."""
     blocks = [(k, v) for k, i in enumerate(range(0, len(vector), BLOCK)) if (v := vector[i : i + BLOCK]).any()]
     return pa.RecordBatch.from_pydict({
         "name": pa.array([name] * len(blocks), pa.string()),
         "block": pa.array([k for k, _ in blocks], pa.int32()),
         "part": pa.array([part] * len(blocks), pa.int32()),
-        "payload": pa.array([zlib.compress(v.astype(np.int64).tobytes(), 1) for _, v in blocks], pa.binary()),
+        "payload": pa.array([_pack(v) for _, v in blocks], pa.binary()),
     })
 
 
@@ -165,14 +176,11 @@ def vector_sum(rows: DataFrame) -> DataFrame:
     """(name, block, payload): the sums of the shares, in two steps, so that no task reads a share of every task."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = None
-        for payload in table["payload"]:
-            v = np.frombuffer(zlib.decompress(payload.as_py()), np.int64)
-            total = v.copy() if total is None else total + v
-        return pa.table({"name": table["name"][:1], "block": table["block"][:1], "part": table["part"][:1], "payload": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        total = sum(_unpack(payload.as_py()) for payload in table["payload"])
+        return pa.table({"name": table["name"][:1], "block": table["block"][:1], "part": table["part"][:1], "payload": pa.array([_pack(total)], pa.binary())})
 
     rows = rows.withColumn("part", F.pmod("part", F.lit(64)))
-    if rows.sparkSession._jsparkSession is not None and rows.rdd.getNumPartitions() > 128:
+    if rows.rdd.getNumPartitions() > 256:
         rows = rows.groupBy("name", "block", "part").applyInArrow(add, VECTOR)
     return rows.groupBy("name", "block").applyInArrow(add, VECTOR).select("name", "block", "payload")
 
@@ -181,11 +189,48 @@ def gathered(rows: DataFrame, length: int) -> dict[str, np.ndarray]:
     """vector_sum's rows on the driver. Their size is length times the number of names, whatever the input."""
     out: dict[str, np.ndarray] = {}
     for name, block, payload in rows.toLocalIterator():
-        v = np.frombuffer(zlib.decompress(payload), np.int64)
+        v = _unpack(payload)
         out.setdefault(name, np.zeros(length, np.int64))[block * BLOCK : block * BLOCK + len(v)] = v
     return out
 
 
+# ---------------------------------------------------------------- sets of hashes as bitmaps
+
+
+@dataclass
+class Bitmap:
+    """A set of 64-bit hashes by their leading bits: it has all of them, and others by chance."""
+
+    bits: int
+    packed: np.ndarray
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - self.bits)
+        return (self.packed[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+
+def bitmap_bits(items: int, spread: int = 16, least: int = 20, most: int = 29) -> int:
+    """Bits for `spread` places an item; at most 2^most places (64 MB), beyond which the bitmap lets more through."""
+    return min(most, max(least, math.ceil(math.log2(max(1, items) * spread))))
+
+
+def hash_bitmap(hashes: DataFrame, bits: int) -> Bitmap:
+    """The bitmap of the long column k. It is built in blocks by tasks; the driver gets 2^bits / 8 bytes, whatever the number of rows."""
+    bits = max(bits, 17)
+
+    def build(table: pa.Table) -> pa.Table:
+        flags = np.zeros(BLOCK, bool)
+        flags[table["i"].to_numpy()] = True
+        return pa.table({"block": table["block"][:1], "payload": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    index = F.shiftrightunsigned("k", 64 - bits)
+    rows = hashes.select(F.shiftright(index, 16).cast("int").alias("block"), index.bitwiseAND(F.lit(BLOCK - 1)).cast("int").alias("i")).distinct()
+    packed = np.zeros(1 << (bits - 3), np.uint8)
+    for block, payload in rows.groupBy("block").applyInArrow(build, "block int, payload binary").toLocalIterator():
+        packed[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(payload, np.uint8)
+    return Bitmap(bits, packed)
+
+
 # ---------------------------------------------------------------- tables in the shared folder
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from listingspark.llm import bpe, fingerprints, language, media, toxicity, url_filter
+from listingspark.llm import bpe, fingerprints, language, media, ngram_join, toxicity, url_filter
 
 
 def queries():
     return {
         "op1_media_columns": media.op1_media_columns,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_language": language.op7_language,
@@ -17,4 +18,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_url_filter": url_filter.ORACLE}
+    return {"op2_url_filter": url_filter.ORACLE, "op3_ngram_join": ngram_join.ORACLE}
