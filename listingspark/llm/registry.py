@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listingspark.llm import bpe, fingerprints, language, media, ngram_join, toxicity, url_filter
+from listingspark.llm import bpe, fingerprints, language, media, ngram_join, suffix_dedup, toxicity, url_filter
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_language": language.op7_language,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op10_bpe": bpe.op10_bpe,
     }
 
