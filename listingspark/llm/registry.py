@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listingspark.llm import bpe, fingerprints, language, media, ngram_join, suffix_dedup, toxicity, url_filter
+from listingspark.llm import bpe, fingerprints, language, media, ngram_join, packing, suffix_dedup, toxicity, url_filter
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_media_columns": media.op1_media_columns,
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_ngram_join": ngram_join.op3_ngram_join,
+        "op4_packing": packing.op4_packing,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_language": language.op7_language,
