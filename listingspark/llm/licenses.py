@@ -104,7 +104,7 @@ def license_scan(pages: DataFrame, templates: dict[str, str] | None = None, key:
     host, path = split_url(F.col(url))
     path = F.when(path == "", "/").otherwise(path)
     place = pages.select(key, host.alias("host"), path.alias("path"))
-    place = place.select(key, "host", F.regexp_extract("path", r"[^/]*$", 0).alias("file"), F.concat("host", F.regexp_extract("path", r"^.*/", 0)).alias("directory"), F.concat("host", F.rtrim(F.lit("/"), F.col("path")), F.lit("/")).alias("self"))
+    place = place.select(key, "host", F.regexp_extract("path", r"[^/]*$", 0).alias("file"), F.concat("host", F.regexp_extract("path", r"^.*/", 0)).alias("directory"), F.concat("host", F.rtrim(F.col("path"), F.lit("/")), F.lit("/")).alias("self"))
     all_pages = place.join(own, key, "left")
     is_file = (F.col("file") == "") | F.col("file").rlike(FILES)
     holds = all_pages.where(F.col("license_id").isNotNull() & is_file & (F.col("host") != "")).groupBy("directory").agg(F.min_by(F.struct("license_id", "score"), F.struct(-F.col("score"), F.col("license_id"))).alias("held"))
