@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import importlib
+
+from listingspark.plans import catalog
+
+SECTIONS: list[str] = ["listing_rules"]
+
+
+def _load() -> None:
+    for name in SECTIONS:
+        importlib.import_module(f"listingspark.plans.{name}")
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Listings, merged by VIN and scored, under a price cap, rolled up by dealer."""
+    _load()
+    return catalog.QUERIES["quality_score"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    _load()
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    _load()
+    return dict(catalog.ORACLES)
