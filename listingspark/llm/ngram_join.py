@@ -5,9 +5,12 @@ Texts become sets of word shingles (64-bit hashes). Two documents link when inte
 1. Every shingle is counted in a fixed-size sketch over all texts. Shingles in heavy places come last in one order of all
    shingles, so that a document's first shingles are rare ones. Any order gives the same result; this one gives few candidates.
 2. A set of size s keeps the prefix of s - ceil(s NUM / DEN) + l shingles, l = 1 + s // 32: linked sets share at least l prefix
-   shingles of the smaller l. Equal sets become one vertex. Shingles in one prefix only are dropped, and then sets with fewer than l.
-3. Groups: sets with the same first kept shingle, dealt by hash into groups of about GROUP. Inside a group, sets are compared unless
-   joined already; the least document of the shingle, a member of each of its groups, ties these together.
+   shingles of the smaller l. Equal sets become one vertex. Sets with fewer than l shingles that another prefix has too link with
+   nothing. For the others the order is refined twice: shingles found in several prefixes move behind all others, which pushes
+   passages that unlike documents share out of the prefixes.
+3. Groups: sets with the same first shared shingle, dealt by hash into groups of about GROUP. Inside a group, sets are compared unless
+   joined already; the least document of the shingle, a member of each of its groups, ties these together. Then the leading sets of
+   components are compared with the least component of each of their shingles (a star, not all pairs).
 4. Token-group matrix: (shingle, group, component) with the least l and the sizes of the group's part in that component. A query
    set meets groups on its prefix shingles; the number met bounds its overlap with every member, and only groups of another
    component with at least l met (and sizes that can fit) are opened and compared.
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from listingspark.llm.arrays import bitmap_bits, gathered, hash_bitmap, mix, pieces, shingle_sets, staged, vector_rows, vector_sum
 
-SKETCH_BITS, HEAVY, GROUP = 22, 64, 128
+SKETCH_BITS, HEAVY, GROUP, REFINEMENTS = 22, 64, 128, 2
 LAST = (1 << 63) - 1
 
 
@@ -128,8 +131,48 @@ def _kept(profiles: DataFrame, shared) -> DataFrame:
     return profiles.select("doc", "n", "prefix").mapInArrow(run, "doc long, n int, first long, tokens array<long>")
 
 
+def _of(rows: DataFrame, wanted) -> DataFrame:
+    """The rows whose document is in the bitmap (and few others), without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.has(mix(batch.column(0).to_numpy().view(np.uint64)))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _marks(docs: DataFrame) -> DataFrame:
+    """The hashes by which _of and _sets look documents up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], names=["k"])
+
+    return docs.select("doc").mapInArrow(run, "k long")
+
+
+def _refined(sets: DataFrame, marks: list, num: int, den: int) -> DataFrame:
+    """(doc, n, prefix) with shingles ordered by the number of bitmaps that have them, then by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = []
+            for value in batch.column(2):
+                s = np.frombuffer(value.as_py(), np.uint64)
+                level = sum(m.value.has(s).astype(np.int8) for m in marks)
+                take = min(len(s), len(s) - least_overlap(len(s), num, den) + slack(len(s)))
+                prefixes.append(s[np.argsort(level, kind="stable")[:take]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc", "n", "prefix"])
+
+    return sets.select("doc", "n", "set").mapInArrow(run, "doc long, n int, prefix array<long>")
+
+
+def _repeated(prefixes: DataFrame) -> DataFrame:
+    return prefixes.select(F.explode("prefix").alias("k")).groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+
+
 def _sets(rows: DataFrame, n: int, wanted) -> DataFrame:
-    """(doc, sig_a, set) of the documents in the bitmap."""
+    """(doc, n, set) of the documents in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,6 +236,25 @@ def _opened(num: int, den: int):
     return run
 
 
+def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of documents whose sets link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num, den) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    one = sets.groupBy("doc").agg(F.first("set").alias("set"))
+    joined = pairs.join(one.withColumnsRenamed({"doc": "a", "set": "x"}), "a").join(one.withColumnsRenamed({"doc": "b", "set": "y"}), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _renamed(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps after links between them."""
+    joined = components(links)
+    return comps.join(joined.withColumnRenamed("comp", "to"), comps["comp"] == joined["v"], "left").select("doc", F.coalesce("to", "comp").alias("comp"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, comp) for every vertex of the edges (a, b), comp the least vertex of its component.
 
@@ -220,54 +282,56 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     share = spark.sparkContext.broadcast
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     profiles = staged(_profiles(rows, n, num, den, share(_heavy(rows, n))), "profiles")
-    vertices = profiles.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
-    vertices = staged(vertices, "vertices")
-    # a vertex's prefix is that of any of its copies: in each partition of the profiles one is enough
-    first = profiles.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min_by(F.struct("doc", "prefix"), "doc").alias("x")).select("x.doc", "n", "x.prefix")
-    first = staged(first, "prefixes")
-    count, size = first.agg(F.count("*"), F.sum(F.size("prefix"))).first()
-    bits = bitmap_bits(size or 0, 4)
-    repeated = first.select(F.explode("prefix").alias("k")).groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    kept = staged(_kept(first, share(hash_bitmap(repeated, bits))), "kept")
-    if kept.isEmpty():
-        links, comps = None, kept.select("doc", F.col("doc").alias("comp"))
-    else:
-        ids = kept.select("doc").distinct()
-        # the same mixing as in _sets
-        marks = ids.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(mix(b.column(0).to_numpy().view(np.uint64)).view(np.int64))], names=["k"]) for b in batches), "k long")
-        wanted = share(hash_bitmap(marks, bitmap_bits(count, 16)))
-        sets = staged(_sets(rows, n, wanted).join(kept.select("doc", "n").distinct(), ["doc", "n"], "left_semi").dropDuplicates(["doc", "n"]), "sets")
-        per = kept.groupBy("first").agg(F.count("*").alias("c"), F.min("doc").alias("pivot"))
-        placed = kept.join(per, "first").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / GROUP)).cast("int"))
-        placed = staged(placed.select("doc", "n", "first", "chunk", "c", "pivot", "tokens"), "placed")
-        crowded = placed.where("c > 1")
-        seats = crowded.select("doc", "n", "first", "chunk")
-        pivots = crowded.where("doc = pivot").select("doc", "n", "first", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("c") / GROUP) - 1).cast("int"))).alias("chunk"))
-        seats = seats.unionAll(pivots).distinct()
-        comps = seats.join(sets, ["doc", "n"]).groupBy("first", "chunk").applyInArrow(_inside(num, den), "doc long, comp long")
-        # the pivot is the least document of its groups, so what holds it has its name everywhere
-        comps = staged(placed.select("doc").distinct().join(comps.groupBy("doc").agg(F.min("comp").alias("comp")), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp")), "comps")
-        tokens = placed.select("doc", "n", "first", "chunk", F.explode("tokens").alias("k")).join(comps, "doc")
-        mixed = tokens.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("k")
-        tokens = staged(tokens.join(mixed, "k"), "tokens")
-        fewest = (1 + F.floor(F.col("n") / 32)).cast("int")
-        matrix = tokens.groupBy("k", "first", "chunk", "comp").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
-        matrix = matrix.select("k", F.col("first").alias("g_first"), F.col("chunk").alias("g_chunk"), F.col("comp").alias("target"), "n_low", "n_high")
-        met = tokens.join(matrix, "k").where((F.col("comp") < F.col("target")) & (F.col("n") * num <= F.col("n_high") * den) & (F.col("n_low") * num <= F.col("n") * den))
-        met = met.groupBy("doc", "n", "comp", "g_first", "g_chunk", "target").agg(F.count("*").alias("met"), F.min("n_low").alias("n_low"))
-        met = met.where(F.col("met") >= F.least(fewest, (1 + F.floor(F.col("n_low") / 32)).cast("int")))
-        met = staged(met.select("doc", "n", "comp", "g_first", "g_chunk", "target"), "met")
-        asked = met.groupBy("g_first", "g_chunk").agg(F.count("*").alias("q"))
-        dealt = F.ceil(F.col("q") / (4 * GROUP)).cast("int")
-        queries = met.join(asked, ["g_first", "g_chunk"]).withColumn("deal", F.pmod(F.xxhash64("doc"), dealt).cast("int")).join(sets, ["doc", "n"]).select("g_first", "g_chunk", "deal", "comp", "target", "set")
-        members = placed.select("doc", "n", F.col("first").alias("g_first"), F.col("chunk").alias("g_chunk")).join(asked, ["g_first", "g_chunk"]).join(comps, "doc").join(sets, ["doc", "n"])
-        members = members.select("g_first", "g_chunk", F.explode(F.sequence(F.lit(0), dealt - 1)).alias("deal"), "comp", F.lit(None).cast("long").alias("target"), "set")
-        links = staged(queries.unionAll(members).groupBy("g_first", "g_chunk", "deal").applyInArrow(_opened(num, den), "a long, b long").distinct(), "links")
-        if links.isEmpty():
-            links = None
-    if links is not None:
-        joined = components(links)
-        comps = comps.join(joined, comps["comp"] == joined["v"], "left").select("doc", F.coalesce(joined["comp"], comps["comp"]).alias("comp"))
+    vertices = staged(profiles.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("doc").alias("rep")), "vertices")
+    count = vertices.count()
+    bits = bitmap_bits(count, 64)
+    # one row of each vertex, and by chance a few of its copies, which do no harm
+    led = _of(profiles.where("n > 0").select("doc", "n", "prefix"), share(hash_bitmap(_marks(vertices.select(F.col("rep").alias("doc"))), bits)))
+    size = led.agg(F.sum(F.size("prefix"))).first()[0]
+    marks = [share(hash_bitmap(_repeated(led), bitmap_bits(size or 0, 4)))]
+    kept = _kept(led, marks[0])
+    wanted = share(hash_bitmap(_marks(kept), bits))
+    sets = staged(_sets(rows, n, wanted).where("n > 0").withColumn("h", F.xxhash64("set")).dropDuplicates(["doc", "n", "h"]).drop("h"), "sets")
+    for _ in range(REFINEMENTS):
+        prefixes = staged(_refined(sets, marks, num, den), "prefixes")
+        marks.append(share(hash_bitmap(_repeated(prefixes), bitmap_bits(size or 0, 4))))
+        kept = _kept(prefixes, marks[-1])
+    kept = staged(kept, "kept")
+    per = kept.groupBy("first").agg(F.count("*").alias("c"), F.min("doc").alias("pivot"))
+    placed = kept.join(per, "first").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / GROUP)).cast("int"))
+    placed = staged(placed.select("doc", "n", "first", "chunk", "c", "pivot", "tokens"), "placed")
+    crowded = placed.where("c > 1")
+    seats = crowded.select("doc", "n", "first", "chunk")
+    pivots = crowded.where("doc = pivot").select("doc", "n", "first", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("c") / GROUP) - 1).cast("int"))).alias("chunk"))
+    seats = seats.unionAll(pivots).distinct()
+    inside = seats.join(sets, ["doc", "n"]).groupBy("first", "chunk").applyInArrow(_inside(num, den), "doc long, comp long")
+    # the pivot is the least document of its groups, so what holds it has its name everywhere
+    comps = staged(placed.select("doc").distinct().join(inside.groupBy("doc").agg(F.min("comp").alias("comp")), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp")), "comps")
+    # stars: the leading set of each component against that of the least component of each of its shingles
+    leading = placed.select("doc", "n", F.explode("tokens").alias("k")).join(comps.where("doc = comp").select("doc"), "doc", "left_semi")
+    least = leading.groupBy("k").agg(F.min("doc").alias("b"), F.max("doc").alias("top")).where("b < top").select("k", "b")
+    stars = leading.join(least, "k").where("doc <> b").groupBy("doc", "n", "b").agg(F.count("*").alias("met")).select(F.col("doc").alias("a"), "b").distinct()
+    links = staged(_compared(stars, sets, num, den), "stars")
+    if not links.isEmpty():
+        comps = staged(_renamed(comps, links), "comps")
+    tokens = placed.select("doc", "n", "first", "chunk", F.explode("tokens").alias("k")).join(comps, "doc")
+    mixed = tokens.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("k")
+    tokens = staged(tokens.join(mixed, "k"), "tokens")
+    fewest = (1 + F.floor(F.col("n") / 32)).cast("int")
+    matrix = tokens.groupBy("k", "first", "chunk", "comp").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
+    matrix = matrix.select("k", F.col("first").alias("g_first"), F.col("chunk").alias("g_chunk"), F.col("comp").alias("target"), "n_low", "n_high")
+    met = tokens.join(matrix, "k").where((F.col("comp") < F.col("target")) & (F.col("n") * num <= F.col("n_high") * den) & (F.col("n_low") * num <= F.col("n") * den))
+    met = met.groupBy("doc", "n", "comp", "g_first", "g_chunk", "target").agg(F.count("*").alias("met"), F.min("n_low").alias("n_low"))
+    met = met.where(F.col("met") >= F.least(fewest, (1 + F.floor(F.col("n_low") / 32)).cast("int")))
+    met = staged(met.select("doc", "n", "comp", "g_first", "g_chunk", "target"), "met")
+    asked = met.groupBy("g_first", "g_chunk").agg(F.count("*").alias("q"))
+    dealt = F.ceil(F.col("q") / (4 * GROUP)).cast("int")
+    queries = met.join(asked, ["g_first", "g_chunk"]).withColumn("deal", F.pmod(F.xxhash64("doc"), dealt).cast("int")).join(sets, ["doc", "n"]).select("g_first", "g_chunk", "deal", "comp", "target", "set")
+    members = placed.select("doc", "n", F.col("first").alias("g_first"), F.col("chunk").alias("g_chunk")).join(asked, ["g_first", "g_chunk"]).join(comps, "doc").join(sets, ["doc", "n"])
+    members = members.select("g_first", "g_chunk", F.explode(F.sequence(F.lit(0), dealt - 1)).alias("deal"), "comp", F.lit(None).cast("long").alias("target"), "set")
+    links = staged(queries.unionAll(members).groupBy("g_first", "g_chunk", "deal").applyInArrow(_opened(num, den), "a long, b long").distinct(), "links")
+    if not links.isEmpty():
+        comps = _renamed(comps, links)
     vertices = vertices.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").select("sig_a", "sig_b", "n", F.coalesce("comp", "rep").alias("comp"))
     out = profiles.select("doc", "n", "sig_a", "sig_b").join(vertices, ["sig_a", "sig_b", "n"], "left")
     return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc").alias("c")).select(key, "n_shingles", F.when(F.col("c") != LAST, F.col("c")).alias("component_id"))
