@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from listingspark.llm.arrays import bitmap_bits, hash_bitmap, mix, pieces, prefix_hash, span_hash, staged
 
 LENGTH, GRAM, SHALLOW, HOT = 100, 20, 32, 4096
+#: Bytes of text, and windows of records, that are worked on at once: these bound a task's memory.
+PIECE, WINDOWS = 1 << 19, 200_000
 LAST = (1 << 63) - 1
 
 
@@ -53,7 +55,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     windows = n - length + 1
     least = np.minimum(behind[:windows], ahead[wide - 1 : wide - 1 + windows])
     place = (least & low).astype(np.int64)
-    row = np.searchsorted(offsets, np.arange(windows), side="right") - 1
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))[:windows]
     inside = np.arange(windows) + length <= offsets[row + 1]
     cut = np.empty(windows, bool)
     cut[0] = True
@@ -207,7 +209,7 @@ def _records(rows: DataFrame, twice, hot, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, sigs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for low, _, data, offsets in pieces(batch.column(2)):
+            for low, _, data, offsets in pieces(batch.column(2), PIECE):
                 hashes, row, first, count, prefix = anchors(data, offsets, length)
                 hit = twice.value.has(hashes)
                 hashes, row, first, count = hashes[hit], row[hit], first[hit], count[hit]
@@ -238,7 +240,7 @@ def _records(rows: DataFrame, twice, hot, length: int) -> DataFrame:
     return rows.mapInArrow(run, FIELDS)
 
 
-def _repeats(table: pa.Table, length: int, windows_at_once: int = 1_000_000) -> Iterator[tuple[np.ndarray, ...]]:
+def _repeats(table: pa.Table, length: int, windows_at_once: int = WINDOWS) -> Iterator[tuple[np.ndarray, ...]]:
     """(doc, sig, start, windows) of the repeated windows of these records, which hold all records of each of their keys."""
     key, doc, sig, start, windows = (table[c].to_numpy() for c in NAMES[:5])
     texts = table["bytes"].cast(pa.large_binary()).combine_chunks()
@@ -277,7 +279,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, partition_bytes: int
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in pieces(batch.column(0)):
+            for _, _, data, offsets in pieces(batch.column(0), PIECE):
                 yield pa.RecordBatch.from_arrays([pa.array(anchors(data, offsets, length)[0].view(np.int64))], names=["k"])
 
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
