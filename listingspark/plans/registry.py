@@ -6,7 +6,7 @@ import importlib
 
 from listingspark.plans import catalog
 
-SECTIONS: list[str] = ["listing_rules"]
+SECTIONS: list[str] = ["listing_rules", "search", "reports"]
 
 
 def _load() -> None:
@@ -17,7 +17,7 @@ def _load() -> None:
 def flagship(spark, sf_dir):
     """Listings, merged by VIN and scored, under a price cap, rolled up by dealer."""
     _load()
-    return catalog.QUERIES["quality_score"](spark, sf_dir)
+    return catalog.QUERIES["dealer_rollup"](spark, sf_dir)
 
 
 def queries():
