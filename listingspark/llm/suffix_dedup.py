@@ -224,7 +224,7 @@ def _records(rows: DataFrame, twice, hot, length: int) -> DataFrame:
                     first = np.concatenate([first[~many], starts])
                     count = np.concatenate([count[~many], np.ones(len(starts), count.dtype)])
                 end = first + count - 1 + length
-                content = mix(span_hash(prefix, first, end) ^ hashes)
+                content = mix(mix(span_hash(prefix, first, end)) + hashes)
                 doc, sig, start = docs[low + row], sigs[low + row], first - offsets[row]
                 late = _settle(content, doc, start)
                 if late.any():
@@ -248,7 +248,7 @@ def _repeats(table: pa.Table, length: int, windows_at_once: int = WINDOWS) -> It
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    content = mix(span_hash(prefix_hash(data), offsets[:-1], offsets[1:]) ^ key.view(np.uint64))
+    content = mix(mix(span_hash(prefix_hash(data), offsets[:-1], offsets[1:])) + key.view(np.uint64))
     late = _settle(content, doc, start)
     yield doc[late], sig[late], start[late], windows[late]
     at = np.flatnonzero(~late)
