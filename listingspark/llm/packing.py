@@ -17,65 +17,94 @@ gives the same packing. A null text is empty and is packed as its end id. Repeat
 
 from __future__ import annotations
 
+import os
 import random
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listingspark.llm.arrays import staged
 
 CAPACITY, BLOCK, ISLANDS, EPOCHS, POPULATION, BIRTHS, CLOSED, ROUNDS = 2048, 4096, 2, 2, 4, 6, 0.995, 3
-CACHE, CACHED_BYTES = 200_000, 64
+CACHE, CACHED_CHARS = 1_000_000, 64
+#: The vocabulary's pre-token pattern, and its white space.
+SPACE = r"\t-\r\x20\x85\xa0"
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+#: Texts that may hold what the short way doesn't cover: special tokens, a letter whose lower case is two, or characters beyond U+024F.
+OTHER = re.compile("<\\||\u0130|[^\\u0000-\\u024f]")
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
-    """(key, row, piece, start, length, ids_crc32) of every text's pieces, with ids of the tokenizers library and an end id.
+class CachedTokenizer:
+    """Ids of the tokenizers library for a vocabulary that drops white space, with the ids of recent pre-tokens kept.
 
-    White space parts tokens of this vocabulary, so a text's ids are those of its blank-separated strings, of which recent ones are kept.
+    Texts of Latin letters are lower-cased and cut by the vocabulary's own pattern here; each pre-token is encoded by the library
+    once. Any other text is cut at ASCII white space, which no token crosses, and its strings are encoded by the library.
     """
-    with open(vocabulary, "rb") as file:
-        source = docs.sparkSession.sparkContext.broadcast(file.read())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, source: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(source.value.decode())
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        cache: dict[bytes, bytes] = {}
+        self.tokenizer = Tokenizer.from_str(source)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.words = regex.compile(WORDS).findall
+        self.cache: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> list[str]:
+        if text.isascii() and "<|" not in text or not OTHER.search(text):
+            return self.words(text.lower())
+        return [x.decode() for x in text.encode().split()]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [self.cut(t) for t in texts]
+        cache = self.cache
+        if len(cache) > CACHE:
+            cache.clear()
+        missing = list(set().union(*cut).difference(cache))
+        found = self.tokenizer.encode_batch(missing, add_special_tokens=False)
+        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, found, strict=True)}
+        cache.update(new)
+        get = cache.__getitem__
+        out = [b"".join(map(get, words)) for words in cut]
+        for w in missing:
+            if len(w) > CACHED_CHARS:
+                del cache[w]
+        return out
 
-        def ids_of(word: bytes) -> bytes:
-            ids = np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            if len(word) <= CACHED_BYTES:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[word] = ids
-            return ids
 
-        get, last = cache.get, np.array([end], "<u4").tobytes()
-        for batch in batches:
-            keys, rows, numbers, starts, lengths, sums = [], [], [], [], [], []
-            for k, row, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                out = []
-                for word in (value.as_py() or "").encode().split():
-                    ids = get(word)
-                    out.append(ids_of(word) if ids is None else ids)
-                out.append(last)
-                blob = b"".join(out)
-                for i, at in enumerate(range(0, len(blob), 4 * capacity)):
-                    part = blob[at : at + 4 * capacity]
-                    keys.append(k)
-                    rows.append(row)
-                    numbers.append(i)
-                    starts.append(at // 4)
-                    lengths.append(len(part) // 4)
-                    sums.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], names=["key", "row", "piece", "start", "length", "ids_crc32"])
+def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
+    """(key, row, piece, start, length, ids_crc32) of every text's pieces, with ids of the tokenizers library and an end id."""
+    with open(vocabulary, "rb") as file:
+        source = docs.sparkSession.sparkContext.broadcast(file.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
+        tokenizer = CachedTokenizer(source.value.decode())
+        last = np.array([end], "<u4").tobytes()
+        for whole in batches:
+            for low in range(0, len(whole), 128):
+                batch = whole.slice(low, 128)
+                keys, rows, numbers, starts, lengths, sums = [], [], [], [], [], []
+                blobs = tokenizer.encode([t or "" for t in batch.column(2).to_pylist()])
+                for k, row, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), blobs, strict=True):
+                    blob += last
+                    for i, at in enumerate(range(0, len(blob), 4 * capacity)):
+                        part = blob[at : at + 4 * capacity]
+                        keys.append(k)
+                        rows.append(row)
+                        numbers.append(i)
+                        starts.append(at // 4)
+                        lengths.append(len(part) // 4)
+                        sums.append(zlib.crc32(part))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], names=["key", "row", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(key).cast("long"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string"))
     return rows.mapInArrow(run, "key long, row long, piece int, start long, length long, ids_crc32 long")
