@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from listingspark.llm.arrays import bitmap_bits, hash_bitmap, mix, pieces, prefix_hash, span_hash, staged
 
-LENGTH, GRAM, SHALLOW, HOT = 100, 20, 32, 4096
+LENGTH, GRAM, SHALLOW, HOT = 100, 20, 32, 32_768
 #: Bytes of text, and windows of records, that are worked on at once: these bound a task's memory.
 PIECE, WINDOWS = 1 << 19, 200_000
 LAST = (1 << 63) - 1
@@ -198,7 +198,7 @@ def _runs(doc: np.ndarray, sig: np.ndarray, start: np.ndarray, windows: np.ndarr
     return doc[head], sig[head], start[head], end - start[head]
 
 
-FIELDS = "k long, doc long, sig long, start long, windows long, bytes binary"
+FIELDS = "k long, doc long, sig long, start long, windows long, content long, bytes binary"
 NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 RANGES = "doc long, sig long, low long, high long"
 
@@ -230,25 +230,24 @@ def _records(rows: DataFrame, twice, hot, length: int) -> DataFrame:
                 if late.any():
                     done = _runs(doc[late], sig[late], start[late], count[late])
                     n = len(done[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), *map(pa.array, done), pa.nulls(n, pa.binary())], names=NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), *map(pa.array, done), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=NAMES)
                 raw, left = data.tobytes(), np.flatnonzero(~late)
                 for a in range(0, len(left), 20_000):
                     z = left[a : a + 20_000]
                     parts = [raw[x:y] for x, y in zip(first[z].tolist(), end[z].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[z].view(np.int64)), pa.array(doc[z]), pa.array(sig[z]), pa.array(start[z]), pa.array(count[z]), pa.array(parts, pa.binary())], names=NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[z].view(np.int64)), pa.array(doc[z]), pa.array(sig[z]), pa.array(start[z]), pa.array(count[z]), pa.array(content[z].view(np.int64)), pa.array(parts, pa.binary())], names=NAMES)
 
     return rows.mapInArrow(run, FIELDS)
 
 
 def _repeats(table: pa.Table, length: int, windows_at_once: int = WINDOWS) -> Iterator[tuple[np.ndarray, ...]]:
     """(doc, sig, start, windows) of the repeated windows of these records, which hold all records of each of their keys."""
-    key, doc, sig, start, windows = (table[c].to_numpy() for c in NAMES[:5])
+    key, doc, sig, start, windows, content = (table[c].to_numpy() for c in NAMES[:6])
     texts = table["bytes"].cast(pa.large_binary()).combine_chunks()
     texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    content = mix(mix(span_hash(prefix_hash(data), offsets[:-1], offsets[1:])) + key.view(np.uint64))
     late = _settle(content, doc, start)
     yield doc[late], sig[late], start[late], windows[late]
     at = np.flatnonzero(~late)
@@ -273,7 +272,7 @@ def _repeats(table: pa.Table, length: int, windows_at_once: int = WINDOWS) -> It
         yield doc[owner[again]], sig[owner[again]], start[owner[again]] + shift[again], np.ones(len(again), np.int64)
 
 
-def repeated_ranges(rows: DataFrame, length: int = LENGTH, partition_bytes: int = 12 << 20) -> DataFrame:
+def repeated_ranges(rows: DataFrame, length: int = LENGTH, partition_bytes: int = 6 << 20) -> DataFrame:
     """rows: (doc, sig, text). (doc, sig, low, high): ranges of bytes to remove; they may overlap."""
     spark = rows.sparkSession
 
@@ -291,7 +290,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, partition_bytes: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            settled = pc.is_null(batch.column(5))
+            settled = pc.is_null(batch.column(6))
             if len(done := batch.filter(settled)):
                 high = pa.array(done.column(3).to_numpy() + done.column(4).to_numpy() - 1 + length)
                 yield pa.RecordBatch.from_arrays([*done.columns[1:4], high], names=["doc", "sig", "low", "high"])
