@@ -6,7 +6,7 @@ import importlib
 
 from listingspark.plans import catalog
 
-SECTIONS: list[str] = ["listing_rules", "search", "reports", "ranking", "snapshots"]
+SECTIONS: list[str] = ["listing_rules", "search", "reports", "ranking", "snapshots", "joins"]
 
 
 def _load() -> None:
