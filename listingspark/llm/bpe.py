@@ -29,7 +29,7 @@ SPACE = r"\t-\r\x20\x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
-def _printable() -> dict[str, int]:
+def printable_bytes() -> dict[str, int]:
     """The character that stands for each byte in vocabulary files: printable ones for themselves, the others from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
@@ -41,7 +41,7 @@ class RankArrayBPE:
 
     def __init__(self, source: bytes):
         spec = json.loads(source)
-        chars, vocab = _printable(), spec["model"]["vocab"]
+        chars, vocab = printable_bytes(), spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in vocab.items():

@@ -22,6 +22,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listingspark.llm.arrays import staged
+from listingspark.llm.bpe import printable_bytes
 
 CAPACITY, BLOCK, ISLANDS, EPOCHS, POPULATION, BIRTHS, CLOSED, ROUNDS = 2048, 4096, 2, 2, 4, 6, 0.995, 3
 CACHE, CACHED_CHARS = 1_000_000, 64
 #: The vocabulary's pre-token pattern, and its white space.
 SPACE = r"\t-\r\x20\x85\xa0"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r\x20a-z0-9]+"
 #: Texts that may hold what the short way doesn't cover: special tokens, a letter whose lower case is two, or characters beyond U+024F.
 OTHER = re.compile("<\\||\u0130|[^\\u0000-\\u024f]")
 
@@ -44,8 +47,8 @@ OTHER = re.compile("<\\||\u0130|[^\\u0000-\\u024f]")
 class CachedTokenizer:
     """Ids of the tokenizers library for a vocabulary that drops white space, with the ids of recent pre-tokens kept.
 
-    Texts of Latin letters are lower-cased and cut by the vocabulary's own pattern here; each pre-token is encoded by the library
-    once. Any other text is cut at ASCII white space, which no token crosses, and its strings are encoded by the library.
+    Texts of Latin letters are lower-cased and cut by the vocabulary's own pattern here; each new pre-token is encoded by the
+    library's model. Any other text is cut at ASCII white space, which no token crosses, and its strings are encoded by the library.
     """
 
     def __init__(self, source: str):
@@ -54,31 +57,50 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.words = regex.compile(WORDS).findall
+        self.ascii_words = re.compile(ASCII_WORDS).findall
+        self.bytes = {b: c for c, b in printable_bytes().items()}
         self.cache: dict[str, bytes] = {}
 
-    def cut(self, text: str) -> list[str]:
-        if text.isascii() and "<|" not in text or not OTHER.search(text):
-            return self.words(text.lower())
-        return [x.decode() for x in text.encode().split()]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.cut(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        missing = list(set().union(*cut).difference(cache))
-        found = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, found, strict=True)}
-        cache.update(new)
-        get = cache.__getitem__
-        out = [b"".join(map(get, words)) for words in cut]
-        for w in missing:
-            if len(w) > CACHED_CHARS:
-                del cache[w]
+    def cut(self, text: str) -> tuple[list[str], bool]:
+        """The strings to encode, and whether they are pre-tokens."""
+        if text.isascii():
+            if "<|" not in text:
+                return self.ascii_words(text.lower()), True
+        elif not OTHER.search(text):
+            return self.words(text.lower()), True
+        return [x.decode() for x in text.encode().split()], False
+
+    def _new(self, word: str, alone: bool) -> bytes:
+        if alone:
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes))]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        out = np.array(ids, "<u4").tobytes()
+        if len(word) <= CACHED_CHARS:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            self.cache[word] = out
         return out
 
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        words, alone = self.cut(text)
+        found = list(map(self.cache.get, words))
+        if None in found:
+            for i, f in enumerate(found):
+                if f is None:
+                    found[i] = self.cache.get(words[i]) or self._new(words[i], alone)
+        return b"".join(found)
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(source: bytes) -> CachedTokenizer:
+    """One for each Python worker, whose tasks share what it keeps."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
+    return CachedTokenizer(source.decode())
+
 
 def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """(key, row, piece, start, length, ids_crc32) of every text's pieces, with ids of the tokenizers library and an end id."""
@@ -86,14 +108,13 @@ def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
         source = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        tokenizer = CachedTokenizer(source.value.decode())
+        tokenizer = _tokenizer(source.value)
         last = np.array([end], "<u4").tobytes()
         for whole in batches:
             for low in range(0, len(whole), 128):
                 batch = whole.slice(low, 128)
                 keys, rows, numbers, starts, lengths, sums = [], [], [], [], [], []
-                blobs = tokenizer.encode([t or "" for t in batch.column(2).to_pylist()])
+                blobs = [tokenizer.encode(t or "") for t in batch.column(2).to_pylist()]
                 for k, row, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), blobs, strict=True):
                     blob += last
                     for i, at in enumerate(range(0, len(blob), 4 * capacity)):
