@@ -1,7 +1,7 @@
 """Vectorised text kernels and small Spark helpers that several operators share.
 
-Texts reach Python as Arrow batches. The kernels work on one uint8 buffer with row offsets, cut into pieces of a few
-megabytes, so that a task's memory doesn't depend on the size of its partition (only on its longest text).
+Texts reach Python as Arrow batches. The kernels work on one uint8 buffer with row offsets, cut into pieces of a
+quarter of a megabyte, so that a task's memory doesn't depend on the size of its partition (only on its longest text).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -62,10 +62,19 @@ def _heavy(rows: DataFrame, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            total[:] += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            held.clear()
+
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(0)):
-                if found := [s for s in shingle_sets(data, offsets, n) if len(s)]:
-                    total += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                held += shingle_sets(data, offsets, n)
+                if sum(map(len, held)) > 1_000_000:
+                    add()
+        if held:
+            add()
         yield vector_rows("n", total, TaskContext.get().partitionId())
 
     counts = gathered(vector_sum(rows.select("text").mapInArrow(run, "name string, block int, part int, payload binary")), 1 << SKETCH_BITS)
@@ -244,7 +253,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             hit = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num, den) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    one = sets.groupBy("doc").agg(F.first("set").alias("set"))
+    one = sets.select("doc", "set")
     joined = pairs.join(one.withColumnsRenamed({"doc": "a", "set": "x"}), "a").join(one.withColumnsRenamed({"doc": "b", "set": "y"}), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -291,7 +300,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     marks = [share(hash_bitmap(_repeated(led), bitmap_bits(size or 0, 4)))]
     kept = _kept(led, marks[0])
     wanted = share(hash_bitmap(_marks(kept), bits))
-    sets = staged(_sets(rows, n, wanted).where("n > 0").withColumn("h", F.xxhash64("set")).dropDuplicates(["doc", "n", "h"]).drop("h"), "sets")
+    sets = staged(_sets(rows, n, wanted).where("n > 0"), "sets")  # repeated rows stay: they only repeat comparisons
     for _ in range(REFINEMENTS):
         prefixes = staged(_refined(sets, marks, num, den), "prefixes")
         marks.append(share(hash_bitmap(_repeated(prefixes), bitmap_bits(size or 0, 4))))
