@@ -141,25 +141,29 @@ def repeated_suffixes(data: np.ndarray, starts: np.ndarray, length: int = LENGTH
     if not len(alive):
         return alive, group
     # deep: equal strings of a group become one, found by hash and then compared; tries order those that differ
+    raw = data.tobytes()
     prefix = prefix_hash(data)
     at = starts[alive]
     rest = span_hash(prefix, at + shallow, at + length)
-    order = np.lexsort((rest, group))
-    alive, group, rest = alive[order], group[order], rest[order]
-    new = np.ones(len(alive), bool)
-    new[1:] = (rest[1:] != rest[:-1]) | (group[1:] != group[:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(alive)), 0))
-    at, lead = starts[alive], starts[alive[head]]
-    same = np.ones(len(alive), bool)
-    for depth in (*range(shallow, length - 8, 8), length - 8):
-        same &= words[at + depth] == words[lead + depth]
-    if not same.all():  # two strings with one hash: compare them all
-        raise ArithmeticError("hash collision among suffixes")
+    for _ in range(2):
+        order = np.lexsort((rest, group))
+        alive, group, rest = alive[order], group[order], rest[order]
+        new = np.ones(len(alive), bool)
+        new[1:] = (rest[1:] != rest[:-1]) | (group[1:] != group[:-1])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(alive)), 0))
+        at, lead = starts[alive], starts[alive[head]]
+        same = np.ones(len(alive), bool)
+        for depth in (*range(shallow, length - 8, 8), length - 8):
+            same &= words[at + depth] == words[lead + depth]
+        if same.all():
+            break
+        # two strings with one hash: number the strings themselves
+        numbers: dict[bytes, int] = {}
+        rest = np.array([numbers.setdefault(raw[a + shallow : a + length], len(numbers)) for a in at.tolist()])
     kinds = np.flatnonzero(new)
     of_group = group[kinds]
     edge = np.flatnonzero(np.diff(of_group, prepend=-1, append=-1))
     rank = np.arange(len(kinds))
-    raw = data.tobytes()
     sizes = np.diff(edge)
     for a, b in zip(edge[:-1][sizes > 1].tolist(), edge[1:][sizes > 1].tolist(), strict=True):
         strings = [raw[s + shallow : s + length] for s in starts[alive[kinds[a:b]]].tolist()]

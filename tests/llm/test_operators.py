@@ -344,7 +344,10 @@ def test_repeats_of_none(empty):
     assert suffix_dedup.without_repeats(empty).count() == 0
 
 
-def test_suffix_order():
+@pytest.mark.parametrize("collide", [False, True])
+def test_suffix_order(monkeypatch, collide):
+    if collide:
+        monkeypatch.setattr(suffix_dedup, "span_hash", lambda prefix, start, end: np.zeros(len(start), np.uint64))
     data = np.frombuffer(bytes(rng.choices(b"ab", k=900)) + b"c" * 300, np.uint8)
     starts = np.arange(1100)
     order, kind = suffix_dedup.repeated_suffixes(data, starts, length=40, shallow=16)
