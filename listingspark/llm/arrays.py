@@ -188,7 +188,7 @@ def vector_sum(rows: DataFrame) -> DataFrame:
 def gathered(rows: DataFrame, length: int) -> dict[str, np.ndarray]:
     """vector_sum's rows on the driver. Their size is length times the number of names, whatever the input."""
     out: dict[str, np.ndarray] = {}
-    for name, block, payload in rows.toLocalIterator():
+    for name, block, payload in rows.collect():
         v = _unpack(payload)
         out.setdefault(name, np.zeros(length, np.int64))[block * BLOCK : block * BLOCK + len(v)] = v
     return out
@@ -226,7 +226,7 @@ def hash_bitmap(hashes: DataFrame, bits: int) -> Bitmap:
     index = F.shiftrightunsigned("k", 64 - bits)
     rows = hashes.select(F.shiftright(index, 16).cast("int").alias("block"), index.bitwiseAND(F.lit(BLOCK - 1)).cast("int").alias("i")).distinct()
     packed = np.zeros(1 << (bits - 3), np.uint8)
-    for block, payload in rows.groupBy("block").applyInArrow(build, "block int, payload binary").toLocalIterator():
+    for block, payload in rows.groupBy("block").applyInArrow(build, "block int, payload binary").collect():
         packed[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(payload, np.uint8)
     return Bitmap(bits, packed)
 

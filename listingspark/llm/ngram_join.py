@@ -9,8 +9,8 @@ Texts become sets of word shingles (64-bit hashes). Two documents link when inte
    nothing. For the others the order is refined twice: shingles found in several prefixes move behind all others, which pushes
    passages that unlike documents share out of the prefixes.
 3. Groups: sets with the same first shared shingle, dealt by hash into groups of about GROUP. Inside a group, sets are compared unless
-   joined already; the least document of the shingle, a member of each of its groups, ties these together. Then the leading sets of
-   components are compared with the least component of each of their shingles (a star, not all pairs).
+   joined already; the least document of the shingle, a member of each of its groups, ties these together. Then sets are compared
+   with a few pivots of each of their shingles that lie in other components (stars, not all pairs), twice.
 4. Token-group matrix: (shingle, group, component) with the least l and the sizes of the group's part in that component. A query
    set meets groups on its prefix shingles; the number met bounds its overlap with every member, and only groups of another
    component with at least l met (and sizes that can fit) are opened and compared.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from listingspark.llm.arrays import bitmap_bits, gathered, hash_bitmap, mix, pieces, shingle_sets, staged, vector_rows, vector_sum
 
-SKETCH_BITS, HEAVY, GROUP, REFINEMENTS = 22, 64, 128, 2
+SKETCH_BITS, HEAVY, GROUP, REFINEMENTS, STARS, PIVOTS = 22, 64, 128, 2, 2, 6
 LAST = (1 << 63) - 1
 
 
@@ -316,17 +316,25 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     inside = seats.join(sets, ["doc", "n"]).groupBy("first", "chunk").applyInArrow(_inside(num, den), "doc long, comp long")
     # the pivot is the least document of its groups, so what holds it has its name everywhere
     comps = staged(placed.select("doc").distinct().join(inside.groupBy("doc").agg(F.min("comp").alias("comp")), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp")), "comps")
-    # stars: the leading set of each component against that of the least component of each of its shingles
-    leading = placed.select("doc", "n", F.explode("tokens").alias("k")).join(comps.where("doc = comp").select("doc"), "doc", "left_semi")
-    least = leading.groupBy("k").agg(F.min("doc").alias("b"), F.max("doc").alias("top")).where("b < top").select("k", "b")
-    stars = leading.join(least, "k").where("doc <> b").groupBy("doc", "n", "b").agg(F.count("*").alias("met")).select(F.col("doc").alias("a"), "b").distinct()
-    links = staged(_compared(stars, sets, num, den), "stars")
-    if not links.isEmpty():
+    # stars: sets against a few pivots of each of their shingles, chosen by one hash order of all documents, so that the sets of
+    # a large group of near copies meet the same few pivots
+    fewest = (1 + F.floor(F.col("n") / 32)).cast("int")
+    for star in range(STARS):
+        tokens = placed.select("doc", "n", F.explode("tokens").alias("k")).join(comps, "doc")
+        order = [F.min(F.struct(F.xxhash64("doc", F.lit(star * PIVOTS + i)).alias("h"), F.col("doc"), F.col("n"), F.col("comp"))) for i in range(PIVOTS)]
+        pivots = tokens.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array_distinct(F.array(*order)).alias("p")).where("low < high")
+        pivots = pivots.select("k", F.explode("p").alias("p")).select("k", F.col("p.doc").alias("b"), F.col("p.n").alias("b_n"), F.col("p.comp").alias("b_comp")).distinct()
+        met = tokens.join(pivots, "k").where((F.col("comp") != F.col("b_comp")) & (F.col("n") * num <= F.col("b_n") * den) & (F.col("b_n") * num <= F.col("n") * den))
+        pairs = met.groupBy("doc", "n", "b", "b_n").agg(F.count("*").alias("met")).where(F.col("met") >= F.least(fewest, (1 + F.floor(F.col("b_n") / 32)).cast("int")))
+        hits = _compared(pairs.select(F.col("doc").alias("a"), "b"), sets, num, den)
+        named = lambda c: comps.withColumnsRenamed({"doc": c, "comp": f"{c}_comp"})
+        links = staged(hits.join(named("a"), "a").join(named("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct(), "stars")
+        if links.isEmpty():
+            break
         comps = staged(_renamed(comps, links), "comps")
     tokens = placed.select("doc", "n", "first", "chunk", F.explode("tokens").alias("k")).join(comps, "doc")
     mixed = tokens.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("k")
     tokens = staged(tokens.join(mixed, "k"), "tokens")
-    fewest = (1 + F.floor(F.col("n") / 32)).cast("int")
     matrix = tokens.groupBy("k", "first", "chunk", "comp").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
     matrix = matrix.select("k", F.col("first").alias("g_first"), F.col("chunk").alias("g_chunk"), F.col("comp").alias("target"), "n_low", "n_high")
     met = tokens.join(matrix, "k").where((F.col("comp") < F.col("target")) & (F.col("n") * num <= F.col("n_high") * den) & (F.col("n_low") * num <= F.col("n") * den))
