@@ -8,12 +8,12 @@ Texts become sets of word shingles (64-bit hashes). Two documents link when inte
    shingles of the smaller l. Equal sets become one vertex. Sets with fewer than l shingles that another prefix has too link with
    nothing. For the others the order is refined twice: shingles found in several prefixes move behind all others, which pushes
    passages that unlike documents share out of the prefixes.
-3. Groups: sets with the same first shared shingle, dealt by hash into groups of about GROUP. Inside a group, sets are compared unless
+3. Groups: sets with the same most frequent shared shingle, dealt by hash into groups of about GROUP. Inside a group, sets are compared unless
    joined already; the least document of the shingle, a member of each of its groups, ties these together. Then sets are compared
    with a few pivots of each of their shingles that lie in other components (stars, not all pairs), twice.
-4. Token-group matrix: (shingle, group, component) with the least l and the sizes of the group's part in that component. A query
-   set meets groups on its prefix shingles; the number met bounds its overlap with every member, and only groups of another
-   component with at least l met (and sizes that can fit) are opened and compared.
+4. Token-group matrix: the union of a group's prefix shingles as rows (shingle, group), with the group's sizes. A query set meets
+   groups on its prefix shingles; the number met bounds its overlap with every member, and only groups with at least l met (and
+   sizes that can fit) are opened: their members of later components are compared.
 5. Links between components are joined by alternating large-star and small-star steps.
 
 Hot keys: equal sets and near copies are contracted before step 4, and shingles whose sets all lie in one component are dropped,
@@ -25,6 +25,7 @@ share a doc_id are one document, linked as any of them is. A null doc_id sorts l
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -227,18 +228,13 @@ def _opened(num: int, den: int):
 
     def run(table: pa.Table) -> pa.Table:
         found: set[tuple[int, int]] = set()
-        members: dict[int, list[np.ndarray]] = {}
-        queries = []
-        for comp, target, data in zip(table["comp"].to_pylist(), table["target"].to_pylist(), table["set"], strict=True):
-            s = np.frombuffer(data.as_py(), np.uint64)
-            if target is None:
-                members.setdefault(comp, []).append(s)
-            else:
-                queries.append((comp, target, s))
-        for comp, target, s in queries:
-            pair = (comp, target)
-            if pair not in found and any(linked(s, m, num, den) for m in members.get(target, ())):
-                found.add(pair)
+        rows = [(comp, np.frombuffer(data.as_py(), np.uint64)) for comp, data in zip(table["comp"].to_pylist(), table["set"], strict=True)]
+        asks = table["asks"].to_pylist()
+        members = sorted((r for r, a in zip(rows, asks, strict=True) if not a), key=lambda r: r[0])
+        for comp, s in (r for r, a in zip(rows, asks, strict=True) if a):
+            for other, m in members[bisect.bisect_right(members, comp, key=lambda r: r[0]) :]:
+                if (comp, other) not in found and linked(s, m, num, den):
+                    found.add((comp, other))
         pairs = sorted(found)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
@@ -306,6 +302,10 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
         marks.append(share(hash_bitmap(_repeated(prefixes), bitmap_bits(size or 0, 4))))
         kept = _kept(prefixes, marks[-1])
     kept = staged(kept, "kept")
+    # groups of alike sets: those with the same most frequent shared shingle
+    owned = kept.select("doc", "n", F.explode("tokens").alias("k"))
+    often = owned.join(owned.groupBy("k").agg(F.count("*").alias("df")), "k").groupBy("doc", "n").agg(F.max_by("k", F.struct("df", "k")).alias("first"))
+    kept = staged(kept.drop("first").join(often, ["doc", "n"]), "kept")
     per = kept.groupBy("first").agg(F.count("*").alias("c"), F.min("doc").alias("pivot"))
     placed = kept.join(per, "first").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / GROUP)).cast("int"))
     placed = staged(placed.select("doc", "n", "first", "chunk", "c", "pivot", "tokens"), "placed")
@@ -335,17 +335,18 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     tokens = placed.select("doc", "n", "first", "chunk", F.explode("tokens").alias("k")).join(comps, "doc")
     mixed = tokens.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("k")
     tokens = staged(tokens.join(mixed, "k"), "tokens")
-    matrix = tokens.groupBy("k", "first", "chunk", "comp").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
-    matrix = matrix.select("k", F.col("first").alias("g_first"), F.col("chunk").alias("g_chunk"), F.col("comp").alias("target"), "n_low", "n_high")
-    met = tokens.join(matrix, "k").where((F.col("comp") < F.col("target")) & (F.col("n") * num <= F.col("n_high") * den) & (F.col("n_low") * num <= F.col("n") * den))
-    met = met.groupBy("doc", "n", "comp", "g_first", "g_chunk", "target").agg(F.count("*").alias("met"), F.min("n_low").alias("n_low"))
+    matrix = tokens.groupBy("k", F.col("first").alias("g_first"), F.col("chunk").alias("g_chunk")).agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("comp").alias("c_high"))
+    fits = (F.col("comp") < F.col("c_high")) & (F.col("n") * num <= F.col("n_high") * den) & (F.col("n_low") * num <= F.col("n") * den)
+    met = tokens.join(matrix, "k").where(fits & ((F.col("first") != F.col("g_first")) | (F.col("chunk") != F.col("g_chunk"))))
+    met = met.groupBy("doc", "n", "comp", "g_first", "g_chunk").agg(F.count("*").alias("met"), F.min("n_low").alias("n_low"))
     met = met.where(F.col("met") >= F.least(fewest, (1 + F.floor(F.col("n_low") / 32)).cast("int")))
-    met = staged(met.select("doc", "n", "comp", "g_first", "g_chunk", "target"), "met")
+    met = staged(met.select("doc", "n", "comp", "g_first", "g_chunk"), "met")
     asked = met.groupBy("g_first", "g_chunk").agg(F.count("*").alias("q"))
-    dealt = F.ceil(F.col("q") / (4 * GROUP)).cast("int")
-    queries = met.join(asked, ["g_first", "g_chunk"]).withColumn("deal", F.pmod(F.xxhash64("doc"), dealt).cast("int")).join(sets, ["doc", "n"]).select("g_first", "g_chunk", "deal", "comp", "target", "set")
+    dealt = F.ceil(F.col("q") / GROUP).cast("int")
+    columns = ["g_first", "g_chunk", "deal", "comp", "asks", "set"]
+    queries = met.join(asked, ["g_first", "g_chunk"]).withColumn("deal", F.pmod(F.xxhash64("doc"), dealt).cast("int")).join(sets, ["doc", "n"]).withColumn("asks", F.lit(True)).select(*columns)
     members = placed.select("doc", "n", F.col("first").alias("g_first"), F.col("chunk").alias("g_chunk")).join(asked, ["g_first", "g_chunk"]).join(comps, "doc").join(sets, ["doc", "n"])
-    members = members.select("g_first", "g_chunk", F.explode(F.sequence(F.lit(0), dealt - 1)).alias("deal"), "comp", F.lit(None).cast("long").alias("target"), "set")
+    members = members.withColumn("deal", F.explode(F.sequence(F.lit(0), dealt - 1))).withColumn("asks", F.lit(False)).select(*columns)
     links = staged(queries.unionAll(members).groupBy("g_first", "g_chunk", "deal").applyInArrow(_opened(num, den), "a long, b long").distinct(), "links")
     if not links.isEmpty():
         comps = _renamed(comps, links)
