@@ -231,6 +231,26 @@ def hash_bitmap(hashes: DataFrame, bits: int) -> Bitmap:
     return Bitmap(bits, packed)
 
 
+def id_bitmap(ids: DataFrame, bits: int) -> Bitmap:
+    """The bitmap of the first column, a long without nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], names=["k"])
+
+    return hash_bitmap(ids.mapInArrow(run, "k long"), bits)
+
+
+def rows_of(rows: DataFrame, wanted) -> DataFrame:
+    """The rows whose first column, a long without nulls, is in the broadcast bitmap, and by chance a few others; without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.has(mix(batch.column(0).to_numpy().view(np.uint64)))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 # ---------------------------------------------------------------- tables in the shared folder
 
 

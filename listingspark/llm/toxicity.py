@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingspark.llm.arrays import gathered, pieces, shingle_sets, staged, vector_rows, vector_sum, word_hashes
+from listingspark.llm.arrays import bitmap_bits, gathered, id_bitmap, pieces, rows_of, shingle_sets, staged, vector_rows, vector_sum, word_hashes, word_spans
 
 TERMS, MIN_ROWS, MIN_SHARE, EXAMPLES, BLOCK, K, SMOOTH = 512, 8, 0.5, 4096, 64, 15, 0.5
 THRESHOLD = 0.7
@@ -124,22 +124,79 @@ def _vectors(row: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray,
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
+PLACES = 22
+
+
+def _likely_words(labelled: DataFrame) -> DataFrame:
+    """(word, y): the words of each labelled row, once each, that may be telling.
+
+    Rows are counted by hashed word in two vectors of 2^PLACES counters. A word's counters hold its own rows and at times another
+    word's, so places whose toxic count could not reach MIN_SHARE even with MIN_ROWS of it are left out before words move.
+    """
+
+    def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        start, end, row = word_spans(data, offsets, _SEPARATOR)
+        return word_hashes(data, offsets, _SEPARATOR)[0] >> np.uint64(64 - PLACES), row, start, end
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic = np.zeros(1 << PLACES, np.int64)
+        for batch in batches:
+            y = batch.column(1).to_numpy()
+            for low, _, data, offsets in pieces(batch.column(0)):
+                place, row, _, _ = spans(data, offsets)
+                once = np.unique((row.astype(np.uint64) << np.uint64(PLACES)) | place)
+                hit = y[low + (once >> np.uint64(PLACES)).astype(np.int64)] == 1
+                np.add.at(toxic, (once[hit] & np.uint64((1 << PLACES) - 1)).astype(np.int64), 1)
+        yield vector_rows("toxic", toxic, TaskContext.get().partitionId())
+
+    rows = labelled.select("text", "y")
+    found = gathered(vector_sum(rows.mapInArrow(count, "name string, block int, part int, payload binary")), 1 << PLACES).get("toxic", np.zeros(1 << PLACES, np.int64))
+    # with the fewest rows that a word needs, MIN_SHARE of them must be toxic at least
+    flags = labelled.sparkSession.sparkContext.broadcast(np.packbits(found >= MIN_ROWS * MIN_SHARE))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(1).to_numpy()
+            for low, _, data, offsets in pieces(batch.column(0)):
+                place, row, start, end = spans(data, offsets)
+                at = place.astype(np.int64)
+                hit = np.flatnonzero(((flags.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0) & (end - start <= 64))
+                raw = data.tobytes().lower()  # A-Z only: bytes
+                once = sorted({(r, raw[a:b]) for r, a, b in zip(row[hit].tolist(), start[hit].tolist(), end[hit].tolist(), strict=True)})
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for _, w in once], pa.string()), pa.array(y[[low + r for r, _ in once]] if once else np.zeros(0, np.int32), pa.int32())], names=["word", "y"])
+
+    return rows.mapInArrow(words, "word string, y int")
+
+
 def learn(labelled: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> Model | None:
     """labelled: (key, text, label 0/1); corpus: (text). None without labelled rows."""
-    labelled = labelled.where(F.col(label).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(label).cast("int").alias("y"))
+    labels = labelled.where(F.col(label).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    return learn_from(labelled.select(key, text), labels, corpus, key, text, examples)
+
+
+def learn_from(texts: DataFrame, labels: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str = "text", examples: int = EXAMPLES) -> Model | None:
+    """texts: (key, text); labels: (key, y), one row for each key.
+
+    Texts meet labels without moving at first: a bitmap of the labelled keys drops most other texts, and only the texts of the rows
+    that are kept (one of each set of near copies with one label) are joined, once.
+    """
+    share = texts.sparkSession.sparkContext.broadcast
+    labels = labels.where("key is not null and y is not null")
+    bits = bitmap_bits(labels.count(), 64)
+    mine = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [int(s[0]) >> 1 if len(s) else -1 for _, _, data, offsets in pieces(batch.column(1)) for s in shingle_sets(data, offsets, 5)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["key", "text", "y", "least"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["key", "least"])
 
-    labelled = labelled.mapInArrow(least, "key long, text string, y int, least long").groupBy("least", "y").agg(F.min_by(F.struct("key", "text"), F.coalesce("key", F.lit(-1))).alias("row")).select("row.key", "row.text", "y")
-    labelled = staged(labelled, "labelled")
+    found = rows_of(mine, share(id_bitmap(labels.select("key"), bits))).mapInArrow(least, "key long, least long").join(labels, "key")
+    chosen = staged(found.groupBy("least", "y").agg(F.min("key").alias("key")).select("key", "y").distinct(), "chosen")
+    labelled = staged(rows_of(mine, share(id_bitmap(chosen.select("key"), bits))).join(chosen, "key"), "labelled")
     rows, positive = labelled.agg(F.count("*"), F.sum("y")).first()
     if not rows:
         return None
-    words = F.array_distinct(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x60\x7b-\x7f]+"))
-    seen = labelled.select("y", F.explode(words).alias("word")).where("word != '' and length(word) <= 64").groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
+    seen = _likely_words(labelled).groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
     n, t, p, z = F.col("n"), F.col("t"), positive / rows, 1.96
     spread = n * (p * (1 - p)) * (rows - n) / max(1, rows - 1)
     chi = F.when(spread > 0, F.pow(t - n * p, F.lit(2)) / spread)
@@ -216,21 +273,21 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with labels, one row for each key. Labels are small beside texts: Spark hashes or broadcasts the keys by size."""
-    labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(labels, "doc_id")
+def _model(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Learnt from labelled rows that aren't held out."""
+    known = labels.where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max("toxic").cast("int").alias("y"))
+    return learn_from(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text"), known, docs.select("text"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores for every document, learnt from labelled rows that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = learn(_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), docs)
+    model = _model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = toxicity_columns(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"), "toxic_evidence")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a score under the threshold."""
-    model = learn(_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), docs.select("text"))
+    model = _model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity_columns(docs, model).where(F.col("toxic_score") < THRESHOLD).select(*docs.columns)
