@@ -74,7 +74,8 @@ class CachedTokenizer:
 
     def _new(self, word: str, alone: bool) -> bytes:
         if alone:
-            ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes))]
+            # the model knows bytes by printable characters; control characters have others than their own
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         out = np.array(ids, "<u4").tobytes()

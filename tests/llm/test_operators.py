@@ -208,6 +208,15 @@ def test_cached_ids_are_the_library_s(spark):
         assert r.ids_crc32 == zlib.crc32(np.array(tokenizer.encode(texts[r.key], add_special_tokens=False).ids + [0], "<u4").tobytes()), texts[r.key]
 
 
+def test_control_characters_have_ids():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, own = Tokenizer.from_file(path), packing.CachedTokenizer(open(path).read())
+    for text in [*map(chr, range(256)), "a \x1b[0m b", "x\x00\x7fy", "\x1f\x1fé"]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_crossover_keeps_every_piece():
     r = random.Random(3)
     sizes = [r.randint(1, 100) for _ in range(300)]
