@@ -360,10 +360,20 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of near duplicates (five words, 0.8); one row of each doc_id."""
-    found = ngram_components(docs.select("doc_id", "text"))
-    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keeps the first row of each group of near duplicates (five words, 0.8): the one with the least doc_id, nulls last.
+
+    Every row is a vertex of its own, so rows that share a doc_id, or have none, go only where their own texts link. Of rows with
+    one doc_id and one text without words, which links with nothing, one stays; without a doc_id all of them do.
+    """
+    text = F.col("text").cast("string")
+    # numbers follow this order, so the least number of a component is its first row; the last key only spreads equal rows
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(text), F.monotonically_increasing_id())
+    rows = staged(ordered.select("*", F.monotonically_increasing_id().alias("near_row")), "numbered")
+    found = ngram_components(rows.select("near_row", "text"), "near_row")
+    dropped = found.where("component_id <> near_row").select("near_row")
+    wordless = F.col("doc_id").isNotNull() & ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = rows.where(~wordless).join(dropped, "near_row", "left_anti").select(*docs.columns)
+    return kept.unionAll(rows.where(wordless).select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 ORACLE = r"""

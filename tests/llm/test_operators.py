@@ -159,6 +159,17 @@ def test_ngram_empty(empty):
     assert ngram_join.ngram_components(empty).count() == 0
 
 
+def test_near_duplicates_of_rows_without_an_own_id(spark):
+    """Rows with a null or shared doc_id go only where their own texts link."""
+    a, b, c, d, e, f = (prose(60) for _ in range(6))
+    kept = [(3, a), (7, b), (7, c), (None, d), (None, e), (9, " "), (9, None), (None, ""), (None, ""), (12, f)]
+    dropped = [(None, a + " tail"), (None, b + " tail"), (None, d), (8, c + " tail"), (3, a), (9, " "), (None, f)]
+    docs = spark.createDataFrame([(*r, "own") for r in kept + dropped], "doc_id long, text string, source string").repartition(3)
+    out = ngram_join.near_duplicate_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(kept, key=repr)
+
+
 def test_star_components(spark):
     pairs = [(i + 1, i) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     found = {r.v: r.comp for r in ngram_join.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
