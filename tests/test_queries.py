@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from listingspark.plans import registry
+from listingspark.tables import listings
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -60,5 +61,10 @@ def test_embedding_index(spark):
         assert len(r.vector) == 64 and abs(sum(x * x for x in r.vector) - 1) < 1e-4 or not any(r.vector)
 
 
+def test_export_has_every_active_row(spark, duck):
+    want, got = duck.sql(ORACLES["inventory_export"].replace(" AND r_partkey % 10 = 0", "")).df(), QUERIES["inventory_export"](spark, DATA).toPandas()
+    assert len(got) == listings(spark, DATA).where("listing_active").count() and rows(got, sorted(want)) == rows(want, sorted(want))
+
+
 def test_flagship(spark):
     assert registry.flagship(spark, DATA).count() > 0
