@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listingspark.streaming.jobs import scratch
+
 
 def csv_by_alias(spark: SparkSession, path: str, aliases: dict[str, tuple[list[str], str]], required: list[str]) -> DataFrame:
     """Columns by the first alias that the file has, in any case and without a byte order mark, cast to their types; rows without the required ones go.
@@ -38,18 +40,23 @@ def json_bundles(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def largest_vehicle_lists(payloads: DataFrame, key: str, payload: str, least: int = 3, depth: int = 4) -> DataFrame:
+def largest_vehicle_lists(payloads: DataFrame, key: str, payload: str, least: int = 3) -> DataFrame:
     """(key, path, at, vehicle): the objects of each payload's array with the most objects that have a VIN (at least `least`; ties: the longest, then the path).
 
-    payload: JSON text. It is walked as a variant to `depth` levels; what lies deeper isn't seen.
+    payload: JSON text. It is walked as a variant, level by level until a level has no entries; each level is written to a scratch folder.
     """
     spark = payloads.sparkSession
     level = payloads.select(F.col(key).alias("k"), F.lit("$").alias("path"), F.try_parse_json(payload).alias("v"))
     entries = None
-    for _ in range(depth):
+    while True:
         level.createOrReplaceTempView("_level")
         level = spark.sql("SELECT k, path AS parent, e.pos AS at, path || CASE WHEN e.key IS NULL THEN '[' || e.pos || ']' ELSE '.' || e.key END AS path, e.value AS v, e.key IS NULL AS in_array FROM _level, LATERAL variant_explode(v) AS e")
+        folder = scratch(spark, "level")
+        level.write.parquet(folder)
+        level = spark.read.schema(level.schema).parquet(folder)
         entries = level if entries is None else entries.unionByName(level)
+        if level.isEmpty():
+            break
         level = level.select("k", "path", "v")
     items = entries.where("in_array").select("k", F.col("parent").alias("path"), "at", F.to_json("v").alias("vehicle"))
     items = items.withColumn("vin", F.coalesce(*[F.get_json_object("vehicle", p) for p in ("$.vin", "$.VIN", "$.vehicle.vin")]))

@@ -1,5 +1,6 @@
 """Every registered listing query against its DuckDB twin at the smallest scale, and the flagship."""
 
+import json
 import math
 import numbers
 import os
@@ -9,6 +10,7 @@ import pandas as pd
 import pytest
 
 from listingspark.plans import registry
+from listingspark.sources.files import largest_vehicle_lists
 from listingspark.tables import listings
 
 DATA = "/root/testdata/sf0.001"
@@ -66,5 +68,15 @@ def test_export_has_every_active_row(spark, duck):
     assert len(got) == listings(spark, DATA).where("listing_active").count() and rows(got, sorted(want)) == rows(want, sorted(want))
 
 
+def test_deep_vehicle_lists_are_found(spark):
+    cars = [{"vin": f"V{i}"} for i in range(4)]
+    deep = {"inventory": {"vehicles": cars}}
+    for _ in range(9):
+        deep = {"data": deep}
+    payloads = [(1, json.dumps({"props": {"pageProps": {"data": {"inventory": {"vehicles": cars}}}}})), (2, json.dumps({"decoy": cars[:3], **deep})), (3, "7"), (4, "no json"), (5, None)]
+    found = largest_vehicle_lists(spark.createDataFrame(payloads, "k long, payload string"), "k", "payload").collect()
+    assert sorted((r.k, r.vin) for r in found) == [(k, f"V{i}") for k in (1, 2) for i in range(4)]
+
+
 def test_flagship(spark):
     assert registry.flagship(spark, DATA).count() > 0
