@@ -4,11 +4,14 @@ import json
 import math
 import numbers
 import os
+import re
+from collections import Counter
 
 import duckdb
 import pandas as pd
 import pytest
 
+from listingspark.operators.vectors import hashed_tfidf
 from listingspark.plans import registry
 from listingspark.sources.files import largest_vehicle_lists
 from listingspark.tables import listings
@@ -78,5 +81,18 @@ def test_deep_vehicle_lists_are_found(spark):
     assert sorted((r.k, r.vin) for r in found) == [(k, f"V{i}") for k in (1, 2) for i in range(4)]
 
 
+def test_hashed_tfidf_is_brute_force(spark):
+    texts = {1: "Schön schon, SCHÖN", 2: "слово 漢字 слово", 3: "", 4: None, 5: "a b c a", 6: "!?", 7: "schon a"}
+    words = {k: re.findall(r"\w+", (t or "").lower()) for k, t in texts.items()}
+    places = {r.w: r.p for r in spark.createDataFrame([(w,) for w in {x for ws in words.values() for x in ws}], "w string").selectExpr("w", "pmod(xxhash64(w), 16) p").collect()}
+    tf = {k: Counter(places[w] for w in ws) for k, ws in words.items()}
+    got = {r.k: r.vector for r in hashed_tfidf(spark.createDataFrame(list(texts.items()), "k long, t string"), "k", "t", 16).collect()}
+    assert set(got) == set(texts)
+    for k, counts in tf.items():
+        want = [counts[p] * math.log((len(texts) + 1) / (sum(p in c for c in tf.values()) + 1)) for p in range(16)]
+        norm = math.sqrt(sum(x * x for x in want)) or 1
+        assert all(abs(x - y / norm) < 1e-5 for x, y in zip(got[k], want, strict=True)), k
+
+
 def test_flagship(spark):
     assert registry.flagship(spark, DATA).count() > 0
