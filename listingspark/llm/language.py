@@ -2,7 +2,7 @@
 
 Learning counts hashed byte trigrams (A-Z in lower case, other ASCII as blanks) of every learning text by language. A document
 is cut into segments of SEGMENT words; each segment has a likelihood under each language. Expectation-maximisation estimates
-the document's language proportions; among the one, two, ... MOST likeliest languages the set with the greatest penalised
+the document's language proportions; among the one, two, ... all likeliest languages the set with the greatest penalised
 likelihood (half the log of the segment count for each further language) is kept, and its largest proportion is the prediction.
 
 A text that is null or has no letter is `und` with score 0, as is every text where nothing was learnt. Ties go to the
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from listingspark.llm.arrays import gathered, pieces, vector_rows, vector_sum, word_spans
 
-BITS, SEGMENT, MOST, ROUNDS = 16, 8, 3, 8
+BITS, SEGMENT, ROUNDS = 16, 8, 8
 UNKNOWN = "und"
 #: Each trigram's log-likelihood counts as a third, for each byte is in three of them.
 WEIGHT = 1 / 3
@@ -105,7 +105,7 @@ def mixtures(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[
     share, _ = fit(np.ones((len(at), langs)))
     order = np.argsort(-share, axis=1, kind="stable")
     best, best_score, chosen = None, None, np.ones(len(at), int)
-    for size in range(1, min(MOST, langs) + 1):
+    for size in range(1, langs + 1):
         allowed = np.zeros_like(share)
         np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
         s, score = fit(allowed)
@@ -162,7 +162,20 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_shares")
 
 
+def _lettered(docs: DataFrame) -> DataFrame:
+    """The documents with a letter, by the same test as language_columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array([bool(_LETTER.search(t.as_py() or "")) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language could be told: those with a letter. The language column isn't changed."""
+    """Keeps documents with a letter: those whose language could be told, or all of them where nothing was learnt. The language column isn't changed."""
     model = learn(docs)
+    if not model:
+        return _lettered(docs)
     return language_columns(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)

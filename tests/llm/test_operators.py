@@ -331,6 +331,22 @@ def test_language_mixture(spark):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_texts_in_four_languages(spark):
+    alphabets = {"aa": "abcdefgh", "bb": "stuvwxyz", "cc": "äöüßéèàç", "dd": "ijklmnop"}
+    text = lambda k, n: " ".join("".join(rng.choices(alphabets[k], k=rng.randint(2, 7))) for _ in range(n))
+    model = language.learn(spark.createDataFrame([(i, text(k, 60), k) for i, k in enumerate(list(alphabets) * 30)], "doc_id long, text string, lang string"))
+    mixed = spark.createDataFrame([(0, " ".join(text(k, n) for k, n in zip(alphabets, (64, 48, 48, 40), strict=True)))], "doc_id long, text string")
+    shares = language.language_columns(mixed, model).first().lang_shares
+    assert set(shares) == set(alphabets) and all(abs(shares[k] - n / 200) < 0.08 for k, n in zip(alphabets, (64, 48, 48, 40), strict=True))
+
+
+def test_language_stage_where_nothing_is_learnt(spark):
+    rows = [(0, "some words", None), (1, "漢字", None), (2, "12 !", None), (3, "", None), (None, "é", None), (4, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language.language_stage(spark, docs, "")
+    assert out.columns == docs.columns and {r.text for r in out.collect()} == {"some words", "漢字", "é"}
+
+
 # ---------------------------------------------------------------- 8
 
 
