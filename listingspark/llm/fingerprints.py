@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listingspark.llm.arrays import pieces, shingle_sets
@@ -73,9 +73,10 @@ def merge_sketches(df: DataFrame, by: str, sketch: str = "sketch", k: int = K, p
     reverse = F.reverse(F.hex("h"))  # little-endian bytes; as hex text, pairs of digits are turned back below
     order = F.regexp_replace(reverse, "(.)(.)", "$2$1")
     hashes = hashes.select(by, order.alias("o")).distinct().withColumn("part", F.pmod(F.xxhash64("o"), F.lit(parts)))
-    for keys in ([by, "part"], [by]):
-        hashes = hashes.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_set("o")), 1, k).alias("os")).select(*keys, F.explode("os").alias("o"))
-    packed = hashes.groupBy(by).agg(F.sort_array(F.collect_set("o")).alias("os"))
+    for keys in ([by, "part"], [by]):  # by sorting, which spills: no buffer holds a group's hashes
+        least = F.row_number().over(Window.partitionBy(*keys).orderBy("o"))
+        hashes = hashes.withColumn("least", least).where(F.col("least") <= k)
+    packed = hashes.groupBy(by).agg(F.sort_array(F.collect_list("o")).alias("os"))
     turned = F.transform("os", lambda o: F.regexp_replace(F.reverse(o), "(.)(.)", "$2$1"))
     return packed.select(by, F.unhex(F.array_join(turned, "")).alias("sketch"))
 

@@ -273,6 +273,15 @@ def test_sketches_merge(spark):
     assert np.array_equal(np.frombuffer(merged.sketch, "<u8"), fingerprints.merged(a, b))
 
 
+def test_merging_holds_no_group_in_a_buffer(spark):
+    sets = [np.sort(np.random.default_rng(i).integers(0, 1 << 63, 256).astype("<u8")) for i in range(60)]
+    df = spark.createDataFrame([("hot", s.tobytes()) for s in sets] + [("cold", sets[0].tobytes())], "g string, sketch binary")
+    merged = fingerprints.merge_sketches(df, "g", parts=2)
+    want = {"hot": np.unique(np.concatenate(sets))[:256], "cold": sets[0]}
+    assert {r.g: np.frombuffer(r.sketch, "<u8").tolist() for r in merged.collect()} == {g: w.tolist() for g, w in want.items()}
+    assert "collect_set" not in merged._jdf.queryExecution().toString()
+
+
 # ---------------------------------------------------------------- 6
 
 
