@@ -70,6 +70,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+#: Numbers of bytes for a second hash that doesn't depend on the first.
+SECOND = mix(np.arange(257, 513, dtype=np.uint64))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,10 +84,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, numbers: np.ndarray = _BYTE) -> np.ndarray:
     """h with h[j] - h[i], times the inverse power i, a hash of bytes i..j-1."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(len(data))[0], out=out[1:])
+    np.cumsum(numbers[data] * powers(len(data))[0], out=out[1:])
     return out
 
 
@@ -253,6 +255,8 @@ def rows_of(rows: DataFrame, wanted) -> DataFrame:
 
 # ---------------------------------------------------------------- tables in the shared folder
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where none is set, as in tests, one under the warehouse."""
@@ -261,7 +265,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: a cut of the lineage that outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as Parquet to the shared folder and reads it back: a cut of the lineage that outlives lost executors.
+
+    The shuffle files of the write are removed with its end, for nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame, key: str, text: str, name: str) -> tuple[DataFrame, bool]:
+    """(docs with a long column `name` that no two rows share, whether it is the key itself).
+
+    Where each key stands once and none is null, the numbers are the keys. Else rows are numbered in order of key (nulls last), then
+    text hash, and written to the shared folder, for such numbers hold for one reading only.
+    """
+    own = F.col(key).cast("long")
+    twice = docs.select(own.alias("k")).groupBy("k").agg(F.count("*").alias("c")).where("c > 1 or k is null")
+    if twice.isEmpty():
+        return docs.withColumn(name, own), True
+    # the last key of the order only spreads equal rows
+    ordered = docs.orderBy(own.asc_nulls_last(), F.xxhash64(F.col(text).cast("string")), F.monotonically_increasing_id())
+    return staged(ordered.withColumn(name, F.monotonically_increasing_id()), "numbered"), False
