@@ -1,20 +1,23 @@
 """Operator 6, toxicity by the nearest labelled examples.
 
-Learning, from labelled rows only:
+A text is a vector over all its words (runs of letters, A-Z in lower case), hashed to 2^PLACES places: (1 + log tf) * idf * relevance,
+of unit length. So a long text with one telling word is far from the texts that consist of such words.
+
+- Document frequencies count every document. Relevance comes from all labelled rows: the lower end of a place's share of toxic rows
+  (Wilson, Z deviations, so that rare words don't count by chance), above the share p of all rows: max(FLOOR, (low - p) / (1 - p)).
 - Near copies of one text would make all its words look telling, so of the labelled rows with the same least 5-word shingle
   hash and the same label one is kept (the one with the smallest key).
-- The vocabulary is the TERMS words (runs of letters, A-Z in lower case) tied most closely to the label by chi-squared over
-  these rows. A word needs MIN_ROWS of them, and the lower end of its share of toxic rows (Wilson, 95 %) must be MIN_SHARE.
-- Inverse document frequencies of the vocabulary come from all documents.
-- Examples are at most EXAMPLES labelled rows, half of each label while both suffice, chosen by a hash of the key: this bound
-  keeps the index, which is broadcast, within a few megabytes. Equal vectors are one example with their counts of both labels.
-
-Scoring: the K nearest examples by exact cosine of TF-IDF vectors (1 + log tf), found in an inverted index whose postings lie in
-blocks of BLOCK examples with each term's greatest weight; blocks are opened by falling bound until none can reach the K-th.
-Votes weigh with the cosine, smoothed by the share p of toxic labelled rows: (sum w y + S p) / (sum w + S). A text without a word of the
-vocabulary, an empty or null one too, gets the smoothed share of toxic rows among the labelled rows that have none either.
-
-Ties at equal cosine go to the example with the smaller key. Rows with a null label teach nothing; without any, all scores are 0.
+- Examples are at most EXAMPLES labelled rows, half of each label while both suffice, chosen by a hash of the key. This documented
+  bound is the only one: it keeps the index that is broadcast within some tens of megabytes.
+
+Scoring: the K nearest examples by exact cosine, found in an inverted index whose postings lie in blocks of BLOCK alike examples with
+each place's greatest weight. The blocks with the highest bounds are opened, then all whose bound reaches the K-th cosine so far.
+Votes weigh with the square of the cosine and with the number of labelled rows that an example of its label stands for, smoothed by
+p: (sum w y + S p) / (sum w + S). Examples vote on each other too, each without itself; a logistic curve fitted to these votes and
+their labels, by the same numbers of rows, turns votes into calibrated scores. Evidence is the voters' keys.
+
+Ties at equal cosine go to the example with the smaller key. A text without words has no neighbour, so its vote is p. Rows with a null
+label or key teach nothing; without any, all scores are 0. Rows that share a key are scored each by its own text.
 """
 
 from __future__ import annotations
@@ -28,9 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingspark.llm.arrays import bitmap_bits, gathered, id_bitmap, pieces, rows_of, shingle_sets, staged, vector_rows, vector_sum, word_hashes, word_spans
+from listingspark.llm.arrays import bitmap_bits, gathered, id_bitmap, mix, pieces, shingle_sets, staged, vector_rows, vector_sum, word_hashes
 
-TERMS, MIN_ROWS, MIN_SHARE, EXAMPLES, BLOCK, K, SMOOTH = 512, 8, 0.5, 4096, 64, 15, 0.5
+PLACES, Z, FLOOR, EXAMPLES, BLOCK, K, SMOOTH = 20, 4.0, 0.05, 4096, 64, 15, 1.0
 THRESHOLD = 0.7
 
 #: Letters are A-Z, a-z and every byte of a character beyond ASCII.
@@ -38,134 +41,146 @@ _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[65:91] = _SEPARATOR[97:123] = _SEPARATOR[128:] = False
 
 
-def _hash_words(words: list[str]) -> np.ndarray:
-    raw = [w.encode() for w in words]
-    offsets = np.cumsum([0, *map(len, raw)])
-    return word_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets, _SEPARATOR)[0]
+def word_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, places, counts): row i has the distinct places bounds[i] to bounds[i + 1], ascending, with the words counted there."""
+    hashes, bounds = word_hashes(data, offsets, _SEPARATOR)
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(bounds))
+    pair = np.sort((row << np.uint64(PLACES)) | (hashes >> np.uint64(64 - PLACES)))
+    head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    pair, counts = pair[head], np.diff(np.append(head, len(pair)))
+    return np.searchsorted(pair >> np.uint64(PLACES), np.arange(len(offsets), dtype=np.uint64)), (pair & np.uint64((1 << PLACES) - 1)).astype(np.int32), counts
 
 
-@dataclass
-class Vocabulary:
-    """Words by their hashes, in the order of the hashes."""
-
-    words: list[str]
-
-    def __post_init__(self) -> None:
-        hashes = _hash_words(self.words) if self.words else np.zeros(0, np.uint64)
-        order = np.argsort(hashes)
-        self.words, self.hashes = [self.words[i] for i in order], hashes[order]
-        self.mark = np.zeros(1 << 16, bool)
-        self.mark[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
-
-    def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, count) of the vocabulary's words in each row, in order."""
-        hashes, bounds = word_hashes(data, offsets, _SEPARATOR)
-        maybe = np.flatnonzero(self.mark[(hashes >> np.uint64(48)).astype(np.int64)])
-        term = np.searchsorted(self.hashes, hashes[maybe])
-        hit = (term < len(self.hashes)) & (self.hashes[np.minimum(term, len(self.hashes) - 1)] == hashes[maybe]) if len(self.hashes) else np.zeros(0, bool)
-        maybe, term = maybe[hit], term[hit]
-        row = np.searchsorted(bounds, maybe, side="right") - 1
-        pair, n = np.unique(row * max(1, len(self.words)) + term, return_counts=True)
-        return pair // max(1, len(self.words)), pair % max(1, len(self.words)), n
+def unit(places: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(counts)) * weight[places]
+    return w / max(float(np.sqrt(w @ w)), 1e-300)
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples, by blocks with each term's greatest weight."""
-
-    def __init__(self, vectors: np.ndarray, keys: np.ndarray, share: np.ndarray):
-        # similar examples share blocks, so that bounds are tight
-        order = np.lexsort((keys, *(vectors.T > 0), vectors.argmax(axis=1)))
-        self.keys, self.share = keys[order], share[order]
-        self.postings = []
-        blocks = range(0, len(order), BLOCK)
-        self.greatest = np.stack([vectors[order[i : i + BLOCK]].max(axis=0) for i in blocks]) if len(order) else np.zeros((0, vectors.shape[1]))
-        for i in blocks:
-            part = vectors[order[i : i + BLOCK]]
-            self.postings.append([(w := np.flatnonzero(part[:, t]), part[w, t]) if self.greatest[i // BLOCK, t] else None for t in range(part.shape[1])])
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest by (cosine falling, key), without those at cosine 0."""
-        bound = self.greatest[:, terms] @ weights
-        best = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best[0]) >= k and bound[b] < best[0][k - 1] - 1e-12):
-                break
-            score = np.zeros(min(BLOCK, len(self.keys) - b * BLOCK))
-            for t, w in zip(terms, weights, strict=True):
-                if (p := self.postings[b][t]) is not None:
-                    score[p[0]] += w * p[1]
-            hit = np.flatnonzero(score)
-            found, at = np.concatenate([best[0], np.round(score[hit], 12)]), np.concatenate([best[1], hit + b * BLOCK])
-            order = np.lexsort((self.keys[at], -found))[:k]
-            best = found[order], at[order]
-        return best[1], best[0]
+    """Unit vectors of examples as postings, by blocks of alike examples with each place's greatest weight; mass: the rows that an example stands for."""
+
+    def __init__(self, places: list[np.ndarray], weights: list[np.ndarray], keys: np.ndarray, labels: np.ndarray, mass: np.ndarray):
+        # examples with the same heaviest place share blocks, so that bounds are tight
+        top = np.array([p[np.argmax(w)] if len(p) else -1 for p, w in zip(places, weights, strict=True)], np.int64)
+        order = np.lexsort((keys, top, labels))
+        self.keys, self.labels, self.mass = keys[order], labels[order], mass[order]
+        place = np.concatenate([places[i] for i in order] or [np.zeros(0, np.int32)])
+        weight = np.concatenate([weights[i] for i in order] or [np.zeros(0)])
+        example = np.repeat(np.arange(len(order)), [len(places[i]) for i in order])
+        by_place = np.argsort(place, kind="stable")  # and by example, so by block
+        place, self.weight, self.example = place[by_place], weight[by_place], example[by_place].astype(np.int32)
+        block = self.example // BLOCK
+        head = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (block[1:] != block[:-1])])) if len(place) else np.zeros(0, np.int64)
+        self.start = np.append(head, len(place))
+        self.block = block[head]
+        self.greatest = np.maximum.reduceat(self.weight, head) if len(head) else np.zeros(0)
+        self.terms, first = np.unique(place[head], return_index=True)
+        self.first = np.append(first, len(head))
+
+    def nearest(self, places: np.ndarray, weights: np.ndarray, k: int = K, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest by (cosine falling, key), without those at cosine 0 and the example with the key `without`."""
+        at = np.searchsorted(self.terms, places)
+        hit = at < len(self.terms)
+        hit[hit] = self.terms[at[hit]] == places[hit]
+        at, weights = at[hit], weights[hit]
+        size = self.first[at + 1] - self.first[at]
+        cell = np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        mine = np.repeat(weights, size)
+        block = self.block[cell]
+        blocks = -(-len(self.keys) // BLOCK)
+        bound = np.bincount(block, mine * self.greatest[cell], blocks)
+        best, cosine = np.zeros(0, np.int64), np.zeros(0)
+        ranked = np.argsort(-bound, kind="stable")
+        opened = np.zeros(blocks, bool)
+        for last in (False, True):
+            opening = np.zeros(blocks, bool)
+            if last:
+                opening[bound >= (cosine[k - 1] - 1e-9 if len(cosine) >= k else 1e-300)] = True
+            else:
+                opening[ranked[: -(-2 * k // BLOCK) + 1]] = True
+            opening &= ~opened & (bound > 0)
+            some = opening[block]
+            if not some.any():
+                continue
+            opened |= opening
+            low, high = self.start[cell[some]], self.start[cell[some] + 1]
+            n = high - low
+            posting = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            score = np.round(np.bincount(self.example[posting], np.repeat(mine[some], n) * self.weight[posting], len(self.keys)), 9)
+            found = np.flatnonzero(score > 0)
+            if without is not None:
+                found = found[self.keys[found] != without]
+            if len(found) > 4 * k:
+                found = found[score[found] >= np.partition(score[found], -k)[-k]]
+            best, cosine = np.concatenate([best, found]), np.concatenate([cosine, score[found]])
+            order = np.lexsort((self.keys[best], -cosine))[:k]
+            best, cosine = best[order], cosine[order]
+        return best, cosine
 
 
 @dataclass
 class Model:
-    vocabulary: Vocabulary
-    idf: np.ndarray
+    weight: np.ndarray
     index: BlockMaxIndex
     rate: float
-    none: float
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        """(score, keys of the examples that voted)"""
-        w = (1 + np.log(counts)) * self.idf[terms] if len(terms) else np.zeros(0)
-        if not w.any():
-            return self.none, []
-        at, cosine = self.index.nearest(terms, w / np.linalg.norm(w))
-        return float((cosine @ self.index.share[at] + SMOOTH * self.rate) / (cosine.sum() + SMOOTH)), self.index.keys[at].tolist()
+    curve: tuple[float, float] = (1.0, 0.0)
 
+    def vote(self, places: np.ndarray, counts: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray]:
+        """(vote, keys of the examples that voted)"""
+        at, cosine = self.index.nearest(places, unit(places, counts, self.weight), without=without)
+        w = cosine * cosine * self.index.mass[at]
+        return float((w @ self.index.labels[at] + SMOOTH * self.rate) / (w.sum() + SMOOTH)), self.index.keys[at]
 
-def _vectors(row: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray, rows: int) -> np.ndarray:
-    out = np.zeros((rows, len(idf)))
-    out[row, term] = (1 + np.log(n)) * idf[term]
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] * _logit(votes) + self.curve[1], -50, 50)))
 
 
-PLACES = 22
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
 
 
-def _likely_words(labelled: DataFrame) -> DataFrame:
-    """(word, y): the words of each labelled row, once each, that may be telling.
+def fitted_curve(votes: np.ndarray, labels: np.ndarray, mass: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve over the votes' log-odds with the greatest likelihood; targets are drawn in a little, and the slope isn't negative."""
+    positive, negative = mass @ labels, mass @ (1 - labels)
+    target = np.where(labels > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
+    x = np.stack([_logit(votes), np.ones(len(votes))], axis=1)
+    beta = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -50, 50)))
+        step = np.linalg.solve((x * (mass * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (mass * (target - p)) - 1e-3 * (beta - [1.0, 0.0]))
+        beta = beta + np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-8:
+            break
+    return max(float(beta[0]), 1e-3), float(beta[1])
 
-    Rows are counted by hashed word in two vectors of 2^PLACES counters. A word's counters hold its own rows and at times another
-    word's, so places whose toxic count could not reach MIN_SHARE even with MIN_ROWS of it are left out before words move.
-    """
 
-    def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        start, end, row = word_spans(data, offsets, _SEPARATOR)
-        return word_hashes(data, offsets, _SEPARATOR)[0] >> np.uint64(64 - PLACES), row, start, end
+def _frequencies(rows: DataFrame, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Rows of each place. rows: (text), or (text, y) for the counts of all rows and those with y = 1; the last counter is of rows."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic = np.zeros(1 << PLACES, np.int64)
-        for batch in batches:
-            y = batch.column(1).to_numpy()
-            for low, _, data, offsets in pieces(batch.column(0)):
-                place, row, _, _ = spans(data, offsets)
-                once = np.unique((row.astype(np.uint64) << np.uint64(PLACES)) | place)
-                hit = y[low + (once >> np.uint64(PLACES)).astype(np.int64)] == 1
-                np.add.at(toxic, (once[hit] & np.uint64((1 << PLACES) - 1)).astype(np.int64), 1)
-        yield vector_rows("toxic", toxic, TaskContext.get().partitionId())
-
-    rows = labelled.select("text", "y")
-    found = gathered(vector_sum(rows.mapInArrow(count, "name string, block int, part int, payload binary")), 1 << PLACES).get("toxic", np.zeros(1 << PLACES, np.int64))
-    # with the fewest rows that a word needs, MIN_SHARE of them must be toxic at least
-    flags = labelled.sparkSession.sparkContext.broadcast(np.packbits(found >= MIN_ROWS * MIN_SHARE))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros((1 << PLACES) + 1, np.int64) for _ in names]
         for batch in batches:
-            y = batch.column(1).to_numpy()
-            for low, _, data, offsets in pieces(batch.column(0)):
-                place, row, start, end = spans(data, offsets)
-                at = place.astype(np.int64)
-                hit = np.flatnonzero(((flags.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0) & (end - start <= 64))
-                raw = data.tobytes().lower()  # A-Z only: bytes
-                once = sorted({(r, raw[a:b]) for r, a, b in zip(row[hit].tolist(), start[hit].tolist(), end[hit].tolist(), strict=True)})
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for _, w in once], pa.string()), pa.array(y[[low + r for r, _ in once]] if once else np.zeros(0, np.int32), pa.int32())], names=["word", "y"])
+            marks = [None, batch.column(1).to_numpy() == 1][: len(names)] if len(names) > 1 else [None]
+            for low, high, data, offsets in pieces(batch.column(0)):
+                bounds, places, _ = word_counts(data, offsets)
+                for total, mark in zip(totals, marks, strict=True):
+                    chosen = slice(None) if mark is None else np.repeat(mark[low:high], np.diff(bounds))
+                    np.add.at(total, places[chosen], 1)
+                    total[-1] += high - low if mark is None else int(mark[low:high].sum())
+        for name, total in zip(names, totals, strict=True):
+            yield vector_rows(name, total, TaskContext.get().partitionId())
+
+    found = gathered(vector_sum(rows.mapInArrow(run, "name string, block int, part int, payload binary")), (1 << PLACES) + 1)
+    return {name: found.get(name, np.zeros((1 << PLACES) + 1, np.int64)) for name in names}
 
-    return rows.mapInArrow(words, "word string, y int")
+
+def relevance(n: np.ndarray, t: np.ndarray, p: float) -> np.ndarray:
+    """The lower end of the share t / n above the rate p, as a share of 1 - p; FLOOR at least."""
+    n = np.maximum(n, 1)
+    share, zz = t / n, Z * Z
+    low = (share + zz / (2 * n) - Z * np.sqrt((share * (1 - share) + zz / (4 * n)) / n)) / (1 + zz / n)
+    return np.maximum(FLOOR, (low - p) / max(1 - p, 1e-9))
 
 
 def learn(labelled: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> Model | None:
@@ -185,66 +200,74 @@ def learn_from(texts: DataFrame, labels: DataFrame, corpus: DataFrame, key: str
     bits = bitmap_bits(labels.count(), 64)
     mine = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
+    def of(batch: pa.RecordBatch, wanted) -> pa.RecordBatch:
+        return batch.filter(pa.array(wanted.value.has(mix(batch.column(0).to_numpy().view(np.uint64)))))
+
+    known = share(id_bitmap(labels.select("key"), bits))
+
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = of(batch, known)
             found = [int(s[0]) >> 1 if len(s) else -1 for _, _, data, offsets in pieces(batch.column(1)) for s in shingle_sets(data, offsets, 5)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["key", "least"])
 
-    found = rows_of(mine, share(id_bitmap(labels.select("key"), bits))).mapInArrow(least, "key long, least long").join(labels, "key")
+    found = mine.mapInArrow(least, "key long, least long").join(labels, "key")
     chosen = staged(found.groupBy("least", "y").agg(F.min("key").alias("key")).select("key", "y").distinct(), "chosen")
-    labelled = staged(rows_of(mine, share(id_bitmap(chosen.select("key"), bits))).join(chosen, "key"), "labelled")
-    rows, positive = labelled.agg(F.count("*"), F.sum("y")).first()
-    if not rows:
-        return None
-    seen = _likely_words(labelled).groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
-    n, t, p, z = F.col("n"), F.col("t"), positive / rows, 1.96
-    spread = n * (p * (1 - p)) * (rows - n) / max(1, rows - 1)
-    chi = F.when(spread > 0, F.pow(t - n * p, F.lit(2)) / spread)
-    low = (t / n + z * z / (2 * n) - z * F.sqrt((t / n * (1 - t / n) + z * z / (4 * n)) / n)) / (1 + z * z / n)
-    chosen = seen.where((n >= MIN_ROWS) & (low >= MIN_SHARE)).withColumn("chi", chi).where("chi is not null").orderBy(F.desc("chi"), "word").limit(TERMS)
-    vocabulary = Vocabulary(sorted(r["word"] for r in chosen.collect()))
-    width = len(vocabulary.words)
-    shared = labelled.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width + 1, np.int64)
+    picked = share(id_bitmap(chosen.select("key"), bits))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total[width] += len(batch)
-            for _, _, data, offsets in pieces(batch.column(0)):
-                total[:width] += np.bincount(shared.value.counts(data, offsets)[1], minlength=width)
-        yield vector_rows("df", total, TaskContext.get().partitionId())
+            yield of(batch, picked)
 
-    counts = gathered(vector_sum(corpus.select(F.col(text).cast("string")).mapInArrow(count, "name string, block int, part int, payload binary")), width + 1)
-    df = counts.get("df", np.zeros(width + 1, np.int64))
-    idf = np.log((1 + df[width]) / (1 + df[:width])) + 1
+    labelled = staged(mine.mapInArrow(some, mine.schema).join(chosen, "key"), "labelled")
+    known.destroy()
+    picked.destroy()
+    counts = _frequencies(labelled.select("text", "y"), ("n", "t"))
+    rows, positive = int(counts["n"][-1]), int(counts["t"][-1])
+    if not rows:
+        return None
+    rate = positive / rows
+    df = _frequencies(corpus.select(F.col(text).cast("string")), ("df",))["df"]
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    weight = (idf * relevance(counts["n"][:-1], counts["t"][:-1], rate)).astype(np.float32)
+    kept = [labelled.where(F.col("y") == y).select("key").orderBy(F.xxhash64("key"), "key").limit(examples // 2) for y in (0, 1)]
+    kept = staged(labelled.join(F.broadcast(kept[0].unionAll(kept[1])), "key"), "examples")
+    shared = share(weight)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in pieces(batch.column(1)):
-                row, term, n = shared.value.counts(data, offsets)
-                edge = np.searchsorted(row, np.arange(high - low + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[low:high], batch.column(2)[low:high], pa.array([term[a:b] for a, b in zip(edge, edge[1:])], pa.list_(pa.int32())), pa.array([n[a:b] for a, b in zip(edge, edge[1:])], pa.list_(pa.int32()))],
-                    names=["key", "y", "terms", "counts"],
-                )
-
-    sparse = labelled.select("key", "text", "y").mapInArrow(vectors, "key long, y int, terms array<int>, counts array<int>")
-    grouped = sparse.groupBy("terms", "counts").agg(F.min("key").alias("key"), F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-    blank = grouped.where(F.size("terms") == 0).select("toxic", "clean").first()
-    # few: vectors of at most TERMS words; the bound is on distinct vectors
-    full = grouped.where(F.size("terms") > 0)
-    half = examples // 2
-    side = F.col("toxic") > 0
-    kept = full.where(side).orderBy(F.xxhash64("key"), "key").limit(half).unionAll(full.where(~side).orderBy(F.xxhash64("key"), "key").limit(half)).collect()
-    matrix = np.zeros((len(kept), width))
-    for i, r in enumerate(kept):
-        t, n = np.array(r["terms"]), np.array(r["counts"])
-        matrix[i] = _vectors(np.zeros(len(t), int), t, n, idf, 1)[0]
-    rate = positive / rows
-    none = ((blank["toxic"] if blank else 0) + SMOOTH * rate) / ((blank["toxic"] + blank["clean"] if blank else 0) + SMOOTH)
-    # a vector's many rows are one example, with the share of them that are toxic
-    share = np.array([r["toxic"] / (r["toxic"] + r["clean"]) for r in kept])
-    return Model(vocabulary, idf, BlockMaxIndex(matrix, np.array([r["key"] or 0 for r in kept], np.int64), share), rate, float(none))
+                bounds, places, n = word_counts(data, offsets)
+                ends = bounds.astype(np.int32)
+                units = np.concatenate([unit(places[a:b], n[a:b], shared.value) for a, b in zip(bounds, bounds[1:])] or [np.zeros(0)])
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (places, units.astype(np.float64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], batch.column(2)[low:high], *lists], names=["key", "y", "places", "weights"])
+
+    # at most `examples` rows, by the bound above
+    found = kept.select("key", "text", "y").mapInArrow(vectors, "key long, y int, places array<int>, weights array<double>").toArrow()
+    lists = [[np.asarray(x.values, t) for x in found[c]] for c, t in (("places", np.int32), ("weights", np.float64))]
+    keys, y = found["key"].to_numpy(), found["y"].to_numpy()
+    y = y.astype(np.float64)
+    mass_of = [share / max(1e-9, float((y == k).mean())) for k, share in ((0, 1 - rate), (1, rate))]
+    model = Model(weight, BlockMaxIndex(*lists, keys, y, np.where(y > 0, mass_of[1], mass_of[0])), rate)
+    shared.destroy()
+    judged = share(model)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for low, high, data, offsets in pieces(batch.column(1)):
+                bounds, places, n = word_counts(data, offsets)
+                own = batch.column(0)[low:high].to_pylist()
+                out += [judged.value.vote(places[a:b], n[a:b], k)[0] for a, b, k in zip(bounds, bounds[1:], own)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column(2)], names=["vote", "y"])
+
+    spread = kept.select("key", "text", "y").repartition(max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    own = spread.mapInArrow(votes, "vote double, y int").toArrow()
+    judged.destroy()
+    y = own["y"].to_numpy().astype(np.float64)
+    model.curve = fitted_curve(own["vote"].to_numpy(), y, np.where(y > 0, mass_of[1], mass_of[0]))
+    return model
 
 
 def toxicity_columns(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -258,12 +281,11 @@ def toxicity_columns(df: DataFrame, model: Model | None, text: str = "text") ->
         for batch in batches:
             scores, evidence = np.zeros(len(batch)), [[] for _ in range(len(batch))]
             if model:
-                scores[:] = model.none
                 for low, high, data, offsets in pieces(batch.column(batch.schema.get_field_index(text))):
-                    row, term, n = model.vocabulary.counts(data, offsets)
-                    edge = np.flatnonzero(np.diff(row, prepend=-1, append=-1))
-                    for a, b in zip(edge, edge[1:]):
-                        scores[low + row[a]], evidence[low + row[a]] = model.score(term[a:b], n[a:b])
+                    bounds, places, n = word_counts(data, offsets)
+                    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                        scores[low + i], evidence[low + i] = model.vote(places[a:b], n[a:b])
+                scores = model.calibrated(scores)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=[*keep, "toxic_score", "toxic_evidence"])
 
     return df.select(*keep).mapInArrow(run, schema)
