@@ -81,31 +81,41 @@ def merge_sketches(df: DataFrame, by: str, sketch: str = "sketch", k: int = K, p
     return packed.select(by, F.unhex(F.array_join(turned, "")).alias("sketch"))
 
 
+def _ordered(key: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """(key, sig) as strings of 16 bytes in the same order."""
+    out = np.empty((len(key), 2), ">u8")
+    out[:, 0], out[:, 1] = (x.view(np.uint64) ^ np.uint64(1 << 63) for x in (key, sig))
+    return out.view("S16").ravel()
+
+
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 24 << 20) -> DataFrame:
-    """(bucket, ahead, key, text) dealt so that in each task rows stand in order of descending key, and `ahead` rows, at a bucket's end, are copies of the next bucket's first.
+    """(bucket, ahead, id, text): each partition is one bucket in order of descending key, then text hash; its row with `ahead` is a copy of the next bucket's first, after the last bucket's rows that of the first bucket.
 
-    Texts move once. Bucket bounds are quantiles of all keys; the driver sees the bounds and one key for each bucket, no texts.
+    Texts move once. Buckets are ranges of (key, text hash), so that rows without a key, or with a shared one, spread too; only equal
+    rows stay together. Spark's range partitioning of these pairs finds the bounds; the driver sees one pair for each bucket
+    (16 bytes for each `bucket_bytes` of text), which tasks get as a broadcast array: the plan's size is the same for any input.
     """
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST)).alias("key"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    n, size = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
-    buckets = max(1, min(n or 1, -(-(size or 0) // bucket_bytes)))
-    bounds = sorted(set(rows.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 100_000)).first()[0])) if buckets > 1 else []
-    # descending keys: bucket 0 has the greatest
-    bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b >= F.col("key"))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
-    heads = {r["bucket"]: r["key"] for r in rows.groupBy("bucket").agg(F.max("key").alias("key")).collect()}
-    order = sorted(heads)
-    ahead = {heads[b]: order[i - 1] for i, b in enumerate(order)}  # the first bucket's head follows the last bucket
-    if ahead:
-        table = F.create_map(*[F.lit(x) for k, b in ahead.items() for x in (k, b)])
-        table = table.cast("map<bigint,int>")
-        copy = F.element_at(table, F.col("key"))
-        here = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("ahead"))
-        both = F.when(copy.isNotNull(), F.array(here, F.struct(copy.alias("bucket"), F.lit(True).alias("ahead")))).otherwise(F.array(here))
-        rows = rows.select("key", "id", "text", F.inline(both))
-    else:
-        rows = rows.withColumn("ahead", F.lit(False))
-    return rows.repartition(max(1, len(order)), "bucket").sortWithinPartitions("bucket", "ahead", F.desc("key"), "text")
+    spark = df.sparkSession
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST)).alias("key"), F.xxhash64(whole).alias("sig"), F.col(key).cast("long").alias("id"), whole.alias("text"))
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    dealt = rows.select("key", "sig").repartitionByRange(max(1, -(-size // bucket_bytes)), "key", "sig")
+    heads = [r["head"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.max(F.struct("key", "sig")).alias("head")).collect()]
+    bounds = spark.sparkContext.broadcast(np.sort(_ordered(*(np.array([h[i] for h in heads], np.int64) for i in range(2)))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = _ordered(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            bucket = np.searchsorted(bounds.value, pair).astype(np.int32)
+            head = np.flatnonzero(bounds.value[bucket] == pair)
+            head = head[np.unique(bucket[head], return_index=True)[1]]  # of equal rows one will do
+            before = ((bucket[head] + 1) % len(bounds.value)).astype(np.int32)  # descending: the rows before a head are in the bucket above
+            copies = batch.take(pa.array(head))
+            for number, ahead, part in ((bucket, False, batch), (before, True, copies)):
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.full(len(number), ahead)), *part.columns], names=["bucket", "ahead", "key", "sig", "id", "text"])
+
+    numbered = rows.mapInArrow(deal, "bucket int, ahead boolean, key long, sig long, id long, text string")
+    return numbered.repartitionById(max(1, len(heads)), "bucket").sortWithinPartitions("bucket", "ahead", F.desc("key"), F.desc("sig")).select("bucket", "ahead", "id", "text")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -155,4 +165,4 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         if len(held) > 1:
             yield finish(held)
 
-    return rows.select("bucket", "ahead", "id", "text").mapInArrow(run, fields)
+    return rows.mapInArrow(run, fields)
