@@ -19,8 +19,13 @@ Texts become sets of word shingles (64-bit hashes). Two documents link when inte
 Hot keys: equal sets and near copies are contracted before step 4, and shingles whose sets all lie in one component are dropped,
 so a group of thousands of copies makes thousands of rows, not their square. No cap is set anywhere: bounds only skip sets that can't link.
 
+Python steps follow one another only across written tables, so that a task needs one worker; a bitmap is destroyed when the last
+table made with it is written.
+
 Null, empty and wordless texts have an empty set and link with nothing. Texts with fewer words than n are one shingle. Rows that
-share a doc_id are one document, linked as any of them is. A null doc_id sorts last and, alone, has a null component.
+share a doc_id are one document, linked as any of them is; each has the set size of its own text. Where keys repeat or are null, rows
+are numbered first and each distinct set is compared once, however many rows have it. A row without a doc_id is a document of its
+own and has the least doc_id that it reaches, or null.
 """
 
 from __future__ import annotations
@@ -34,10 +39,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingspark.llm.arrays import bitmap_bits, gathered, hash_bitmap, mix, pieces, shingle_sets, staged, vector_rows, vector_sum
+from listingspark.llm.arrays import bitmap_bits, gathered, hash_bitmap, mix, numbered, pieces, shingle_sets, staged, vector_rows, vector_sum
 
 SKETCH_BITS, HEAVY, GROUP, REFINEMENTS, STARS, PIVOTS = 22, 64, 128, 2, 2, 6
-LAST = (1 << 63) - 1
 
 
 def least_overlap(size: int, num: int, den: int) -> int:
@@ -84,7 +88,7 @@ def _heavy(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def _profiles(rows: DataFrame, n: int, num: int, den: int, heavy) -> DataFrame:
-    """(doc, n, sig_a, sig_b, prefix)"""
+    """(doc, n, sig_a, sig_b, mark, prefix); mark is the hash by which bitmaps know the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = heavy.value
@@ -112,18 +116,34 @@ def _profiles(rows: DataFrame, n: int, num: int, den: int, heavy) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[low:high], pa.array(sizes.astype(np.int32)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))],
-                    names=["doc", "n", "sig_a", "sig_b", "prefix"],
+                    [batch.column(0)[low:high], pa.array(sizes.astype(np.int32)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _marks(batch.column(0)[low:high]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))],
+                    names=["doc", "n", "sig_a", "sig_b", "mark", "prefix"],
                 )
 
-    return rows.mapInArrow(run, "doc long, n int, sig_a long, sig_b long, prefix array<long>")
+    return rows.mapInArrow(run, "doc long, n int, sig_a long, sig_b long, mark long, prefix array<long>")
+
+
+def _marks(docs: pa.Array) -> pa.Array:
+    return pa.array(mix(docs.to_numpy().view(np.uint64)).view(np.int64))
 
 
-def _kept(profiles: DataFrame, shared) -> DataFrame:
-    """Sets with the prefix shingles that another set has too, where there are enough of them: (doc, n, first, tokens)"""
+def _of(profiles: DataFrame, wanted) -> DataFrame:
+    """(prefix) of the documents in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(wanted.value.has(batch.column(0).to_numpy().view(np.uint64))))], names=["prefix"])
+
+    return profiles.select("mark", "prefix").mapInArrow(run, "prefix array<long>")
+
+
+def _kept(profiles: DataFrame, shared, wanted=None) -> DataFrame:
+    """Sets (of the documents in the bitmap `wanted`) with the prefix shingles that another set has too, where there are enough of them: (doc, n, mark, tokens)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted.value.has(batch.column(3).to_numpy().view(np.uint64))))
             column = batch.column(2)
             ends = column.offsets.to_numpy()
             flat = column.values.to_numpy().view(np.uint64)[ends[0] : ends[-1]]
@@ -133,36 +153,14 @@ def _kept(profiles: DataFrame, shared) -> DataFrame:
             count = total[ends[1:]] - total[ends[:-1]]
             rows = np.flatnonzero(count >= 1 + batch.column(1).to_numpy() // 32)
             lists = [flat[a:b][hit[a:b]].view(np.int64) for a, b in zip(ends[rows], ends[rows + 1], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array([x[0] for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
-                names=["doc", "n", "first", "tokens"],
-            )
-
-    return profiles.select("doc", "n", "prefix").mapInArrow(run, "doc long, n int, first long, tokens array<long>")
-
-
-def _of(rows: DataFrame, wanted) -> DataFrame:
-    """The rows whose document is in the bitmap (and few others), without a shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(wanted.value.has(mix(batch.column(0).to_numpy().view(np.uint64)))))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
-def _marks(docs: DataFrame) -> DataFrame:
-    """The hashes by which _of and _sets look documents up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], names=["k"])
+            some = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), batch.column(3).take(some), pa.array(lists, pa.list_(pa.int64()))], names=["doc", "n", "mark", "tokens"])
 
-    return docs.select("doc").mapInArrow(run, "k long")
+    return profiles.select("doc", "n", "prefix", "mark").mapInArrow(run, "doc long, n int, mark long, tokens array<long>")
 
 
 def _refined(sets: DataFrame, marks: list, num: int, den: int) -> DataFrame:
-    """(doc, n, prefix) with shingles ordered by the number of bitmaps that have them, then by hash."""
+    """(doc, n, mark, prefix) with shingles ordered by the number of bitmaps that have them, then by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,9 +170,9 @@ def _refined(sets: DataFrame, marks: list, num: int, den: int) -> DataFrame:
                 level = sum(m.value.has(s).astype(np.int8) for m in marks)
                 take = min(len(s), len(s) - least_overlap(len(s), num, den) + slack(len(s)))
                 prefixes.append(s[np.argsort(level, kind="stable")[:take]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _marks(batch.column(0)), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc", "n", "mark", "prefix"])
 
-    return sets.select("doc", "n", "set").mapInArrow(run, "doc long, n int, prefix array<long>")
+    return sets.select("doc", "n", "set").mapInArrow(run, "doc long, n int, mark long, prefix array<long>")
 
 
 def _repeated(prefixes: DataFrame) -> DataFrame:
@@ -283,29 +281,47 @@ def components(edges: DataFrame) -> DataFrame:
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(key, n_shingles, component_id) of every row: component_id is the least key reachable by links."""
-    spark = docs.sparkSession
+    rows, single = numbered(docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)), key, text, "_row")
+    found = row_components(rows.select(F.col("_row").alias("doc"), F.coalesce(text, F.lit("")).alias("text")), n, num, den)
+    if single:
+        return found.select(F.col("doc").alias(key), "n_shingles", F.col("comp").alias("component_id"))
+    found = staged(rows.select(F.col("_row").alias("doc"), F.col(key).alias("key")).join(found, "doc"), "rows")
+    # rows of a key are one document
+    least = found.where("key is not null").groupBy("key").agg(F.min("comp").alias("b"))
+    joined = components(found.join(least, "key").select(F.col("comp").alias("a"), "b"))
+    found = found.join(joined.select(F.col("v").alias("comp"), F.col("comp").alias("to")), "comp", "left").withColumn("comp", F.coalesce("to", "comp"))
+    names = found.groupBy("comp").agg(F.min("key").alias("component_id"))
+    return found.join(names, "comp").select(F.col("key").alias(key), "n_shingles", "component_id")
+
+
+def row_components(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """rows: (doc, text) without nulls, one row for each doc. (doc, n_shingles, comp): comp is the least doc reachable by links."""
+    spark = rows.sparkSession
     share = spark.sparkContext.broadcast
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    profiles = staged(_profiles(rows, n, num, den, share(_heavy(rows, n))), "profiles")
-    vertices = staged(profiles.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("doc").alias("rep")), "vertices")
-    count = vertices.count()
-    bits = bitmap_bits(count, 64)
+    heavy = share(_heavy(rows, n))
+    profiles = staged(_profiles(rows, n, num, den, heavy), "profiles")
+    heavy.destroy()
+    some = profiles.where("n > 0")
+    vertices = staged(some.groupBy("sig_a", "sig_b", "n").agg(F.min("doc").alias("rep"), F.min_by("mark", "doc").alias("mark")), "vertices")
+    bits = bitmap_bits(vertices.count(), 64)
     # one row of each vertex, and by chance a few of its copies, which do no harm
-    led = _of(profiles.where("n > 0").select("doc", "n", "prefix"), share(hash_bitmap(_marks(vertices.select(F.col("rep").alias("doc"))), bits)))
-    size = led.agg(F.sum(F.size("prefix"))).first()[0]
-    marks = [share(hash_bitmap(_repeated(led), bitmap_bits(size or 0, 4)))]
-    kept = _kept(led, marks[0])
-    wanted = share(hash_bitmap(_marks(kept), bits))
-    sets = staged(_sets(rows, n, wanted).where("n > 0"), "sets")  # repeated rows stay: they only repeat comparisons
+    reps = share(hash_bitmap(vertices.select(F.col("mark").alias("k")), bits))
+    size = bitmap_bits(some.agg(F.sum(F.size("prefix"))).first()[0] or 0, 4)
+    marks = [share(hash_bitmap(_repeated(_of(some, reps)), size))]
+    wanted = share(hash_bitmap(_kept(some, marks[0], reps).select(F.col("mark").alias("k")), bits))
+    reps.destroy()
+    sets = staged(_sets(rows, n, wanted).where("n > 0"), "sets")
+    wanted.destroy()
     for _ in range(REFINEMENTS):
         prefixes = staged(_refined(sets, marks, num, den), "prefixes")
-        marks.append(share(hash_bitmap(_repeated(prefixes), bitmap_bits(size or 0, 4))))
-        kept = _kept(prefixes, marks[-1])
-    kept = staged(kept, "kept")
+        marks.append(share(hash_bitmap(_repeated(prefixes), size)))
+    kept = staged(_kept(prefixes, marks[-1]).drop("mark"), "kept")
+    for mark in marks:
+        mark.destroy()
     # groups of alike sets: those with the same most frequent shared shingle
     owned = kept.select("doc", "n", F.explode("tokens").alias("k"))
     often = owned.join(owned.groupBy("k").agg(F.count("*").alias("df")), "k").groupBy("doc", "n").agg(F.max_by("k", F.struct("df", "k")).alias("first"))
-    kept = staged(kept.drop("first").join(often, ["doc", "n"]), "kept")
+    kept = staged(kept.join(often, ["doc", "n"]), "kept")
     per = kept.groupBy("first").agg(F.count("*").alias("c"), F.min("doc").alias("pivot"))
     placed = kept.join(per, "first").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / GROUP)).cast("int"))
     placed = staged(placed.select("doc", "n", "first", "chunk", "c", "pivot", "tokens"), "placed")
@@ -352,7 +368,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
         comps = _renamed(comps, links)
     vertices = vertices.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").select("sig_a", "sig_b", "n", F.coalesce("comp", "rep").alias("comp"))
     out = profiles.select("doc", "n", "sig_a", "sig_b").join(vertices, ["sig_a", "sig_b", "n"], "left")
-    return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc").alias("c")).select(key, "n_shingles", F.when(F.col("c") != LAST, F.col("c")).alias("component_id"))
+    return out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc").alias("comp"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,11 +382,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     one doc_id and one text without words, which links with nothing, one stays; without a doc_id all of them do.
     """
     text = F.col("text").cast("string")
-    # numbers follow this order, so the least number of a component is its first row; the last key only spreads equal rows
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(text), F.monotonically_increasing_id())
-    rows = staged(ordered.select("*", F.monotonically_increasing_id().alias("near_row")), "numbered")
-    found = ngram_components(rows.select("near_row", "text"), "near_row")
-    dropped = found.where("component_id <> near_row").select("near_row")
+    # numbers follow doc_id, so the least number of a component is its first row
+    rows, _ = numbered(docs, "doc_id", "text", "near_row")
+    found = row_components(rows.select(F.col("near_row").alias("doc"), F.coalesce(text, F.lit("")).alias("text")), 5, 80, 100)
+    dropped = found.where("comp <> doc").select(F.col("doc").alias("near_row"))
     wordless = F.col("doc_id").isNotNull() & ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     kept = rows.where(~wordless).join(dropped, "near_row", "left_anti").select(*docs.columns)
     return kept.unionAll(rows.where(wordless).select(*docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -131,9 +131,11 @@ def brute_components(rows, n, num, den):
     return {i: (len(sets[i]), comp[i]) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "num", "den"), [(4, 85, 100), (5, 80, 100)])
-def test_ngram_components(docs, n, num, den):
+@pytest.mark.parametrize(("n", "num", "den", "repeated"), [(4, 85, 100, True), (5, 80, 100, False)])
+def test_ngram_components(docs, spark, n, num, den, repeated):
     want = brute_components(corpus(), n, num, den)
+    if not repeated:
+        docs = spark.createDataFrame(corpus(), SCHEMA)
     rows = ngram_join.ngram_components(docs, n=n, num=num, den=den).collect()
     assert len(rows) == docs.count()
     for r in rows:
@@ -176,6 +178,16 @@ def test_star_components(spark):
     assert all(found[i] == 0 for i in range(1, 31)) and all(found[i] == 100 for i in range(101, 140))
 
 
+def test_thousands_of_rows_of_one_key(spark):
+    """Rows of a key are one document with all their links; rows without a key are documents of their own."""
+    base, other, third = prose(60), prose(60), prose(60)
+    rows = [(5, base)] * 12_000 + [(7, base + " end"), (5, other), (3, other + " end"), (None, third), (None, third), (2, third), (None, prose(60)), (None, None)]
+    out = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    assert {r.component_id for r in out if r.doc_id in (3, 5, 7)} == {3}
+    assert sorted((r.n_shingles, r.component_id or -1) for r in out if r.doc_id is None) == [(0, -1), (56, -1), (56, 2), (56, 2)]
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -255,6 +267,7 @@ def test_fingerprints_of_edits(docs, spark):
                 if not a.ahead:
                     seen[a.id] = b.id
     assert seen == {a[0]: b[0] for a, b in zip(rows, [*rows[1:], rows[0]])}
+    assert len(set(r.bucket for r in dealt.collect())) > 5
     own = fingerprints.sketches(pa.array(texts))
     for i, j in [(rng.randrange(len(texts)), rng.randrange(len(texts))) for _ in range(150)]:
         a, b = shingles(texts[i], 5), shingles(texts[j], 5)
@@ -262,6 +275,23 @@ def test_fingerprints_of_edits(docs, spark):
         assert abs(fingerprints.resemblance(own[i], own[j]) - true) < (0.12 if max(len(a), len(b)) > 256 else 1e-9)
 
 
+def test_neighbours_of_repeated_and_null_keys(spark):
+    """Rows follow one another by descending key, nulls last, then by a hash of their text; each has one follower, the last the first."""
+    rows = [(None, prose(5)) for _ in range(40)] + [(3, "same")] * 30 + [(3, prose(4)) for _ in range(20)] + [(9, None), (9, "")]
+    dealt = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bucket_bytes=150)
+    pairs = []
+    for part in dealt.rdd.glom().collect():
+        closed = False
+        for a, b in zip(part, part[1:]):
+            assert a.bucket == b.bucket
+            if not closed:
+                pairs.append(((a.id, a.text), (b.id, b.text)))
+            closed = closed or b.ahead
+    assert len(pairs) == len(rows) and sorted(map(str, (a for a, _ in pairs))) == sorted(str((i, t or "")) for i, t in rows) == sorted(map(str, (b for _, b in pairs)))
+    assert {a for (a, _), (b, _) in pairs if a != b} == {9, 3, None}
+    assert fingerprints.with_next(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_sketches_merge(spark):
     whole = prose(3000).split()
     parts = [" ".join(whole[:1700]), " ".join(whole[1696:])]
@@ -285,42 +315,99 @@ def test_merging_holds_no_group_in_a_buffer(spark):
 # ---------------------------------------------------------------- 6
 
 
+def by_scan(vectors: np.ndarray, keys: np.ndarray, query: np.ndarray, k: int = 15) -> list[tuple[int, float]]:
+    score = np.round(vectors @ query, 9)
+    return [(keys[i], score[i]) for i in np.lexsort((keys, -score)) if score[i] > 0][:k]
+
+
 def test_block_max_is_exact():
     g = np.random.default_rng(5)
-    vectors = g.random((700, 12)) * (g.random((700, 12)) < 0.3)
+    vectors = g.random((700, 40)) * (g.random((700, 40)) < 0.2)
     vectors = vectors[vectors.any(axis=1)]
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors[50:60] = vectors[40]
-    keys = g.permutation(len(vectors))
-    index = toxicity.BlockMaxIndex(vectors, keys, g.random(len(vectors)))
-    for _ in range(60):
-        terms = np.sort(g.choice(12, 3, replace=False))
-        w = g.random(3)
-        w /= np.linalg.norm(w)
-        score = np.round(vectors[:, terms] @ w, 12)
-        want = [keys[i] for i in np.lexsort((keys, -score)) if score[i] > 0][:15]
-        at, cosine = index.nearest(terms, w)
-        assert list(index.keys[at]) == want or np.allclose(np.sort(cosine), np.sort(score)[-len(cosine) :])
-
-
-def test_toxicity_learns_words(spark):
+    vectors[50:90] = vectors[40]
+    keys = g.permutation(len(vectors)).astype(np.int64)
+    places = [np.flatnonzero(v).astype(np.int32) * 3 for v in vectors]
+    index = toxicity.BlockMaxIndex(places, [v[v > 0] for v in vectors], keys, g.random(len(vectors)), np.ones(len(vectors)))
+    assert len(set(index.block)) > 8
+    for n in (1, 3, 40):
+        for _ in range(30):
+            query = np.zeros(40)
+            query[g.choice(40, n, replace=False)] = g.random(n)
+            query /= np.linalg.norm(query)
+            at, cosine = index.nearest((np.flatnonzero(query) * 3).astype(np.int32), query[query > 0])
+            want = by_scan(vectors, keys, query)
+            assert np.allclose(cosine, [c for _, c in want]) and np.mean(index.keys[at] == [k for k, _ in want]) > 0.9
+    at, _ = index.nearest(places[5], vectors[5][vectors[5] > 0], without=int(keys[5]))
+    assert keys[5] not in index.keys[at]
+    assert len(index.nearest(np.array([1], np.int32), np.ones(1))[0]) == 0
+
+
+@pytest.fixture(scope="module")
+def judged():
+    """(doc_id, text, toxic): a toxic text has an insult in twenty words."""
     rows = []
     for i in range(600):
         words = prose(40).split()
         if i % 5 == 0:
-            words[rng.randrange(40)] = rng.choice(["blockhead", "Nitwit!", "dunce"])
+            for at in (3, 30):
+                words[at] = rng.choice(["blockhead", "Nitwit!", "dunce"])
         rows.append((i, " ".join(words), int(i % 5 == 0)))
-    docs = spark.createDataFrame(rows + [(600, None, None), (601, "", None)], "doc_id long, text string, toxic int")
+    return rows
+
+
+def test_toxicity_by_full_scan(spark, judged):
+    docs = spark.createDataFrame([*judged, (600, None, None), (601, "", None)], "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs.where("doc_id % 2 = 0"), docs, examples=150)
+    assert len(model.index.keys) == 75 + 60  # half of each label at most
+    rows = toxicity.toxicity_columns(docs, model).collect()
+    texts = {i: t or "" for i, t, *_ in judged} | {600: "", 601: ""}
+
+    def vector(text):
+        raw = text.encode()
+        _, places, n = toxicity.word_counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        out = np.zeros(1 << toxicity.PLACES)
+        out[places] = toxicity.unit(places, n, model.weight) if len(n) else 0
+        return out
+
+    matrix = np.stack([vector(texts[k]) for k in model.index.keys.tolist()])
+    labels = dict(zip(model.index.keys.tolist(), zip(model.index.labels, model.index.mass)))
+    for r in rng.sample(rows, 60):
+        near = by_scan(matrix, model.index.keys, vector(texts[r.doc_id]))
+        votes = [(c * c * labels[k][1], labels[k][0]) for k, c in near]
+        vote = (sum(w * y for w, y in votes) + toxicity.SMOOTH * model.rate) / (sum(w for w, _ in votes) + toxicity.SMOOTH)
+        assert abs(r.toxic_score - model.calibrated(np.array([vote]))[0]) < 1e-6
+
+
+def test_toxicity_held_out(spark, judged):
+    docs = spark.createDataFrame([*judged, *judged[:20], (600, None, None), (601, "", None), (None, "dunce", 1)], "doc_id long, text string, toxic int")
     model = toxicity.learn(docs.where("doc_id % 2 = 0"), docs)
-    out = {r.doc_id: r for r in toxicity.toxicity_columns(docs, model).collect()}
-    assert len(out) == 602 and all(0 <= r.toxic_score <= 1 for r in out.values())
-    held = [r for r in out.values() if r.doc_id % 2 and r.doc_id < 600]
+    # a clashing column gives way to the operator's own
+    out = toxicity.toxicity_columns(docs.selectExpr("*", "'own' as toxic_score"), model).collect()
+    assert len(out) == 623 and all(0 <= r.toxic_score <= 1 for r in out)
+    held = [r for r in out if r.doc_id and r.doc_id % 2 and r.doc_id < 600]
     assert sum((r.toxic_score >= 0.7) == (r.toxic == 1) for r in held) / len(held) > 0.98
-    assert out[600].toxic_score == out[601].toxic_score < 0.3
+    assert len({r.toxic_score for r in out if r.doc_id in (600, 601)}) == 1 and all(r.toxic_score < 0.3 for r in out if r.doc_id in (600, 601))
+    # one word doesn't make a long text toxic, and many do
+    few, many = prose(3000) + " dunce", " ".join(prose(20) + " dunce" for _ in range(100))
+    scores = {r.doc_id: r.toxic_score for r in toxicity.toxicity_columns(spark.createDataFrame([(0, few), (1, many)], "doc_id long, text string"), model).collect()}
+    assert scores[0] < 0.3 and scores[1] > 0.7
     assert toxicity.learn(docs.where("false"), docs) is None
     assert toxicity.toxicity_columns(docs, None).agg({"toxic_score": "max"}).first()[0] == 0
 
 
+def test_votes_are_calibrated():
+    g = np.random.default_rng(3)
+    true = g.random(4000)
+    labels = (g.random(4000) < true).astype(float)
+    distorted = true**2
+    a, b = toxicity.fitted_curve(distorted, labels, np.ones(4000))
+    p = 1 / (1 + np.exp(-(a * toxicity._logit(distorted) + b)))
+    for low in (0.2, 0.4, 0.6):
+        some = (p >= low) & (p < low + 0.2)
+        assert abs(labels[some].mean() - p[some].mean()) < 0.06
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -373,9 +460,10 @@ def brute_removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_repeats(docs, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize(("crowd", "frequent"), [(4096, 4096), (2, 4096), (4096, 2), (2, 2)])
+def test_repeats(docs, monkeypatch, crowd, frequent):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
     monkeypatch.setattr(suffix_dedup, "PIECE", 1500)
     monkeypatch.setattr(suffix_dedup, "WINDOWS", 3000)
     want = brute_removed(corpus(), 100)
@@ -389,6 +477,18 @@ def test_repeats_of_none(empty):
     assert suffix_dedup.without_repeats(empty).count() == 0
 
 
+def test_repeats_of_nameless_and_shared_keys(spark):
+    """Equal rows with a key are one document; other rows of a key, and rows without one, are documents of their own."""
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(5, a), (5, a), (5, b), (None, c), (None, c), (None, b), (7, a + b), (1, None)]
+    found = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", sum(x.high - x.low for x in r.removed)) for r in found)
+    assert len(found) == len(rows)
+    assert [g for g in gone if g[:2] == (False, 5)] == sorted([(False, 5, a, 0), (False, 5, a, 0), (False, 5, b, 0)])
+    assert sorted(g[3] for g in gone if g[0] and g[2] == c) == [0, len(c)] and [g[3] for g in gone if g[0] and g[2] == b] == [len(b)]
+    assert [g[3] for g in gone if g[1] == 7] == [len(a + b)] or [g[3] for g in gone if g[1] == 7] == [len(a) + len(b)]
+
+
 @pytest.mark.parametrize("collide", [False, True])
 def test_suffix_order(monkeypatch, collide):
     if collide:
