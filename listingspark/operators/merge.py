@@ -12,9 +12,9 @@ from listingspark.functions import rules as R
 
 
 def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key; an aggregation, so each task keeps one row for each key before the shuffle."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(key, "x.*")
+    """The last row of each key. A rank of which only the first place is asked, so each task keeps one row for each key before the shuffle; columns that nobody reads aren't moved."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order]))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 #: When a value of a column is worth keeping, by kind.
@@ -27,16 +27,21 @@ USABLE: dict[str, Callable[[Column], Column]] = {
 
 
 def fill_merge(df: DataFrame, key: str, order: list[str], kinds: dict[str, str], arrays: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
-    """Folds the rows of a key in order: for each column the first usable value, else the first row's; arrays are united in order."""
-    at = F.struct(*order)
+    """Folds the rows of a key in order: for each column the first usable value, else the first row's; arrays are united in order.
+
+    Rows are numbered within their key once; each column then takes the value with the least number, those of unusable values coming
+    after all others. Numbering and folding share one shuffle.
+    """
+    number = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_first() for c in order]))
+    rows = df.select(key, *kinds, *arrays, number.cast("long").alias("_at"))
     picks = []
     for c, kind in kinds.items():
         usable = F.coalesce(USABLE[kind](F.col(c)), F.lit(False))
-        picks.append(F.min_by(F.struct(F.col(c).alias("v")), F.struct((~usable).alias("u"), *order)).alias(c))
-    unions = [F.array_sort(F.collect_list(F.struct(*order, F.col(c).alias("v")))).alias(c) for c in arrays]
-    merged = df.groupBy(key).agg(F.min(at).alias("_first"), F.count("*").alias("n_rows"), *picks, *unions)
+        picks.append(F.min_by(c, F.when(usable, F.col("_at")).otherwise(F.col("_at") + F.lit(1 << 40))).alias(c))
+    unions = [F.array_sort(F.collect_list(F.struct("_at", F.col(c).alias("v")))).alias(c) for c in arrays]
+    merged = rows.groupBy(key).agg(F.count("*").alias("n_rows"), *picks, *unions)
     united = [F.array_distinct(F.flatten(F.transform(c, lambda x: x["v"]))).alias(c) for c in arrays]
-    return merged.select(key, "n_rows", *[F.col(f"{c}.v").alias(c) for c in kinds], *united)
+    return merged.select(key, "n_rows", *kinds, *united)
 
 
 #: How an upsert sets a column from the stored value (old) and the batch (new).

@@ -76,11 +76,12 @@ FACETS = ["make", "transmission", "drivetrain", "fuel_type"]
 
 @query("facet_values", with_listings(" UNION ALL ".join(f"(SELECT DISTINCT '{c}' AS facet, trim({c}) AS value FROM l WHERE NOT {empty_sql(c)})" for c in FACETS) + f" UNION ALL (SELECT DISTINCT 'exterior_family', unnest({families_sql('exterior_color')}) FROM l)"))
 def facet_values(spark, sf_dir):
-    """Distinct clean values of each facet: one unpivot and one distinct, whatever the number of facets."""
-    entry = lambda facet, value: F.struct(F.lit(facet).alias("facet"), value.alias("value"))
-    plain = F.array(*[entry(c, R.clean_text(F.col(c))) for c in FACETS])
-    families = F.transform(R.color_families(F.col("exterior_color")), lambda f: entry("exterior_family", f))
-    return listings(spark, sf_dir).select(F.inline(F.concat(plain, families))).where("value is not null").distinct()
+    """Distinct clean values of each facet: one unpivot and one distinct of raw values, whatever the number of facets; only these few are cleaned."""
+    columns = [*FACETS, "exterior_color"]
+    raw = listings(spark, sf_dir).select(F.inline(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).alias("raw")) for c in columns]))).distinct()
+    families = raw.where("facet = 'exterior_color'").select(F.lit("exterior_family").alias("facet"), F.explode(R.color_families(F.col("raw"))).alias("value"))
+    plain = raw.where("facet <> 'exterior_color'").select("facet", R.clean_text(F.col("raw")).alias("value"))
+    return plain.where("value is not null").unionAll(families).distinct()
 
 
 SELECTED = {"make": ["Brand#1", "Brand#2", "Brand#3"], "transmission": ["Automatic"], "drivetrain": ["AWD"], "fuel_type": ["Gasoline", "Diesel"]}
