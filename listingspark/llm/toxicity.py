@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from listingspark.llm.arrays import bitmap_bits, gathered, id_bitmap, mix, pieces, shingle_sets, staged, vector_rows, vector_sum, word_hashes
 
-PLACES, Z, FLOOR, EXAMPLES, BLOCK, K, SMOOTH = 20, 4.0, 0.05, 4096, 64, 15, 1.0
+PLACES, Z, FLOOR, EXAMPLES, BLOCK, COMMON, K, SMOOTH = 20, 4.0, 0.05, 4096, 64, 0.1, 15, 1.0
 THRESHOLD = 0.7
 
 #: Letters are A-Z, a-z and every byte of a character beyond ASCII.
@@ -57,7 +57,11 @@ def unit(places: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarr
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples as postings, by blocks of alike examples with each place's greatest weight; mass: the rows that an example stands for."""
+    """Unit vectors of examples as postings, by blocks of alike examples with each place's greatest weight; mass: the rows that an example stands for.
+
+    Places that many examples have (COMMON of them) stand in full rows instead, for there every block would be opened: their part of
+    each example's cosine is computed first, and a block's bound is its greatest such part and the sum of its other places' greatest weights.
+    """
 
     def __init__(self, places: list[np.ndarray], weights: list[np.ndarray], keys: np.ndarray, labels: np.ndarray, mass: np.ndarray):
         # examples with the same heaviest place share blocks, so that bounds are tight
@@ -68,45 +72,67 @@ class BlockMaxIndex:
         weight = np.concatenate([weights[i] for i in order] or [np.zeros(0)])
         example = np.repeat(np.arange(len(order)), [len(places[i]) for i in order])
         by_place = np.argsort(place, kind="stable")  # and by example, so by block
-        place, self.weight, self.example = place[by_place], weight[by_place], example[by_place].astype(np.int32)
+        place, weight, example = place[by_place], weight[by_place], example[by_place].astype(np.int32)
+        self.terms, number, count = np.unique(place, return_inverse=True, return_counts=True)
+        often = count > max(COMMON * len(keys), BLOCK)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        full = often[number]
+        self.rows = np.zeros((int(often.sum()), len(keys)))
+        self.rows[self.row[number[full]], example[full]] = weight[full]
+        number, self.weight, self.example = number[~full], weight[~full], example[~full]
         block = self.example // BLOCK
-        head = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (block[1:] != block[:-1])])) if len(place) else np.zeros(0, np.int64)
-        self.start = np.append(head, len(place))
+        head = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (block[1:] != block[:-1])])) if len(number) else np.zeros(0, np.int64)
+        self.start = np.append(head, len(number))
         self.block = block[head]
         self.greatest = np.maximum.reduceat(self.weight, head) if len(head) else np.zeros(0)
-        self.terms, first = np.unique(place[head], return_index=True)
-        self.first = np.append(first, len(head))
-
-    def nearest(self, places: np.ndarray, weights: np.ndarray, k: int = K, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest by (cosine falling, key), without those at cosine 0 and the example with the key `without`."""
+        self.first = np.searchsorted(number[head], np.arange(len(self.terms) + 1))
+        self.heads = np.arange(0, len(keys), BLOCK)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each (places, weights) the (examples, cosines) of the k nearest by (cosine falling, key), without those at cosine 0 and the example with its key in `without`."""
+        out = []
+        for low in range(0, len(queries), BLOCK):  # full rows are multiplied for some queries at once
+            some = [self._known(*q) for q in queries[low : low + BLOCK]]
+            weights = np.zeros((len(some), len(self.rows)))
+            for i, (at, w) in enumerate(some):
+                often = self.row[at] >= 0
+                weights[i, self.row[at[often]]] = w[often]
+                some[i] = at[~often], w[~often]
+            common = weights @ self.rows
+            out += [self._nearest(*q, common[i], k, without[low + i] if without else None) for i, q in enumerate(some)]
+        return out
+
+    def _known(self, places: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.terms, places)
         hit = at < len(self.terms)
         hit[hit] = self.terms[at[hit]] == places[hit]
-        at, weights = at[hit], weights[hit]
+        return at[hit], weights[hit]
+
+    def _nearest(self, at: np.ndarray, weights: np.ndarray, common: np.ndarray, k: int, without: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0)
         size = self.first[at + 1] - self.first[at]
         cell = np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        mine = np.repeat(weights, size)
-        block = self.block[cell]
-        blocks = -(-len(self.keys) // BLOCK)
-        bound = np.bincount(block, mine * self.greatest[cell], blocks)
+        mine, block, blocks = np.repeat(weights, size), self.block[cell], len(self.heads)
+        bound = np.maximum.reduceat(common, self.heads) + np.bincount(block, mine * self.greatest[cell], blocks)
         best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        ranked = np.argsort(-bound, kind="stable")
         opened = np.zeros(blocks, bool)
         for last in (False, True):
-            opening = np.zeros(blocks, bool)
             if last:
-                opening[bound >= (cosine[k - 1] - 1e-9 if len(cosine) >= k else 1e-300)] = True
+                opening = bound >= (cosine[k - 1] - 1e-8 if len(cosine) >= k else 1e-300)
             else:
-                opening[ranked[: -(-2 * k // BLOCK) + 1]] = True
+                opening = np.zeros(blocks, bool)
+                opening[np.argsort(-bound, kind="stable")[: -(-2 * k // BLOCK) + 1]] = True
             opening &= ~opened & (bound > 0)
-            some = opening[block]
-            if not some.any():
+            if not opening.any():
                 continue
             opened |= opening
+            some = opening[block]
             low, high = self.start[cell[some]], self.start[cell[some] + 1]
             n = high - low
             posting = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            score = np.round(np.bincount(self.example[posting], np.repeat(mine[some], n) * self.weight[posting], len(self.keys)), 9)
+            score = common + np.bincount(self.example[posting], np.repeat(mine[some], n) * self.weight[posting], len(self.keys))
+            score = np.round(np.where(np.repeat(opening, BLOCK)[: len(score)], score, 0.0), 9)
             found = np.flatnonzero(score > 0)
             if without is not None:
                 found = found[self.keys[found] != without]
@@ -125,11 +151,15 @@ class Model:
     rate: float
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def vote(self, places: np.ndarray, counts: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray]:
-        """(vote, keys of the examples that voted)"""
-        at, cosine = self.index.nearest(places, unit(places, counts, self.weight), without=without)
-        w = cosine * cosine * self.index.mass[at]
-        return float((w @ self.index.labels[at] + SMOOTH * self.rate) / (w.sum() + SMOOTH)), self.index.keys[at]
+    def votes(self, data: np.ndarray, offsets: np.ndarray, without: list[int] | None = None) -> list[tuple[float, np.ndarray]]:
+        """(vote, keys of the examples that voted) of each row"""
+        bounds, places, n = word_counts(data, offsets)
+        queries = [(places[a:b], unit(places[a:b], n[a:b], self.weight)) for a, b in zip(bounds, bounds[1:])]
+        out = []
+        for at, cosine in self.index.nearest(queries, without=without):
+            w = cosine * cosine * self.index.mass[at]
+            out.append((float((w @ self.index.labels[at] + SMOOTH * self.rate) / (w.sum() + SMOOTH)), self.index.keys[at]))
+        return out
 
     def calibrated(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * _logit(votes) + self.curve[1], -50, 50)))
@@ -257,9 +287,7 @@ def learn_from(texts: DataFrame, labels: DataFrame, corpus: DataFrame, key: str
         for batch in batches:
             out = []
             for low, high, data, offsets in pieces(batch.column(1)):
-                bounds, places, n = word_counts(data, offsets)
-                own = batch.column(0)[low:high].to_pylist()
-                out += [judged.value.vote(places[a:b], n[a:b], k)[0] for a, b, k in zip(bounds, bounds[1:], own)]
+                out += [vote for vote, _ in judged.value.votes(data, offsets, batch.column(0)[low:high].to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column(2)], names=["vote", "y"])
 
     spread = kept.select("key", "text", "y").repartition(max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -281,10 +309,9 @@ def toxicity_columns(df: DataFrame, model: Model | None, text: str = "text") ->
         for batch in batches:
             scores, evidence = np.zeros(len(batch)), [[] for _ in range(len(batch))]
             if model:
-                for low, high, data, offsets in pieces(batch.column(batch.schema.get_field_index(text))):
-                    bounds, places, n = word_counts(data, offsets)
-                    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                        scores[low + i], evidence[low + i] = model.vote(places[a:b], n[a:b])
+                for low, _, data, offsets in pieces(batch.column(batch.schema.get_field_index(text))):
+                    for i, (vote, keys) in enumerate(model.votes(data, offsets), low):
+                        scores[i], evidence[i] = vote, keys
                 scores = model.calibrated(scores)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=[*keep, "toxic_score", "toxic_evidence"])
 
