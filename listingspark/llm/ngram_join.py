@@ -11,9 +11,10 @@ Texts become sets of word shingles (64-bit hashes). Two documents link when inte
 3. Groups: sets with the same most frequent shared shingle, dealt by hash into groups of about GROUP. Inside a group, sets are compared unless
    joined already; the least document of the shingle, a member of each of its groups, ties these together. Then sets are compared
    with a few pivots of each of their shingles that lie in other components (stars, not all pairs), twice.
-4. Token-group matrix: the union of a group's prefix shingles as rows (shingle, group), with the group's sizes. A query set meets
-   groups on its prefix shingles; the number met bounds its overlap with every member, and only groups with at least l met (and
-   sizes that can fit) are opened: their members of later components are compared.
+4. Token-group matrix: the union of the prefix shingles of all groups with one most frequent shingle as rows (shingle, that one), with
+   sizes. A query set meets these on its prefix shingles; the number met bounds its overlap with every member, and only where at
+   least l are met (and sizes can fit) are the groups opened, one by one: their members of later components are compared. A family
+   of very many groups so costs a query a row for each shingle it meets, not for each of its groups.
 5. Links between components are joined by alternating large-star and small-star steps.
 
 Hot keys: equal sets and near copies are contracted before step 4, and shingles whose sets all lie in one component are dropped,
@@ -348,14 +349,17 @@ def row_components(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
         if links.isEmpty():
             break
         comps = staged(_renamed(comps, links), "comps")
-    tokens = placed.select("doc", "n", "first", "chunk", F.explode("tokens").alias("k")).join(comps, "doc")
+    tokens = placed.select("doc", "n", "first", "chunk", "c", F.explode("tokens").alias("k")).join(comps, "doc")
     mixed = tokens.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("k")
     tokens = staged(tokens.join(mixed, "k"), "tokens")
-    matrix = tokens.groupBy("k", F.col("first").alias("g_first"), F.col("chunk").alias("g_chunk")).agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("comp").alias("c_high"))
+    reach = [F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("comp").alias("c_high")]
     fits = (F.col("comp") < F.col("c_high")) & (F.col("n") * num <= F.col("n_high") * den) & (F.col("n_low") * num <= F.col("n") * den)
-    met = tokens.join(matrix, "k").where(fits & ((F.col("first") != F.col("g_first")) | (F.col("chunk") != F.col("g_chunk"))))
-    met = met.groupBy("doc", "n", "comp", "g_first", "g_chunk").agg(F.count("*").alias("met"), F.min("n_low").alias("n_low"))
-    met = met.where(F.col("met") >= F.least(fewest, (1 + F.floor(F.col("n_low") / 32)).cast("int")))
+    matrix = tokens.groupBy("k", F.col("first").alias("g_first")).agg(*reach)
+    met = tokens.join(matrix, "k").where(fits & ((F.col("first") != F.col("g_first")) | (F.col("c") > GROUP)))
+    met = met.groupBy("doc", "n", "comp", "first", "chunk", "g_first").agg(F.count("*").alias("met"), F.min("n_low").alias("n_low"))
+    met = met.where(F.col("met") >= F.least(fewest, (1 + F.floor(F.col("n_low") / 32)).cast("int"))).drop("n_low")
+    groups = placed.select("doc", "n", F.col("first").alias("g_first"), F.col("chunk").alias("g_chunk")).join(comps, "doc").groupBy("g_first", "g_chunk").agg(*reach)
+    met = met.join(groups, "g_first").where(fits & ((F.col("first") != F.col("g_first")) | (F.col("chunk") != F.col("g_chunk"))))
     met = staged(met.select("doc", "n", "comp", "g_first", "g_chunk"), "met")
     asked = met.groupBy("g_first", "g_chunk").agg(F.count("*").alias("q"))
     dealt = F.ceil(F.col("q") / GROUP).cast("int")

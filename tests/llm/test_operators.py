@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -322,25 +323,30 @@ def by_scan(vectors: np.ndarray, keys: np.ndarray, query: np.ndarray, k: int = 1
 
 def test_block_max_is_exact():
     g = np.random.default_rng(5)
-    vectors = g.random((700, 40)) * (g.random((700, 40)) < 0.2)
+    vectors = g.random((700, 40)) * (g.random((700, 40)) < np.where(np.arange(40) % 2, 0.25, 0.06))
     vectors = vectors[vectors.any(axis=1)]
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors[50:90] = vectors[40]
     keys = g.permutation(len(vectors)).astype(np.int64)
     places = [np.flatnonzero(v).astype(np.int32) * 3 for v in vectors]
     index = toxicity.BlockMaxIndex(places, [v[v > 0] for v in vectors], keys, g.random(len(vectors)), np.ones(len(vectors)))
-    assert len(set(index.block)) > 8
+    assert len(set(index.block)) > 8 and 0 < len(index.rows) < 40
     for n in (1, 3, 40):
         for _ in range(30):
             query = np.zeros(40)
             query[g.choice(40, n, replace=False)] = g.random(n)
             query /= np.linalg.norm(query)
-            at, cosine = index.nearest((np.flatnonzero(query) * 3).astype(np.int32), query[query > 0])
+            ((at, cosine),) = index.nearest([((np.flatnonzero(query) * 3).astype(np.int32), query[query > 0])])
             want = by_scan(vectors, keys, query)
             assert np.allclose(cosine, [c for _, c in want]) and np.mean(index.keys[at] == [k for k, _ in want]) > 0.9
-    at, _ = index.nearest(places[5], vectors[5][vectors[5] > 0], without=int(keys[5]))
+    ((at, _),) = index.nearest([(places[5], vectors[5][vectors[5] > 0])], without=[int(keys[5])])
     assert keys[5] not in index.keys[at]
-    assert len(index.nearest(np.array([1], np.int32), np.ones(1))[0]) == 0
+    assert len(index.nearest([(np.array([1], np.int32), np.ones(1))])[0][0]) == 0
+
+
+def test_block_max_is_exact_in_small_blocks(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    test_block_max_is_exact()
 
 
 @pytest.fixture(scope="module")
@@ -514,19 +520,56 @@ def test_blind_trie():
 # ---------------------------------------------------------------- 9
 
 
+MIT_BODY = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the &quot;Software&quot;), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+
 def test_license_scan(spark):
-    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0-only"]
+    mit, gpl = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["GPL-3.0-only"][0]
     rows = [
         (1, "http://h.org/a/LICENSE", f"<p>{mit}</p>"), (2, "http://h.org/a/b/c.html", "<p>words</p>"), (3, "http://h.org/a/b/", f"<div>{gpl}</div>"), (4, "http://h.org/x.html", "<p>none</p>"),
         (5, "http://other.org/a/b/c", None), (6, None, f"<p>{mit}</p>"), (7, "http://h.org/a/d", ""), (8, "http://h.org/a/b", "<p>nothing here</p>"), (9, "http://h.org/a/e", f"<p>{gpl} {prose(30)}</p>"), (10, "http://h.org/ab/c", "x"),
+        (11, "http://i.org/p/LICENSE", f"<pre>{MIT_BODY}</pre>"), (12, "http://i.org/p/q/r", "x"), (13, "http://i.org/s/t.js", f"<pre>{APACHE_HEADER}</pre>"), (14, "http://i.org/u", f"<p>{prose(9)}. This project is released under the MIT License. See the LICENSE file.</p>"),
+        (15, "http://i.org/v", "<h1>Apache License</h1><h2>Version 2.0, January 2004</h2>"), (16, "http://i.org/w", f"<p>{prose(3000)}</p>"), (16, "http://i.org/w", f"<p>{prose(3000)}</p>"), (None, "http://j.org/COPYING", f"<p>{gpl}</p>"), (None, "http://j.org/k", "<p>x</p>"),
     ]
-    out = {r.page_id: (r.license_id, r.origin, r.license_directory) for r in licenses.license_scan(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    found = licenses.license_scan(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    out = {r.page_id: (r.license_id, r.origin, r.license_directory) for r in found}
+    assert len(found) == len(rows)
     assert out[1] == ("MIT", "header", None) and out[3] == ("GPL-3.0-only", "header", None) and out[6] == ("MIT", "header", None)
     assert out[2] == ("GPL-3.0-only", "inherited", "h.org/a/b/") and out[8] == ("GPL-3.0-only", "inherited", "h.org/a/b/") and out[7] == ("MIT", "inherited", "h.org/a/")
-    assert out[4][0] is out[5][0] is out[10][0] is None
+    assert out[9] == ("GPL-3.0-only", "header", None)
+    assert out[4][0] is out[5][0] is out[10][0] is out[16][0] is None
+    assert out[11] == ("MIT", "header", None) and out[12] == ("MIT", "inherited", "i.org/p/")
+    assert out[13][0] == "Apache-2.0" and out[14] == ("MIT", "header", None)
+    assert sorted(r.origin for r in found if r.page_id is None) == ["header", "inherited"]
     assert licenses.license_scan(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(("name", "license_id"), [("Apache-2.0", "Apache-2.0"), ("BSD", "BSD-3-Clause"), ("GPL-3", "GPL-3.0-only"), ("LGPL-3", "LGPL-3.0-only"), ("MPL-2.0", "MPL-2.0")])
+def test_whole_licence_files(spark, name, license_id):
+    path = f"/usr/share/common-licenses/{name}"
+    if not os.path.exists(path):
+        pytest.skip("no licence texts here")
+    rows = [(1, "http://a.org/LICENSE", f"<pre>{open(path).read()}</pre>"), (2, "http://a.org/b", "<p>x</p>")]
+    rows += [(3 + i, f"http://c.org/{i}", f"<p>{prose(40)}</p>") for i in range(30)]
+    out = {r.page_id: r.license_id for r in licenses.license_scan(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1] == out[2] == license_id and set(list(out.values())[2:]) == {None}
+
+
 # ---------------------------------------------------------------- 10
 
 
