@@ -6,7 +6,7 @@ import importlib
 
 from listingspark.plans import catalog
 
-SECTIONS: list[str] = ["listing_rules", "search", "reports", "ranking", "snapshots", "joins", "text_jobs", "attribution", "vectors", "streams", "payloads", "composites", "repairs"]
+SECTIONS: list[str] = ["listing_rules", "search", "reports", "ranking", "snapshots", "joins", "text_jobs", "attribution", "vectors", "streams", "payloads", "composites", "repairs", "plugins"]
 
 
 def _load() -> None:

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from listingspark.functions import rules as R
 from listingspark.operators import merge as M
 from listingspark.plans.catalog import query
 from listingspark.streaming import jobs as J
+from listingspark.tables import listings, with_listings
 
 
 def events(spark, sf_dir):
     return J.file_stream(spark, f"{sf_dir}/events.parquet", "ts")
 
 
-@query("raw_dedupe_stream", "SELECT user_id, event_type, count(DISTINCT floor(value)) AS n FROM events GROUP BY ALL")
+@query("raw_dedupe_stream", "SELECT user_id, event_type, count(DISTINCT (floor(value), date_trunc('day', ts))) AS n FROM events GROUP BY ALL")
 def raw_dedupe_stream(spark, sf_dir):
-    """Fingerprints of user, type and whole value, once each; the watermark is wider than the table's span."""
-    rows = events(spark, sf_dir).select("ts", "user_id", "event_type", F.floor("value").alias("whole"))
-    rows = rows.withColumn("fp", F.sha2(F.concat_ws("|", "user_id", "event_type", "whole").cast("binary"), 256))
-    return J.run_to_table(J.deduped(rows, ["fp"], "ts", "36500 days"), "dedupe").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    """Fingerprints of user, type, day and whole value, once each; a fingerprint's state goes two days after it came."""
+    rows = events(spark, sf_dir).select("ts", "user_id", "event_type", F.floor("value").alias("whole"), F.to_date("ts").cast("string").alias("day"))
+    rows = rows.withColumn("fp", F.sha2(F.concat_ws("|", "user_id", "event_type", "whole", "day").cast("binary"), 256))
+    return J.run_to_table(J.deduped(rows, ["fp"], "ts", "2 days"), "dedupe").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("scan_ingest_stream", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -61,3 +63,27 @@ def run_log_stream(spark, sf_dir):
     last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.date_trunc("day", F.max(F.col("ts").cast("timestamp"))).alias("last"))
     closed = out.join(F.broadcast(last), F.lit(True)).where(F.col("start") < F.col("last"))
     return closed.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n")
+
+
+STALE = with_listings(
+    """SELECT o.vin, o.dealer_id, o.active AND NOT (coalesce(s.outcome = 'ok', false) AND n.vin IS NULL AND m.dealer_id IS NOT NULL) AS active, m.dealer_id IS NOT NULL AS scanned FROM (SELECT vin, dealer_id, bool_or(listing_active) AS active FROM l GROUP BY ALL) o
+    LEFT JOIN (SELECT dealer_id, CASE WHEN dealer_id LIKE '%3' THEN 'failed' WHEN count(*) < 8 THEN 'below_min_rows' WHEN count(*) FILTER (length(vin) = 17) = 0 THEN 'no_valid_scraped_vins' ELSE 'ok' END AS outcome FROM l WHERE r_partkey % 2 = 1 GROUP BY dealer_id) s USING (dealer_id)
+    LEFT JOIN (SELECT DISTINCT dealer_id, vin FROM l WHERE r_partkey % 2 = 1) n ON n.dealer_id = o.dealer_id AND n.vin = o.vin
+    LEFT JOIN (SELECT DISTINCT 'd' || cast(user_id AS VARCHAR) AS dealer_id FROM events WHERE value > 50) m ON m.dealer_id = o.dealer_id"""
+)
+
+
+@query("stale_unlist_stream", STALE)
+def stale_unlist_stream(spark, sf_dir):
+    """Each batch of scan-complete markers (events above 50 of the user with the dealer's number) unlists what these dealers' scans didn't see."""
+    rows = listings(spark, sf_dir)
+    first = rows.groupBy("vin", "dealer_id").agg(F.bool_or("listing_active").alias("active")).withColumn("scanned", F.lit(False))
+    seen = rows.where("r_partkey % 2 = 1")
+    scans = seen.groupBy("dealer_id").agg(F.count("*").alias("rows"), F.count_if(R.scanner_vin(F.col("vin")).isNotNull()).alias("valid"), F.bool_and(F.col("dealer_id").endswith("3")).alias("failed"))
+
+    def step(batch, before):
+        marked = batch.where("value > 50").select(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("dealer_id")).distinct()
+        done = M.soft_delete(first if before is None else before, seen.join(marked, "dealer_id", "left_semi"), scans.join(marked, "dealer_id", "left_semi"), "vin", "dealer_id").drop("outcome")
+        return done.join(marked.withColumn("_now", F.lit(True)), "dealer_id", "left").select("vin", "dealer_id", "active", (F.col("scanned") | F.coalesce("_now", F.lit(False))).alias("scanned"))
+
+    return J.run_by_batch(events(spark, sf_dir), "unlist", step)

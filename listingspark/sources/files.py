@@ -72,10 +72,18 @@ PROVIDERS: dict[str, dict[str, list[str]]] = {
 }
 
 
-def mapped(payloads: DataFrame, provider: str, payload: str, keep: list[str]) -> DataFrame:
+def with_provider(name: str, paths: dict[str, list[str]]) -> dict[str, dict[str, list[str]]]:
+    """The known providers and one more; a known name or a missing column is an error."""
+    wanted = set(next(iter(PROVIDERS.values())))
+    if name in PROVIDERS or set(paths) != wanted:
+        raise ValueError(f"{name} must be a new provider with {sorted(wanted)}")
+    return PROVIDERS | {name: paths}
+
+
+def mapped(payloads: DataFrame, provider: str, payload: str, keep: list[str], providers: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
     """Listing columns of the rows of each known provider; rows of unknown ones give nothing."""
     parts = []
-    for name, paths in PROVIDERS.items():
+    for name, paths in (providers or PROVIDERS).items():
         columns = [F.coalesce(*[F.get_json_object(payload, p) for p in ps]).alias(c) for c, ps in paths.items()]
         parts.append(payloads.where(F.col(provider) == name).select(*keep, provider, *columns))
     out = parts[0]

@@ -34,20 +34,34 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
 
 
-def run_by_batch(df: DataFrame, name: str, step: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
-    """Folds micro-batches into versions of a table: step(batch, previous version) gives the next. A repeated batch writes the same version again."""
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of a folder's whole versions, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    named = [str(x.getPath().getName()) for x in files.listStatus(path)]
+    whole = [n for n in named if n.startswith("version=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted(int(n.partition("=")[2]) for n in whole)
+
+
+def run_by_batch(df: DataFrame, name: str, step: Callable[[DataFrame, DataFrame | None], DataFrame], folder: str | None = None) -> DataFrame:
+    """Folds micro-batches into versions of a table: step(batch, previous version) gives the next.
+
+    Batch N writes version N from the greatest whole version below N, found in the folder by name. So a batch that is repeated, also by
+    a new process that goes on from the folder's checkpoint, writes the same version again from the same one before it.
+    """
     spark = df.sparkSession
-    out = scratch(spark, name)
-    last: list[str] = []
+    out = folder or scratch(spark, name)
 
     def fold(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.parquet(last[-1]) if last else None
-        path = f"{out}/version={number}"
-        step(batch, before).write.mode("overwrite").parquet(path)
-        last.append(path)
+        own = batch.sparkSession
+        before = [v for v in versions(own, out) if v < number]
+        stored = own.read.parquet(f"{out}/version={before[-1]}") if before else None
+        step(batch, stored).write.mode("overwrite").parquet(f"{out}/version={number}")
 
     df.writeStream.foreachBatch(fold).trigger(availableNow=True).option("checkpointLocation", f"{out}/place").start().awaitTermination()
-    return spark.read.parquet(last[-1])
+    return spark.read.parquet(f"{out}/version={versions(spark, out)[-1]}")
 
 
 def deduped(df: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
@@ -55,20 +69,24 @@ def deduped(df: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
     return df.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+    """A key's rows of this micro-batch over all its Arrow frames, in order. The batch's size, which the source sets, bounds them."""
+    return pd.concat([f[columns] for f in frames]).sort_values(columns).itertuples(index=False)
+
+
 def price_changes(df: DataFrame, key: str, time: str, price: str) -> DataFrame:
     """(key, at, old, new) of each change of a key's price; rows older than the state are ignored."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, last = state.get if state.exists else (None, None)
         out = []
-        for frame in frames:
-            for t, p in frame.sort_values([time, price])[[time, price]].itertuples(index=False):
-                moment = int(t.value)
-                if at is not None and moment < at:
-                    continue
-                if at is None or p != last:
-                    out.append((k[0], t, last, p))
-                at, last = moment, float(p)
+        for t, p in in_order(frames, [time, price]):
+            moment = int(t.value)
+            if at is not None and moment < at:
+                continue
+            if at is None or p != last:
+                out.append((k[0], t, last, p))
+            at, last = moment, float(p)
         state.update((at, last))
         yield pd.DataFrame(out, columns=["key", "at", "old", "new"])
 
@@ -82,14 +100,13 @@ def allowed_events(df: DataFrame, key: str, time: str, event: str, most: int, se
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         passed = list(state.get[0]) if state.exists else []
         out = []
-        for frame in frames:
-            for t, e in frame.sort_values([time, event])[[time, event]].itertuples(index=False):
-                moment = int(t.value)
-                passed = [p for p in passed if p > moment - seconds * 1_000_000_000]
-                ok = len(passed) < most
-                if ok:
-                    passed.append(moment)
-                out.append((k[0], e, ok))
+        for t, e in in_order(frames, [time, event]):
+            moment = int(t.value)
+            passed = [p for p in passed if p > moment - seconds * 1_000_000_000]
+            ok = len(passed) < most
+            if ok:
+                passed.append(moment)
+            out.append((k[0], e, ok))
         state.update((passed,))
         yield pd.DataFrame(out, columns=["key", "event", "allowed"])
 

@@ -48,7 +48,49 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_without_twin_is_known():
-    assert set(QUERIES) - set(ORACLES) == {"embedding_index", "rate_limit_window"}
+    assert set(QUERIES) - set(ORACLES) == {"embedding_index", "rate_limit_window", "token_set_ratio"}
+
+
+def test_token_set_ratio(spark):
+    from listingspark.functions.plugins import alike, set_ratio
+
+    assert set_ratio("new york mets", "mets new york city") == 100 and set_ratio("", "a") == 0 == set_ratio("abc", "xyz")
+    assert alike("abcd", "acd") == 200 * 3 / 7 and alike("", "") == 100
+    part = pd.read_parquet(f"{DATA}/part.parquet")
+    want = {(a, b): round(r, 4) for _, g in part.groupby(["p_brand", "p_size"]) for a, x in zip(g.p_partkey, g.p_name) for b, y in zip(g.p_partkey, g.p_name) if a < b and (r := set_ratio(x, y)) >= 90}
+    got = {(r.a, r.b): r.score for r in QUERIES["token_set_ratio"](spark, DATA).collect()}
+    assert got == want
+
+
+def test_versions_go_on_after_a_restart(spark, tmp_path):
+    """A second run from the same folder folds new files into the version that the first left."""
+    from listingspark.streaming import jobs as J
+
+    schema = "k long, v long"
+    def step(batch, before):
+        rows = batch if before is None else batch.unionByName(before)
+        return rows.groupBy("k").sum("v").selectExpr("k", "`sum(v)` AS v")
+    for n in range(3):
+        spark.createDataFrame([(1, 10**n), (n + 2, 1)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        out = J.run_by_batch(stream, "t", step, f"file://{tmp_path}/out")
+        assert {r.k: r.v for r in out.collect()} == {1: int("1" * (n + 1))} | {i + 2: 1 for i in range(n + 1)}
+    assert len(J.versions(spark, f"file://{tmp_path}/out")) >= 3
+
+
+def test_price_changes_over_unordered_frames(spark, tmp_path):
+    """A key's rows are ordered over all Arrow frames of a batch."""
+    from listingspark.streaming import jobs as J
+
+    rows = [(1, (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=(i * 37) % 100)).to_pydatetime(), float((i * 37) % 100 // 10)) for i in range(100)]
+    spark.createDataFrame(rows, "k long, ts timestamp, p double").coalesce(1).write.parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = J.run_to_table(J.price_changes(J.file_stream(spark, f"{tmp_path}/in"), "k", "ts", "p"), "changes").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.new, r.old) for r in out) == [(0.0, None)] + [(float(i), float(i - 1)) for i in range(1, 10)]
 
 
 def test_rate_limit(spark):
