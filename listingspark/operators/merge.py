@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingspark.functions import rules as R
+from listingspark.streaming.jobs import scratch
 
 
 def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -111,14 +112,22 @@ def replace_by_key(stored: DataFrame, batch: DataFrame, keys: list[str]) -> Data
 def numbered_keys(stored: DataFrame, batch: DataFrame, keys: list[str], number: str = "id") -> DataFrame:
     """`stored` with new keys numbered on after the greatest number, in the order of the keys; null keys are keys too.
 
-    Only new distinct keys are numbered, in one task: a dimension's new members, not a fact table's rows.
+    New keys are sorted into ranges and written to a scratch folder with their place in their range; a range's first number is the count
+    of the keys in those before it. So no task sees all of them, only one row for each range meets in one place.
     """
     fresh = batch.select(*keys).distinct()
     fresh = fresh.join(stored, reduce(lambda a, b: a & b, [fresh[k].eqNullSafe(stored[k]) for k in keys]), "left_anti")
     top = stored.agg(F.coalesce(F.max(number), F.lit(0)).alias("_top"))
-    order = Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys])
-    rows = fresh.withColumn("_n", F.row_number().over(order)).join(F.broadcast(top), F.lit(True))
-    return stored.select(number, *keys).unionByName(rows.select((F.col("_top") + F.col("_n")).alias(number), *keys))
+    spark = batch.sparkSession
+    placed = fresh.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).withColumn("_id", F.monotonically_increasing_id())
+    folder = scratch(spark, "numbers")
+    placed.write.parquet(folder)
+    # the upper bits are the range, the lower 33 the place in it
+    placed = spark.read.schema(placed.schema).parquet(folder).select(*keys, F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    before = F.sum("_count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("_count")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = placed.join(ranges, "_range").join(F.broadcast(top), F.lit(True))
+    return stored.select(number, *keys).unionByName(rows.select((F.col("_top") + F.col("_before") + F.col("_at") + 1).alias(number), *keys))
 
 
 def merge_galleries(old: Column, new: Column, least: int = 3, cap: int = 48) -> Column:

@@ -10,6 +10,7 @@ from listingspark.functions import rules as R
 from listingspark.operators import merge as M
 from listingspark.plans.catalog import query
 from listingspark.plans.listing_rules import QUALITY_SQL, empty_sql
+from listingspark.plans.vectors import NEAR_SQL, catalog_neighbours
 from listingspark.tables import ARRIVAL, listings, table, with_listings
 
 CONDITION_SQL = "CASE WHEN p_size % 6 = 0 THEN 'CPO' WHEN p_size % 5 = 0 THEN 'Used' WHEN p_retailprice > 1500 THEN 'Used' WHEN p_size < 10 THEN 'New' ELSE 'Pre-Owned' END"
@@ -138,14 +139,14 @@ def discrepancy_check(spark, sf_dir):
     return rows.withColumn("ok", F.col("ours") == F.col("expected"))
 
 
-@query("valuation_extract", "SELECT p_partkey, least(p_size * 1000, 30000)::DOUBLE AS low, greatest(p_size * 1000, 30000)::DOUBLE AS high FROM part WHERE p_size BETWEEN 2 AND 50")
+@query("valuation_extract", "SELECT p_partkey, least(p_size * 1000, 30000)::DOUBLE AS low, greatest(p_size * 1000, 30000)::DOUBLE AS high FROM part")
 def valuation_extract(spark, sf_dir):
     """Low and high of nested JSON by key, in a plausible range, turned where they stand the wrong way round."""
     payload = F.to_json(F.struct(F.struct(F.struct((F.col("p_size") * 1000).alias("rangeLow"), F.lit(30000).alias("rangeHigh"), F.lit(7).alias("rank")).alias("values")).alias("data")))
     number = lambda k: F.regexp_extract(payload, f'"{k}":([0-9.]+)', 1).try_cast("double")
     ok = lambda x: F.when(x.between(500, 2500000), x)
     low, high = ok(number("rangeLow")), ok(number("rangeHigh"))
-    return table(spark, sf_dir, "part").where("p_size between 2 and 50").select("p_partkey", F.least(low, high).alias("low"), F.greatest(low, high).alias("high"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.least(low, high).alias("low"), F.greatest(low, high).alias("high"))
 
 
 @query(
@@ -163,17 +164,24 @@ def verified_specs(spark, sf_dir):
     return rows.select("vin", "r_partkey", F.when(own, F.col("cylinders")).otherwise(F.col("c")).alias("cylinders"), F.coalesce("d", R.placeholder_null(F.col("drivetrain"))).alias("drivetrain"), F.when(own, "dealer").when(F.col("c").isNotNull(), "reference").alias("cylinders_source"))
 
 
-@query("spec_backfill", "WITH a AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'trim' END AS v FROM part), b AS (SELECT l_partkey AS p_partkey, min(l_returnflag) AS v FROM lineitem GROUP BY 1), c AS (SELECT p_partkey, 'page' AS v FROM part WHERE p_size % 2 = 0) SELECT p.p_partkey, coalesce(a.v, b.v, c.v) AS value, CASE WHEN a.v IS NOT NULL THEN 1 WHEN b.v IS NOT NULL THEN 2 WHEN c.v IS NOT NULL THEN 3 END AS tier FROM part p LEFT JOIN a USING (p_partkey) LEFT JOIN b USING (p_partkey) LEFT JOIN c USING (p_partkey)")
+@query(
+    "spec_backfill",
+    f"""WITH {NEAR_SQL}, a AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN split_part(p_name, ' ', 2) END AS v FROM part), b AS (SELECT query_id AS p_partkey, p_type AS v FROM near JOIN part ON p_partkey = vec_id WHERE distance <= 0.4),
+    c AS (SELECT page_id AS p_partkey, nullif(trim(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1)), '') AS v FROM pages)
+    SELECT p.p_partkey, coalesce(a.v, b.v, c.v) AS value, CASE WHEN a.v IS NOT NULL THEN 1 WHEN b.v IS NOT NULL THEN 2 WHEN c.v IS NOT NULL THEN 3 END AS tier, CASE WHEN a.v IS NOT NULL THEN 'trim' WHEN b.v IS NOT NULL THEN 'catalog' WHEN c.v IS NOT NULL THEN 'page' END AS source
+    FROM part p LEFT JOIN a USING (p_partkey) LEFT JOIN b USING (p_partkey) LEFT JOIN c USING (p_partkey)""",
+)
 def spec_backfill(spark, sf_dir):
-    """Values of three tiers in one long table; the first tier of each row wins."""
+    """Values of three tiers in one long table: the trim's, the nearest catalog row's if near enough, the page's; the first tier of each row wins."""
     part = table(spark, sf_dir, "part")
+    title = F.nullif(F.trim(F.regexp_extract("html", r"(?is)<title>([^<]*)</title>", 1)), F.lit(""))
     tiers = [
-        part.where("p_size % 3 = 0").select("p_partkey", F.lit(1).alias("tier"), F.lit("trim").alias("value")),
-        table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_returnflag").alias("value")).select("p_partkey", F.lit(2).alias("tier"), "value"),
-        part.where("p_size % 2 = 0").select("p_partkey", F.lit(3).alias("tier"), F.lit("page").alias("value")),
+        part.where("p_size % 3 = 0").select("p_partkey", F.lit(1).alias("tier"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("value"), F.lit("trim").alias("source")),
+        catalog_neighbours(spark, sf_dir).where("distance <= 0.4").join(part.select(F.col("p_partkey").alias("vec_id"), F.col("p_type").alias("value")), "vec_id").select(F.col("query_id").alias("p_partkey"), F.lit(2).alias("tier"), "value", F.lit("catalog").alias("source")),
+        table(spark, sf_dir, "pages").select(F.col("page_id").alias("p_partkey"), F.lit(3).alias("tier"), title.alias("value"), F.lit("page").alias("source")).where("value is not null"),
     ]
-    best = reduce(lambda a, b: a.unionByName(b), tiers).groupBy("p_partkey").agg(F.min(F.struct("tier", "value")).alias("x"))
-    return part.select("p_partkey").join(best, "p_partkey", "left").select("p_partkey", "x.value", "x.tier")
+    best = reduce(lambda a, b: a.unionByName(b), tiers).groupBy("p_partkey").agg(F.min(F.struct("tier", "value", "source")).alias("x"))
+    return part.select("p_partkey").join(best, "p_partkey", "left").select("p_partkey", "x.value", "x.tier", "x.source")
 
 
 @query(

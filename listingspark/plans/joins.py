@@ -13,11 +13,11 @@ from listingspark.tables import listings, table, with_listings
 @query(
     "flat_reference_export",
     """SELECT p_partkey, p_brand, p_name, s_name, array_to_string(list_sort(list(DISTINCT l_returnflag || l_linenumber)), ';') AS options, count(*) AS n
-    FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE p_size < 20 AND l_linenumber <= 3 GROUP BY ALL""",
+    FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL""",
 )
 def flat_reference_export(spark, sf_dir):
     """Parts with their supplier and an ordered list of options, in one aggregation instead of a query for each part."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").join(table(spark, sf_dir, "part").where("p_size < 20"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     option = F.concat("l_returnflag", F.col("l_linenumber").cast("string"))
     return rows.groupBy("p_partkey", "p_brand", "p_name", "s_name").agg(F.array_join(F.array_sort(F.collect_set(option)), ";").alias("options"), F.count("*").alias("n"))
 
@@ -120,11 +120,12 @@ def option_gap_anti(spark, sf_dir):
     return rows.groupBy(F.col("o_orderpriority").alias("series")).agg(F.count("*").alias("n"), F.count_if(~F.col("a") & ~F.col("b") & ~F.col("c")).alias("lacks_all"), F.count_if(~F.col("a") | ~F.col("b") | ~F.col("c")).alias("lacks_any"))
 
 
-@query("series_year_gap", "SELECT s.p_brand, array_to_string(list_sort(list(y)), ',') AS missing FROM (SELECT DISTINCT p_brand FROM part) s CROSS JOIN (SELECT unnest(range(1, 31)) AS y) WHERE (p_brand, y) NOT IN (SELECT p_brand, p_size FROM part WHERE p_partkey % 5 = 0) GROUP BY p_brand")
+@query("series_year_gap", "SELECT p_brand, array_to_string(list_sort(list(y)), ',') AS missing FROM (SELECT p_brand, unnest(range(min(p_size), max(p_size) + 1)) AS y FROM part GROUP BY p_brand) WHERE (p_brand, y) NOT IN (SELECT p_brand, p_size FROM part WHERE p_partkey % 5 = 0) GROUP BY p_brand")
 def series_year_gap(spark, sf_dir):
-    """Each series spans thirty values, exploded in place; what exists is taken off by an anti join."""
+    """Each series spans its own first to last value, exploded in place; what exists is taken off by an anti join."""
     part = table(spark, sf_dir, "part")
-    wanted = part.select("p_brand").distinct().select("p_brand", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("y"))
+    spans = part.groupBy("p_brand").agg(F.min("p_size").alias("low"), F.max("p_size").alias("high"))
+    wanted = spans.select("p_brand", F.explode(F.sequence("low", "high")).alias("y"))
     have = part.where("p_partkey % 5 = 0").select("p_brand", F.col("p_size").alias("y")).distinct()
     return wanted.join(have, ["p_brand", "y"], "left_anti").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list("y")).cast("array<string>"), ",").alias("missing"))
 

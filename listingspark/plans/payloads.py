@@ -88,7 +88,7 @@ def distinct_roots(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(R.url_root(F.col("url")).alias("root")).where("root is not null").distinct()
 
 
-@query("inventory_export", with_listings(f"SELECT dealer_id, make, model, vin, price::VARCHAR IS NOT NULL AS has_price, array_to_string({ISSUES_SQL}, ';') AS issues FROM l WHERE listing_active AND r_partkey % 10 = 0"))
+@query("inventory_export", with_listings(f"SELECT dealer_id, make, model, vin, price::VARCHAR IS NOT NULL AS has_price, array_to_string({ISSUES_SQL}, ';') AS issues FROM l WHERE listing_active"))
 def inventory_export(spark, sf_dir):
     """Active rows with their issues as CSV, read back."""
     rows = listings(spark, sf_dir).where("listing_active").select("dealer_id", "make", "model", "vin", F.col("price").isNotNull().alias("has_price"), F.array_join(issues(), ";").alias("issues"))
@@ -137,7 +137,22 @@ def row_audit_artifact(spark, sf_dir):
     return back.select("id", "quality", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("epa_reference_load", "SELECT p_partkey, split_part(p_type, ' ', 1) AS series, p_size || ' City / ' || (p_size + 8) || ' Hwy' AS mpg, CASE WHEN p_size % 4 = 0 THEN 'Diesel' ELSE 'Gasoline' END AS fuel FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#12', 'Brand#23') AND p_size > 0")
+EPA_SQL = """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END AS year, p_brand AS make, p_type AS name, p_size AS city, p_size + 8 AS hwy FROM part)
+SELECT make, CASE WHEN year IS NULL THEN 'no_year' WHEN year < 3 THEN 'before_first_year' ELSE 'inserted' END AS outcome, CASE WHEN year >= 3 THEN split_part(name, ' ', 1) END AS series, count(*) AS n, min(CASE WHEN year >= 3 THEN trim(substr(name, length(split_part(name, ' ', 1)) + 2)) END) AS first_variant,
+max(CASE WHEN year >= 3 THEN city || ' City / ' || hwy || ' Hwy' END) AS mpg, min(CASE WHEN year >= 3 THEN 'fuel-economy file, row ' || lpad(cast(p_partkey AS VARCHAR), 9, '0') END) AS provenance FROM r GROUP BY ALL"""
+
+
+@query("epa_reference_load", EPA_SQL)
 def epa_reference_load(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#12", "Brand#23") & (F.col("p_size") > 0))
-    return rows.select("p_partkey", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("series"), F.format_string("%d City / %d Hwy", F.col("p_size"), F.col("p_size") + 8).alias("mpg"), F.when(F.col("p_size") % 4 == 0, "Diesel").otherwise("Gasoline").alias("fuel"))
+    """A fuel-economy file, written and read as CSV: rows without a year, or before the first year wanted, are skipped and counted; names part into series and variant; each row keeps where it came from."""
+    feed = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("Row"), F.when(F.col("p_partkey") % 9 != 0, F.col("p_size")).alias("Year"), F.col("p_brand").alias("Make"), F.col("p_type").alias("Model"), F.col("p_size").alias("City"), (F.col("p_size") + 8).alias("Hwy"))
+    aliases = {"row": ([], "long"), "year": ([], "int"), "make": ([], "string"), "name": (["Model"], "string"), "city": ([], "int"), "hwy": ([], "int")}
+    rows = S.csv_by_alias(spark, _written(feed, "economy", "csv", header=True), aliases, ["row", "make", "name"])
+    outcome = F.when(F.col("year").isNull(), "no_year").when(F.col("year") < 3, "before_first_year").otherwise("inserted")
+    series = F.split_part("name", F.lit(" "), F.lit(1))
+    kept = lambda c: F.when(F.col("outcome") == "inserted", c)
+    rows = rows.withColumn("outcome", outcome).select(
+        "make", "outcome", kept(series).alias("series"), kept(F.trim(F.substr("name", F.length(series) + 2))).alias("variant"),
+        kept(F.format_string("%d City / %d Hwy", "city", "hwy")).alias("mpg"), kept(F.concat(F.lit("fuel-economy file, row "), F.lpad(F.col("row").cast("string"), 9, "0"))).alias("provenance"),
+    )
+    return rows.groupBy("make", "outcome", "series").agg(F.count("*").alias("n"), F.min("variant").alias("first_variant"), F.max("mpg").alias("mpg"), F.min("provenance").alias("provenance"))

@@ -47,11 +47,9 @@ def displacement_range(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", R.liters_in(text).alias("liters")).where(F.col("liters").between(2.0, 4.0))
 
 
-@query("text_contains", with_listings(f"SELECT {KEY}, model FROM l WHERE contains(lower(vin), '%_1') OR contains(lower(make), 'd#1') OR contains(lower(title), 'green')"))
+@query("text_contains", with_listings(f"SELECT {KEY}, model FROM l WHERE contains(lower(vin), 'd#1') OR contains(lower(make), 'd#1') OR contains(lower(title), 'd#1')"))
 def text_contains(spark, sf_dir):
-    rows = listings(spark, sf_dir)
-    found = rows.where(F.contains(F.lower("vin"), F.lit("%_1")) | F.contains(F.lower("make"), F.lit("d#1")) | F.contains(F.lower("title"), F.lit("green")))
-    return found.select(*KEY.split(", "), "model")
+    return S.text_contains(listings(spark, sf_dir), ["vin", "make", "title"], "D#1").select(*KEY.split(", "), "model")
 
 
 PROFILES = "SELECT 'p' || cast(s_suppkey AS {s}) AS profile, CASE WHEN s_suppkey % 10 = 0 THEN 'admin' ELSE 'staff' END AS role, CASE WHEN s_suppkey % 7 <> 0 THEN 'd' || cast(s_suppkey AS {s}) END AS dealer_id FROM supplier"
@@ -97,7 +95,7 @@ def promotion_eligible(spark, sf_dir):
 def price_sort(spark, sf_dir):
     """The first 500 of the order; a limit is the feature here. A sort with a limit keeps 500 rows in each task."""
     top = listings(spark, sf_dir).orderBy(*S.price_order("vin", *TIES)).limit(500)
-    ranked = top.select(*KEY.split(", "), "price", F.posexplode(F.array(F.lit(0))).alias("_", "__")).drop("_", "__")
+    ranked = top.select(*KEY.split(", "), "price")
     from pyspark.sql import Window
 
     order = Window.orderBy(*S.price_order("vin", *[t for t in TIES if t in KEY]))

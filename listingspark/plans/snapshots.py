@@ -66,14 +66,14 @@ def stale_vin_anti(spark, sf_dir):
 
 @query(
     "patch_apply",
-    """WITH p AS (SELECT l_partkey AS p_partkey, CASE l_linenumber % 3 WHEN 0 THEN 'p_brand' WHEN 1 THEN 'p_size' ELSE 'p_name' END AS field, CASE l_linenumber % 3 WHEN 0 THEN 'Patched' WHEN 1 THEN cast(l_linenumber AS VARCHAR) ELSE 'no' END AS value, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_orderkey % 5 = 0),
+    """WITH p AS (SELECT l_partkey AS p_partkey, CASE l_linenumber % 3 WHEN 0 THEN 'p_brand' WHEN 1 THEN 'p_size' ELSE 'p_name' END AS field, CASE l_linenumber % 3 WHEN 0 THEN 'Patched' WHEN 1 THEN cast(l_linenumber AS VARCHAR) ELSE 'no' END AS value, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_returnflag = 'R'),
     w AS (SELECT p_partkey, max_by(value, seq) FILTER (field = 'p_brand') AS b, max_by(value, seq) FILTER (field = 'p_size') AS z FROM p GROUP BY p_partkey)
     SELECT p_partkey, coalesce(b, p_brand) AS p_brand, coalesce(try_cast(z AS INTEGER), p_size) AS p_size, p_name FROM part LEFT JOIN w USING (p_partkey)""",
 )
 def patch_apply(spark, sf_dir):
-    """Patches of two allowed fields; the field p_name isn't allowed and stays."""
+    """Patches (of returned lines) of two allowed fields; the field p_name isn't allowed and stays."""
     kind = F.col("l_linenumber") % 3
-    patches = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select(
+    patches = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
         F.col("l_partkey").alias("p_partkey"), F.when(kind == 0, "p_brand").when(kind == 1, "p_size").otherwise("p_name").alias("field"),
         F.when(kind == 0, F.lit("Patched")).when(kind == 1, F.col("l_linenumber").cast("string")).otherwise("no").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
     )

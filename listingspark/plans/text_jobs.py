@@ -43,13 +43,27 @@ def package_blocks(spark, sf_dir):
     return lines.groupBy("doc_id", "block").agg(F.min_by(F.left("line", F.lit(40)), "pos").alias("heading"), F.count("*").alias("n_lines"))
 
 
-@query("description_merge", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN d.doc_id % 3 = 0 THEN 'unchanged' WHEN trim(text) = '' THEN 'empty' WHEN contains(lower(text), 'licensed under') THEN 'parsed' ELSE 'no_match' END AS reason FROM documents d) GROUP BY reason")
+MERGE_SQL = """WITH p AS (SELECT doc_id, text, list_distinct(regexp_extract_all(lower(coalesce(text, '')), 'licensed under [a-z]+')) AS found, lower(coalesce(text, '')) AS low FROM documents),
+q AS (SELECT *, len(found) * 0.3 + CASE WHEN contains(low, 'license') THEN 0.25 ELSE 0 END AS confidence, CASE WHEN doc_id % 3 = 0 THEN 'unchanged' WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN len(found) > 0 THEN 'parsed' ELSE 'no_match' END AS reason FROM p)
+SELECT reason, count(*) AS n, sum(CASE WHEN reason = 'parsed' THEN len(list_distinct(list_concat(['licensed under the'], found))) ELSE 1 END)::BIGINT AS n_packages, count(*) FILTER (reason = 'parsed' AND confidence >= 0.5 AND doc_id % 2 = 0) AS n_filled FROM q GROUP BY reason"""
+
+
+@query("description_merge", MERGE_SQL)
 def description_merge(spark, sf_dir):
-    """Documents whose stored fingerprint (planted for every third) still holds are skipped; the others are parsed."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("fp"))
+    """Parses of changed texts into stored packages.
+
+    Texts whose stored fingerprint (planted for every third) still holds are skipped. What others say joins the packages, once each; a
+    parse of 0.5 or more confidence also fills an empty field (planted for even keys). Counts by reason.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("fp", F.sha2(F.col("text").cast("binary"), 256)).withColumn("packages", F.array(F.lit("licensed under the")))
     stored = docs.where("doc_id % 3 = 0").select("doc_id", F.col("fp").alias("old"))
-    reason = F.when(F.col("old") == F.col("fp"), "unchanged").when(F.trim("text") == "", "empty").when(F.contains(F.lower("text"), F.lit("licensed under")), "parsed").otherwise("no_match")
-    return docs.join(stored, "doc_id", "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    rows = docs.join(stored, "doc_id", "left").withColumn("low", F.lower("text"))
+    rows = rows.withColumn("found", F.array_distinct(F.regexp_extract_all("low", F.lit("licensed under [a-z]+"), F.lit(0))))
+    confidence = F.size("found") * F.lit(0.3) + F.when(F.contains(F.col("low"), F.lit("license")), 0.25).otherwise(0.0)
+    reason = F.when(F.col("old") == F.col("fp"), "unchanged").when(F.trim("text") == "", "empty").when(F.size("found") > 0, "parsed").otherwise("no_match")
+    rows = rows.select("doc_id", reason.alias("reason"), F.when(reason == "parsed", F.array_union("packages", "found")).otherwise(F.col("packages")).alias("packages"), ((reason == "parsed") & (confidence >= 0.5) & (F.col("doc_id") % 2 == 0)).alias("fills"))
+    return rows.groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.size("packages")).alias("n_packages"), F.count_if("fills").alias("n_filled"))
 
 
 TEXT_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
