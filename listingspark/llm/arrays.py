@@ -6,6 +6,7 @@ quarter of a megabyte, so that a task's memory doesn't depend on the size of its
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 import zlib
@@ -255,6 +256,25 @@ def rows_of(rows: DataFrame, wanted) -> DataFrame:
 
 # ---------------------------------------------------------------- tables in the shared folder
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(query):
+    """A query or stage (spark, ...) whose rows go to Python by the megabyte, unless the session says otherwise.
+
+    The setting stays in the session, for the query's result is read later. By default a batch is ten thousand rows, whatever their
+    size, and both sides of the pipe hold several.
+    """
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        if spark.conf.get(BATCH_BYTES, None) is None:
+            spark.conf.set(BATCH_BYTES, "2m")
+        return query(spark, *args)
+
+    return run
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listingspark.llm.arrays import in_small_batches
+
 LONG, CACHE, CACHED_CHARS = 128, 200_000, 48
 #: White space and the pre-token pattern of the byte-level vocabulary.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -145,6 +147,7 @@ def bpe_codes(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {key_type}, ids binary, decoded string")
 
 
+@in_small_batches
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from listingspark.llm.arrays import pieces, shingle_sets
+from listingspark.llm.arrays import in_small_batches, pieces, shingle_sets
 
 WORDS, K = 5, 256
 FIRST = -(1 << 63)
@@ -124,6 +124,7 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
+@in_small_batches
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     rows = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingspark.llm.arrays import gathered, pieces, vector_rows, vector_sum, word_spans
+from listingspark.llm.arrays import gathered, in_small_batches, pieces, vector_rows, vector_sum, word_spans
 
 BITS, SEGMENT, ROUNDS = 16, 8, 8
 UNKNOWN = "und"
@@ -154,6 +154,7 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+@in_small_batches
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions for every document, learnt from the four fifths that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -173,6 +174,7 @@ def _lettered(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+@in_small_batches
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a letter: those whose language could be told, or all of them where nothing was learnt. The language column isn't changed."""
     model = learn(docs)

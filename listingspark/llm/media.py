@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listingspark.llm.arrays import in_small_batches
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ROW = 192
 IDAT_BYTES = 1 << 16
@@ -194,6 +196,7 @@ def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {key_type}, n_bytes long, media binary, image_hash binary, read_back binary")
 
 
+@in_small_batches
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's stored form."""
     rows = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingspark.llm.arrays import bitmap_bits, gathered, hash_bitmap, mix, numbered, pieces, shingle_sets, staged, vector_rows, vector_sum
+from listingspark.llm.arrays import bitmap_bits, gathered, hash_bitmap, in_small_batches, mix, numbered, pieces, shingle_sets, staged, vector_rows, vector_sum
 
 SKETCH_BITS, HEAVY, GROUP, REFINEMENTS, STARS, PIVOTS = 22, 64, 128, 2, 2, 6
 
@@ -375,10 +375,12 @@ def row_components(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc").alias("comp"))
 
 
+@in_small_batches
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100)
 
 
+@in_small_batches
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first row of each group of near duplicates (five words, 0.8): the one with the least doc_id, nulls last.
 

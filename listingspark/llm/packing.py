@@ -8,6 +8,10 @@ others are dealt by hash into blocks of about BLOCK pieces, and several islands
   best-fits the displaced pieces, longest first. Fitness is the mean of squared fills (few, full bins).
 - After each epoch an island's elite migrates to the next island of its block, which takes it into its population.
 
+Where the first chromosome already has the least possible number of bins (the sizes' sum over CAPACITY), nothing can be better and the
+island is done; that is common for many small pieces. Pieces of a quarter to a half of CAPACITY are hard for best-fit, and evolution
+saves bins there.
+
 The best chromosome of each block's islands is taken. Bins that are filled to CLOSED stay; pieces of the others are pooled, dealt into
 fewer blocks and packed again, which takes back what block borders cost; the last round keeps all its bins.
 
@@ -31,10 +35,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingspark.llm.arrays import staged
+from listingspark.llm.arrays import in_small_batches, staged
 from listingspark.llm.bpe import printable_bytes
 
-CAPACITY, BLOCK, ISLANDS, EPOCHS, POPULATION, BIRTHS, CLOSED, ROUNDS = 2048, 4096, 2, 2, 4, 6, 0.995, 3
+CAPACITY, BLOCK, ISLANDS, EPOCHS, POPULATION, BIRTHS, CLOSED, ROUNDS = 2048, 4096, 4, 3, 6, 24, 0.995, 3
 CACHE, CACHED_CHARS = 1_000_000, 64
 #: The vocabulary's pre-token pattern, and its white space.
 SPACE = r"\t-\r\x20\x85\xa0"
@@ -308,12 +312,14 @@ def packed_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     return pieces.join(placed, ["row", "piece"]).select(F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@in_small_batches
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@in_small_batches
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

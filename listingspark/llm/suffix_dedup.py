@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingspark.llm.arrays import SECOND, gathered, hash_bitmap, numbered, pieces, prefix_hash, span_hash, staged, vector_rows, vector_sum
+from listingspark.llm.arrays import SECOND, gathered, hash_bitmap, in_small_batches, numbered, pieces, prefix_hash, span_hash, staged, vector_rows, vector_sum
 
 LENGTH, GRAM, SHALLOW, CROWD = 100, 20, 32, 8192
 #: Bytes of text, and windows of records, that are worked on at once: these bound a task's memory.
@@ -484,12 +484,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     return joined.mapInArrow(cut, schema)
 
 
+@in_small_batches
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["high"] - r["low"])
     return out.select("doc_id", (F.length("text_kept") + gone).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("text_kept", 256).alias("kept_sha256"))
 
 
+@in_small_batches
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated passages; n_chars follows. A character of which a part was removed goes with it; a document of which nothing is left has an empty text."""
     out = without_repeats(docs)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingspark.llm.arrays import bitmap_bits, gathered, id_bitmap, mix, pieces, shingle_sets, staged, vector_rows, vector_sum, word_hashes
+from listingspark.llm.arrays import bitmap_bits, gathered, id_bitmap, in_small_batches, mix, pieces, shingle_sets, staged, vector_rows, vector_sum, word_hashes
 
 PLACES, Z, FLOOR, EXAMPLES, BLOCK, COMMON, K, SMOOTH = 20, 4.0, 0.05, 4096, 64, 0.1, 15, 1.0
 THRESHOLD = 0.7
@@ -328,6 +328,7 @@ def _model(docs: DataFrame, labels: DataFrame) -> Model | None:
     return learn_from(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text"), known, docs.select("text"))
 
 
+@in_small_batches
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores for every document, learnt from labelled rows that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -336,6 +337,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"), "toxic_evidence")
 
 
+@in_small_batches
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a score under the threshold."""
     model = _model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
