@@ -21,6 +21,8 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 BROADCAST_RULES = 100_000
 SALTS = 32
+#: Stands between host and path in an expression; neither can have it.
+BETWEEN = "?"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -40,12 +42,12 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     out = urls.select(F.col(key), host.alias("host"), path.alias("path"))
     if not forms["n"]:
         return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    rules = _digests(rules, F.concat("r_host", "r_path")).select("short", "digest", F.concat("r_host", "r_path").alias("rule"), "action")
+    rules = _digests(rules, F.concat("r_host", F.lit(BETWEEN), "r_path")).select("short", "digest", F.concat("r_host", "r_path").alias("rule"), "action")
     # label counts and path lengths that occur in rules: a few dozen pairs, however many rules there are
     kinds = F.array(*[F.struct(F.lit(x["n"]).alias("n"), F.lit(x["m"]).alias("m")) for x in forms["f"]])
     labels = F.split("host", r"\.")
     fitting = F.filter(kinds, lambda k: (k["n"] <= F.size(labels)) & (k["m"] <= F.length("path")) & (F.col("host") != ""))
-    expressions = F.transform(fitting, lambda k: F.concat(F.array_join(F.slice(labels, -k["n"], k["n"]), "."), F.substring(F.col("path"), F.lit(1), k["m"])))
+    expressions = F.transform(fitting, lambda k: F.concat(F.array_join(F.slice(labels, -k["n"], k["n"]), "."), F.lit(BETWEEN), F.substring(F.col("path"), F.lit(1), k["m"])))
     few = forms["n"] <= broadcast_rules
     salts = 1 if few else SALTS
     rules = rules.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).withColumnsRenamed({"short": "r_short", "digest": "r_digest", "salt": "r_salt"})

@@ -107,6 +107,12 @@ def test_url_verdicts(spark, limit):
         assert (r.rule, r.verdict) == ((max(fits)[2], max(fits)[3]) if fits else (None, "allow"))
 
 
+def test_a_rule_s_path_is_no_part_of_a_host(spark):
+    rules = spark.createDataFrame([("b.c", "d/", "block"), ("x.org", "/a", "block")], "host string, path string, action string")
+    pages = spark.createDataFrame([(1, "http://b.cd/"), (2, "http://x.org/ab"), (None, "http://" + "s." * 300 + "x.org/a" + "b" * 50_000)], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.url_verdicts(pages, rules).collect()} == {1: "allow", 2: "block", None: "block"}
+
+
 def test_url_verdicts_without_rules_or_pages(spark):
     rules = spark.createDataFrame([], "host string, path string, action string")
     pages = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
@@ -250,6 +256,56 @@ def test_crossover_keeps_every_piece():
         assert all(sum(sizes[i] for i in x) == 100 - f for x, f in zip(p.bins, p.free))
 
 
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """By trying every assignment."""
+    best = len(sizes)
+
+    def put(i: int, free: list[int]) -> None:
+        nonlocal best
+        if len(free) >= best:
+            return
+        if i == len(sizes):
+            best = len(free)
+            return
+        for f in sorted({f for f in free if f >= sizes[i]}):
+            k = free.index(f)
+            put(i + 1, free[:k] + [f - sizes[i]] + free[k + 1 :])
+        put(i + 1, [*free, capacity - sizes[i]])
+
+    put(0, [])
+    return best
+
+
+def test_packing_of_few_pieces_is_best():
+    for seed in range(25):
+        g = random.Random(seed)
+        sizes = sorted((g.randint(180, 520) for _ in range(10)), reverse=True)
+        assert len(packing.evolved(sizes, 1000, f"s{seed}").bins) == least_bins(sizes, 1000), sizes
+
+
+def triplets(n: int, g: random.Random) -> list[int]:
+    """Sizes of n bins that three pieces fill exactly."""
+    out = []
+    for _ in range(n):
+        a, b = g.randint(520, 760), g.randint(520, 760)
+        out += [a, b, 2048 - a - b]
+    return sorted(out, reverse=True)
+
+
+def test_crossover_and_migration_save_bins(spark):
+    sizes = triplets(80, random.Random(4))
+    first = len(packing.decreasing(sizes, 2048, random.Random(0), 0.0).bins)
+    one = packing.evolved(sizes, 2048, "one")
+    assert 80 <= len(one.bins) < first
+    # an island goes on from its elite and its guest, and never gets worse
+    other = packing.evolved(sizes, 2048, "two")
+    both = packing.evolved(sizes, 2048, "three", [one.bins, other.bins])
+    assert len(both.bins) <= min(len(one.bins), len(other.bins))
+    pieces = spark.createDataFrame([(i, 0, n) for i, n in enumerate(sizes)], "row long, piece int, length long")
+    alone, several = (packing.pack(pieces, islands=k, epochs=e, rounds=1).select("sequence_id").distinct().count() for k, e in ((1, 1), (4, 3)))
+    assert several <= alone < first
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -442,6 +498,40 @@ def test_texts_in_four_languages(spark):
     assert set(shares) == set(alphabets) and all(abs(shares[k] - n / 200) < 0.08 for k, n in zip(alphabets, (64, 48, 48, 40), strict=True))
 
 
+def test_mixtures_by_brute_force():
+    """The same shares and sets as plain loops over segments and languages give."""
+    g = np.random.default_rng(9)
+    table = np.log(g.dirichlet(np.ones(1 << language.BITS) * 0.01, 3)).clip(-30).T.astype(np.float32)
+    texts = [prose(n) for n in (1, 7, 8, 9, 40, 200)] + ["", "1 2", "a"]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    got, chosen = language.mixtures(np.frombuffer(b"".join(raw), np.uint8), offsets, table)
+    grams = language._trigrams(np.frombuffer(b"".join(raw), np.uint8))
+    for i, text in enumerate(texts):
+        words = [(m.start(), m.end()) for m in re.finditer("[a-z]+", text)]
+        segments = [words[k : k + language.SEGMENT] for k in range(0, len(words), language.SEGMENT)]
+        if not segments:
+            assert not got[i].any()
+            continue
+        like = []
+        for s in segments:
+            a, b = offsets[i] + s[0][0], min(offsets[i] + s[-1][1] + 1, offsets[i + 1])
+            total = np.array([sum(float(table[x, k]) for x in grams[a:b]) for k in range(3)]) * language.WEIGHT
+            like.append(np.exp(total - total.max()) + 1e-12)
+
+        def fit(allowed):
+            share = [1 / len(allowed) if k in allowed else 0.0 for k in range(3)]
+            for _ in range(language.ROUNDS):
+                parts = [[x[k] * share[k] for k in range(3)] for x in like]
+                share = [sum(p[k] / sum(p) for p in parts) / len(like) for k in range(3)]
+            return share, sum(np.log(sum(x[k] * share[k] for k in range(3))) for x in like)
+
+        order = np.argsort(-np.array(fit([0, 1, 2])[0]), kind="stable").tolist()
+        scores = [fit(order[:n])[1] - 0.5 * (n - 1) * np.log(len(like) + 1) for n in (1, 2, 3)]
+        best = max(range(3), key=lambda n: (scores[n] - (1e-9 * n), -n))
+        assert chosen[i] == best + 1 and np.allclose(got[i], fit(order[: best + 1])[0], atol=1e-3), text
+
+
 def test_language_stage_where_nothing_is_learnt(spark):
     rows = [(0, "some words", None), (1, "漢字", None), (2, "12 !", None), (3, "", None), (None, "é", None), (4, None, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
