@@ -5,7 +5,8 @@ others are dealt by hash into blocks of about BLOCK pieces, and several islands
 
 - A chromosome is a list of bins. First ones come from best-fit decreasing under slightly shuffled orders.
 - Crossover injects whole well-filled bins of one parent into the other, removes the bins that hold duplicates of their pieces, and
-  best-fits the displaced pieces, longest first. Fitness is the mean of squared fills (few, full bins).
+  best-fits the displaced pieces, longest first. Every other child, by chance, has a few bins dissolved and filled anew. Fitness is
+  few bins, then the sum of squared fills.
 - After each epoch an island's elite migrates to the next island of its block, which takes it into its population.
 
 Where the first chromosome already has the least possible number of bins (the sizes' sum over CAPACITY), nothing can be better and the
@@ -194,6 +195,19 @@ def crossed(a: Packing, b: Packing, rng: random.Random) -> Packing:
     return child
 
 
+def mutated(p: Packing, rng: random.Random) -> Packing:
+    """p after its emptiest bins and some others are dissolved and their pieces put back in any order."""
+    n = len(p.bins)
+    some = max(1, n // 20)
+    gone = {*sorted(range(n), key=p.free.__getitem__, reverse=True)[:some], *rng.sample(range(n), min(n, some + rng.randrange(3)))}
+    child = Packing(p.sizes, p.capacity, [list(x) for i, x in enumerate(p.bins) if i not in gone])
+    loose = [i for k in sorted(gone) for i in p.bins[k]]
+    rng.shuffle(loose)
+    for i in loose:
+        child.add(i)
+    return child
+
+
 def decreasing(sizes: list[int], capacity: int, rng: random.Random, noise: float) -> Packing:
     p = Packing(sizes, capacity)
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 + noise * rng.random())):
@@ -215,7 +229,8 @@ def evolved(sizes: list[int], capacity: int, seed: str, given: list[list[list[in
         if len(pool[0].bins) <= least:
             break
         a, b = rng.sample(range(min(population, len(pool))), 2)
-        pool.append(crossed(pool[a], pool[b], rng))
+        child = crossed(pool[a], pool[b], rng)
+        pool.append(mutated(child, rng) if rng.random() < 0.5 else child)
         pool = sorted(pool, key=Packing.fitness, reverse=True)[:population]
     return max(pool, key=Packing.fitness)
 

@@ -280,7 +280,7 @@ def test_packing_of_few_pieces_is_best():
     for seed in range(25):
         g = random.Random(seed)
         sizes = sorted((g.randint(180, 520) for _ in range(10)), reverse=True)
-        assert len(packing.evolved(sizes, 1000, f"s{seed}").bins) == least_bins(sizes, 1000), sizes
+        assert len(packing.evolved(sizes, 1000, f"s{seed}", births=400).bins) == least_bins(sizes, 1000), sizes
 
 
 def triplets(n: int, g: random.Random) -> list[int]:
