@@ -130,6 +130,24 @@ def numbered_keys(stored: DataFrame, batch: DataFrame, keys: list[str], number:
     return stored.select(number, *keys).unionByName(rows.select((F.col("_top") + F.col("_before") + F.col("_at") + 1).alias(number), *keys))
 
 
+def manifest_upsert(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """The next version of a manifest (dealer_id, name, url, brand) with `action`: kept, updated, inserted or rejected.
+
+    A batch row (dealer_id, name, url) meets the stored row with its dealer_id, else the one with its URL in any case, and takes its
+    place but not its brand. Rows without a name, a web URL or a plain dealer_id are rejected. One batch row for each stored row.
+    """
+    url = F.lower(F.rtrim(F.trim("url"), F.lit("/")))
+    fault = F.when(R.is_empty(F.col("name")), "no_name").when(~F.coalesce(url.rlike("^https?://[^/]"), F.lit(False)), "no_url").when(~F.coalesce(F.col("dealer_id").rlike("^[a-z0-9][a-z0-9_-]*$"), F.lit(False)), "bad_dealer_id")
+    batch = batch.select("dealer_id", F.trim("name").alias("name"), "url", fault.alias("fault"))
+    keys = lambda df, row: df.select(row.alias("row"), F.explode(F.array(F.concat(F.lit("i"), "dealer_id"), F.concat(F.lit("u"), url))).alias("k"))
+    good, old = batch.where("fault is null").drop("fault"), stored.withColumnsRenamed({"dealer_id": "old_id", "brand": "old_brand"})
+    met = keys(good, F.col("dealer_id")).join(keys(stored, F.col("dealer_id")).withColumnRenamed("row", "old_id"), "k").groupBy(F.col("row").alias("dealer_id")).agg(F.min_by("old_id", "k").alias("old_id"))
+    new = good.join(met, "dealer_id", "left").join(old.select("old_id", "old_brand"), "old_id", "left")
+    new = new.select("dealer_id", "name", "url", F.nullif(F.trim("old_brand"), F.lit("")).alias("brand"), F.when(F.col("old_id").isNotNull(), "updated").otherwise("inserted").alias("action"))
+    kept = stored.join(met.select(F.col("old_id").alias("dealer_id")).distinct(), "dealer_id", "left_anti").select("dealer_id", "name", "url", "brand", F.lit("kept").alias("action"))
+    return new.unionByName(kept).unionByName(batch.where("fault is not null").select("dealer_id", "name", "url", F.col("fault").alias("brand"), F.lit("rejected").alias("action")))
+
+
 def merge_galleries(old: Column, new: Column, least: int = 3, cap: int = 48) -> Column:
     """The new gallery where the old has fewer than `least` https images, else the old one with what is new; never fewer images than before."""
     https = lambda g: F.filter(F.coalesce(g, F.array().cast("array<string>")), lambda u: F.startswith(F.lower(u), F.lit("https")))

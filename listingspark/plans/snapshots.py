@@ -195,11 +195,24 @@ def first_seen_backfill(spark, sf_dir):
     return listings(spark, sf_dir).select("vin", "r_partkey", F.coalesce("first_seen_at", "scraped_at").cast("date").cast("string").alias("first_seen"), F.col("first_seen_at").isNull().alias("filled"))
 
 
-@query("manifest_upsert", "SELECT s_suppkey, coalesce(n.brand, 'none') AS brand, CASE WHEN s_name = '' OR s_acctbal < 0 THEN 'rejected' ELSE 'ok' END AS status FROM supplier LEFT JOIN (SELECT l_suppkey, min(p_brand) AS brand FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey) n ON l_suppkey = s_suppkey")
+MANIFEST_SQL = """WITH o AS (SELECT 'd' || s_suppkey AS dealer_id, s_name AS name, 'https://s' || s_suppkey || '.example/' AS url, CASE WHEN s_suppkey % 4 = 0 THEN 'Brand#' || s_nationkey ELSE '' END AS brand FROM supplier WHERE s_nationkey < 12),
+b AS (SELECT CASE WHEN s_acctbal < 0 THEN 'Bad Id' WHEN s_suppkey % 5 = 0 THEN 'x' || s_suppkey ELSE 'd' || s_suppkey END AS dealer_id, CASE WHEN s_suppkey % 7 = 0 THEN ' n/a' ELSE s_name || ' 2' END AS name, 'HTTPS://S' || s_suppkey || '.example' AS url, s_suppkey FROM supplier WHERE s_acctbal < 7000),
+g AS (SELECT *, CASE WHEN name = ' n/a' THEN 'no_name' WHEN dealer_id = 'Bad Id' THEN 'bad_dealer_id' END AS fault FROM b),
+m AS (SELECT g.dealer_id, o.dealer_id AS old_id, o.brand FROM g JOIN o ON o.dealer_id = 'd' || s_suppkey WHERE fault IS NULL)
+SELECT g.dealer_id, trim(g.name) AS name, url, nullif(brand, '') AS brand, CASE WHEN old_id IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM g LEFT JOIN m ON m.dealer_id = g.dealer_id WHERE fault IS NULL
+UNION ALL SELECT dealer_id, name, url, brand, 'kept' FROM o WHERE dealer_id NOT IN (SELECT old_id FROM m) UNION ALL SELECT dealer_id, trim(name), url, fault, 'rejected' FROM g WHERE fault IS NOT NULL"""
+
+
+@query("manifest_upsert", MANIFEST_SQL)
 def manifest_upsert(spark, sf_dir):
-    brands = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.min("p_brand").alias("brand"))
-    rows = table(spark, sf_dir, "supplier").join(brands, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    return rows.select("s_suppkey", F.coalesce("brand", F.lit("none")).alias("brand"), F.when((F.col("s_name") == "") | (F.col("s_acctbal") < 0), "rejected").otherwise("ok").alias("status"))
+    """A stored manifest (suppliers of some nations) and a batch that comes under the same ids, or under new ids with the same web sites."""
+    rows, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("string")
+    stored = rows.where("s_nationkey < 12").select(F.concat(F.lit("d"), key).alias("dealer_id"), F.col("s_name").alias("name"), F.concat(F.lit("https://s"), key, F.lit(".example/")).alias("url"), F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("Brand#"), F.col("s_nationkey").cast("string"))).otherwise("").alias("brand"))
+    batch = rows.where("s_acctbal < 7000").select(
+        F.when(F.col("s_acctbal") < 0, "Bad Id").when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("x"), key)).otherwise(F.concat(F.lit("d"), key)).alias("dealer_id"),
+        F.when(F.col("s_suppkey") % 7 == 0, " n/a").otherwise(F.concat("s_name", F.lit(" 2"))).alias("name"), F.concat(F.lit("HTTPS://S"), key, F.lit(".example")).alias("url"),
+    )
+    return M.manifest_upsert(stored, batch)
 
 
 @query("enrichment_writeback", f"SELECT id, dedupe_key, CASE WHEN row_quality = 'usable' THEN 'group ' || cast(o.n AS VARCHAR) END AS dealer_group, CASE WHEN row_quality = 'usable' AND o.n IS NOT NULL THEN 'assigned' WHEN row_quality = 'usable' THEN 'unknown' END AS status FROM ({KEYED_SQL}) LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o_custkey = id")
