@@ -22,8 +22,11 @@ label or key teach nothing; without any, all scores are 0. Rows that share a key
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -146,11 +149,17 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
+    """What a score needs; the index stays packed until a task asks it."""
+
     weight: np.ndarray
-    index: BlockMaxIndex
+    packed: bytes
     rate: float
     curve: tuple[float, float] = (1.0, 0.0)
 
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        return pickle.loads(zlib.decompress(self.packed))
+
     def votes(self, data: np.ndarray, offsets: np.ndarray, without: list[int] | None = None) -> list[tuple[float, np.ndarray]]:
         """(vote, keys of the examples that voted) of each row"""
         bounds, places, n = word_counts(data, offsets)
@@ -273,14 +282,20 @@ def learn_from(texts: DataFrame, labels: DataFrame, corpus: DataFrame, key: str
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (places, units.astype(np.float64))]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], batch.column(2)[low:high], *lists], names=["key", "y", "places", "weights"])
 
-    # at most `examples` rows, by the bound above
-    found = kept.select("key", "text", "y").mapInArrow(vectors, "key long, y int, places array<int>, weights array<double>").toArrow()
-    lists = [[np.asarray(x.values, t) for x in found[c]] for c, t in (("places", np.int32), ("weights", np.float64))]
-    keys, y = found["key"].to_numpy(), found["y"].to_numpy()
-    y = y.astype(np.float64)
-    mass_of = [share / max(1e-9, float((y == k).mean())) for k, share in ((0, 1 - rate), (1, rate))]
-    model = Model(weight, BlockMaxIndex(*lists, keys, y, np.where(y > 0, mass_of[1], mass_of[0])), rate)
+    # at most `examples` rows, by the bound above: one task makes the index of them, and the driver only passes it on
+    def index(table: pa.Table) -> pa.Table:
+        lists = [[np.asarray(x.values, t) for x in table[c]] for c, t in (("places", np.int32), ("weights", np.float64))]
+        y = table["y"].to_numpy().astype(np.float64)
+        mass = [share / max(1e-9, float((y == k).mean())) for k, share in ((0, 1 - rate), (1, rate))]
+        made = BlockMaxIndex(*lists, table["key"].to_numpy(), y, np.where(y > 0, mass[1], mass[0]))
+        return pa.table({"index": pa.array([zlib.compress(pickle.dumps(made), 1)], pa.binary()), "clean": [mass[0]], "toxic": [mass[1]]})
+
+    found = kept.select("key", "text", "y").mapInArrow(vectors, "key long, y int, places array<int>, weights array<double>")
+    made = found.groupBy().applyInArrow(index, "index binary, clean double, toxic double").first()
+    mass_of = made["clean"], made["toxic"]
     shared.destroy()
+    model = Model(weight, bytes(made["index"]), rate)
+    del made
     judged = share(model)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,10 +306,9 @@ def learn_from(texts: DataFrame, labels: DataFrame, corpus: DataFrame, key: str
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column(2)], names=["vote", "y"])
 
     spread = kept.select("key", "text", "y").repartition(max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    own = spread.mapInArrow(votes, "vote double, y int").toArrow()
+    own = np.array([tuple(r) for r in spread.mapInArrow(votes, "vote double, y int").collect()], float).reshape(-1, 2)
     judged.destroy()
-    y = own["y"].to_numpy().astype(np.float64)
-    model.curve = fitted_curve(own["vote"].to_numpy(), y, np.where(y > 0, mass_of[1], mass_of[0]))
+    model.curve = fitted_curve(own[:, 0], own[:, 1], np.where(own[:, 1] > 0, mass_of[1], mass_of[0]))
     return model
 
 
