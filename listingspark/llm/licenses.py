@@ -123,13 +123,13 @@ def units_of(html: Column, is_file: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(parts, lambda t: F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " ")))), lambda t: t != "")
 
 
-def _anchors(weights: list[dict[str, float]], likeness: float) -> list[str]:
-    """The fewest rare words without which no template keeps `likeness` of its length."""
+def _anchors(weights: list[dict[str, float]], idf: dict[str, float], likeness: float) -> list[str]:
+    """Words without which no template keeps `likeness` of its length, the rarest first, so that few units have one."""
     chosen: set[str] = set()
     for vector in weights:
         rest = sum(w * w for w in vector.values())
         bound = likeness * likeness * rest * 0.999
-        for word, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        for word, w in sorted(vector.items(), key=lambda x: (-idf[x[0]], x[0])):
             if rest < bound:
                 break
             chosen.add(word)
@@ -152,7 +152,7 @@ def declared(units: DataFrame, templates: dict[str, tuple[str, ...]], likeness:
     length = [math.sqrt(sum(w * w for w in v.values())) for v in weights]
     table = [{"word": w, "idf": x, "units": [{"t": i, "unit": v[w] / length[i]} for i, v in enumerate(weights) if w in v]} for w, x in idf.items()]
     known = units.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), "array<struct<word:string,idf:double,units:array<struct<t:int,unit:double>>>>")))
-    scored = blocks.where(F.arrays_overlap("words", F.array(*map(F.lit, _anchors(weights, likeness)))))
+    scored = blocks.where(F.arrays_overlap("words", F.array(*map(F.lit, _anchors(weights, idf, likeness)))))
     terms = scored.select("row", "at", F.explode("words").alias("word")).groupBy("row", "at", "word").agg(F.count("*").alias("tf"))
     joined = terms.join(F.broadcast(known), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     # a unit's product with itself travels as template -1
