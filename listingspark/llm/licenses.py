@@ -120,7 +120,7 @@ def units_of(html: Column, is_file: Column) -> Column:
     text = F.regexp_replace(F.lower(F.regexp_replace(text, r"<[^>]*>", " ")), r"&[a-z0-9#]+;", " ")
     text = F.regexp_replace(text, r"\r\n?", "\n")
     parts = F.concat(*[F.split(text, cut) for cut in CUTS], F.when(is_file, F.array(text)).otherwise(F.array().cast("array<string>")))
-    return F.filter(F.array_distinct(F.transform(parts, lambda t: F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " ")))), lambda t: t != "")
+    return F.filter(F.array_distinct(F.transform(F.array_distinct(parts), lambda t: F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " ")))), lambda t: t != "")
 
 
 def _anchors(weights: list[dict[str, float]], idf: dict[str, float], likeness: float) -> list[str]:
@@ -143,7 +143,7 @@ def declared(units: DataFrame, templates: dict[str, tuple[str, ...]], likeness:
     vocabulary = sorted({w for _, counts in listed for w in counts})
     blocks = units.select("row", F.posexplode("units").alias("at", "unit")).select("row", "at", F.split("unit", " ").alias("words"))
     # the count of all units travels as the word ''
-    seen = blocks.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("words", F.array(*map(F.lit, vocabulary))))).alias("word")).groupBy("word").agg(F.count("*").alias("df")).collect()
+    seen = blocks.select(F.explode(F.concat(F.array(F.lit("")), F.filter(F.array_distinct("words"), lambda w: w.isin(vocabulary)))).alias("word")).groupBy("word").agg(F.count("*").alias("df")).collect()
     df = {r["word"]: r["df"] for r in seen}
     total = df.get("", 0)
     idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
@@ -152,7 +152,8 @@ def declared(units: DataFrame, templates: dict[str, tuple[str, ...]], likeness:
     length = [math.sqrt(sum(w * w for w in v.values())) for v in weights]
     table = [{"word": w, "idf": x, "units": [{"t": i, "unit": v[w] / length[i]} for i, v in enumerate(weights) if w in v]} for w, x in idf.items()]
     known = units.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), "array<struct<word:string,idf:double,units:array<struct<t:int,unit:double>>>>")))
-    scored = blocks.where(F.arrays_overlap("words", F.array(*map(F.lit, _anchors(weights, idf, likeness)))))
+    anchors = _anchors(weights, idf, likeness)
+    scored = blocks.where(F.exists("words", lambda w: w.isin(anchors)))
     terms = scored.select("row", "at", F.explode("words").alias("word")).groupBy("row", "at", "word").agg(F.count("*").alias("tf"))
     joined = terms.join(F.broadcast(known), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     # a unit's product with itself travels as template -1
