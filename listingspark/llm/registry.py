@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listingspark.llm import bpe, fingerprints, language, licenses, media, ngram_join, packing, suffix_dedup, toxicity, url_filter
+from listingspark.llm import bpe, fingerprints, language, licenses, media, negatives, ngram_join, packing, suffix_dedup, toxicity, url_filter
 
 
 def queries():
@@ -17,8 +17,14 @@ def queries():
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_bpe": bpe.op10_bpe,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
     }
 
 
 def oracle_sql():
-    return {"op2_url_filter": url_filter.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op9_license_scan": licenses.ORACLE}
+    return {
+        "op2_url_filter": url_filter.ORACLE,
+        "op3_ngram_join": ngram_join.ORACLE,
+        "op9_license_scan": licenses.ORACLE,
+        "op12_hard_negatives": negatives.ORACLE,
+    }
