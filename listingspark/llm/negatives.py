@@ -17,13 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listingspark.llm.arrays import in_small_batches, staged
-from listingspark.llm.vectors import BROADCAST_BYTES, LOW, VECTORS, Heaps, as_scores, keyed, largest_product, listed, met, one_list, packed, padded, tiles, unpacked
+from listingspark.llm.vectors import BROADCAST_BYTES, LOW, ROWS_TILE, Heaps, as_scores, keyed, largest_product, listed, met, padded, picked_rows, ranked, row_tiles, tiles, unpacked
 
-ANCHOR_ROWS = 256
 LEAF = 32
 #: Anchor tiles whose heaps a task holds at once; beyond, it sends them on and begins anew.
 HELD = 64
@@ -68,51 +67,6 @@ def window_low(positive: np.ndarray, low: int) -> np.ndarray:
     return whole * low - (-rest * low) // 100
 
 
-def picked_rows(cells: DataFrame, every: int) -> DataFrame:
-    """(key, label, tile, place, dim, vector): the rows of the tiles whose key is divisible by `every`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                key, null = listed(batch.column(0)[i])
-                at = np.flatnonzero(~null & (key % every == 0))
-                dim, tile = batch.column(2)[i].as_py(), batch.column(4)[i].as_py()
-                matrix = unpacked(batch.column(3)[i].as_buffer(), dim)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(key[at]), batch.column(1)[i].values.take(pa.array(at)), pa.array([tile] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array([dim] * len(at), pa.int32()), pa.array([packed(m[None]) for m in matrix], pa.binary())], names=["key", "label", "tile", "place", "dim", "vector"])
-
-    return cells.select("keys", "labels", "dim", "vectors", "tile").mapInArrow(run, "key long, label long, tile long, place int, dim int, vector binary")
-
-
-def anchor_tiles(rows: DataFrame, size: int = ANCHOR_ROWS) -> DataFrame:
-    """(a, keys, labels, tiles, places, dim, vectors): the rows of each partition, `size` to a tile; no two tiles share a."""
-    fields = f"keys array<long>, labels array<long>, tiles array<long>, places array<int>, {VECTORS}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
-            full = len(table) - len(table) % size
-            yield from (made(table.slice(at, size)) for at in range(0, full, size))
-            held = table.slice(full).to_batches()
-        if held:
-            yield made(pa.Table.from_batches(held).combine_chunks())
-
-    def made(table: pa.Table) -> pa.RecordBatch:
-        dims = table["dim"].to_pylist()
-        matrix = np.concatenate([padded(unpacked(v.as_buffer(), d), 1, max(dims)) for v, d in zip(table["vector"], dims, strict=True)])
-        lists = [one_list(table[name].combine_chunks()) for name in ("key", "label", "tile", "place")]
-        return pa.RecordBatch.from_arrays([*lists, pa.array([matrix.shape[1]], pa.int32()), pa.array([packed(matrix)], pa.binary())], names=[f.split()[0] for f in fields.split(", ")])
-
-    return rows.mapInArrow(run, fields).withColumn("a", F.monotonically_increasing_id())
-
-
-def _ranked(rows: DataFrame, by: list[str], key: Column, score: Column, k: int) -> DataFrame:
-    """The first k rows of each group, with rank from 1; Spark keeps k rows of a group in each task before it shuffles."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(score.desc(), key.asc_nulls_last()))
-    return rows.withColumn("rank", place).where(F.col("rank") <= k)
-
-
 def hard_negatives(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: Column | str = "label", every: int = 100, positives: int = 5, negatives: int = 5, low: int = 80, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score); anchors are rows whose key is divisible by `every`."""
     spark = df.sparkSession
@@ -120,8 +74,8 @@ def hard_negatives(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     rows = df.select(F.col(key).cast("long").alias("key"), label.cast("long").alias("label"), F.col(vector).cast("array<double>").alias("vector")).where("label is not null")
     cells = staged(tiles(rows), "tiles")
     rows = staged(picked_rows(cells, every), "anchors")
-    groups = -(-rows.count() // ANCHOR_ROWS)
-    anchors = staged(anchor_tiles(rows.repartition(max(1, groups))), "anchor-tiles").withColumn("g", F.pmod(F.xxhash64("a"), F.lit(max(1, groups))))
+    groups = -(-rows.count() // ROWS_TILE)
+    anchors = staged(row_tiles(rows.repartition(max(1, groups))), "anchor-tiles").withColumn("g", F.pmod(F.xxhash64("a"), F.lit(max(1, groups))))
     size = anchors.agg(F.coalesce(F.sum(F.length("vectors")), F.lit(0))).first()[0]
     # every candidate tile meets every group of anchor tiles: the stated set of anchors, in blocks, against all rows
     many = cells.select("keys", "labels", F.col("dim").alias("c_dim"), F.col("vectors").alias("c_vectors"), "tile")
@@ -171,10 +125,10 @@ def hard_negatives(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
 
     by_line = ["a", "line"]
     none = F.lit(None).cast("array<struct<line:int,score:long>>").alias("wanted")
-    found = staged(_ranked(mined(own.withColumn("wanted", none), same_label, 1, positives), by_line, F.col("key"), F.col("score"), positives), "positives")
+    found = staged(ranked(mined(own.withColumn("wanted", none), same_label, 1, positives), by_line, F.col("key"), F.col("score"), positives), "positives")
     found = found.select("a", (F.col("line") * positives + F.col("rank") - 1).cast("int").alias("line"), F.col("key").alias("positive_id"), F.col("score").alias("positive_score"))
-    wanted = found.groupBy("a").agg(F.collect_list(F.struct("line", F.col("positive_score").alias("score"))).alias("wanted"))  # at most positives x ANCHOR_ROWS
-    out = _ranked(mined(own.join(wanted, "a"), in_window, positives, negatives), by_line, F.col("key"), F.col("score"), negatives)
+    wanted = found.groupBy("a").agg(F.collect_list(F.struct("line", F.col("positive_score").alias("score"))).alias("wanted"))  # at most positives x ROWS_TILE
+    out = ranked(mined(own.join(wanted, "a"), in_window, positives, negatives), by_line, F.col("key"), F.col("score"), negatives)
     names_of = own.select("a", F.posexplode("a_keys").alias("i", "anchor_id"))
     out = out.join(found, by_line).withColumn("i", F.floor(F.col("line") / positives).cast("int")).join(names_of, ["a", "i"])
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("key").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listingspark.llm import bpe, fingerprints, language, licenses, media, negatives, ngram_join, packing, suffix_dedup, toxicity, url_filter
+from listingspark.llm import bpe, conversations, fingerprints, language, licenses, media, negatives, ngram_join, packing, suffix_dedup, topk, toxicity, url_filter
 
 
 def queries():
@@ -17,7 +17,9 @@ def queries():
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_bpe": bpe.op10_bpe,
+        "op11_conversation_repair": conversations.op11_conversation_repair,
         "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_topk_search": topk.op13_topk_search,
     }
 
 
@@ -26,5 +28,7 @@ def oracle_sql():
         "op2_url_filter": url_filter.ORACLE,
         "op3_ngram_join": ngram_join.ORACLE,
         "op9_license_scan": licenses.ORACLE,
+        "op11_conversation_repair": conversations.ORACLE,
         "op12_hard_negatives": negatives.ORACLE,
+        "op13_topk_search": topk.ORACLE,
     }

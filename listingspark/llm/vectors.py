@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256
@@ -22,6 +22,8 @@ MOST = 1 << 62
 #: Below every score; scores are held above it.
 LOW = -(1 << 63) + 1
 TILE_ROWS = 512
+#: Anchors or queries to a tile.
+ROWS_TILE = 256
 VECTORS = "dim int, vectors binary"
 #: Anchors or queries up to so many bytes (measured) are broadcast; beyond, both sides are dealt by key and salt.
 BROADCAST_BYTES = 64 << 20
@@ -116,6 +118,13 @@ class Heaps:
             work[line, place] = LOW
         self.merge(at, best, key[found], null[found])
 
+    def push_lines(self, lines: np.ndarray, score: np.ndarray, allowed: np.ndarray, key: np.ndarray, null: np.ndarray) -> None:
+        """push() for some of the rows."""
+        part = Heaps(0, self.k)
+        part.score, part.key, part.null = self.score[lines], self.key[lines], self.null[lines]
+        part.push(score, allowed, key, null)
+        self.score[lines], self.key[lines], self.null[lines] = part.score, part.key, part.null
+
     def rows(self) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """(row, place in the heap, key, score) of what is held."""
         row, place = np.nonzero(self.score > LOW)
@@ -154,6 +163,51 @@ def tiles(rows: DataFrame, size: int = TILE_ROWS) -> DataFrame:
     return rows.mapInArrow(run, fields).withColumn("tile", F.monotonically_increasing_id())
 
 
+def picked_rows(cells: DataFrame, every: int) -> DataFrame:
+    """(key, label, tile, place, dim, vector): the rows of the tiles whose key is divisible by `every`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                key, null = listed(batch.column(0)[i])
+                at = np.flatnonzero(~null & (key % every == 0))
+                dim, tile = batch.column(2)[i].as_py(), batch.column(4)[i].as_py()
+                matrix = unpacked(batch.column(3)[i].as_buffer(), dim)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), batch.column(1)[i].values.take(pa.array(at)), pa.array([tile] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array([dim] * len(at), pa.int32()), pa.array([packed(m[None]) for m in matrix], pa.binary())], names=["key", "label", "tile", "place", "dim", "vector"])
+
+    return cells.select("keys", "labels", "dim", "vectors", "tile").mapInArrow(run, "key long, label long, tile long, place int, dim int, vector binary")
+
+
+def row_tiles(rows: DataFrame, size: int = ROWS_TILE) -> DataFrame:
+    """(a, keys, labels, tiles, places, dim, vectors): the rows of each partition, `size` to a tile; no two tiles share a."""
+    fields = f"keys array<long>, labels array<long>, tiles array<long>, places array<int>, {VECTORS}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            full = len(table) - len(table) % size
+            yield from (made(table.slice(at, size)) for at in range(0, full, size))
+            held = table.slice(full).to_batches()
+        if held:
+            yield made(pa.Table.from_batches(held).combine_chunks())
+
+    def made(table: pa.Table) -> pa.RecordBatch:
+        dims = table["dim"].to_pylist()
+        matrix = np.concatenate([padded(unpacked(v.as_buffer(), d), 1, max(dims)) for v, d in zip(table["vector"], dims, strict=True)])
+        lists = [one_list(table[name].combine_chunks()) for name in ("key", "label", "tile", "place")]
+        return pa.RecordBatch.from_arrays([*lists, pa.array([matrix.shape[1]], pa.int32()), pa.array([packed(matrix)], pa.binary())], names=[f.split()[0] for f in fields.split(", ")])
+
+    return rows.mapInArrow(run, fields).withColumn("a", F.monotonically_increasing_id())
+
+
+def ranked(rows: DataFrame, by: list[str], key: Column, score: Column, k: int) -> DataFrame:
+    """The first k rows of each group, with rank from 1; Spark keeps k rows of a group in each task before it shuffles."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(score.desc(), key.asc_nulls_last()))
+    return rows.withColumn("rank", place).where(F.col("rank") <= k)
+
+
 def met(many: DataFrame, few: DataFrame, key: str, small: bool, salt: str) -> DataFrame:
     """The rows of both with one key: the few broadcast while they are small (measured by the caller), else both dealt by key and a salt of `many`'s rows."""
     if small:
