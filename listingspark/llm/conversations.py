@@ -14,19 +14,23 @@ Rows of a conversation are ordered by turn (nulls first), of one turn by role an
 role that is empty or has another initial than s, u, a can't be kept. A null conv_id is a conversation of its own. Repeated rows are rows of
 their own. A conversation without rows has zeros and an empty audit; an empty table gives no rows.
 
-One shuffle by conversation orders rows and finds faults, one follows the audit through the parser without texts, one applies it. A
-conversation passes each as a sorted stream through one task (a digest of its text needs that order); of it a task holds the stacks and the
-audit, which the result holds too, never the rows.
+No task needs a whole conversation. Rows are sorted over all conversations and cut into segments of at most SEGMENT rows of one
+conversation. A segment is parsed from every stack that the grammar has, without texts; what it makes of each is a small table, and the
+tables of a conversation are folded in order: only costs and ranks meet, for the order of two audits is that of their first segments that
+differ. Each segment then gets the stack it begins with and its part of the audit, and is repaired on its own. The query's digest of a whole
+repaired conversation is a hash over its text in order, so for that alone its rows pass one task, as a stream of which nothing is held.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listingspark.llm.arrays import in_small_batches, staged
@@ -42,8 +46,10 @@ ACCEPT = {0, 4, 5}
 INSERTS = 2
 #: Rows after which the audit of each top becomes one string.
 CHUNK = 256
+#: Bits of a row's place that count within a block; a segment is what a conversation has of a block.
+BLOCK = 12
 LEGAL = {"su", "ua", "au"}
-BLANK, DUPLICATE, CUT, GONE = "blank", "duplicate", "truncated", "gone"
+FINE, BLANK, DUPLICATE, CUT, GONE = "-", "b", "d", "t", "g"
 SPACES = " \t\n\x0b\x0c\r"
 ROLES = {"u": "user", "a": "assistant"}
 
@@ -71,6 +77,8 @@ def inserted(stack: tuple[int, ...]) -> tuple[tuple[str, tuple[int, ...]], ...]:
 
 
 START = (((0,), 0),)
+#: Every stack that the grammar can leave between two rows.
+STACKS = ((0,), (0, 1), (0, 2), (0, 1, 2), (0, 4), (0, 1, 5), (0, 4, 6), (0, 1, 5, 6))
 
 
 @functools.lru_cache(1 << 16)
@@ -95,8 +103,8 @@ def step(stacks: tuple[tuple[tuple[int, ...], int], ...], initial: str, fault: s
 class Parser:
     """The stacks of one conversation, row by row. A top's audit is a chain of (the chain before, words, whether it begins a chunk)."""
 
-    def __init__(self):
-        self.stacks, self.cost, self.audits, self.rows = START, 0, [(None, "", True)], 0
+    def __init__(self, stacks: tuple = START):
+        self.stacks, self.cost, self.audits, self.rows = stacks, 0, [(None, "", True)], 0
 
     def row(self, initial: str, fault: str) -> None:
         self.stacks, rise, words = step(self.stacks, initial, fault)
@@ -114,15 +122,46 @@ class Parser:
             audit = audit[0]
         return audit, "".join(reversed(words)), True
 
-    def result(self) -> tuple[int, str]:
-        """(cost, audit) of the cheapest repair."""
-        ends = [(cost + INSERT * len(word), rank, word) for rank, (old, cost) in enumerate(self.stacks) for word, stack in inserted(old) if stack[-1] in ACCEPT]
-        cost, rank, word = min(ends)
-        words, audit = [word], self.audits[rank]
+    def audit(self, rank: int) -> str:
+        words, audit = [], self.audits[rank]
         while audit:
             words.append(audit[1])
             audit = audit[0]
-        return self.cost + cost, "".join(reversed(words))
+        return "".join(reversed(words))
+
+    def result(self) -> tuple[int, str]:
+        """(cost, audit) of the cheapest repair."""
+        cost, rank, word = cheapest(self.stacks)
+        return self.cost + cost, self.audit(rank) + word
+
+
+def cheapest(stacks: tuple) -> tuple[int, int, str]:
+    """(cost, rank, insertions that end it) of the cheapest stack that the grammar accepts."""
+    return min((cost + INSERT * len(word), rank, word) for rank, (old, cost) in enumerate(stacks) for word, stack in inserted(old) if stack[-1] in ACCEPT)
+
+
+def transfer(initials: str, faults: str) -> list[list[tuple[int, int]]]:
+    """For each of STACKS the (number of the stack, cost) pairs that rows make of it, in order of audit."""
+    out = []
+    for stack in STACKS:
+        parser = ((stack, 0),), 0
+        for initial, fault in zip(initials, faults, strict=True):
+            stacks, rise, _ = step(parser[0], initial, fault)
+            parser = stacks, parser[1] + rise
+        out.append([(STACKS.index(s), cost + parser[1]) for s, cost in parser[0]])
+    return out
+
+
+def folded(stacks: tuple, table: list) -> tuple[tuple, list[tuple[int, int]]]:
+    """The (stack, cost) pairs after a segment, in order of audit, and for each the rank of the one before and the place in its row of the segment's table."""
+    tops: dict[int, tuple] = {}
+    for rank, (stack, cost) in enumerate(stacks):
+        for place, (number, more) in enumerate(table[STACKS.index(stack)]):
+            new = STACKS[number]
+            if (found := (cost + more, rank, place, new)) < tops.get(new[-1], (1 << 62,)):
+                tops[new[-1]] = found
+    merged = sorted(tops.values(), key=lambda x: x[1:3])
+    return tuple((x[3], x[0]) for x in merged), [x[1:3] for x in merged]
 
 
 def damaged(rows: DataFrame) -> DataFrame:
@@ -139,72 +178,147 @@ def damaged(rows: DataFrame) -> DataFrame:
     )
 
 
+def turns(rows: DataFrame) -> DataFrame:
+    """(conv_id, place, turn, role, text, gone), staged: the rows of (conv_id, turn, role, text, by_role, by_text, copy, gone) with their places in the order of all.
+
+    Ranges part by the first characters of a text, for their bounds pass the driver; only rows that agree so far stay together.
+    """
+    turn = F.col("turn").asc_nulls_first()
+    dealt = rows.repartitionByRange(F.col("conv_id").asc_nulls_first(), turn, "by_role", F.substring("by_text", 1, 32)).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), turn, "by_role", "by_text", "copy")
+    return staged(dealt.select("conv_id", F.monotonically_increasing_id().alias("place"), "turn", "role", F.when(~F.col("gone"), F.col("text")).alias("text"), "gone"), "turns")
+
+
 def faulty(rows: DataFrame) -> DataFrame:
-    """(conv_id, place, turn, role, text, fault): rows of (conv_id, turn, role, text, by_role, by_text, copy, gone) in order; rows that are gone keep their conversation known."""
+    """(conv_id, place, turn, initial, fault) of turns()'s rows. Equal texts of a role meet by SHA-256, reduced to their first place before they move."""
     stripped = F.rtrim(F.col("text"), F.lit(SPACES))
-    seen = F.row_number().over(Window.partitionBy("conv_id", "gone", "role", "text").orderBy("place"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "by_role", "by_text", "copy"))
-    fault = F.when(F.col("gone"), GONE).when(stripped == "", BLANK).when(seen > 1, DUPLICATE).when(~F.substring(stripped, -1, 1).isin(".", "!", "?"), CUT)
-    # both windows and the sort before them stand on one shuffle by conversation
-    return rows.repartition("conv_id").withColumn("place", place).withColumn("fault", fault).select("conv_id", "place", "turn", "role", F.when(~F.col("gone"), F.col("text")).alias("text"), "fault")
+    firsts = rows.where(~F.col("gone")).groupBy("conv_id", "role", F.sha2(F.col("text").cast("binary"), 256)).agg(F.min("place").alias("place")).select("place", F.lit(True).alias("first"))
+    cut = ~F.substring(stripped, -1, 1).isin(".", "!", "?")
+    marks = rows.select("conv_id", "place", "turn", F.substring("role", 1, 1).alias("initial"), F.when(F.col("gone"), GONE).when(stripped == "", BLANK).when(cut, CUT).otherwise(FINE).alias("mark"))
+    fault = F.when(F.col("mark").isin(GONE, BLANK), F.col("mark")).when(F.col("first"), F.col("mark")).otherwise(DUPLICATE)
+    return marks.join(firsts, "place", "left").select("conv_id", "place", "turn", "initial", fault.alias("fault"))
 
 
-REPAIRS = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
+SEGMENTS = "conv_id long, block long, initials string, faults string, illegal long, first_turn long, last_turn long, turns long, transfer string"
+NUMBERS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
 
 
-def repairs(rows: DataFrame) -> DataFrame:
-    """A row of REPAIRS for each conversation of faulty()'s rows."""
-    read = rows.select("conv_id", "place", "turn", F.substring("role", 1, 1).alias("initial"), "fault").repartition("conv_id").sortWithinPartitions("conv_id", "place")
+def _table(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    names = [f.split() for f in fields.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(names)], names=[n for n, _ in names])
+
+
+def segments(rows: DataFrame) -> DataFrame:
+    """A row of SEGMENTS for each segment of faulty()'s rows. Rows meet by block, at most 2^BLOCK of them."""
+    block = F.shiftright("place", BLOCK)
+    read = rows.select("conv_id", block.alias("block"), "place", "turn", "initial", "fault").repartition("block").sortWithinPartitions("block", "place")
+
+    def made(key: tuple, held: list[tuple]) -> tuple:
+        held = [x for x in held if x[2] != GONE]
+        initials, faults = "".join(x[1][:1] or " " for x in held), "".join(x[2] for x in held)
+        illegal = sum(a + b not in LEGAL for a, b in zip(initials, initials[1:]))
+        known = [x[0] for x in held if x[0] is not None]
+        ends = (known[0], known[-1]) if known else (None, None)
+        return (*key, initials, faults, illegal, *ends, len(set(known)), json.dumps(transfer(initials, faults)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, done = None, [], []
+        for batch in batches:
+            for conv, blk, turn, initial, fault in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), strict=True):
+                if key != (conv, blk):
+                    if key:
+                        done.append(made(key, held))
+                    key, held = (conv, blk), []
+                held.append((turn, initial, fault))
+            yield _table(done, SEGMENTS)
+            done = []
+        if key:
+            yield _table([made(key, held)], SEGMENTS)
+
+    return read.mapInArrow(run, SEGMENTS)
+
+
+CHOICES = "conv_id long, block long, entry int, exit int, tail string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long"
+
+
+def choices(parts: DataFrame) -> DataFrame:
+    """A row of CHOICES for each of segments()'s rows: the stack that it begins with, the place of the audit that is its own in its table's row of that stack, what
+    ends the audit; the last segment of a conversation also has the conversation's numbers."""
+    read = parts.repartition("conv_id").sortWithinPartitions("conv_id", "block")
 
     class Conversation:
         def __init__(self, conv):
-            self.conv, self.counts, self.illegal, self.before = conv, {BLANK: 0, DUPLICATE: 0, CUT: 0, None: 0}, 0, None
+            self.conv, self.stacks, self.path = conv, START, []
+            self.counts, self.illegal, self.before = Counter(), 0, ""
             self.first = self.last = None
-            self.turns, self.parser = 0, Parser()
-
-        def add(self, turn, initial, fault):
-            if fault == GONE:
-                return
-            self.counts[fault] += 1
-            if self.before is not None and self.before + initial not in LEGAL:
-                self.illegal += 1
-            self.before = initial
-            if turn is not None and turn != self.last:  # turns ascend
-                self.first, self.last, self.turns = turn if self.first is None else self.first, turn, self.turns + 1
-            self.parser.row(initial, fault)
-
-        def row(self):
+            self.turns = 0
+
+        def add(self, block, initials, faults, illegal, first, last, turns, table):
+            stacks, chosen = folded(self.stacks, json.loads(table))
+            self.path.append((block, [STACKS.index(s) for s, _ in self.stacks], chosen))
+            self.stacks = stacks
+            self.counts.update(faults)
+            if initials:
+                self.illegal += illegal + bool(self.before and self.before + initials[0] not in LEGAL)
+                self.before = initials[-1]
+            if turns:
+                self.turns += turns - (first == self.last)  # turns ascend
+                self.first, self.last = first if self.first is None else self.first, last
+
+        def rows(self):
+            cost, rank, word = cheapest(self.stacks)
             gaps = self.last - self.first + 1 - self.turns if self.turns else 0
-            return (self.conv, min(gaps, (1 << 63) - 1), self.counts[BLANK], self.counts[DUPLICATE], self.counts[CUT], self.illegal, *self.parser.result())
+            more = (min(gaps, (1 << 63) - 1), self.counts[BLANK], self.counts[DUPLICATE], self.counts[CUT], self.illegal, cost)
+            for block, entries, chosen in reversed(self.path):
+                rank, place = chosen[rank]
+                yield (self.conv, block, entries[rank], place, word, *more)
+                word, more = "", (None,) * len(NUMBERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64()] * 7 + [pa.string()]
-        made = lambda done: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=[f.split()[0] for f in REPAIRS.split(", ")])
-        now, done = None, []
+        now = None
         for batch in batches:
-            for conv, turn, initial, fault in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+            done: list[tuple] = []
+            for conv, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is None or conv != now.conv:
                     if now:
-                        done.append(now.row())
+                        done += now.rows()
                     now = Conversation(conv)
-                now.add(turn, initial, fault)
-            if done:
-                yield made(done)
-                done = []
+                now.add(*rest)
+            yield _table(done, CHOICES)
         if now:
-            yield made([now.row()])
+            yield _table(list(now.rows()), CHOICES)
 
-    return read.mapInArrow(run, REPAIRS)
+    return read.mapInArrow(run, CHOICES)
 
 
-def repaired(rows: DataFrame, audits: DataFrame) -> DataFrame:
-    """(conv_id, edit, role, text): what becomes of faulty()'s rows, in order within a conversation; deleted rows keep their own role and text.
+def audits(parts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(conv_id, block, audit, before): each segment's part of the audit and the initial that stands before it."""
+    other = chosen.select(F.col("conv_id").alias("of"), "block", "entry", "exit", "tail")
+    read = parts.join(other, (parts["block"] == other["block"]) & parts["conv_id"].eqNullSafe(other["of"])).select("conv_id", parts["block"], "initials", "faults", "entry", "exit", "tail")
+    fields = "conv_id long, block long, audit string, before string"
 
-    The audit stands before its conversation's rows as a row of its own, so that the rows pass once.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for conv, block, initials, faults, entry, place, tail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parser = Parser(((STACKS[entry], 0),))
+                for initial, fault in zip(initials, faults, strict=True):
+                    parser.row(initial, fault)
+                done.append((conv, block, parser.audit(place) + tail, "u" if STACKS[entry][-1] in (2, 6) else ""))
+            yield _table(done, fields)
+
+    return read.mapInArrow(run, fields)
+
+
+def repaired(rows: DataFrame, edits: DataFrame, by: str = "block") -> DataFrame:
+    """(conv_id, edit, role, text): what becomes of turns()'s rows, in order within a segment, or by="conv_id" within a conversation; deleted rows keep their role and text.
+
+    A segment's audit stands before its rows as a row of its own, so that the rows pass once.
     """
-    head = audits.select("conv_id", F.lit(0).alias("place"), F.col("audit").alias("role"), F.lit(None).cast("string").alias("text"))
-    body = rows.where(~F.col("fault").eqNullSafe(GONE)).select("conv_id", "place", "role", "text")
-    ordered = head.unionByName(body).repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    head = edits.select("conv_id", "block", F.lit(-1).cast("long").alias("place"), F.col("audit").alias("role"), F.col("before").alias("text"))
+    body = rows.where(~F.col("gone")).select("conv_id", F.shiftright("place", BLOCK).alias("block"), "place", "role", "text")
+    ordered = head.unionByName(body).repartition(by).sortWithinPartitions("conv_id", "block", "place")
+    fields = "conv_id long, edit string, role string, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, audit, at, before = None, "", 0, ""
@@ -223,24 +337,20 @@ def repaired(rows: DataFrame, audits: DataFrame) -> DataFrame:
                 emit("I", None, "")
                 at += 1
 
-        def made():
-            found = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))], names=["conv_id", "edit", "role", "text"])
-            out.clear()
-            return found
-
         for batch in batches:
-            for c, place, role, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for c, place, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 inserts()
-                if not place:
-                    conv, audit, at, before = c, role, 0, ""
+                if place < 0:
+                    conv, audit, at, before = c, role, 0, text
                 else:
                     emit(audit[at], role, text)
                     at += 1
-            yield made()
+            yield _table(out, fields)
+            out.clear()
         inserts()
-        yield made()
+        yield _table(out, fields)
 
-    return ordered.mapInArrow(run, "conv_id long, edit string, role string, text string")
+    return ordered.mapInArrow(run, fields)
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -267,12 +377,22 @@ def digests(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "conv_id long, repaired_sha256 string")
 
 
+def repairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conversations, edits) of turns()'s rows: (conv_id, NUMBERS, audit) and audits()'s rows, both staged in part."""
+    parts = staged(segments(faulty(rows)), "segments")
+    chosen = staged(choices(parts), "choices")
+    edits = staged(audits(parts, chosen), "edits")
+    whole = edits.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "audit"))), lambda x: x["audit"]), "").alias("audit")).withColumnRenamed("conv_id", "of")
+    found = chosen.where("cost is not null").select("conv_id", *NUMBERS)
+    return found.join(whole, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of"), edits
+
+
 @in_small_batches
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, the cheapest repair and the digest of what it leaves, for each conversation of the damaged table."""
-    rows = staged(faulty(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))), "turns")
-    found = staged(repairs(rows), "repairs")
-    sums = digests(repaired(rows, found)).withColumnRenamed("conv_id", "of")
+    rows = turns(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    found, edits = repairs(rows)
+    sums = digests(repaired(rows, edits, by="conv_id")).withColumnRenamed("conv_id", "of")
     return found.join(sums, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of").withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))
 
 

@@ -46,7 +46,7 @@ def parsed(rows):
 def test_every_repair_of_short_conversations():
     rng = random.Random(8)
     for n in (0, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3, 4, 4):
-        rows = [(rng.choice("suuaa" + "t ") if rng.random() < 0.95 else "", rng.choice([None, None, c.BLANK, c.DUPLICATE, c.CUT])) for _ in range(n)]
+        rows = [(rng.choice("suuaa" + "t ") if rng.random() < 0.95 else "", rng.choice([c.FINE, c.FINE, c.BLANK, c.DUPLICATE, c.CUT])) for _ in range(n)]
         assert parsed(rows) == min(repairs_of(rows)), rows
 
 
@@ -65,7 +65,7 @@ def test_long_conversations_keep_whole_audits():
         return out
 
     for n in (3 * c.CHUNK + 5, 40):
-        rows = [(rng.choice("suuuaa"), rng.choice([None, None, None, c.BLANK, c.CUT])) for _ in range(n)]
+        rows = [(rng.choice("suuuaa"), rng.choice([c.FINE, c.FINE, c.FINE, c.BLANK, c.CUT])) for _ in range(n)]
         best = {0: (0, "")}
         for initial, fault in rows:
             new = {}
@@ -114,15 +114,43 @@ def test_widest_gap(spark, rough):
     assert len(rows) == 1 and rows[0].gaps >= 0
 
 
-def test_repaired_rows_are_real(spark, rough):
-    rows = c.staged(c.faulty(c.damaged(spark.read.parquet(f"{rough}/conversations.parquet"))), "turns")
-    found = c.staged(c.repairs(rows), "repairs")
+def test_repaired_rows_are_real(spark, rough, monkeypatch):
+    monkeypatch.setattr(c, "BLOCK", 3)  # segments of eight rows at most
+    rows = c.turns(c.damaged(spark.read.parquet(f"{rough}/conversations.parquet")))
+    found, edits = c.repairs(rows)
     out: dict = {}
-    for r in c.repaired(rows, found).collect():
+    for r in c.repaired(rows, edits, by="conv_id").collect():
         out.setdefault(r.conv_id, []).append(r)
-    for f in found.collect():
+    found = found.collect()
+    for f in found:
         mine = out.get(f.conv_id, [])
         assert "".join(r.edit for r in mine) == f.audit and GOOD.fullmatch("".join(r.role[:1] for r in mine if r.edit != "D"))
+    spread = sorted((r.conv_id, r.edit, r.role, r.text) for r in c.repaired(rows, edits).where("conv_id is not null").collect())
+    assert spread == sorted((k, r.edit, r.role, r.text) for k, v in out.items() for r in v if k is not None)
+    monkeypatch.setattr(c, "BLOCK", 12)
+    whole, _ = c.repairs(rows)
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+
+
+def test_segments_fold_to_the_whole():
+    rng = random.Random(11)
+    for _ in range(200):
+        rows = [(rng.choice("suuaax"), rng.choice([c.FINE, c.FINE, c.BLANK, c.DUPLICATE, c.CUT])) for _ in range(rng.randint(0, 12))]
+        cuts = sorted(rng.choices(range(len(rows) + 1), k=3))
+        stacks, path = c.START, []
+        for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+            initials, faults = "".join(x[0] for x in rows[a:b]), "".join(x[1] for x in rows[a:b])
+            before = stacks
+            stacks, chosen = c.folded(stacks, c.transfer(initials, faults))
+            path.append((initials, faults, before, chosen))
+        cost, rank, audit = c.cheapest(stacks)
+        for initials, faults, before, chosen in reversed(path):
+            rank, place = chosen[rank]
+            parser = c.Parser(((before[rank][0], 0),))
+            for x in zip(initials, faults):
+                parser.row(*x)
+            audit = parser.audit(place) + audit
+        assert (cost, audit) == parsed(rows)
 
 
 def test_twin(spark):
