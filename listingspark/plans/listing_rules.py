@@ -209,19 +209,27 @@ def listing_age(spark, sf_dir):
     return listings(spark, sf_dir).select("vin", "r_partkey", F.bround(R.age_days(F.coalesce("first_seen_at", "scraped_at"), AS_OF), 1).alias("days"), stale().alias("stale"))
 
 
+DOCUMENT_SQL = f"""left(concat_ws(' ', concat_ws(' ', cast(year AS VARCHAR), make, model, trim) || '.', CASE WHEN NOT {empty_sql('exterior_color')} THEN 'Exterior color: ' || exterior_color || '.' END, CASE WHEN NOT {empty_sql('interior_color')} THEN 'Interior color: ' || interior_color || '.' END,
+        CASE WHEN NOT {empty_sql('transmission')} THEN 'Transmission: ' || transmission || '.' END, CASE WHEN NOT {empty_sql('drivetrain')} THEN 'Drivetrain: ' || drivetrain || '.' END, CASE WHEN NOT {empty_sql('fuel_type')} THEN 'Fuel: ' || fuel_type || '.' END,
+        'Dealer: ' || dealer_name || ', ' || country || '.'), 8000)"""
+
+
 @query(
     "listing_document",
     with_listings(
-        f"""SELECT vin, r_partkey, left(concat_ws(' ', concat_ws(' ', cast(year AS VARCHAR), make, model, trim) || '.', CASE WHEN NOT {empty_sql('exterior_color')} THEN 'Exterior color: ' || exterior_color || '.' END, CASE WHEN NOT {empty_sql('interior_color')} THEN 'Interior color: ' || interior_color || '.' END,
-        CASE WHEN NOT {empty_sql('transmission')} THEN 'Transmission: ' || transmission || '.' END, CASE WHEN NOT {empty_sql('drivetrain')} THEN 'Drivetrain: ' || drivetrain || '.' END, CASE WHEN NOT {empty_sql('fuel_type')} THEN 'Fuel: ' || fuel_type || '.' END,
-        'Dealer: ' || dealer_name || ', ' || country || '.'), 8000) AS document FROM l"""
+        f"SELECT vin, r_partkey, {DOCUMENT_SQL} AS document FROM l"
     ),
 )
 def listing_document(spark, sf_dir):
+    return listings(spark, sf_dir).select("vin", "r_partkey", listing_text().alias("document"))
+
+
+def listing_text():
+    """What a listing says of itself, in a few sentences."""
     say = lambda label, c: F.when(~R.is_empty(F.col(c)), F.concat(F.lit(f"{label}: "), F.col(c), F.lit(".")))
     head = F.concat(F.concat_ws(" ", F.col("year").cast("string"), "make", "model", "trim"), F.lit("."))
     parts = [say("Exterior color", "exterior_color"), say("Interior color", "interior_color"), say("Transmission", "transmission"), say("Drivetrain", "drivetrain"), say("Fuel", "fuel_type")]
-    return listings(spark, sf_dir).select("vin", "r_partkey", F.left(F.concat_ws(" ", head, *parts, F.concat(F.lit("Dealer: "), "dealer_name", F.lit(", "), "country", F.lit("."))), F.lit(8000)).alias("document"))
+    return F.left(F.concat_ws(" ", head, *parts, F.concat(F.lit("Dealer: "), "dealer_name", F.lit(", "), "country", F.lit("."))), F.lit(8000))
 
 
 @query(
