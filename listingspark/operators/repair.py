@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingspark.functions import rules as R
+from listingspark.operators.runs import staged
 
 #: Words that say too little, which an overlay may replace.
 GENERIC = {
@@ -138,9 +139,8 @@ def vehicles_of(payloads: DataFrame, key: str, payload: str, source: str, rank:
     level = payloads.select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(rank).alias("rank"), F.lit("").alias("place"), F.try_parse_json(payload).alias("v"))
     found = []
     for depth in range(VEHICLE_DEPTH + 1):
-        level.createOrReplaceTempView("_payloads")
-        entries = spark.sql("SELECT k, source, rank, place, e.pos AS pos, e.key AS name, e.value AS v FROM _payloads, LATERAL variant_explode(v) AS e")
-        entries = entries.withColumn("whole", F.col("name").isNull() & whole)
+        entries = spark.sql("SELECT k, source, rank, place, e.pos AS pos, e.key AS name, e.value AS v FROM {level}, LATERAL variant_explode(v) AS e", level=level)
+        entries = staged(entries.withColumn("whole", F.col("name").isNull() & whole), "entries")  # read for the lists, for what is found and for the next level
         lists = entries.where("name is null").groupBy("k", "source", "rank", "place").agg(F.bool_or("whole").alias("taken"))
         entries = entries.join(lists, ["k", "source", "rank", "place"], "left").withColumn("place", F.concat("place", F.format_string("/%06d", "pos")))
         found.append(entries.where("whole").select("k", "source", "rank", "place", vin.alias("vin"), first("year", "Year", "modelYear").try_cast("int").alias("year"), first("make", "Make").alias("make"), first("model", "Model").alias("model")))

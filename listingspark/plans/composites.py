@@ -11,6 +11,7 @@ from listingspark.operators import merge as M
 from listingspark.plans.catalog import query
 from listingspark.plans.listing_rules import QUALITY_SQL, empty_sql
 from listingspark.plans.vectors import NEAR_SQL, catalog_neighbours
+from listingspark.sources import mapping as T
 from listingspark.tables import ARRIVAL, listings, table, with_listings
 
 CONDITION_SQL = "CASE WHEN p_size % 6 = 0 THEN 'CPO' WHEN p_size % 5 = 0 THEN 'Used' WHEN p_retailprice > 1500 THEN 'Used' WHEN p_size < 10 THEN 'New' ELSE 'Pre-Owned' END"
@@ -66,16 +67,35 @@ def attr_array_lookup(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", exact.alias("flag"), part.alias("status"))
 
 
-ALIASES = {"transmission": ["transmission", "transmissionType"], "drivetrain": ["drivetrain", "driveTrain", "driveType"], "body": ["body_style", "bodyType"]}
+def _overlay_text() -> str:
+    """An SQL text of an overlay: every field under three of its names, by the part's number, beside `ep` or within it; some values are junk."""
+    names: dict[str, list[str]] = {f: [f] for f in T.OVERLAY_FIELDS}
+    for alias, field in T.ALIASES:
+        names[field].append(alias)
+    beside, within = [], []
+    for i, (field, own) in enumerate(names.items()):
+        for k, name in enumerate(own):
+            value = lambda junk: f"""'"{name}": "' || CASE WHEN (p_partkey + {i + k}) % {junk} = 0 THEN 'n/a' ELSE '{field[:4]}{k} ' || p_size END || '"'"""  # noqa: B023, E731
+            beside.append(f"CASE WHEN (p_partkey + {k}) % 4 < 2 OR {len(own)} = 2 THEN {value(3)} END")
+            within.append(f"CASE WHEN (p_partkey * 3 + {k + i}) % 5 = 0 THEN {value(2)} END")
+    return "'{' || concat_ws(', ', " + ", ".join(beside) + """, CASE WHEN p_partkey % 2 = 0 THEN '"ep": {' || concat_ws(', ', """ + ", ".join(within) + ") || '}' END) || '}'"
 
 
-@query("alias_coalesce", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'A' ELSE 'B' END AS transmission, CASE WHEN p_size % 2 = 0 THEN 'AWD' END AS drivetrain, p_type AS body FROM part")
+OVERLAY_TEXT = _overlay_text()
+
+
+def _overlay_sql(field: str) -> str:
+    picks = []
+    for name in [field, *(a for a, f in T.ALIASES if f == field)]:
+        value = f"""CASE WHEN json_exists(j, '$.ep."{name}"') THEN j->>'$.ep."{name}"' ELSE j->>'$."{name}"' END"""
+        picks.append(f"CASE WHEN NOT {empty_sql(value)} THEN {value} END")
+    return "coalesce(" + ", ".join(picks) + f") AS {field}"
+
+
+@query("alias_coalesce", f"SELECT p_partkey, {', '.join(map(_overlay_sql, T.OVERLAY_FIELDS))} FROM (SELECT p_partkey, ({OVERLAY_TEXT})::JSON AS j FROM part)")
 def alias_coalesce(spark, sf_dir):
-    """Canonical keys of a JSON payload filled from their aliases where they are empty."""
-    payload = F.to_json(F.struct(F.when(F.col("p_size") % 3 == 0, "A").otherwise("n/a").alias("transmission"), F.lit("B").alias("transmissionType"), F.when(F.col("p_size") % 2 == 0, "AWD").alias("driveType"), F.col("p_type").alias("bodyType")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", payload.alias("j"))
-    pick = lambda names: F.coalesce(*[R.placeholder_null(F.get_json_object("j", f"$.{n}")) for n in names])
-    return rows.select("p_partkey", *[pick(v).alias(k) for k, v in ALIASES.items()])
+    """The fields of an overlay under 47 aliases, some of them within `ep`, by a table of names."""
+    return T.overlay_fields(table(spark, sf_dir, "part").select("p_partkey", F.expr(OVERLAY_TEXT).alias("payload")), "p_partkey", "payload")
 
 
 @query("vin_decode_patch", "SELECT p_partkey, 1990 + p_size % 30 AS year, CASE WHEN p_size % 4 = 0 THEN p_size % 9 END AS cylinders, concat_ws(' ', '2.0L', CASE WHEN p_size % 4 = 0 THEN 'V' || (p_size % 9) END, CASE WHEN p_size % 3 = 0 THEN 'Turbo' END) AS engine FROM part")

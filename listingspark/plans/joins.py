@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listingspark.functions import rules as R
+from listingspark.operators import fuzzy as Z
 from listingspark.plans.catalog import query
 from listingspark.plans.listing_rules import HOST_SQL, empty_sql
 from listingspark.tables import listings, table, with_listings
@@ -196,17 +197,6 @@ def dummy_purge(spark, sf_dir):
     SELECT b AS id, min(a) AS duplicate_of FROM p WHERE 200.0 * length(array_to_string(same, '')) / (length(array_to_string(x, '')) + length(array_to_string(y, ''))) >= 88 GROUP BY b""",
 )
 def fuzzy_duplicates(spark, sf_dir):
-    """Names of one block whose token sets are alike to 88 %: distinct names meet, not records, then the least record of an alike name is taken.
-
-    Records of a name point to its least one, so a name with many records makes a row each.
-    """
+    """Records of one nation whose names' token sets are alike to 88 %; a record points to the least one that it resembles."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("block"), F.concat(F.lit("store "), (F.col("c_custkey") % 40).cast("string"), F.lit(" "), F.lower("c_mktsegment")).alias("name"))
-    names = rows.groupBy("block", "name").agg(F.min("id").alias("least")).withColumn("tokens", F.array_sort(F.array_distinct(F.split("name", " "))))
-    tokens = names.select("block", "name", F.explode("tokens").alias("t"))
-    pairs = tokens.join(tokens.withColumnRenamed("name", "other"), ["block", "t"]).select("block", "name", "other").distinct()
-    both = pairs.join(names.select("block", "name", F.col("tokens").alias("x")), ["block", "name"]).join(names.select("block", F.col("name").alias("other"), F.col("tokens").alias("y"), "least"), ["block", "other"])
-    # with whole tokens as units: twice the shared length over both lengths
-    length = lambda a: F.aggregate(a, F.lit(0), lambda s, t: s + F.length(t))
-    ratio = 200.0 * length(F.array_intersect("x", "y")) / (length("x") + length("y"))
-    alike = both.where(ratio >= 88).groupBy("block", "name").agg(F.min("least").alias("duplicate_of"))
-    return rows.join(alike, ["block", "name"]).where("duplicate_of < id").select("id", "duplicate_of")
+    return Z.duplicates(rows, "id", ["block"], "name", 88)

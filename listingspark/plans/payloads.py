@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from listingspark.functions import rules as R
 from listingspark.plans.catalog import query
-from listingspark.plans.listing_rules import HOST_SQL, ISSUES_SQL, issues
+from listingspark.plans.listing_rules import HOST_SQL, ISSUES_SQL, empty_sql, issues
 from listingspark.sources import files as S
+from listingspark.sources import mapping as T
 from listingspark.streaming.jobs import scratch
 from listingspark.tables import listings, table, with_listings
 
@@ -52,35 +56,123 @@ def payload_list_pick(spark, sf_dir):
     return S.largest_vehicle_lists(payloads, "k", "payload").groupBy("k").agg(F.count("*").alias("n"), F.min("vin").alias("first_vin"))
 
 
-@query("vehicle_json_map", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'alpha' ELSE 'beta' END AS provider, 'V' || p_partkey AS vin, 2000 + p_size % 20 AS year, p_brand AS make, cast(p_retailprice AS DOUBLE) AS price FROM part WHERE p_partkey % 3 < 2")
+# ---------------------------------------------------------------- dialects by a table of paths
+
+VALUES = {
+    "vin": "'V' || p_partkey", "stock_number": "'S' || p_partkey", "year": "2000 + p_size % 20", "make": "p_brand", "model": "p_type", "trim": "split_part(p_name, ' ', 2)", "price": "1000 + p_partkey % 5000", "msrp": "2000 + p_size",
+    "mileage": "p_size * 1000", "exterior_color": "split_part(p_name, ' ', 1)", "interior_color": "'Cognac ' || p_size", "body_style": "p_type", "fuel_type": "CASE WHEN p_size % 2 = 0 THEN 'Gasoline' ELSE 'Diesel' END", "transmission": "'Automatic ' || p_size",
+    "drivetrain": "CASE WHEN p_size % 3 = 0 THEN 'AWD' ELSE 'FWD' END", "cylinders": "p_size % 9", "image_url": "'https://img.example/' || p_partkey", "zip_code": "10000 + p_partkey % 80000", "history_url": "'https://history.example/' || p_partkey",
+    "engine_description": "p_size || ' cylinders of steel'", "condition": "CASE WHEN p_size % 2 = 0 THEN 'Used' ELSE 'New' END", "mpg_city": "15 + p_size % 20", "mpg_highway": "20 + p_size % 20",
+}
+
+
+def payload_text(fields: dict[str, list[str]]) -> str:
+    """An SQL text of a vehicle's JSON, alike in both dialects of SQL: each field under two of its places, by the part's number; the first holds junk for every fifth part."""
+    once = Counter(path.partition(".")[0] for paths in fields.values() for path in paths if not path.startswith("@"))
+    groups: dict[str, list[str]] = {"": [], "@": []}
+    for i, (field, paths) in enumerate(fields.items()):
+        own = [p for p in paths if p.startswith("@") or "." in p or once[p] == 1]
+        for k, path in enumerate(own):
+            outer, _, leaf = path.rpartition(".") if not path.startswith("@") else ("@", "", path[1:])
+            value = lambda v: f"""'"' || {v} || '"'"""
+            junk = f"CASE WHEN (p_partkey + {i}) % 5 = 0 THEN ' N/A ' ELSE cast({VALUES[field]} AS string) END"
+            member = lambda v: f"""'{{"name": "{leaf[:1].upper()}{leaf[1:]} ", "value": ' || {value(v)} || '}}'""" if outer == "@" else f"""'"{leaf}": ' || {value(v)}"""  # noqa: B023, E731
+            second = f" WHEN (p_partkey + {i + 1}) % {len(own)} = {k} THEN {member(f'cast({VALUES[field]} AS string)')}" if len(own) > 1 else ""
+            groups.setdefault(outer, []).append(f"CASE WHEN (p_partkey + {i}) % {len(own)} = {k} THEN {member(junk)}{second} END")
+    parts = groups.pop("")
+    parts.append("""'"trackingAttributes": [' || concat_ws(', ', """ + ", ".join(groups.pop("@")) + ") || ']'")
+    parts += [f"""nullif('"{name}": {{' || concat_ws(', ', {", ".join(members)}) || '}}', '"{name}": {{}}')""" for name, members in groups.items()]
+    return "'{' || concat_ws(', ', " + ", ".join(parts) + ") || '}'"
+
+
+PAYLOADS = {provider: payload_text(fields) for provider, fields in T.DIALECTS.items()}
+PAYLOAD_TEXT = f"CASE p_partkey % 3 WHEN 0 THEN {PAYLOADS['com']} WHEN 1 THEN {PAYLOADS['on']} ELSE '{{\"vin\": \"unknown\"}}' END"
+
+
+def _field_sql(field: str, paths: list[str]) -> str:
+    picks = []
+    for path in paths:
+        if path.startswith("@"):
+            nk = "regexp_replace(lower(x->>'$.name'), '[^a-z0-9]+', '', 'g')"
+            found = f"""list_transform(list_filter(json_extract(j, '$.trackingAttributes[*]'), lambda x: contains({nk}, '{path[1:]}') OR (length({nk}) >= 5 AND contains('{path[1:]}', {nk}))), lambda x: trim(x->>'$.value'))"""
+            picks.append(f"list_filter({found}, lambda v: {_usable_sql(field, 'v')})[1]")
+        else:
+            place = "$." + ".".join(f'"{n}"' for n in path.split("."))
+            value = f"nullif(trim(json_extract_string(j, '{place}')), '')"
+            picks.append(f"CASE WHEN json_type(j, '{place}') NOT IN ('OBJECT', 'ARRAY') AND {_usable_sql(field, value)} THEN {value} END")
+    return "coalesce(" + ", ".join(picks) + ")"
+
+
+def _number_sql(v: str) -> str:
+    return f"try_cast(nullif(regexp_replace({v}, '[^0-9.]', '', 'g'), '') AS DOUBLE)"
+
+
+def _usable_sql(field: str, v: str) -> str:
+    return f"{_number_sql(v)} > 0" if field in T.WHOLE + T.DECIMAL else f"NOT {empty_sql(v)}"
+
+
+def _column_sql(field: str, provider: str) -> str:
+    paths = T.DIALECTS[provider].get(field)
+    text = _field_sql(field, paths) if paths else "NULL"
+    return f"{_number_sql(text)}::INTEGER" if field in T.WHOLE and paths else f"{_number_sql(text)}" if field in T.DECIMAL and paths else text
+
+
+@query(
+    "vehicle_json_map",
+    f"WITH r AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'com' WHEN 1 THEN 'on' ELSE 'gone' END AS provider, ({PAYLOAD_TEXT})::JSON AS j FROM part) SELECT p_partkey, provider, "
+    + ", ".join(f"CASE WHEN provider = 'com' THEN {_column_sql(f, 'com')} ELSE {_column_sql(f, 'on')} END AS {f}" for f in T.fields_of(T.DIALECTS)) + " FROM r WHERE provider <> 'gone'",
+)
 def vehicle_json_map(spark, sf_dir):
-    """Two dialects and an unknown one, which gives nothing."""
+    """Vehicles of two dialects, each field under some of its names, to listing columns; an unknown provider gives nothing."""
     part, kind = table(spark, sf_dir, "part"), F.col("p_partkey") % 3
-    vin, year = F.concat(F.lit("V"), F.col("p_partkey").cast("string")), 2000 + F.col("p_size") % 20
-    alpha = F.to_json(F.struct(vin.alias("vin"), year.alias("year"), F.col("p_brand").alias("make"), F.struct(F.col("p_retailprice").alias("msrp")).alias("pricing")))
-    beta = F.to_json(F.struct(vin.alias("VIN"), year.alias("ModelYear"), F.struct(F.col("p_brand").alias("Name")).alias("Make"), F.array(F.struct(F.col("p_retailprice").alias("Amount"))).alias("Prices")))
-    rows = part.select("p_partkey", F.when(kind == 0, "alpha").when(kind == 1, "beta").otherwise("gamma").alias("provider"), F.when(kind == 0, alpha).otherwise(beta).alias("payload"))
-    return S.mapped(rows, "provider", "payload", ["p_partkey"])
+    texts = {"com": F.expr(PAYLOADS["com"]), "on": F.expr(PAYLOADS["on"]), "gone": F.lit('{"vin": "unknown"}')}
+    feeds = [part.where(kind == i).select("p_partkey", F.lit(name).alias("provider"), text.alias("payload")) for i, (name, text) in enumerate(texts.items())]
+    return T.mapped_by_table(feeds[0].unionByName(feeds[1]).unionByName(feeds[2]), "p_partkey", "provider", "payload")
+
+
+#: Names under which pages' scripts assign their state, in the order in which they are tried.
+STATES = [r"__PRELOADED_STATE__\s*=\s*(\{.*?\})\s*;?\s*</script>", r"InventoryData\s*=\s*(\{.*?\})\s*;?\s*</script>", r"__INITIAL_STATE__\s*=\s*(\{.*?\})\s*;?\s*</script>", r"vehicleList\s*=\s*(\[.*?\])\s*;?\s*</script>", r'<script[^>]*id="__NEXT_DATA__"[^>]*>(\{.*?\})\s*</script>']
+#: Scripts planted into pages by number: each kind, one that doesn't parse before one that does, and none.
+SCRIPTS = [
+    '<script>window.__PRELOADED_STATE__ = {J};</script>', '<script>var InventoryData={J}</script>', '<script>window.__INITIAL_STATE__ = {J} ;</script>', '<script>let vehicleList = [{J}];</script>', '<script id="__NEXT_DATA__" type="application/json">{J}</script>',
+    '<script>window.__PRELOADED_STATE__ = {broken: };</script><script>var InventoryData = {J};</script>', "",
+]
+STATE_TEXT = "replace(html, '</body>', replace(element_at({array}, cast(page_id % 7 + 1 as int)), '{{J}}', '{{\"item\": ' || page_id || ', \"vin\": \"p' || page_id || '\", \"words\": ' || length(html) || '}}') || '</body>')"
+
+
+def _embedded_sql() -> str:
+    scripts = "[" + ", ".join(f"'{x}'" for x in SCRIPTS) + "]"
+    page = STATE_TEXT.format(array="").replace("element_at(, cast(page_id % 7 + 1 as int))", f"{scripts}[page_id % 7 + 1]")
+    found = [f"nullif(regexp_extract(page, '(?is){p}', 1), '')" for p in STATES]
+    state = "coalesce(" + ", ".join(f"CASE WHEN json_valid({f}) THEN {f} END" for f in found) + ")"
+    return f"SELECT page_id, CASE WHEN starts_with(state, '[') THEN 'list' WHEN state IS NOT NULL THEN 'object' END AS kind, coalesce(state->>'$.item', state->>'$[0].item')::BIGINT AS item, coalesce(state->>'$.vin', state->>'$[0].vin') AS vin, coalesce(state->>'$.words', state->>'$[0].words')::BIGINT AS words FROM (SELECT page_id, {state} AS state FROM (SELECT page_id, {page} AS page FROM pages))"
 
 
-@query("html_embedded_json", "SELECT page_id, page_id AS item, 'p' || page_id AS vin FROM pages")
+@query("html_embedded_json", _embedded_sql())
 def html_embedded_json(spark, sf_dir):
-    """State assigned in a page's script (planted); the first pattern that parses wins."""
-    page = F.concat(F.col("html"), F.when(F.col("page_id") % 2 == 0, "<script>window.__INITIAL_STATE__ = ").otherwise("<script>var InventoryData = "), F.to_json(F.struct(F.col("page_id").alias("item"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("vin"))), F.lit(";</script>"))
-    found = [F.nullif(F.regexp_extract(page, p, 1), F.lit("")) for p in (r"__INITIAL_STATE__ = (\{.*?\});</script>", r"InventoryData = (\{.*?\});</script>")]
-    rows = table(spark, sf_dir, "pages").select("page_id", F.coalesce(*[F.when(F.try_parse_json(f).isNotNull(), f) for f in found]).alias("j"))
-    return rows.select("page_id", F.get_json_object("j", "$.item").cast("long").alias("item"), F.get_json_object("j", "$.vin").alias("vin"))
+    """State that a page's script assigns; the first of five patterns whose JSON parses wins."""
+    page = F.expr(STATE_TEXT.format(array="array(" + ", ".join(f"'{x}'" for x in SCRIPTS) + ")"))
+    found = [F.nullif(F.regexp_extract("page", f"(?is){p}", 1), F.lit("")) for p in STATES]
+    rows = table(spark, sf_dir, "pages").select("page_id", page.alias("page")).select("page_id", F.coalesce(*[F.when(F.try_parse_json(f).isNotNull(), f) for f in found]).alias("state"))
+    get = lambda n: F.coalesce(F.get_json_object("state", f"$.{n}"), F.get_json_object("state", f"$[0].{n}"))
+    return rows.select("page_id", F.when(F.startswith("state", F.lit("[")), "list").when(F.col("state").isNotNull(), "object").alias("kind"), get("item").cast("long").alias("item"), get("vin").alias("vin"), get("words").cast("long").alias("words"))
 
 
-@query("geojson_records", "SELECT s_suppkey AS id, s_name AS name, (s_suppkey % 90)::DOUBLE AS lat, (s_suppkey % 180)::DOUBLE AS lon, CASE WHEN s_suppkey % 4 = 0 THEN 'no_name' END AS reason FROM supplier")
+@query("geojson_records", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 > 0 THEN s_name END AS name, CASE WHEN s_suppkey % 7 > 0 THEN (s_suppkey % 90)::DOUBLE END AS lat, CASE WHEN s_suppkey % 7 > 0 THEN (s_suppkey % 180)::DOUBLE END AS lon, nullif(concat_ws(',', CASE WHEN s_suppkey % 4 = 0 THEN 'no_name' END, CASE WHEN s_suppkey % 7 = 0 THEN 'no_coordinates' END), '') AS reason FROM supplier")
 def geojson_records(spark, sf_dir):
-    """Features under one of two names for the name; a reason where nothing can be read."""
-    rows = table(spark, sf_dir, "supplier").select(F.struct(F.lit("Feature").alias("type"), F.struct(F.array((F.col("s_suppkey") % 180).cast("double"), (F.col("s_suppkey") % 90).cast("double")).alias("coordinates")).alias("geometry"), F.struct(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("name"), F.when(F.col("s_suppkey") % 2 == 1, F.col("s_name")).alias("dealerName")).alias("properties")).alias("f"), (F.col("s_suppkey") % 8).alias("file"))
-    collections = rows.groupBy("file").agg(F.collect_list("f").alias("features")).select(F.lit("FeatureCollection").alias("type"), "features")
+    """Features under one of two names for the name, some without a name or a place; what can't be read says why. A collection holds some hundred features, however many there are."""
+    rows, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    files = max(1, rows.count() // 100)
+    place = F.when(key % 7 > 0, F.array((key % 180).cast("double"), (key % 90).cast("double")))
+    name = F.when(key % 4 > 0, F.col("s_name"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(place.alias("coordinates")).alias("geometry"), F.struct(key.alias("id"), F.when(key % 2 == 0, name).alias("name"), F.when(key % 2 == 1, name).alias("dealerName")).alias("properties"))
+    collections = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(files)).alias("file")).agg(F.collect_list(feature).alias("features")).select(F.lit("FeatureCollection").alias("type"), "features")
     schema = "features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<id:long,name:string,dealerName:string>>>"
     read = S.json_bundles(spark, _written(collections, "geojson", "json"), schema).select(F.explode("features").alias("f"))
     p, at = F.col("f.properties"), F.col("f.geometry.coordinates")
-    return read.select(p["id"].alias("id"), F.coalesce(p["name"], p["dealerName"]).alias("name"), at[1].alias("lat"), at[0].alias("lon"), F.when(p["id"] % 4 == 0, "no_name").alias("reason"))
+    named = F.coalesce(p["name"], p["dealerName"])
+    reason = F.array_join(F.array_compact(F.array(F.when(R.is_empty(named), "no_name"), F.when(~F.coalesce(F.size(at) == 2, F.lit(False)), "no_coordinates"))), ",")
+    return read.select(p["id"].alias("id"), named.alias("name"), F.get(at, F.lit(1)).alias("lat"), F.get(at, F.lit(0)).alias("lon"), F.nullif(reason, F.lit("")).alias("reason"))
 
 
 @query("distinct_roots", f"SELECT DISTINCT 'https://' || {HOST_SQL} AS root FROM pages")
@@ -125,7 +217,8 @@ def scan_run_log(spark, sf_dir):
     path = scratch(spark, "runs")
     log.write.partitionBy("day").parquet(path)
     back = spark.read.parquet(path)
-    newest = back.groupBy("dealer").agg(F.slice(F.sort_array(F.collect_list(F.struct("ts", "event_id", "summary")), asc=False), 1, 3).alias("x")).select("dealer", F.inline("x"))
+    place = F.row_number().over(Window.partitionBy("dealer").orderBy(F.desc("ts"), F.desc("event_id")))
+    newest = back.withColumn("k", place).where("k <= 3")  # three rows of a dealer leave each task
     return newest.select("event_id", F.col("dealer").alias("user_id"), F.get_json_object("summary", "$.outcome").alias("outcome"))
 
 

@@ -24,12 +24,12 @@ def provider_map_plugin(spark, sf_dir):
     return S.mapped(rows, "provider", "payload", ["p_partkey"], providers)
 
 
-@query("encoder_plugin", "SELECT doc_id, " + ", ".join(f"round((length(text) - length(replace(text, '{c}', '')))::DOUBLE / greatest(1, length(text)), 6) AS share_{c}" for c in "aeiou") + " FROM documents")
+@query("encoder_plugin", "SELECT doc_id, length(coalesce(text, '')) AS n_chars, " + ", ".join(f"length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', '')) AS n_{c}" for c in "aeiou") + " FROM documents")
 def encoder_plugin(spark, sf_dir):
-    """Every document through a user's encoder, here by the shares of vowels."""
+    """Every document through a user's encoder, here by the shares of vowels; as counts, for shares of equal counts are equal in any arithmetic."""
     encode = U.encoder(U.letter_shares("aeiou"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", encode(F.col("text")).alias("v"))
-    return rows.select("doc_id", *[F.round(F.get("v", F.lit(i)), 6).alias(f"share_{c}") for i, c in enumerate("aeiou")])
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), encode(F.col("text")).alias("v"))
+    return rows.select("doc_id", "n_chars", *[F.round(F.get("v", F.lit(i)) * F.greatest(F.col("n_chars"), F.lit(1))).cast("long").alias(f"n_{c}") for i, c in enumerate("aeiou")])
 
 
 PATTERNS = {"link": "https?://[a-z0-9.-]+", "paragraph": "<p[ >]", "dash": "[a-z]+-[a-z]+"}
@@ -47,7 +47,9 @@ def pattern_udtf(spark, sf_dir):
 
 @query("token_set_ratio")
 def token_set_ratio(spark, sf_dir):
-    """Parts of one brand and size whose names' words are much alike (90 or more), scored within these blocks only."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    pairs = part.alias("a").join(part.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(U.token_set_ratio("a.p_name", "b.p_name"), 4).alias("score")).where("score >= 90")
+    """Names of parts of one brand and size whose words are much alike (90 or more), with the numbers of their parts. A pair of names is scored once, however many blocks and parts have it."""
+    names = table(spark, sf_dir, "part").groupBy("p_brand", "p_size", "p_name").agg(F.count("*").alias("n"))
+    pairs = names.alias("a").join(names.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_name") < F.col("b.p_name")))
+    pairs = pairs.select("a.p_brand", "a.p_size", F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
+    scores = pairs.select("a", "b").distinct().withColumn("score", F.round(U.token_set_ratio("a", "b"), 4)).where("score >= 90")
+    return pairs.join(scores, ["a", "b"]).select("p_brand", "p_size", "a", "b", "score", "n_a", "n_b")

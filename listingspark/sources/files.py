@@ -49,8 +49,7 @@ def largest_vehicle_lists(payloads: DataFrame, key: str, payload: str, least: in
     level = payloads.select(F.col(key).alias("k"), F.lit("$").alias("path"), F.try_parse_json(payload).alias("v"))
     entries = None
     while True:
-        level.createOrReplaceTempView("_level")
-        level = spark.sql("SELECT k, path AS parent, e.pos AS at, path || CASE WHEN e.key IS NULL THEN '[' || e.pos || ']' ELSE '.' || e.key END AS path, e.value AS v, e.key IS NULL AS in_array FROM _level, LATERAL variant_explode(v) AS e")
+        level = spark.sql("SELECT k, path AS parent, e.pos AS at, path || CASE WHEN e.key IS NULL THEN '[' || e.pos || ']' ELSE '.' || e.key END AS path, e.value AS v, e.key IS NULL AS in_array FROM {level}, LATERAL variant_explode(v) AS e", level=level)
         folder = scratch(spark, "level")
         level.write.parquet(folder)
         level = spark.read.schema(level.schema).parquet(folder)
