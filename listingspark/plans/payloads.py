@@ -72,15 +72,19 @@ def payload_text(fields: dict[str, list[str]]) -> str:
     groups: dict[str, list[str]] = {"": [], "@": []}
     for i, (field, paths) in enumerate(fields.items()):
         own = [p for p in paths if p.startswith("@") or "." in p or once[p] == 1]
-        for k, path in enumerate(own):
-            outer, _, leaf = path.rpartition(".") if not path.startswith("@") else ("@", "", path[1:])
-            value = lambda v: f"""'"' || {v} || '"'"""
-            junk = f"CASE WHEN (p_partkey + {i}) % 5 = 0 THEN ' N/A ' ELSE cast({VALUES[field]} AS string) END"
-            member = lambda v: f"""'{{"name": "{leaf[:1].upper()}{leaf[1:]} ", "value": ' || {value(v)} || '}}'""" if outer == "@" else f"""'"{leaf}": ' || {value(v)}"""  # noqa: B023, E731
-            second = f" WHEN (p_partkey + {i + 1}) % {len(own)} = {k} THEN {member(f'cast({VALUES[field]} AS string)')}" if len(own) > 1 else ""
-            groups.setdefault(outer, []).append(f"CASE WHEN (p_partkey + {i}) % {len(own)} = {k} THEN {member(junk)}{second} END")
+        for second in range(min(2, len(own))):
+            name = f"split_part('{'|'.join(own)}', '|', cast((p_partkey + {i + second}) % {len(own)} as int) + 1)"
+            value = f"cast({VALUES[field]} AS string)" if second else f"CASE WHEN (p_partkey + {i}) % 5 = 0 THEN ' N/A ' ELSE cast({VALUES[field]} AS string) END"
+            outer = {p.rpartition(".")[0] if not p.startswith("@") else "@" for p in own}
+            for group in outer:
+                here = {"": f"{name} NOT LIKE '@%' AND {name} NOT LIKE '%.%'", "@": f"{name} LIKE '@%'"}.get(group, f"{name} LIKE '{group}.%'")
+                leaf = name if group == "" else f"substring({name}, {len(group) + (group != '@') + 1})"
+                made = f"""'{{"name": "' || upper({leaf}) || ' ", "value": "' || {value} || '"}}'""" if group == "@" else f"""'"' || {leaf} || '": "' || {value} || '"'"""
+                groups.setdefault(group, []).append(made if outer == {""} else f"CASE WHEN {here} THEN {made} END")
     parts = groups.pop("")
-    parts.append("""'"trackingAttributes": [' || concat_ws(', ', """ + ", ".join(groups.pop("@")) + ") || ']'")
+    attributes = groups.pop("@")
+    if attributes:
+        parts.append("""'"trackingAttributes": [' || concat_ws(', ', """ + ", ".join(attributes) + ") || ']'")
     parts += [f"""nullif('"{name}": {{' || concat_ws(', ', {", ".join(members)}) || '}}', '"{name}": {{}}')""" for name, members in groups.items()]
     return "'{' || concat_ws(', ', " + ", ".join(parts) + ") || '}'"
 

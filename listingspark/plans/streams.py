@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from listingspark.functions import rules as R
 from listingspark.operators import merge as M
 from listingspark.plans.catalog import query
+from listingspark.plans.listing_rules import empty_sql
+from listingspark.streaming import ingest as I
 from listingspark.streaming import jobs as J
 from listingspark.tables import listings, with_listings
 
@@ -23,15 +25,33 @@ def raw_dedupe_stream(spark, sf_dir):
     return J.run_to_table(J.deduped(rows, ["fp"], "ts", "2 days"), "dedupe").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("scan_ingest_stream", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+@query(
+    "scan_ingest_stream",
+    with_listings(
+        """SELECT vin, arg_max_null(price, b) AS price, arg_max_null(mileage, b) AS mileage, arg_max(trim, b) FILTER (trim IS NOT NULL) AS trim, arg_max(transmission, b) FILTER (transmission IS NOT NULL) AS transmission, arg_max(fuel_type, b) FILTER (fuel_type IS NOT NULL) AS fuel_type,
+           arg_max(stock, b) FILTER (stock IS NOT NULL) AS stock_number, min(b)::INTEGER AS first_batch, max(b)::INTEGER AS last_batch, CASE WHEN max(b) < 2 THEN 'kept' WHEN min(b) = 2 THEN 'inserted' ELSE 'updated' END AS action FROM last GROUP BY vin""",
+        "p AS (SELECT *, r_partkey % 3 AS b, dealer_id || '/' || year AS k, row_number() OVER (PARTITION BY r_partkey % 3, dealer_id, year ORDER BY vin, r_partkey, r_quantity, r_extendedprice, r_discount, r_tax) AS pos FROM l)",
+        "n AS (SELECT b, k FROM p GROUP BY b, k HAVING count(*) >= 3)",
+        f"last AS (SELECT vin, b, price, mileage, trim, transmission, fuel_type, stock FROM (SELECT vin, b, CASE WHEN price > 0 THEN round(price) END AS price, CASE WHEN mileage > 0 THEN mileage END AS mileage, trim, CASE WHEN NOT {empty_sql('transmission')} THEN transmission END AS transmission, CASE WHEN NOT {empty_sql('fuel_type')} THEN fuel_type END AS fuel_type, CASE WHEN r_partkey % 2 = 0 THEN 'S' || r_partkey END AS stock, row_number() OVER (PARTITION BY vin, b ORDER BY k DESC, pos DESC) AS r FROM p JOIN n USING (b, k)) WHERE r = 1)",
+    ),
+)
 def scan_ingest_stream(spark, sf_dir):
-    """A snapshot of the last event of each user, folded batch by batch."""
-
-    def step(batch, before):
-        new = M.last_wins(batch.select("user_id", "event_type", "value", "ts", "event_id"), "user_id", ["ts", "event_id"])
-        return new if before is None else M.last_wins(before.unionByName(new), "user_id", ["ts", "event_id"])
-
-    return J.run_by_batch(events(spark, sf_dir), "ingest", step).select("user_id", "event_type", "value")
+    """Three days of captured payloads (of a dealer and year, in two dialects) folded into a snapshot, each day by a run of its own that goes on from the folder's checkpoint."""
+    rows = listings(spark, sf_dir).withColumn("b", F.col("r_partkey") % 3)
+    field = lambda name, c: c.alias(name)
+    price, stock = F.round("price").cast("long"), F.when(F.col("r_partkey") % 2 == 0, F.concat(F.lit("S"), F.col("r_partkey").cast("string")))
+    order = [F.col(c).alias(f"_{c}") for c in ("vin", "r_partkey", "r_quantity", "r_extendedprice", "r_discount", "r_tax")]
+    com = F.struct(field("vin", F.col("vin")), field("stockNumber", stock), field("pricing", F.struct(price.alias("finalPrice"))), field("odometer", F.col("mileage")), field("trimName", F.col("trim")), field("transmissionType", F.col("transmission")), field("fuelType", F.col("fuel_type")))
+    on = F.struct(field("VIN", F.col("vin")), field("stock", stock), field("internetPrice", price), field("miles", F.col("mileage")), field("trim", F.col("trim")), field("transmission", F.col("transmission")), field("fuel_type", F.col("fuel_type")))
+    cars = rows.groupBy("b", "dealer_id", "year").agg(F.array_sort(F.collect_list(F.struct(*order, com.alias("com"), on.alias("on")))).alias("cars"))
+    odd = F.col("year") % 2 == 1
+    page = lambda name: F.to_json(F.struct(F.struct(F.struct(F.transform("cars", lambda c: c[name]).alias("vehicles"), F.lit(3).alias("total")).alias("inventory")).alias("data"), F.array(F.struct(F.lit("/a").alias("href"))).alias("links")))
+    payloads = cars.select("b", F.concat_ws("/", "dealer_id", F.col("year").cast("string")).alias("k"), F.when(odd, "on").otherwise("com").alias("provider"), F.when(odd, page("on")).otherwise(page("com")).alias("payload"))
+    source, folder = J.scratch(spark, "payloads"), J.scratch(spark, "ingest")
+    for day in range(3):
+        payloads.where(F.col("b") == day).drop("b").write.mode("append").json(source)
+        snapshot = I.ingested(spark, source, folder, day)
+    return snapshot.select("vin", "price", "mileage", "trim", "transmission", "fuel_type", "stock_number", "first_batch", "last_batch", "action")
 
 
 @query("price_change_state", "SELECT user_id AS key, count(*) AS changes FROM (SELECT user_id, v IS DISTINCT FROM lag(v) OVER (PARTITION BY user_id ORDER BY ts, v) AS moved FROM (SELECT user_id, ts, round(value / 25) AS v FROM events)) WHERE moved GROUP BY user_id")
