@@ -204,18 +204,6 @@ def spec_backfill(spark, sf_dir):
     return part.select("p_partkey").join(best, "p_partkey", "left").select("p_partkey", "x.value", "x.tier", "x.source")
 
 
-@query(
-    "post_scan_pipeline",
-    with_listings(
-        f"SELECT dealer_id, count(*) AS n, round(avg(s), 4) AS score, count(*) FILTER (s < 80) AS weak FROM (SELECT dealer_id, {QUALITY_SQL} AS s FROM (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY {', '.join(a + ' DESC' for a in ARRIVAL)}) AS k FROM l WHERE r_partkey % 2 = 1) WHERE k = 1)) GROUP BY dealer_id"
-    ),
-)
-def post_scan_pipeline(spark, sf_dir):
-    """The batch's last rows, scored, with statistics for each dealer."""
-    rows = M.last_wins(listings(spark, sf_dir).where("r_partkey % 2 = 1"), "vin", ARRIVAL).withColumn("s", R.quality_score(R.listing_checks()))
-    return rows.groupBy("dealer_id").agg(F.count("*").alias("n"), F.round(F.avg("s"), 4).alias("score"), F.count_if(F.col("s") < 80).alias("weak"))
-
-
 @query("package_panel", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT lower(title)))[1:4], ';') AS packages FROM (SELECT l_orderkey, CASE WHEN l_linenumber % 2 = 0 THEN 'Pack ' || l_returnflag ELSE 'PACK ' || l_returnflag END || (l_suppkey % 3) AS title FROM lineitem) GROUP BY l_orderkey")
 def package_panel(spark, sf_dir):
     title = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "Pack ").otherwise("PACK "), "l_returnflag", (F.col("l_suppkey") % 3).cast("string"))

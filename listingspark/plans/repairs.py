@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from listingspark.functions import rules as R
 from listingspark.operators import merge as M
 from listingspark.operators import repair as P
+from listingspark.operators.runs import Run, commit, latest
 from listingspark.plans.catalog import query
-from listingspark.plans.listing_rules import JUNK_SQL, empty_sql
+from listingspark.plans.listing_rules import JUNK_SQL, QUALITY_SQL, empty_sql
+from listingspark.streaming.jobs import scratch
 from listingspark.tables import ARRIVAL, listings, table, with_listings
 
 TEXTS = ["transmission", "drivetrain", "fuel_type", "body_style", "trim", "interior_color", "exterior_color"]
@@ -60,6 +62,16 @@ SLOTS = {"drivetrain": "f_drivetrain IS NULL AND coalesce(c.drivetrain, '') <> '
 SLOTS = {c: f"(regexp_matches(f.vin, '^[A-HJ-NPR-Z0-9]{{17}}$') AND {e})" for c, e in SLOTS.items()}
 
 
+def decoder_cache(spark, sf_dir):
+    """Cached answers of a VIN decoder, for VINs of two thirds of the suppliers."""
+    vin = F.concat(F.lit("V"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_linenumber").cast("string"), 4, "0"))
+    rows, least = table(spark, sf_dir, "lineitem").where("l_suppkey % 3 > 0"), F.min("l_suppkey")
+    return rows.groupBy(vin.alias("vin")).agg(
+        (1990 + least % 30).cast("int").alias("year"), (least % 5 * 2).cast("int").alias("cylinders"), F.when(least % 7 == 0, "Electric").otherwise("Gasoline").alias("fuel_type"),
+        F.when(least % 2 == 0, "RWD").otherwise("").alias("drivetrain"), F.lit("Sedan").alias("body_style"),
+    )
+
+
 @query(
     "structured_backfill",
     with_listings(
@@ -70,12 +82,7 @@ SLOTS = {c: f"(regexp_matches(f.vin, '^[A-HJ-NPR-Z0-9]{{17}}$') AND {e})" for c,
 )
 def structured_backfill(spark, sf_dir):
     """Two tiers: the repair, then cached answers of a VIN decoder for slots that are still open."""
-    rows, least = listings(spark, sf_dir).where("r_suppkey % 3 > 0"), F.min("r_suppkey")
-    cache = rows.groupBy("vin").agg(
-        (1990 + least % 30).cast("int").alias("year"), (least % 5 * 2).cast("int").alias("cylinders"), F.when(least % 7 == 0, "Electric").otherwise("Gasoline").alias("fuel_type"),
-        F.when(least % 2 == 0, "RWD").otherwise("").alias("drivetrain"), F.lit("Sedan").alias("body_style"),
-    )
-    out = P.decode_backfill(repaired(spark, sf_dir), cache, "vin", ["drivetrain", "fuel_type", "body_style"])
+    out = P.decode_backfill(repaired(spark, sf_dir), decoder_cache(spark, sf_dir), "vin", ["drivetrain", "fuel_type", "body_style"])
     outcome = F.when(F.size("decoded") > 0, "decoder").when(F.size("fields") > 0, "repair").otherwise("no_fillable_fields")
     return out.select("vin", "r_partkey", F.array_join("fields", ",").alias("fields"), F.array_join("decoded", ",").alias("decoded"), "cylinders", "fuel_type", "drivetrain", outcome.alias("outcome"))
 
@@ -218,3 +225,49 @@ def gap_report(spark, sf_dir):
     none = F.from_json(F.lit('[{"zip": "", "visible_result_count": 0, "visible_dealer_names": [], "search_triggered": false, "no_ui_change_detected": true}]'), kind)
     rows = debug.select("user_id", F.inline(F.when(F.size(seen) > 0, seen).otherwise(none)))
     return rows.withColumn("visible_dealer_names", F.to_json("visible_dealer_names"))
+
+
+# ---------------------------------------------------------------- after a scan
+
+STATISTICS = {
+    "found": {"rows": "count(*)", "without_price": "count_if(price IS NULL)"},
+    "repair": {"rows_patched": "count_if(patched)"} | {f"field_{c}": f"count_if(fixed_{c})" for c in (*TEXTS, "cylinders")},
+    "decoder": {"candidates": "count_if(lacking)", "applied": "count_if(n_decoded > 0)", "values": "coalesce(sum(n_decoded), 0)"},
+    "score": {"rows": "count(*)", "weak": "count_if(score < 80)", "hundredths": "coalesce(sum(round(score * 100)), 0)"},
+}
+SCAN_SQL = with_listings(
+    " UNION ALL ".join(f"SELECT '{stage}' AS stage, '{figure}' AS figure, ({e})::BIGINT AS value FROM after" for stage, figures in STATISTICS.items() for figure, e in figures.items())
+    + " UNION ALL SELECT 'store', 'rows', count(*) FROM one UNION ALL SELECT 'store', 'scored', count(*) FROM after UNION ALL SELECT dealer_id, 'weak', count(*) FILTER (score < 80) FROM after GROUP BY dealer_id",
+    ONE, REFERENCE_SQL, CACHE_SQL, "seen AS (SELECT DISTINCT vin FROM l WHERE r_partkey % 2 = 1)",
+    "patch AS (SELECT one.*, " + ", ".join(f"{e} AS f_{c}" for c, e in REPAIRED.items()) + ", " + ", ".join(f"{c} IS DISTINCT FROM ({e}) AS fixed_{c}" for c, e in REPAIRED.items()) + " FROM one JOIN seen USING (vin) LEFT JOIN ref USING (make, model))",
+    "given AS (SELECT f.*, " + ", ".join(f"coalesce({e}, false) AS g_{c}" for c, e in SLOTS.items()) + ", " + ", ".join(f"c.{c} AS d_{c}" for c in SLOTS) + " FROM patch f LEFT JOIN cache c ON c.vin = f.vin)",
+    f"after AS (SELECT *, {' OR '.join('fixed_' + c for c in REPAIRED)} AS patched, {QUALITY_SQL} AS score FROM (SELECT vin, dealer_id, title, make, model, price, mileage, n_photos, f_transmission AS transmission, f_trim AS trim, f_exterior_color AS exterior_color, f_interior_color AS interior_color, "
+    + ", ".join(f"fixed_{c}" for c in REPAIRED) + ", f_transmission IS NULL OR NOT coalesce(f_cylinders > 0, false) AS lacking, " + " + ".join(f"g_{c}::INTEGER" for c in SLOTS) + " AS n_decoded, "
+    + ", ".join(f"CASE WHEN g_{c} THEN d_{c} ELSE {'year' if c == 'year' else 'f_' + c} END AS {c}" for c in SLOTS) + " FROM given))",
+)
+
+
+@query("post_scan_pipeline", SCAN_SQL)
+def post_scan_pipeline(spark, sf_dir):
+    """This run's VINs through repair, decoder and score into the store's next version, in one job and one commit, and what each stage counted on the way."""
+    rows = listings(spark, sf_dir)
+    folder = scratch(spark, "listings")
+    commit(M.last_wins(rows, "vin", ARRIVAL).withColumn("score", F.lit(None).cast("double")), folder)
+    store, run = latest(spark, folder), Run(spark)
+    seen = rows.where("r_partkey % 2 = 1").select("vin").distinct()
+    told = {stage: {n: F.expr(e).cast("long") for n, e in figures.items()} for stage, figures in STATISTICS.items()}
+
+    found = run.observed(store.join(seen, "vin", "left_semi"), "found", **told["found"])
+    names = [*TEXTS, "cylinders"]
+    patched = P.storage_repairs(found, reference_specs(spark, sf_dir), ["make", "model"], TEXTS, FILLED)
+    patched = patched.withColumns({f"fixed_{c}": F.array_contains("fields", c) for c in names} | {"patched": F.size("fields") > 0, "lacking": F.col("transmission").isNull() | ~F.coalesce(F.col("cylinders") > 0, F.lit(False))})
+    patched = run.observed(patched, "repair", **told["repair"])
+    decoded = P.decode_backfill(patched, decoder_cache(spark, sf_dir), "vin", ["drivetrain", "fuel_type", "body_style"]).withColumn("n_decoded", F.size("decoded"))
+    decoded = run.observed(decoded, "decoder", **told["decoder"])
+    scored = run.observed(decoded.withColumn("score", R.quality_score(R.listing_checks())), "score", **told["score"])
+    commit(scored.select(*store.columns).unionByName(store.join(seen, "vin", "left_anti")), folder)
+
+    after = latest(spark, folder)
+    whole = after.agg(F.count("*").alias("rows"), F.count("score").alias("scored")).select(F.lit("store").alias("stage"), F.inline(F.array(F.struct(F.lit("rows").alias("figure"), F.col("rows").alias("value")), F.struct(F.lit("scored").alias("figure"), F.col("scored").alias("value")))))
+    dealers = after.where("score IS NOT NULL").groupBy(F.col("dealer_id").alias("stage")).agg(F.count_if(F.col("score") < 80).alias("value")).select("stage", F.lit("weak").alias("figure"), "value")
+    return run.statistics().unionByName(whole).unionByName(dealers)
