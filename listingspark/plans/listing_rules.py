@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listingspark.functions import rules as R
+from listingspark.functions import trims as TR
 from listingspark.plans.catalog import query
 from listingspark.tables import AS_OF, listings, table, with_listings
 
@@ -245,45 +246,40 @@ def price_vs_valuation(spark, sf_dir):
     return listings(spark, sf_dir).select("vin", "r_partkey", R.price_position(F.col("price"), F.when(even, F.col("msrp") * 10), F.when(even, F.col("msrp") * 30), F.col("msrp") * 20).alias("position"))
 
 
-#: Names of trims dealt over parts, to decode.
-NAMES = [
-    ("BMW", "330", "330i xDrive", "3 Series sedan"), ("BMW", "X5", "xDrive40i", "X5 SAV"), ("BMW", "i4", "eDrive40", "i4 Gran Coupe"), ("BMW", "X7", "M60i", "X7"), ("BMW", "330", "330e", "Plug-in"), ("BMW", "M340i", "M340i", "M340i"),
-    ("Mercedes-Benz", "E-Class", "E 450 4MATIC", "E 450"), ("Mercedes-Benz", "C-Class", "C 300", "C 300 9-Speed Automatic"), ("Mazda", "CX-5", "Touring AWD", "CX-5"), ("Ford", "F-150", "XLT 4x4", "TEN-SPEED AUTOMATIC"), ("Audi", "A4", "quattro", "A4 CVT"), ("Kia", "Rio", "S", "Rio"),
-]
+#: Words of names, dealt over parts by number, size and brand so that they meet in all ways; the title begins with the part's own name.
+NAME_PARTS = {
+    "make": ("BMW|MINI|Mazda|Mercedes-Benz|Ford|Audi|BMW|Kia", "p_partkey"), "model": ("330|X5|i4|X7|M340i|540i|7 Series|E-Class|C-Class|CX-5|MAZDA3|MX-5|F-150|Ranger|Explorer|A4|430i|M3|Z4|3", "(p_partkey - p_partkey % 8) / 8"),
+    "trim": ("330i xDrive|xDrive40i|eDrive40|M60i|330e|sDrive30i|40 xDrive|750i|E 450 4MATIC|C 300|AMG 63|Touring AWD|XLT 4x4|quattro|hatchback FWD 6MT|Gran Coupe|S|M40i", "p_partkey * 7 + p_size"),
+    "tail": ("|9-Speed Automatic|TEN-SPEED AUTOMATIC|CVT|electric|8 spd auto trans|manual", "p_size"),
+}
 
 
-def _named(make: str, model: str, trim: str, title: str) -> tuple:
-    """What the rules make of each planted name, worked by hand."""
-    return {
-        "330i xDrive": (4, None, "AWD", None, None, "8-Speed Automatic"),
-        "xDrive40i": (6, None, "AWD", "Gas / Mild Hybrid", "SUV", "8-Speed Automatic"),
-        "eDrive40": (0, None, "RWD", "Electric", "Gran Coupe", None),
-        "M60i": (8, None, None, None, "SUV", "8-Speed Automatic"),
-        "330e": (4, None, "RWD", "Plug-In Hybrid", None, "8-Speed Automatic"),
-        "M340i": (6, None, "RWD", "Gas / Mild Hybrid", "Sedan", "8-Speed Automatic"),
-        "E 450 4MATIC": (6, None, "AWD", None, None, None),
-        "C 300": (4, 9, None, None, None, "9-Speed Automatic"),
-        "Touring AWD": (None, None, "AWD", None, "SUV", "Automatic"),
-        "XLT 4x4": (None, None, "AWD", None, "Truck", "10-Speed Automatic"),
-        "quattro": (None, None, "AWD", None, None, "CVT"),
-        "S": (None, None, None, None, None, None),
-    }[trim]
+def _dealt(name: str) -> str:
+    words, number = NAME_PARTS[name]
+    return f"split_part('{words}', '|', cast(({number}) % {words.count('|') + 1} as int) + 1)"
 
 
-def _value(x) -> str:
-    return "NULL" if x is None else repr(x) if isinstance(x, str) else str(x)
+def _rules_sql() -> str:
+    """DuckDB's run of the rule table: rules join names, and of each group the least number wins."""
+    q = lambda v: "'" + v.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {', '.join(q(v) for v in (r.group, r.value, r.brand, r.on, r.pattern, r.also_on, r.also, r.unless_on, r.unless, r.needs))})" for i, r in enumerate(TR.RULES))
+    pick = lambda on: f"CASE {on} WHEN 'name' THEN name WHEN 'model' THEN model_u ELSE words END"
+    fits = f"(brand = '' OR regexp_matches(make_u, brand)) AND (pattern = '' OR regexp_matches({pick('onto')}, pattern)) AND (also = '' OR regexp_matches({pick('also_on')}, also)) AND (unless = '' OR NOT regexp_matches({pick('unless_on')}, unless))"
+    return f"""WITH rules(id, grp, value, brand, onto, pattern, also_on, also, unless_on, unless, needs) AS (VALUES {values}),
+    r AS (SELECT p_partkey, {_dealt('make')} AS make, {_dealt('model')} AS model, {_dealt('trim')} AS trim, trim(p_name || ' ' || {_dealt('tail')}) AS title FROM part),
+    t AS (SELECT *, upper(make) AS make_u, upper(model) AS model_u, upper(title || ' ' || trim || ' ' || model) AS name, upper(trim || ' ' || title) AS words FROM r),
+    m AS (SELECT p_partkey, split_part(arg_min(value, id), '|', 1)::INTEGER AS cylinders, nullif(split_part(arg_min(value, id), '|', 2), '') AS fuel_hint FROM t JOIN rules ON grp = 'motor' AND {fits} GROUP BY p_partkey),
+    f AS (SELECT t.p_partkey, grp, arg_min(value, id) AS value FROM t LEFT JOIN m USING (p_partkey) JOIN rules ON grp <> 'motor' AND {fits} AND (needs = '' OR CASE needs WHEN 'electric' THEN coalesce(cylinders = 0, false) WHEN 'burning' THEN NOT coalesce(cylinders = 0, false) ELSE coalesce(cylinders > 0, false) END) GROUP BY ALL),
+    g AS (SELECT p_partkey, max(value) FILTER (grp = 'drivetrain') AS drivetrain, max(value) FILTER (grp = 'body') AS body_hint, max(value) FILTER (grp = 'shift') AS shift FROM f GROUP BY p_partkey),
+    s AS (SELECT t.*, m.cylinders, m.fuel_hint, g.drivetrain, g.body_hint, g.shift, try_cast(nullif(regexp_extract(name, '{TR.SPEEDS}', 1), '') AS INTEGER) AS told FROM t LEFT JOIN m USING (p_partkey) LEFT JOIN g USING (p_partkey))
+    SELECT p_partkey, make, model, trim, title, cylinders, coalesce(told, CASE WHEN shift = '10-Speed Automatic' THEN 10 END) AS gears, drivetrain, fuel_hint, body_hint, replace(shift, '{{gears}}', coalesce(told::VARCHAR, '')) AS transmission_hint FROM s"""
 
 
-@query(
-    "trim_decode",
-    "WITH n(k, make, trim, cylinders, gears, drivetrain, fuel_hint, body_hint, transmission_hint) AS (VALUES "
-    + ", ".join(f"({i}, {_value(n[0])}, {_value(n[2])}, {', '.join(map(_value, _named(*n)))})" for i, n in enumerate(NAMES))
-    + f") SELECT p_partkey, n.* EXCLUDE (k) FROM part JOIN n ON p_partkey % {len(NAMES)} = k",
-)
+@query("trim_decode", _rules_sql())
 def trim_decode(spark, sf_dir):
-    pick = lambda j: F.element_at(F.array(*[F.lit(n[j]) for n in NAMES]), (F.col("p_partkey") % len(NAMES) + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", pick(0).alias("make"), pick(1).alias("model"), pick(2).alias("trim"), pick(3).alias("title"))
-    return rows.withColumn("d", R.trim_decode(F.col("make"), F.col("model"), F.col("trim"), F.col("title"))).select("p_partkey", "make", "trim", "d.*")
+    """Mechanics from the names of all parts, by the rule table."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_dealt('make')} AS make", f"{_dealt('model')} AS model", f"{_dealt('trim')} AS trim", f"trim(p_name || ' ' || {_dealt('tail')}) AS title")
+    return rows.withColumn("d", TR.decoded(F.col("make"), F.col("model"), F.col("trim"), F.col("title"))).select("p_partkey", "make", "model", "trim", "title", "d.*")
 
 
 ENGINES = ["2.0L Turbo I4", "3.5-L V6", "Electric Motor", "V8 6.2L", "", "1.5 liter"]
