@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from listingspark.functions import rules as R
+from listingspark.operators import pagespecs as P
 from listingspark.plans.catalog import query
 from listingspark.plans.listing_rules import HOST_SQL, families_sql
 from listingspark.tables import table
@@ -134,11 +135,55 @@ def response_triage(spark, sf_dir):
     return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("hits").alias("hits"))
 
 
-@query("page_spec_extract", "SELECT p_partkey, try_cast(regexp_extract(t, 'Engine:</td><td>V?([0-9]+)-cyl', 1) AS INTEGER) AS cylinders, try_cast(regexp_extract(t, '([0-9]+) City', 1) AS INTEGER) AS city, regexp_extract(t, 'Drive:</td><td>([A-Z]+)', 1) AS drivetrain, try_cast(regexp_replace(regexp_extract(t, '[$]([0-9,]+)', 1), ',', '', 'g') AS BIGINT) AS price FROM (SELECT p_partkey, '<tr><td>Engine:</td><td>' || (p_size % 9) || '-cyl</td></tr><tr><td>Drive:</td><td>' || CASE WHEN p_size % 2 = 0 THEN 'AWD' ELSE 'FWD' END || '</td></tr><p>' || (20 + p_size) || ' City / 30 Hwy, $' || p_size || ',' || lpad(cast(p_partkey % 1000 AS VARCHAR), 3, '0') || '</p>' AS t FROM part)")
+#: What is planted into pages of parts, by page number: data in a graph beside a table that it outdoes, cells beside and below their headers, a list, texts, data that doesn't parse.
+SPECS = [
+    """'<script type="application/ld+json">{"@graph": [{"@type": "BreadcrumbList", "vehicleTransmission": "no"}, {"@type": ["Car", "Product"], "vehicleTransmission": {"name": "' || shift || '"}, "driveWheelConfiguration": "' || drive || '", "vehicleEngine": {"name": "2.0L ' || cyl || '-cyl"}}]}</script><table class="s"><tr><td>Engine</td><td>V12</td></tr><tr><td>MPG</td><td>' || city || '/' || hwy || '</td></tr></table>'""",
+    """'<table><tr><th>Engine:</th><td>Turbo <b>' || cyl || ' cylinder</b></td><td>x</td></tr><tr><th>Drive&nbsp;type</th><td> ' || drive || '</td></tr><tr><td>Fuel Economy</td><td>' || city || ' / ' || hwy || ' est.</td></tr><tr><td>alone</td></tr></table><p>Now $' || p_size || ',500</p>'""",
+    """'<table id="t"><tr><th>Transmission</th><th>Cylinders</th><th>Drivetrain</th><th>MPG</th></tr><tr><td>' || shift || '</td><td>V6</td><td>' || drive || '</td><td>' || city || '-' || hwy || '</td></tr></table>'""",
+    """'<dl><dt>Engine</dt><dd>Electric ' || p_size || ' kWh</dd> <dt>Transmission</dt> <dd>one</dd><dt>Transmission</dt><dd>' || shift || '</dd></dl>'""",
+    """'<p>Fuel economy est. of ' || city || '/' || hwy || ' for $ ' || p_size || '</p><script>var d = {"highwayFuelEconomy": "' || hwy || '"}</script>'""",
+    """'<script type="application/ld+json">{"@type": "Car", broken</script><script type="application/ld+json">[{"vin": "1", "transmission": "' || shift || '", "vehicleEngine": "I4 turbo"}]</script><script>city_fuel_economy = ' || city || '</script>'""",
+]
+SPEC_TEXT = "replace(html, '</body>', CASE page_id % 6 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(SPECS)) + " END || '</body>')"
+SPEC_VALUES = {"shift": "cast(p_size % 10 as string) || '-Speed'", "drive": "CASE WHEN p_partkey % 2 = 0 THEN 'AWD' ELSE 'FWD' END", "cyl": "cast(p_size % 9 as string)", "city": "cast(12 + p_size % 20 as string)", "hwy": "cast(20 + p_size % 20 as string)"}
+
+
+def _spec_sql() -> str:
+    def text(h):
+        out = f"regexp_replace({h}, '<[^>]*>', ' ', 'g')"
+        for entity, sign in P.ENTITIES.items():
+            out = f"replace({out}, '{entity}', '{sign.replace(chr(39), chr(39) * 2)}')"
+        return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+    def cyl(e):
+        return f"coalesce(try_cast(nullif(regexp_extract({e}, '{P.CYLINDERS}', 1), '') AS INTEGER), CASE WHEN regexp_matches(upper({e}), '{P.ELECTRIC}') THEN 0 END, try_cast(nullif(substr(regexp_extract({e}, '{P.LAYOUT}', 1), 2), '') AS INTEGER))"
+
+    cell = "regexp_extract_all({}, '(?is)<t[hd](?:\\s[^>]*)?>(.*?)</t[hd]>', 1)"
+    pair = lambda a, b: f"{{'label': {text(a)}, 'value': {text(b)}}}"
+    first = lambda fits, take: f"list_filter(list_transform(list_filter(ps, lambda p: {fits}), lambda p: {take}), lambda x: x IS NOT NULL)[1]"
+    mpg = f"regexp_matches(lower(p.label), '{P.MPG_LABEL}') AND regexp_matches(p.value, '{P.PAIR}')"
+    q = lambda v: v.replace("'", "''")
+    number = lambda p, g=1: f"try_cast(nullif(regexp_extract(page, '{q(p)}', {g}), '') AS INTEGER)"
+    return f"""WITH src AS (SELECT page_id, {SPEC_TEXT} AS page FROM (SELECT *, {", ".join(f"{e} AS {n}" for n, e in SPEC_VALUES.items())} FROM pages JOIN part ON p_partkey = page_id % 200)),
+    a AS (SELECT page_id, page, list_transform(regexp_extract_all(page, '(?is)<dt(?:\\s[^>]*)?>.*?</dt>\\s*<dd(?:\\s[^>]*)?>.*?</dd>'), lambda x: {pair("regexp_extract(x, '(?is)<dt(?:\\s[^>]*)?>(.*?)</dt>', 1)", "regexp_extract(x, '(?is)<dd(?:\\s[^>]*)?>(.*?)</dd>', 1)")}) AS terms,
+      list_transform(regexp_extract_all(page, '(?is)<table(?:\\s[^>]*)?>(.*?)</table>', 1), lambda t: regexp_extract_all(t, '(?is)<tr(?:\\s[^>]*)?>(.*?)</tr>', 1)) AS tables FROM src),
+    b AS (SELECT page_id, page, list_filter(list_concat(terms, flatten(list_transform(tables, lambda rs: CASE WHEN len(rs) > 1 AND NOT regexp_matches(rs[1], '(?i)<td') THEN flatten(list_transform(rs[2:], lambda r: list_transform({cell.format('r')}, lambda c, i: {pair(cell.format('rs[1]') + '[i]', 'c')})))
+      ELSE list_transform(list_filter(rs, lambda r: len({cell.format('r')}) >= 2), lambda r: {pair(cell.format('r') + '[1]', cell.format('r') + '[2]')}) END))), lambda p: p.label <> '' AND p.value <> '' AND length(p.label) < 80 AND length(p.value) < 400) AS raw FROM a),
+    c AS (SELECT page_id, page, list_transform(raw, lambda p: {{'label': p.label, 'value': list_filter(raw, lambda o: o.label = p.label)[-1].value}}) AS ps FROM b),
+    l AS (SELECT page_id, unnest(regexp_extract_all(page, '(?is)<script[^>]*type="application/ld\\+json"[^>]*>(.*?)</script>', 1)) AS t FROM src),
+    n AS (SELECT page_id, unnest(list_concat([j], coalesce(json_extract(j, '$[*]'), []), coalesce(json_extract(j, '$."@graph"[*]'), []))) AS v FROM (SELECT page_id, t::JSON AS j FROM l WHERE json_valid(t))),
+    d AS (SELECT page_id, {cyl("coalesce(v->>'$.vehicleEngine.name', v->>'$.vehicleEngine')")} AS cyl, coalesce(v->>'$.vehicleTransmission.name', v->>'$.vehicleTransmission', v->>'$.transmission') AS shift, v->>'$.driveWheelConfiguration' AS drive FROM n WHERE regexp_matches(lower(coalesce((v->'$."@type"')::VARCHAR, '')), '{P.VEHICLE}') OR v->>'$.vin' IS NOT NULL)
+    SELECT page_id, coalesce(d.cyl, {first(f"regexp_matches(lower(p.label), '{P.ENGINE_LABEL}') AND NOT contains(lower(p.label), 'mpg')", cyl('p.value'))}) AS cylinders, coalesce(d.shift, {first(f"regexp_matches(lower(p.label), '{P.SHIFT_LABEL}') AND length(p.value) < 200", 'p.value')}) AS transmission,
+      coalesce(d.drive, {first(f"regexp_matches(lower(p.label), '{P.DRIVE_LABEL}') AND length(p.value) < 120", 'p.value')}) AS drivetrain, coalesce({first(mpg, f"regexp_extract(p.value, '{P.PAIR}', 1)::INTEGER")}, {number(P.MPG_TEXT)}, {number(P.CITY_TEXT)}) AS mpg_city,
+      coalesce({first(mpg, f"regexp_extract(p.value, '{P.PAIR}', 2)::INTEGER")}, {number(P.MPG_TEXT, 2)}, {number(P.HIGHWAY_TEXT)}) AS mpg_highway, try_cast(replace(regexp_extract({text('page')}, '[$]\\s*([0-9][0-9,]*)', 1), ',', '') AS BIGINT) AS price FROM c LEFT JOIN d USING (page_id)"""
+
+
+@query("page_spec_extract", _spec_sql())
 def page_spec_extract(spark, sf_dir):
-    page = F.expr("'<tr><td>Engine:</td><td>' || cast(p_size % 9 as string) || '-cyl</td></tr><tr><td>Drive:</td><td>' || CASE WHEN p_size % 2 = 0 THEN 'AWD' ELSE 'FWD' END || '</td></tr><p>' || cast(20 + p_size as string) || ' City / 30 Hwy, $' || cast(p_size as string) || ',' || lpad(cast(p_partkey % 1000 as string), 3, '0') || '</p>'")
-    rows = table(spark, sf_dir, "part").select("p_partkey", page.alias("t"))
-    return rows.select("p_partkey", F.regexp_extract("t", "Engine:</td><td>V?([0-9]+)-cyl", 1).try_cast("int").alias("cylinders"), F.regexp_extract("t", "([0-9]+) City", 1).try_cast("int").alias("city"), F.regexp_extract("t", "Drive:</td><td>([A-Z]+)", 1).alias("drivetrain"), F.regexp_replace(F.regexp_extract("t", "[$]([0-9,]+)", 1), ",", "").try_cast("long").alias("price"))
+    """Specs of vehicles from the HTML of all pages, each with a block of its own kind beside its text."""
+    rows = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("page_id") % 200)
+    html = rows.selectExpr("*", *[f"{e} AS {n}" for n, e in SPEC_VALUES.items()]).selectExpr("page_id", f"{SPEC_TEXT} AS page")
+    return P.page_specs(html, "page_id", "page")
 
 
 @query(
