@@ -25,14 +25,13 @@ def prefixes(names: DataFrame, block: list[str], least: float) -> DataFrame:
     have less behind them needn't be met: what all names of a block share is last, and met only where it is most of a name.
     """
     share = least / (200.0 - least)
-    rows = names.select(*block, "name", F.explode("tokens").alias("token"))
-    counts = rows.groupBy(*block, "token").agg(F.count("*").alias("n"))
+    rows = names.select(*block, "name", "tokens", F.explode("tokens").alias("token"))
+    counts = rows.groupBy(*block, "token").agg(F.count("*").alias("n")).select(*[F.col(c).alias(f"_{c}") for c in block], F.col("token").alias("_token"), "n")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in block], F.col("token") == F.col("_token"))
     order = Window.partitionBy(*block, "name").orderBy(F.desc("n"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*block, "name")
-    ranked = rows.join(counts, [*block, "token"]).withColumns({"behind": F.sum(F.length("token")).over(order), "all": F.sum(F.length("token")).over(whole)})
+    ranked = rows.join(counts, same).withColumn("behind", F.sum(F.length("token")).over(order))
     # a hair below the bound, so that rounding loses nothing
-    kept = ranked.where(F.col("behind") >= F.col("all") * share - 1e-9).select(*block, "name", "token")
-    return kept.join(names.select(*block, "name", "tokens"), [*block, "name"])
+    return ranked.where(F.col("behind") >= weight(F.col("tokens")) * share - 1e-9).select(*block, "name", "tokens", "token")
 
 
 def alike_names(names: DataFrame, block: list[str], least: float) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from listingspark.functions import rules as R
 from listingspark.operators import merge as M
+from listingspark.operators import valuation as V
 from listingspark.plans.catalog import query
-from listingspark.plans.listing_rules import QUALITY_SQL, empty_sql
+from listingspark.plans.listing_rules import _dealt, empty_sql
 from listingspark.plans.vectors import NEAR_SQL, catalog_neighbours
 from listingspark.sources import mapping as T
 from listingspark.tables import ARRIVAL, listings, table, with_listings
@@ -140,14 +141,28 @@ def media_harvest(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(found).alias("n"), F.get(found, F.lit(0)).alias("first_image"))
 
 
-@query("model_trim_display", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '3 Series' WHEN 1 THEN 'X5' ELSE 'Rio' END AS model, CASE p_partkey % 3 WHEN 0 THEN '330i xDrive' WHEN 1 THEN 'xDrive40i' ELSE 'S' END AS trim FROM part")
-def model_trim_display(spark, sf_dir):
-    """A motor code as model gives series and trim; a model with a tail is cut."""
-    raw = F.element_at(F.array(*map(F.lit, ("330i xDrive", "X5 xDrive40i", "Rio S"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
-    code = F.regexp_extract("raw", r"^([1-8])[0-9]{2}[a-z]", 1)
-    return rows.select("p_partkey", F.when(code != "", F.concat(code, F.lit(" Series"))).otherwise(F.split_part("raw", F.lit(" "), F.lit(1))).alias("model"), F.when(code != "", F.col("raw")).otherwise(F.regexp_replace("raw", r"^\S+ ", "")).alias("trim"))
+def _model_trim_sql() -> str:
+    motor = "(NOT contains(m, ' ') AND NOT regexp_matches(upper(m), '^[XZ]\\d') AND NOT regexp_matches(m, '^[iI][Xx\\d]') AND (regexp_matches(m, '^M\\d\\d{2}[iI]$') OR regexp_matches(m, '^[2-8]\\d{2}[eEiI]+$')))"
+    tail = R.MODEL_TAIL
+    return f"""WITH r AS (SELECT p_partkey, {_dealt('make')} AS make, {_dealt('model')} || CASE WHEN p_size % 3 = 0 THEN ' xDrive' ELSE '' END AS m, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'n/a' ELSE {_dealt('trim')} END AS t, p_name || ' ' || {_dealt('model')} || CASE WHEN p_partkey % 2 = 0 THEN ' M Sport' ELSE '' END AS title FROM part),
+    a AS (SELECT *, {motor} AS motor, regexp_extract(m, '{tail}', 1) AS base, regexp_extract(m, '{tail}', 2) AS tail FROM r),
+    b AS (SELECT *, CASE WHEN base <> '' THEN trim(base) WHEN motor THEN regexp_extract(m, '(\\d)', 1) || ' Series' ELSE m END AS model, nullif(trim(t), '') AS own FROM a),
+    c AS (SELECT *, CASE WHEN tail <> '' THEN concat_ws(' / ', own, trim(tail)) ELSE own END AS t1 FROM b),
+    d AS (SELECT *, CASE WHEN motor AND base = '' AND {empty_sql('t1')} THEN m ELSE t1 END AS t2, trim(string_split(upper(title), upper(model))[-1]) AS up FROM c),
+    e AS (SELECT *, CASE WHEN length(model) >= 2 AND contains(upper(title), upper(model)) AND length(up) >= 2 AND (regexp_matches(up, '{R.DRIVE_WORDS}') OR regexp_matches(up, '^[A-Za-z0-9][A-Za-z0-9\\s\\-]{{1,60}}$')) THEN left(right(title, length(up)), 80) END AS from_title FROM d),
+    f AS (SELECT *, CASE WHEN {empty_sql('t2')} THEN coalesce(from_title, t2) ELSE t2 END AS t3 FROM e)
+    SELECT p_partkey, CASE WHEN make <> 'BMW' THEN CASE WHEN {empty_sql('m')} THEN '—' ELSE m END WHEN {empty_sql('model')} THEN '—' ELSE model END AS model,
+      CASE WHEN make <> 'BMW' THEN CASE WHEN {empty_sql('t')} THEN '—' ELSE t END WHEN {empty_sql('t3')} THEN '—' ELSE regexp_replace(trim(t3), '{R.SERIES_DIGIT}', '\\1') END AS trim FROM f"""
+
 
+@query("model_trim_display", _model_trim_sql())
+def model_trim_display(spark, sf_dir):
+    """Series and trim of all parts' names: motor codes give both, a model's tail joins the trim, a title fills it."""
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", f"{_dealt('make')} AS make", f"{_dealt('model')} || CASE WHEN p_size % 3 = 0 THEN ' xDrive' ELSE '' END AS model", f"CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'n/a' ELSE {_dealt('trim')} END AS trim",
+        f"p_name || ' ' || {_dealt('model')} || CASE WHEN p_partkey % 2 = 0 THEN ' M Sport' ELSE '' END AS title",
+    )
+    return R.model_and_trim(rows).select("p_partkey", F.col("shown_model").alias("model"), F.col("shown_trim").alias("trim"))
 
 
 @query("discrepancy_check", "WITH t AS (SELECT p_brand, p_type, max(p_size % 9)::INTEGER AS c, max(CASE WHEN p_size % 3 = 0 THEN 'AWD' ELSE 'FWD' END) AS d FROM part GROUP BY ALL) SELECT p_partkey, x.f AS field, x.o AS ours, x.e AS expected, x.o = x.e AS ok FROM (SELECT p_partkey, unnest([{'f': 'cylinders', 'o': (p_size % 9)::VARCHAR, 'e': c::VARCHAR}, {'f': 'drivetrain', 'o': CASE WHEN p_size % 2 = 0 THEN 'AWD' ELSE 'FWD' END, 'e': d}]) AS x FROM part JOIN t USING (p_brand, p_type))")
@@ -159,14 +174,26 @@ def discrepancy_check(spark, sf_dir):
     return rows.withColumn("ok", F.col("ours") == F.col("expected"))
 
 
-@query("valuation_extract", "SELECT p_partkey, least(p_size * 1000, 30000)::DOUBLE AS low, greatest(p_size * 1000, 30000)::DOUBLE AS high FROM part")
+#: Valuation payloads of parts: measures under several names and depths, repeated, as numbers and as texts, some beyond what is plausible.
+VALUES_TEXT = """'{"data": {"values": [{"usedCarFairPurchasePrice": ' || (p_size * 900) || ', "rank": 7}, {"Fair Purchase": "$' || p_size || ',250"}, {"nested": {"deeper": [{"fair_market_range_low": ' || (p_size * 1000) || ', "fairMarketRangeHigh": 30000}, {"Fair Market Max": "' || (20000 + p_size * 500) || ' USD"}]}}]'
+  || CASE p_partkey % 4 WHEN 0 THEN ', "privatePartyValue": ' || (p_partkey % 3000) WHEN 1 THEN ', "Private_Party": "n/a", "private party high": "' || p_size || '.5k ' || p_size || '00"' WHEN 2 THEN ', "privatePartyGood": -9000, "certified": true' ELSE '' END
+  || '}, "trade-in": ' || (p_size * 700) || CASE WHEN p_partkey % 3 = 0 THEN ', "TradeIn_Value": "' || (p_size * 800) || '", "typicalListingUsed": 45000' ELSE ', "fairMarketLow": 2000000' END || '}'"""
+
+
+def _valuation_sql() -> str:
+    fits = lambda m: " OR ".join("(" + " AND ".join(f"contains(n, '{x}')" for x in parts) + ")" for name, _, parts in V.MEASURES if name == m)
+    columns = ", ".join(f"{next(how for n, how, _ in V.MEASURES if n == m)}(x) FILTER ({fits(m)}) AS {m}" for m in dict.fromkeys(m for m, _, _ in V.MEASURES))
+    return f"""WITH j AS (SELECT p_partkey, {VALUES_TEXT} AS j FROM part), e AS (SELECT p_partkey, unnest(regexp_extract_all(j, '"[^"]+": *(?:"[^"]*"|-?[0-9.]+|true)')) AS e FROM j),
+    v AS (SELECT p_partkey, lower(regexp_replace(regexp_extract(e, '^"([^"]+)"', 1), '[ _]', '', 'g')) AS n, regexp_extract(e, '": *(.*)$', 1) AS t FROM e),
+    x AS (SELECT p_partkey, n, CASE WHEN starts_with(t, '"') THEN try_cast(nullif(regexp_replace(t, '[^0-9.]', '', 'g'), '') AS DOUBLE) ELSE try_cast(t AS DOUBLE) END AS x FROM v),
+    g AS (SELECT p_partkey, {columns} FROM x WHERE x BETWEEN 500 AND 1500000 GROUP BY p_partkey)
+    SELECT p_partkey, fair_purchase, CASE WHEN range_high < range_low THEN range_high ELSE range_low END AS range_low, CASE WHEN range_high < range_low THEN range_low ELSE range_high END AS range_high, private_party, trade_in FROM part LEFT JOIN g USING (p_partkey)"""
+
+
+@query("valuation_extract", _valuation_sql())
 def valuation_extract(spark, sf_dir):
-    """Low and high of nested JSON by key, in a plausible range, turned where they stand the wrong way round."""
-    payload = F.to_json(F.struct(F.struct(F.struct((F.col("p_size") * 1000).alias("rangeLow"), F.lit(30000).alias("rangeHigh"), F.lit(7).alias("rank")).alias("values")).alias("data")))
-    number = lambda k: F.regexp_extract(payload, f'"{k}":([0-9.]+)', 1).try_cast("double")
-    ok = lambda x: F.when(x.between(500, 2500000), x)
-    low, high = ok(number("rangeLow")), ok(number("rangeHigh"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.least(low, high).alias("low"), F.greatest(low, high).alias("high"))
+    """Five measures from nested payloads of all parts, by what their keys say."""
+    return V.valuations(table(spark, sf_dir, "part").select("p_partkey", F.expr(VALUES_TEXT).alias("payload")), "p_partkey", "payload")
 
 
 @query(
