@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from listingspark.functions import conditions as K
 from listingspark.functions import rules as R
 from listingspark.operators import merge as M
 from listingspark.operators import valuation as V
@@ -15,18 +16,30 @@ from listingspark.plans.vectors import NEAR_SQL, catalog_neighbours
 from listingspark.sources import mapping as T
 from listingspark.tables import ARRIVAL, listings, table, with_listings
 
-CONDITION_SQL = "CASE WHEN p_size % 6 = 0 THEN 'CPO' WHEN p_size % 5 = 0 THEN 'Used' WHEN p_retailprice > 1500 THEN 'Used' WHEN p_size < 10 THEN 'New' ELSE 'Pre-Owned' END"
+#: What is planted into parts' titles and URLs; most rows have no condition.
+TITLES = "Used |New |Certified |CPO |BMW Certified |a certified pre-owned ||Pre-owned and certified "
+URLS = "x.example/new-inventory/1|x.example/used-inventory/2|x.example/certified/3|x.example/cpo-inventory/4|x.example/5|x.example/new/6|x.example/pre-owned/7|x.example/newinventory/8|"
+LISTED = [
+    f"{_dealt('make')} AS make", f"split_part('{TITLES}', '|', cast(p_partkey % {TITLES.count('|') + 1} as int) + 1) || p_name AS title", f"'https://' || split_part('{URLS}', '|', cast((p_partkey + p_size * 3) % {URLS.count('|') + 1} as int) + 1) AS url",
+    "p_partkey % 11 = 0 AS cpo", "CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE p_size * 100 END AS mileage", "2019 + p_size % 9 AS year", "CASE WHEN p_partkey % 13 = 0 THEN 'Used' WHEN p_partkey % 3 = 0 THEN 'n/a' END AS condition",
+]
 
 
-@query("condition_infer", f"SELECT p_partkey, {CONDITION_SQL} AS condition FROM part")
+def _condition_sql() -> str:
+    q = lambda v: "'" + v.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {', '.join(map(q, r))})" for i, r in enumerate(K.RULES))
+    return f"""WITH rules(id, value, brand, place, pattern, needs) AS (VALUES {values}), r AS (SELECT p_partkey, {", ".join(LISTED)} FROM part), t AS (SELECT *, lower(trim(title)) AS low, lower(url) AS low_url FROM r),
+    h AS (SELECT p_partkey, arg_min(value, id) AS condition FROM t JOIN rules ON (brand = '' OR (brand = 'bmw') = (upper(make) = 'BMW')) AND (pattern = '' OR regexp_matches(CASE place WHEN 'title' THEN low ELSE low_url END, pattern))
+      AND (needs = '' OR coalesce(CASE needs WHEN 'cpo' THEN cpo WHEN 'driven' THEN mileage > 0 WHEN 'undriven' THEN mileage = 0 WHEN 'old' THEN year < {K.FIRST_RECENT} ELSE year >= {K.FIRST_RECENT} END, false)) WHERE {empty_sql('t.condition')} GROUP BY p_partkey)
+    SELECT p_partkey, make, title, url, h.condition FROM r LEFT JOIN h USING (p_partkey)"""
+
+
+@query("condition_infer", _condition_sql())
 def condition_infer(spark, sf_dir):
-    """Flag, then text, then mileage, then URL; the first that says something. (Mileage is planted as the retail price, the URL as the size.)"""
-    certified = F.col("p_size") % 6 == 0
-    text = F.when(F.col("p_size") % 5 == 0, "pre-driven USED car")
-    url = F.when(F.col("p_size") < 10, "https://x.example/new/1").otherwise("https://x.example/pre-owned/1")
-    by_text = F.when(F.lower(text).contains("certified"), "CPO").when(F.lower(text).contains("used"), "Used").when(F.lower(text).contains("new"), "New")
-    by_url = F.when(url.contains("/new/"), "New").when(url.contains("/pre-owned/"), "Pre-Owned")
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.when(certified, "CPO"), by_text, F.when(F.col("p_retailprice") > 1500, "Used"), by_url).alias("condition"))
+    """The condition to store for rows that have none, by the rule table; a row's own condition stays."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", *LISTED)
+    told = K.inferred(*map(F.col, ("make", "title", "url", "cpo", "mileage", "year")))
+    return rows.select("p_partkey", "make", "title", "url", F.when(R.is_empty(F.col("condition")), told).alias("condition"))
 
 
 @query("engine_display", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '3.0L TwinPower Turbo' WHEN p_size % 9 = 0 THEN 'Electric' WHEN p_size % 9 IN (4, 6, 8) THEN '2.5L ' || CASE p_size % 9 WHEN 4 THEN 'I4' ELSE 'V' || (p_size % 9) END ELSE '—' END AS engine FROM part")
