@@ -35,8 +35,8 @@ def names_in(window: Column) -> Column:
     w = F.trim(window)
     sentence = F.regexp_extract(w, r"(?s)^(.*?[.!?])\s", 1)
     w = F.left(F.when(sentence != "", sentence).otherwise(w), F.lit(WINDOW))
-    known = F.filter(F.transform(F.regexp_extract_all(w, F.lit(O.KNOWN), F.lit(1)), F.trim), lambda n: (F.length(n) >= 8) & ~O.has_any(F.lower(n), O.NEGATIVE))
-    names = F.concat(F.transform(F.regexp_extract_all(w, F.lit(O.SHAPED), F.lit(1)), F.trim), known)
+    known = F.filter(F.transform(F.regexp_extract_all(w, F.lit(O.KNOWN), F.lit(1)), lambda x: F.trim(x)), lambda n: (F.length(n) >= 8) & ~O.has_any(F.lower(n), O.NEGATIVE))
+    names = F.concat(F.transform(F.regexp_extract_all(w, F.lit(O.SHAPED), F.lit(1)), lambda x: F.trim(x)), known)
     low = F.transform(names, F.lower)
     return F.when(F.length(w) >= 4, F.filter(names, lambda n, i: F.array_position(low, F.lower(n)) == i + 1)).otherwise(F.array().cast("array<string>"))
 

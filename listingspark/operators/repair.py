@@ -106,24 +106,60 @@ def recovery_merge(rows: DataFrame, incoming: DataFrame, key: str, longer: list[
     return joined.select(*[F.when(wins[c], value[c]).otherwise(F.col(c)).alias(c) if c in wins else F.col(c) for c in rows.columns], notes.alias("notes"), before.alias("missing_before"), after.alias("missing_after"), status.alias("status"))
 
 
-def observation_merge(rows: DataFrame, observed: DataFrame, key: str, least: float = 0.55) -> DataFrame:
-    """`rows` after a table of results of image models: (key, confidence, interior, families, options, interiors junk images).
+#: Classes of a listing's images that stay and that go; the confidence from which an exterior colour counts.
+GOOD_IMAGES = ["exterior", "interior", "window_sticker", "sticker", "monroney", "monroney_label", "window_label", "cabin"]
+BAD_IMAGES = ["not_vehicle", "irrelevant", "dealership", "logo", "sign", "map", "building", "staff", "marketing"]
+SURE = "high"
+#: The least confidence of a guessed interior.
+GUESS = 0.55
 
-    From `least` confidence on, an empty interior takes the guess and its families join the listing's, in order; options join the
-    packages, once each in any case; images classed as junk leave the gallery, those without a class stay.
+
+def united(old: Column, new: Column) -> Column:
+    """Texts of both lists in order, once each in any case, without blank ones."""
+    nothing = F.array().cast("array<string>")
+    both = F.transform(F.concat(F.coalesce(old, nothing), F.coalesce(new, nothing)), lambda x: F.trim(x))
+    low = F.transform(both, F.lower)
+    return F.filter(both, lambda x, i: (x != "") & (F.array_position(low, F.lower(x)) == i + 1))
+
+
+def kept_images(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """(key, gallery): each gallery in its order without the images that the class table (url, category, keep) tells to drop.
+
+    A known class decides; else `keep` (true or false, in words or digits); images without a row, a class or a word stay.
+    """
+    name = F.regexp_replace(F.lower(F.trim("category")), "[ -]", "_")
+    said = F.lower(F.trim("keep"))
+    stays = F.when(name.isin(GOOD_IMAGES), True).when(name.isin(BAD_IMAGES), False).when(said.isin("false", "0", "no"), False).otherwise(True)
+    drop = classes.where(~stays).select(F.col("url").alias("_url")).distinct().withColumn("_bad", F.lit(True))
+    images = rows.select(key, F.posexplode("gallery").alias("_at", "_image"))
+    left = images.join(drop, F.col("_image") == F.col("_url"), "left").where("_bad IS NULL")
+    return left.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_image"))), lambda x: x["_image"]).alias("gallery"))  # a gallery has some dozen images
+
+
+def observation_merge(rows: DataFrame, observed: DataFrame, stickers: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """`rows` after tables of results of image models, with `families` of the interior and `touched`, the fields that changed.
+
+    observed (key, confidence, interior, families, exterior, exterior_confidence, features): from GUESS on an empty interior takes the guess and its families join the
+    listing's; an exterior fills an empty one only if its own confidence is `high`; features join the packages. stickers (key, options and specs): specs go into
+    empty slots, numbers above 0 only; options join the packages. classes (url, category, keep): see kept_images().
     """
-    joined = rows.join(observed.withColumnsRenamed({c: f"_{c}" for c in observed.columns if c != key}), key, "left")
-    sure = F.coalesce(F.col("_confidence") >= least, F.lit(False))
-    fill = sure & R.is_empty(F.col("interior_color")) & ~R.is_empty(F.col("_interior"))
-    interior = F.when(fill, F.col("_interior")).otherwise(F.col("interior_color"))
+    texts, numbers = ["engine_description", "transmission", "drivetrain", "fuel_type"], ["cylinders", "mpg_city", "mpg_highway", "msrp"]
+    joined = rows.drop("gallery").join(kept_images(rows, classes, key), key, "left")
+    joined = joined.join(observed.withColumnsRenamed({c: f"_{c}" for c in observed.columns if c != key}), key, "left").join(stickers.withColumnsRenamed({c: f"_s_{c}" for c in stickers.columns if c != key}), key, "left")
     nothing = F.array().cast("array<string>")
-    families = F.when(sure, F.array_union(R.color_families(interior), F.coalesce("_families", nothing))).otherwise(R.color_families(interior))
-    both = F.concat(F.coalesce("packages", nothing), F.coalesce("_options", nothing))
-    low = F.transform(both, lambda x: F.lower(F.trim(x)))
-    packages = F.filter(both, lambda x, i: (F.trim(x) != "") & (F.array_position(low, F.lower(F.trim(x))) == i + 1))
-    gallery = F.filter("gallery", lambda u: ~F.array_contains(F.coalesce("_junk", nothing), u))
-    columns = {"interior_color": interior, "packages": packages, "gallery": gallery}
-    return joined.select(*[columns.get(c, F.col(c)).alias(c) for c in rows.columns], families.alias("families"))
+    sure = F.coalesce(F.col("_confidence") >= GUESS, F.lit(False))
+    fills = {"interior_color": sure & R.is_empty(F.col("interior_color")) & ~R.is_empty(F.col("_interior")), "exterior_color": R.is_empty(F.col("exterior_color")) & ~R.is_empty(F.col("_exterior")) & (F.lower(F.trim("_exterior_confidence")) == SURE)}
+    value = {"interior_color": F.left("_interior", F.lit(120)), "exterior_color": F.left("_exterior", F.lit(120))}
+    for c in texts:
+        fills[c], value[c] = R.is_empty(F.col(c)) & ~R.is_empty(F.col(f"_s_{c}")), F.left(F.trim(f"_s_{c}"), F.lit(500))
+    for c in numbers:
+        fills[c], value[c] = ~F.coalesce(F.col(c) > 0, F.lit(False)) & (F.col(f"_s_{c}") > 0), F.col(f"_s_{c}")
+    fills = {c: F.coalesce(f, F.lit(False)) for c, f in fills.items()}
+    columns = {c: F.when(fills[c], value[c]).otherwise(F.col(c)) for c in fills}
+    columns |= {"packages": united(F.col("packages"), F.concat(F.coalesce("_features", nothing), F.coalesce("_s_options", nothing))), "gallery": F.coalesce("gallery", nothing)}
+    out = joined.select(*[columns.get(c, F.col(c)).alias(c) for c in rows.columns], names_of(fills).alias("touched"), sure.alias("_sure"), F.coalesce("_families", nothing).alias("_families"))
+    own = R.color_families(F.col("interior_color"))
+    return out.withColumn("families", F.when(F.col("_sure"), F.array_union(own, F.col("_families"))).otherwise(own)).drop("_sure", "_families")
 
 
 def vehicles_of(payloads: DataFrame, key: str, payload: str, source: str, rank: str) -> DataFrame:

@@ -164,25 +164,44 @@ def recovery_merge(spark, sf_dir):
     return out.select("vin", *LONGER, *POSITIVE, F.array_join("notes", ",").alias("notes"), "missing_before", "missing_after", "status")
 
 
+#: What image models saw, by VIN: colours with a confidence, features; stickers of other VINs; classes of a third of all images.
+SEEN_SQL = f"""obs AS (SELECT vin, q, (q % 100)::DOUBLE / 100 AS confidence, CASE q % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE ' HIGH ' END AS sure FROM (SELECT vin, max(r_suppkey)::INTEGER AS q FROM l GROUP BY vin) WHERE q % 5 > 0),
+sticker AS (SELECT vin, p FROM (SELECT vin, max(r_partkey)::INTEGER AS p FROM l GROUP BY vin) WHERE p % 4 > 0)"""
+
+
 @query(
     "observation_merge",
     with_listings(
-        f"""SELECT vin, CASE WHEN confidence >= 0.55 AND {empty_sql('interior_color')} THEN 'Espresso' ELSE interior_color END AS interior_color, CASE WHEN o.vin IS NULL THEN 'Base Pack' WHEN q % 2 = 0 THEN 'Base Pack,Tow' ELSE 'Base Pack,Sport Pack' END AS packages,
-        n_photos - CASE WHEN o.vin IS NOT NULL AND n_photos > 1 THEN 1 ELSE 0 END AS n_images, coalesce(confidence >= 0.55, false) AND {empty_sql('interior_color')} AS has_guess FROM one LEFT JOIN obs o USING (vin)""",
-        ONE, "obs AS (SELECT vin, q, (q % 100)::DOUBLE / 100 AS confidence FROM (SELECT vin, max(r_suppkey)::INTEGER AS q FROM l GROUP BY vin) WHERE q % 5 > 0)",
+        f"""SELECT vin, CASE WHEN gi THEN 'Espresso' ELSE interior_color END AS interior_color, CASE WHEN ge THEN 'Navy' ELSE exterior END AS exterior_color, CASE WHEN gt THEN '8-Speed Automatic' ELSE transmission END AS transmission, CASE WHEN gd THEN 'AWD' ELSE drivetrain END AS drivetrain, CASE WHEN gf THEN 'Gasoline' ELSE fuel_type END AS fuel_type,
+        CASE WHEN gc THEN p % 9 ELSE cylinders END AS cylinders, CASE WHEN p % 3 = 0 THEN 30 + p % 10 END AS mpg_city, array_to_string(list_concat(['Base Pack'], CASE WHEN s.vin IS NULL AND o.vin IS NULL THEN [] WHEN o.vin IS NULL THEN ['Tow', 'sunroof'] WHEN s.vin IS NULL THEN ['Sunroof'] ELSE ['Sunroof', 'Tow'] END), ',') AS packages,
+        array_to_string(list_transform(list_filter(range(n_photos), lambda i: NOT ((r_partkey % 7 + i) % 7 IN (0, 2))), lambda i: i::VARCHAR), ',') AS images,
+        {_names({'interior_color': 'gi', 'exterior_color': 'ge', 'transmission': 'gt', 'drivetrain': 'gd', 'fuel_type': 'gf', 'cylinders': 'gc', 'mpg_city': 'coalesce(p % 3 = 0, false)'})} AS touched
+        FROM (SELECT *, coalesce(confidence >= 0.55, false) AND {empty_sql('interior_color')} AS gi, coalesce(lower(trim(sure)) = 'high', false) AND {empty_sql('exterior')} AS ge, p IS NOT NULL AND {empty_sql('transmission')} AS gt, p IS NOT NULL AND {empty_sql('drivetrain')} AS gd, p IS NOT NULL AND {empty_sql('fuel_type')} AS gf,
+          coalesce(p % 9 > 0, false) AND NOT coalesce(cylinders > 0, false) AS gc FROM (SELECT *, CASE WHEN r_partkey % 3 = 0 THEN 'n/a' ELSE exterior_color END AS exterior FROM one) LEFT JOIN (SELECT vin, q, confidence, sure FROM obs) USING (vin) LEFT JOIN (SELECT vin, p FROM sticker) USING (vin)) x LEFT JOIN (SELECT vin FROM obs) o USING (vin) LEFT JOIN (SELECT vin FROM sticker) s USING (vin)""",
+        ONE, SEEN_SQL,
     ),
 )
 def observation_merge(spark, sf_dir):
-    """Results of image models over the last row of each VIN: a guess of the interior, sticker options, junk images."""
+    """Results of image models over the last row of each VIN: colours behind their gates, sticker specs into empty slots, options and features, images by class."""
     rows = listings(spark, sf_dir)
-    q = F.col("q")
+    q, p = F.col("q"), F.col("p")
     observed = rows.groupBy("vin").agg(F.max("r_suppkey").cast("int").alias("q")).where("q % 5 > 0").select(
-        "vin", ((q % 100).cast("double") / 100).alias("confidence"), F.lit("Espresso").alias("interior"), F.array(F.lit("brown")).alias("families"),
-        F.array(F.lit("BASE PACK"), F.when(q % 2 == 0, "Tow").otherwise("Sport Pack"), F.lit(" ")).alias("options"), F.array(F.concat(F.lit("https://img.example/"), "vin", F.lit("/1.jpg"))).alias("junk"),
+        "vin", ((q % 100).cast("double") / 100).alias("confidence"), F.lit("Espresso").alias("interior"), F.array(F.lit("brown")).alias("families"), F.lit("Navy").alias("exterior"),
+        F.when(q % 3 == 0, "high").when(q % 3 == 1, "medium").otherwise(" HIGH ").alias("exterior_confidence"), F.array(F.lit("BASE PACK"), F.lit("Sunroof"), F.lit(" ")).alias("features"),
+    )
+    stickers = rows.groupBy("vin").agg(F.max("r_partkey").cast("int").alias("p")).where("p % 4 > 0").select(
+        "vin", F.lit("2.0L").alias("engine_description"), F.lit("8-Speed Automatic").alias("transmission"), F.lit(" AWD ").alias("drivetrain"), F.lit("Gasoline").alias("fuel_type"), (p % 9).alias("cylinders"),
+        F.when(p % 3 == 0, 30 + p % 10).otherwise(0).alias("mpg_city"), F.lit(None).cast("int").alias("mpg_highway"), F.lit(-1.0).alias("msrp"), F.array(F.lit("Tow"), F.lit("tow "), F.lit("sunroof")).alias("options"),
+    )
+    current = M.last_wins(rows, "vin", ARRIVAL).withColumns({"exterior_color": F.when(F.col("r_partkey") % 3 == 0, "n/a").otherwise(F.col("exterior_color")), "packages": F.array(F.lit("Base Pack")), "engine_description": F.lit("given"), "mpg_city": F.lit(None).cast("int"), "mpg_highway": F.lit(None).cast("int")})
+    # classes by part and place: junk, good ones that say no, words without a known class, nothing
+    kind = (F.col("r_partkey") % 7 + F.col("i")) % 7
+    classes = current.select("vin", "r_partkey", F.posexplode("gallery").alias("i", "url")).where(kind < 6).select(
+        "url", F.when(kind == 0, "Not vehicle").when(kind == 1, "Window-Sticker").when(kind == 2, "blurred").when(kind == 3, "blurred").when(kind == 4, "").alias("category"), F.when(kind.isin(1, 2), "no").when(kind == 3, "maybe").when(kind == 4, "1").alias("keep"),
     )
-    current = M.last_wins(rows, "vin", ARRIVAL).withColumn("packages", F.array(F.lit("Base Pack"))).withColumn("raw_interior", F.col("interior_color"))
-    out = P.observation_merge(current, observed, "vin")
-    return out.select("vin", "interior_color", F.array_join("packages", ",").alias("packages"), F.size("gallery").alias("n_images"), (~F.col("interior_color").eqNullSafe(F.col("raw_interior"))).alias("has_guess"))
+    out = P.observation_merge(current, observed, stickers, classes, "vin")
+    places = F.array_join(F.transform("gallery", lambda u: F.regexp_extract(u, r"/(\d+)\.jpg$", 1)), ",")
+    return out.select("vin", "interior_color", "exterior_color", "transmission", "drivetrain", "fuel_type", "cylinders", "mpg_city", F.array_join("packages", ",").alias("packages"), places.alias("images"), F.array_join("touched", ",").alias("touched"))
 
 
 # ---------------------------------------------------------------- payloads and reports
