@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listingspark.functions import conditions as K
 from listingspark.functions import rules as R
 from listingspark.operators.runs import staged
 
@@ -49,6 +50,18 @@ def storage_repairs(rows: DataFrame, reference: DataFrame, on: list[str], texts:
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns], fields.alias("fields"))
 
 
+def storage_traits(rows: DataFrame, url: str, cpo: str) -> DataFrame:
+    """`rows` after storage_repairs() with what else a stored row gets: a condition where it has none that says something, and the families of an interior colour that the repair changed.
+
+    `fields` names them too. A condition that is there stays; `interior_families` is null where the interior stays as it was.
+    """
+    told = K.inferred(F.col("make"), F.col("title"), F.col(url), F.col(cpo), F.col("mileage"), F.col("year"))
+    rows = rows.withColumn("_told", F.when(R.is_empty(F.col("condition")), told))
+    families = F.when(F.array_contains("fields", "interior_color"), R.color_families(F.col("interior_color")))
+    more = F.concat("fields", names_of({"condition": F.col("_told").isNotNull(), "interior_families": families.isNotNull()}))
+    return rows.withColumns({"condition": F.coalesce("_told", "condition"), "interior_families": families, "fields": more}).drop("_told")
+
+
 def decode_backfill(rows: DataFrame, cache: DataFrame, key: str, texts: list[str], overwrite: bool = False) -> DataFrame:
     """`rows` (with `fields` of an earlier repair) after the decoder's cached answers, and `decoded`, the columns that they gave.
 

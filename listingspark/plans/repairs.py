@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from listingspark.functions import conditions as K
 from listingspark.functions import rules as R
 from listingspark.operators import merge as M
 from listingspark.operators import repair as P
 from listingspark.operators.runs import Run, commit, latest
 from listingspark.plans.catalog import query
-from listingspark.plans.listing_rules import JUNK_SQL, QUALITY_SQL, empty_sql
+from listingspark.plans.listing_rules import JUNK_SQL, QUALITY_SQL, empty_sql, families_sql
 from listingspark.streaming.jobs import scratch
 from listingspark.tables import ARRIVAL, listings, table, with_listings
 
@@ -48,10 +49,39 @@ def repaired(spark, sf_dir):
     return P.storage_repairs(rows, reference_specs(spark, sf_dir), ["make", "model"], TEXTS, FILLED)
 
 
-@query("storage_repair", with_listings("SELECT vin, r_partkey, fields, " + ", ".join(f"f_{c} AS {c}" for c in (*FILLED, "cylinders")) + " FROM fixed WHERE fields <> ''", REFERENCE_SQL, REPAIRED_SQL))
+#: Planted beside the listings: conditions, some of them junk, pages' addresses and flags.
+BESIDE = {
+    "condition": "CASE r_partkey % 5 WHEN 0 THEN 'Used' WHEN 1 THEN 'n/a' END", "source_url": "'https://' || split_part('x.example/new-inventory/1|x.example/used-inventory/2|x.example/certified/3|x.example/4|x.example/new/5|', '|', cast(r_partkey % 6 as int) + 1)",
+    "cpo": "r_partkey % 11 = 0", "offered": "CASE WHEN r_partkey % 4 = 0 THEN 'New ' ELSE '' END || title", "driven": "CASE WHEN r_partkey % 3 = 0 THEN 0 WHEN r_partkey % 3 = 1 THEN NULL ELSE mileage END", "built": "year + r_partkey % 26 + 7",
+}
+
+
+def _told_sql() -> str:
+    """DuckDB's chain of the condition rules."""
+    needs = {"cpo": "cpo", "driven": "driven > 0", "undriven": "driven = 0", "old": f"built < {K.FIRST_RECENT}", "recent": f"built >= {K.FIRST_RECENT}"}
+    brand = {"bmw": "upper(make) = 'BMW'", "other": "upper(make) <> 'BMW'"}
+    chain = []
+    for value, make, where, pattern, need in K.RULES:
+        asked = [brand.get(make)] * bool(make) + [f"regexp_matches(lower({'offered' if where == 'title' else 'source_url'}), '{pattern}')"] * bool(pattern) + [f"coalesce({needs.get(need)}, false)"] * bool(need)
+        chain.append(f"WHEN {' AND '.join(asked)} THEN '{value}'")
+    return "CASE " + " ".join(chain) + " END"
+
+
+STORED_SQL = with_listings(
+    "SELECT vin, r_partkey, concat_ws(',', nullif(fields, ''), CASE WHEN told IS NOT NULL THEN 'condition' END, CASE WHEN changed THEN 'interior_families' END) AS fields, " + ", ".join(f"f_{c} AS {c}" for c in (*FILLED, "cylinders"))
+    + f", coalesce(told, condition) AS condition, CASE WHEN changed THEN array_to_string({families_sql('f_interior_color')}, ',') END AS families FROM (SELECT *, CASE WHEN {empty_sql('condition')} THEN {_told_sql()} END AS told FROM stored) WHERE fields <> '' OR told IS NOT NULL",
+    REFERENCE_SQL, "beside AS (SELECT *, " + ", ".join(f"{e} AS {c}" for c, e in BESIDE.items()) + " FROM l)",
+    "stored AS (SELECT beside.*, " + ", ".join(f"{e} AS f_{c}" for c, e in REPAIRED.items()) + f", interior_color IS DISTINCT FROM ({REPAIRED['interior_color']}) AS changed, " + _names({c: f"{c} IS DISTINCT FROM ({e})" for c, e in REPAIRED.items()}) + " AS fields FROM beside LEFT JOIN ref USING (make, model))",
+)
+
+
+@query("storage_repair", STORED_SQL)
 def storage_repair(spark, sf_dir):
-    """Patches of all listings: junk to null, reference specs into empty slots."""
-    return repaired(spark, sf_dir).where(F.size("fields") > 0).select("vin", "r_partkey", F.array_join("fields", ",").alias("fields"), *FILLED, "cylinders")
+    """Patches of all listings: junk to null, reference specs into empty slots, a condition where there is none, families of changed interiors."""
+    rows = listings(spark, sf_dir).selectExpr("vin", "r_partkey", "make", "model", "cylinders", *TEXTS, *[f"{e} AS {c}" for c, e in BESIDE.items()])
+    fixed = P.storage_repairs(rows, reference_specs(spark, sf_dir), ["make", "model"], TEXTS, FILLED).withColumnsRenamed({"offered": "title", "driven": "mileage", "built": "year"})
+    out = P.storage_traits(fixed, "source_url", "cpo").where(F.size("fields") > 0)
+    return out.select("vin", "r_partkey", F.array_join("fields", ",").alias("fields"), *FILLED, "cylinders", "condition", F.array_join("interior_families", ",").alias("families"))
 
 
 # ---------------------------------------------------------------- then the decoder's cache
