@@ -90,7 +90,7 @@ def test_rough_and_empty_tables(spark, rough, nothing, name):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_twin(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         duck.sql(f"create view {t} as from '{DATA}/{t}.parquet'")
     want, got = duck.sql(registry.oracle_sql()[name]).df(), registry.queries()[name](spark, DATA).toPandas()
     columns = sorted(want)
