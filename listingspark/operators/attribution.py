@@ -87,7 +87,8 @@ def org_candidates(pages: DataFrame) -> DataFrame:
     """
     weight, signal = O.page_weight(F.col("kind")), F.col("signal")
     footing = F.when(signal == "copyright", F.when(F.col("kind") == "footer", 0.88).otherwise(0.72)).otherwise(1.0)
-    found = staged(_found(pages.where(F.length("text") >= 20), FIRST_PASS), "found")  # a few rows for each page that matched; both passes read them
+    cued = F.lower("text").rlike(O.CUES)  # most texts have none, and needn't meet every pattern
+    found = staged(_found(pages.where((F.length("text") >= 20) & cued), FIRST_PASS), "found")  # a few rows for each page that matched; both passes read them
     first = _first(_judged(found), "site", "page").withColumn("score", F.least(F.lit(CAP), F.col("base") * weight * footing))
     bare = pages.where(F.length("text") >= 40).join(first.where("reason is null").select("site").distinct(), "site", "left_anti")
     about = F.lower(F.concat_ws(" ", "url", "kind"))
