@@ -1,7 +1,9 @@
 """Search texts to filters. Numbers and cues are read by patterns; names meet their vocabulary by deletion neighbourhoods.
 
 Two words are at most one edit apart only if they, or they less one character each, agree. So words and terms are expanded by what is left
-without each of their characters and meet in an equi-join; the distance of what meets is then computed. Only distinct words of all texts meet terms.
+without each of their characters and meet in an equi-join; the distance of what meets is then computed. Only distinct words of all texts meet terms. What met, and the vocabulary,
+are written: Spark then knows how small they are and doesn't broadcast the words of all texts to them. Joins by the texts' keys are merged, for
+their sides grow with the texts.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listingspark.operators.runs import staged
+
 # Patterns, cues and words of the texts.
 PRICES = [r"\b(?:under|below|less\s+than|max(?:imum)?|at\s+most)\s*(?:\$?\s*)?[0-9,]+(?:\.[0-9]+)?\s*(?:k|thousand)?\b", r"\$\s*[0-9,]+(?:\.[0-9]+)?\s*(?:k|thousand)?\b", r"\b[0-9,]+(?:\.[0-9]+)?\s*k\b(?:\s*miles)?"]
 MILES = r"\b(?:under|below|less\s+than|max)\s*([0-9,]+)\s*(k?)\s*miles?\b"
@@ -71,7 +75,7 @@ def parsed(texts: DataFrame, pairs: DataFrame, styles: DataFrame, colors: DataFr
     a make brings the least make that has it. A null text asks for nothing.
     """
     low = F.lower(F.trim(F.coalesce("text", F.lit(""))))
-    rows = texts.select("key", low.alias("low"))
+    rows = texts.select("key", low.alias("low")).repartition("key")  # every later step on texts goes by key
     named = styles.select(F.trim("style").alias("style")).where("style <> ''").distinct().agg(F.array_sort(F.collect_set("style")).alias("styles"))  # a facet's values
     padded = F.concat(F.lit(" "), F.regexp_replace("low", WORDS, " "), F.lit(" "))
     cues = F.array_compact(F.array(*[F.when(F.col("low").rlike(p), s) for s, p in BODIES]))
@@ -91,19 +95,21 @@ def parsed(texts: DataFrame, pairs: DataFrame, styles: DataFrame, colors: DataFr
     grams = names.withColumn("next", after).select("key", "at", F.explode(F.array_compact(F.array(F.when(plain & (F.length("word") >= 2), F.col("word")), F.when(plain & ~F.col("next").rlike("^[0-9]+$"), F.concat_ws(" ", "word", "next"))))).alias("word"))
 
     lower = pairs.select("make", "model", F.lower(F.trim("make")).alias("l_make"), F.lower(F.trim("model")).alias("l_model")).distinct()
+    lower = staged(lower, "vocabulary")
     terms = lower.select(F.lit("make").alias("kind"), F.col("l_make").alias("term")).unionByName(lower.select(F.lit("model").alias("kind"), F.col("l_model").alias("term"))).where("term <> ''")
     terms = terms.unionByName(colors.select(F.col("place").alias("kind"), F.lower("color").alias("term")))
     every = grams.select("word").unionByName(hints.select("word"))
-    alike = within_one_edit(every, terms)
+    alike = staged(within_one_edit(every, terms), "alike")
     place = F.struct("edits", -F.length("term"), "at", "term")
     hits = grams.join(alike.where("kind IN ('make', 'model')"), "word").groupBy("key", "kind", "term").agg(F.min(place).alias("rank"))
     make = hits.where("kind = 'make'").groupBy("key").agg(F.min_by("term", "rank").alias("l_make"))
     made = make.join(lower.groupBy("l_make").agg(F.min("make").alias("make")), "l_make")
     models = hits.where("kind = 'model'").select("key", F.col("term").alias("l_model"), "rank")
-    own = models.join(made, "key", "left").join(lower.select(F.col("l_model"), F.col("l_make").alias("of_make"), F.col("make").alias("pair_make"), "model"), "l_model")
+    own = models.join(made.hint("merge"), "key", "left").join(lower.select(F.col("l_model"), F.col("l_make").alias("of_make"), F.col("make").alias("pair_make"), "model"), "l_model")
     own = own.where(F.col("l_make").isNull() | (F.col("l_make") == F.col("of_make"))).groupBy("key").agg(F.min_by(F.struct("model", F.col("pair_make").alias("make")), F.struct("rank", "pair_make")).alias("m"))
     tint = hints.join(alike.where("kind IN ('in', 'out')"), "word").groupBy("key").agg(*[F.min_by(F.when(F.col("kind") == k, F.col("term")), F.when(F.col("kind") == k, F.struct("at", "edits", "term"))).alias(k) for k in ("in", "out")])
-    out = out.join(made.select("key", "make"), "key", "left").join(own, "key", "left").join(tint, "key", "left")
+    for found in (made.select("key", "make"), own, tint):
+        out = out.join(found.hint("merge"), "key", "left")
     return out.select(
         "key", "max_price", "max_mileage", "min_year", "max_year", "drivetrain", "body_style", F.when(F.col("inside"), F.col("in")).alias("interior_color"), F.col("out").alias("exterior_color"),
         F.coalesce("make", "m.make").alias("make"), F.col("m.model").alias("model"),
