@@ -77,6 +77,8 @@ def registry_link(spark, sf_dir):
 
 
 MILES = 3958.8
+#: Pairs that a task of geo_radius looks at, and the share of all pairs that meet in a cell: both about.
+GEO_TASK, GEO_SHARE = 10_000_000, 0.005
 PLACES = "SELECT {k} AS id, ({k} * 7919 % 140000) / 1000.0 - 70 AS lat, ({k} * 104729 % 360000) / 1000.0 - 180 AS lon FROM {t}"
 
 
@@ -87,12 +89,16 @@ PLACES = "SELECT {k} AS id, ({k} * 7919 % 140000) / 1000.0 - 70 AS lat, ({k} * 1
     d AS (SELECT id, sid, 2 * {MILES} * asin(sqrt(pow(sin(radians(slat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(slat)) * pow(sin(radians(slon - lon) / 2), 2))) AS miles FROM c, s) SELECT id, sid, round(miles, 1) AS miles FROM d WHERE miles <= 300""",
 )
 def geo_radius(spark, sf_dir):
-    """Pairs within 300 miles: both sides meet in grid cells (a place joins with its cell and all cells that the radius can reach), then the exact distance decides."""
+    """Pairs within 300 miles: both sides meet in grid cells (a place joins with its cell and all cells that the radius can reach), then the exact distance decides.
+
+    Pairs grow with the product of both tables, so cells are dealt over as many partitions as give each some GEO_TASK pairs to look at.
+    """
     radius = 300.0
     place = lambda df, k: df.select(F.col(k).alias("id"), ((F.col(k) * 7919 % 140000) / 1000.0 - 70).alias("lat"), ((F.col(k) * 104729 % 360000) / 1000.0 - 180).alias("lon"))
     near, far = place(table(spark, sf_dir, "customer"), "c_custkey"), place(table(spark, sf_dir, "supplier"), "s_suppkey").withColumnsRenamed({"id": "sid", "lat": "slat", "lon": "slon"})
     degrees = 2 * 57.29577951308232 * radius / MILES / 2  # of latitude
-    cell = 5.0
+    cell = 2.5
+    parts = max(16, int(near.count() * far.count() * GEO_SHARE / GEO_TASK))
     rows = lambda c: F.floor((c + 90) / cell)
     # a circle around a point spans more degrees of longitude towards the poles; where it holds a pole, all of them
     half = F.asin(F.least(F.lit(1.0), F.sin(F.lit(radius / MILES)) / F.cos(F.radians("slat")))) * 57.29577951308232
@@ -102,7 +108,8 @@ def geo_radius(spark, sf_dir):
     cells = far.withColumn("row", F.explode(F.sequence(rows(F.col("slat") - degrees), rows(F.col("slat") + degrees)))).withColumn("c", F.explode(across)).withColumn("col", F.pmod("c", F.lit(columns)))
     here = near.withColumns({"row": rows(F.col("lat")), "col": F.pmod(F.floor((F.col("lon") + 180) / cell), F.lit(columns))})
     arc = F.pow(F.sin(F.radians(F.col("slat") - F.col("lat")) / 2), 2) + F.cos(F.radians("lat")) * F.cos(F.radians("slat")) * F.pow(F.sin(F.radians(F.col("slon") - F.col("lon")) / 2), 2)
-    return here.join(cells, ["row", "col"]).withColumn("miles", 2 * MILES * F.asin(F.sqrt(arc))).where(F.col("miles") <= radius).select("id", "sid", F.round("miles", 1).alias("miles"))
+    here, cells = (df.repartition(parts, "row", "col") for df in (here, cells))
+    return here.join(cells.hint("merge"), ["row", "col"]).withColumn("miles", 2 * MILES * F.asin(F.sqrt(arc))).where(F.col("miles") <= radius).select("id", "sid", F.round("miles", 1).alias("miles"))
 
 
 @query("orphan_checks", "SELECT 'line_without_order' AS problem, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0) UNION ALL SELECT 'order_without_customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")

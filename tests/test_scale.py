@@ -1,8 +1,12 @@
 """Plans and steps whose cost must not grow faster than their input."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
-from listingspark.operators import querytext
+from listingspark.operators import querytext, vectors
+from listingspark.plans import joins
 
 
 def broadcast_rows(df):
@@ -33,3 +37,38 @@ def test_parsed_texts_are_not_broadcast(spark):
     got = querytext.parsed(texts, pairs, styles, colors, slang)
     assert max(broadcast_rows(got), default=0) < 100
     assert [tuple(r) for r in got.groupBy("make", "model", "exterior_color").count().collect()] == [("borsa", "ring", "black", 5000)]
+
+
+def test_nearest_by_blocks(spark):
+    pick = random.Random(4)
+    rows = [(i, [pick.uniform(-1, 1) for _ in range(6)], i % 3) for i in range(90)]
+    rows += [(100 + i, rows[i % 5][1], i % 3) for i in range(60)] + [(200, None, 0), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (202, [1.0, 2.0], 2), (203, [0.0] * 6, 0), (204, rows[0][1], None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").cache()
+    exact = {r.vec_id: r.embedding for r in frame.collect()}
+
+    def distance(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        norm = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(1 - sum(x * y for x, y in zip(a, b)) / norm, 5) + 0.0 if norm else math.nan
+
+    def place(pair):
+        return (2, 0.0, pair[1]) if pair[0] is None else (1, 0.0, pair[1]) if math.isnan(pair[0]) else (0, *pair)
+
+    for same in ([], ["label"]):
+        asked = frame.where("vec_id % 4 = 0 OR vec_id > 200")
+        got = vectors.nearest(asked, frame, 7, same=same, queries_at_once=9, rows_at_once=20).collect()
+        for q, _, label in [r for r in rows if r[0] % 4 == 0 or r[0] > 200]:
+            met = [] if same and label is None else [(distance(exact[q], exact[r]), r) for r, _, other in rows if not same or other == label]
+            want = [(r, i + 1, str(d)) for i, (d, r) in enumerate(sorted(met, key=place)[:7])]
+            assert sorted((x.vec_id, x["rank"], str(x.distance)) for x in got if x.query_id == q) == sorted(want)
+
+
+def test_geo_radius_deals_more_pairs_over_more_tasks(spark, tmp_path, monkeypatch):
+    spark.range(400).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(300).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    few = joins.geo_radius(spark, str(tmp_path))
+    monkeypatch.setattr(joins, "GEO_TASK", 10)
+    many = joins.geo_radius(spark, str(tmp_path))
+    assert few.rdd.getNumPartitions() <= 16 and many.rdd.getNumPartitions() >= 60
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) != []
