@@ -2,11 +2,14 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from listingspark import tables
 from listingspark.operators import querytext, vectors
 from listingspark.plans import joins
+from listingspark.sources import mapping
 
 
 def broadcast_rows(df):
@@ -72,3 +75,19 @@ def test_geo_radius_deals_more_pairs_over_more_tasks(spark, tmp_path, monkeypatc
     many = joins.geo_radius(spark, str(tmp_path))
     assert few.rdd.getNumPartitions() <= 16 and many.rdd.getNumPartitions() >= 60
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) != []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlays_are_read_row_by_row(spark):
+    rows = [(1, '{"ep": {"driveType": null}, "driveType": "x", "driveLine": "AWD"}'), (1, '{"driveline": "n/a", "drive_train": "4WD"}'), (2, '{"ep": "FWD", "driveTrain": 7}'), (3, "[1]"), (4, "{"), (None, None)]
+    got = mapping.overlay_fields(spark.createDataFrame(rows, "id int, j string"), "id", "j")
+    assert "Exchange" not in plan_of(got)
+    assert [(r.id, r.drive_train) for r in got.collect()] == [(1, "AWD"), (1, "4WD"), (2, "7"), (3, None), (4, None), (None, None)]
+
+
+def test_listings_meet_orders_before_names_join_them(spark):
+    plan = tables.listings(spark, "/root/testdata/sf0.001").select("vin", "title", "dealer_name")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"l_partkey#\d+L = p_partkey", plan).start() < plan.index("LeftOuter")  # inner joins are above the orders'
