@@ -96,12 +96,15 @@ def mapped_by_table(payloads: DataFrame, key: str, provider: str, payload: str,
     table = path_table(spark, dialects)
     known = payloads.where(F.col(provider).isin(list(dialects))).select(F.col(key).alias("k"), F.col(provider).alias("provider"), F.col(payload).alias("payload"))
     rows = entries(known, "payload")
-    plain = rows.where(~F.startswith("path", F.lit("@"))).join(F.broadcast(table), ["provider", "path"]).select("k", "provider", "field", "rank", "at", "value")
-    needles = table.where("path LIKE '@%'").groupBy("provider").agg(F.collect_list(F.struct(F.substring("path", 2, 99).alias("needle"), "field", "rank")).alias("all"))
+    spot = F.struct("field", "rank")
+    places = table.where("NOT startswith(path, '@')").groupBy("provider", "path").agg(F.collect_list(spot).alias("spots"))
+    plain = places.groupBy("provider").agg(F.map_from_entries(F.collect_list(F.struct("path", "spots"))).alias("plain"))
+    needles = table.where("startswith(path, '@')").groupBy("provider").agg(F.collect_list(F.struct(F.substring("path", 2, 99).alias("needle"), "field", "rank")).alias("all"))
     own = F.substring("path", 2, 1 << 20)
     held = F.filter("all", lambda n: F.contains(own, n["needle"]) | ((F.length(own) >= 5) & F.contains(n["needle"], own)))
-    named = rows.where(F.startswith("path", F.lit("@")) & (own != "")).join(F.broadcast(needles), "provider").select("k", "provider", "at", "value", F.inline(held)).select("k", "provider", "field", "rank", "at", "value")
-    good = plain.unionByName(named).where(usable(F.col("field"), F.col("value")))
+    met = F.when(~F.startswith("path", F.lit("@")), F.try_element_at("plain", "path")).when(own != "", F.transform(held, lambda n: F.struct(n["field"].alias("field"), n["rank"].alias("rank"))))
+    # a row for each provider: every entry is read once, whichever way it is named
+    good = rows.join(F.broadcast(plain.join(needles, "provider", "full")), "provider").select("k", "provider", "at", "value", F.inline(met)).where(usable(F.col("field"), F.col("value")))
     wide = good.groupBy("k", "provider").pivot("field", fields).agg(F.min_by("value", F.struct("rank", "at")))
     every_key = known.select("k", "provider").join(wide.withColumnsRenamed({"k": "_k", "provider": "_provider"}), (F.col("k").eqNullSafe(F.col("_k"))) & (F.col("provider") == F.col("_provider")), "left")
     digits = lambda f, kind: F.regexp_replace(f, "[^0-9.]", "").try_cast("double").cast(kind)
@@ -109,16 +112,15 @@ def mapped_by_table(payloads: DataFrame, key: str, provider: str, payload: str,
 
 
 def overlay_fields(payloads: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, OVERLAY_FIELDS): an overlay's fields under any of their names. What stands within `ep` takes the place of what stands beside it; a field's own name comes first, then its aliases in order."""
-    spark = payloads.sparkSession
-    ranks = [(field, field, -1) for field in OVERLAY_FIELDS] + [(alias, field, i) for i, (alias, field) in enumerate(ALIASES)]
-    table = spark.createDataFrame(ranks, "name string, field string, rank int")
-    known = payloads.select(F.col(key).alias("k"), F.col(payload).alias("payload"))
+    """(key, OVERLAY_FIELDS): an overlay's fields under any of their names. What stands within `ep` takes the place of what stands beside it; a field's own name comes first, then its aliases in order.
+
+    Every name is looked up in the row itself, so nothing is shuffled and a task holds one payload at a time.
+    """
+    names = {field: [field, *(a for a, f in ALIASES if f == field)] for field in OVERLAY_FIELDS}
+    get = lambda path, kind: F.expr(f"try_variant_get(_v, '$.{path}', '{kind}')")
     # empty values count here: within `ep` they hide what stands beside it
-    rows = spark.sql("SELECT k, a.key AS a, b.key AS b, try_variant_get(a.value, '$', 'string') AS av, try_variant_get(b.value, '$', 'string') AS bv FROM (SELECT k, try_parse_json(payload) AS v FROM {known}), LATERAL variant_explode(v) AS a, LATERAL variant_explode_outer(CASE WHEN a.key = 'ep' THEN a.value END) AS b", known=known)
-    inner = F.col("a").eqNullSafe(F.lit("ep")) & F.col("b").isNotNull()
-    named = rows.select("k", F.when(inner, F.col("b")).otherwise(F.col("a")).alias("name"), inner.alias("inner"), F.when(inner, F.col("bv")).otherwise(F.col("av")).alias("value"))
-    met = named.join(F.broadcast(table), "name")
-    single = met.groupBy("k", "field", "rank").agg(F.max_by(F.struct("value"), "inner").alias("x")).select("k", "field", "rank", "x.value").where(~R.is_empty(F.col("value")))
-    wide = single.groupBy("k").pivot("field", OVERLAY_FIELDS).agg(F.min_by("value", "rank")).withColumnRenamed("k", "_k")
-    return known.select("k").join(wide, F.col("k").eqNullSafe(F.col("_k")), "left").select(F.col("k").alias(key), *OVERLAY_FIELDS)
+    value = lambda n: F.when(get(f"ep.{n}", "variant").isNotNull(), get(f"ep.{n}", "string")).otherwise(get(n, "string"))
+    rows = payloads.select(F.col(key).alias("_key"), F.try_parse_json(payload).alias("_v"))
+    at = {n: f"_{i}" for i, n in enumerate(n for own in names.values() for n in own)}  # names differ in case only
+    found = rows.select("_key", *[value(n).alias(c) for n, c in at.items()])
+    return found.select(F.col("_key").alias(key), *[F.coalesce(*[R.placeholder_null(F.col(at[n])) for n in own]).alias(field) for field, own in names.items()])
