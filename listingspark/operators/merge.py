@@ -18,6 +18,14 @@ def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
+def last_with(df: DataFrame, key: str, order: list[str], **figures: Column) -> DataFrame:
+    """The last row of each key, with aggregates over all rows of the key: one shuffle and one sort for both."""
+    window = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = df.withColumns({"_place": F.row_number().over(window)} | {n: c.over(whole) for n, c in figures.items()})
+    return rows.where("_place = 1").drop("_place")
+
+
 #: When a value of a column is worth keeping, by kind.
 USABLE: dict[str, Callable[[Column], Column]] = {
     "text": lambda c: ~R.is_empty(c),

@@ -84,15 +84,22 @@ def overlay_merge(rows: DataFrame, overlay: DataFrame, key: str) -> DataFrame:
 
     Specs replace empty or generic values, colours and body style empty ones only; a single colour word never replaces a richer text.
     """
+    return overlaid(rows.join(overlay.withColumnsRenamed({c: f"_{c}" for c in overlay.columns if c != key}), key, "left"), rows.columns)
+
+
+def overlaid(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """overlay_merge() of rows that hold their overlay already, its columns with `_` before their names; `columns` are kept."""
     specs, plain = list(GENERIC), ["interior_color", "exterior_color", "body_style"]
-    joined = rows.join(overlay.withColumnsRenamed({c: f"_{c}" for c in overlay.columns if c != key}), key, "left")
     normal = {"transmission": R.norm_transmission, "drivetrain": R.norm_drivetrain, "fuel_type": R.norm_fuel}
     value = {c: normal[c](F.col(f"_{c}")) for c in specs} | {c: R.placeholder_null(F.trim(f"_{c}")) for c in plain}
     weak = {c: is_generic(c, F.col(c)) for c in specs} | {c: R.is_empty(F.col(c)) for c in plain}
+    # columns of their own, so that each rule runs once for a row
+    joined = joined.withColumns({f"_new_{c}": v for c, v in value.items()} | {f"_weak_{c}": w for c, w in weak.items()})
+    value, weak = {c: F.col(f"_new_{c}") for c in value}, {c: F.col(f"_weak_{c}") for c in weak}
     offered = {c: v.isNotNull() for c, v in value.items()}
     taken = {c: F.coalesce(offered[c] & weak[c], F.lit(False)) for c in value}
     kept = {c: F.coalesce(offered[c] & ~weak[c], F.lit(False)) for c in value}
-    return joined.select(*[F.when(taken[c], value[c]).otherwise(F.col(c)).alias(c) if c in value else F.col(c) for c in rows.columns], names_of(taken).alias("filled"), names_of(kept).alias("skipped"))
+    return joined.select(*[F.when(taken[c], value[c]).otherwise(F.col(c)).alias(c) if c in value else F.col(c) for c in columns], names_of(taken).alias("filled"), names_of(kept).alias("skipped"))
 
 
 def recovery_merge(rows: DataFrame, incoming: DataFrame, key: str, longer: list[str], if_empty: list[str], positive: list[str]) -> DataFrame:

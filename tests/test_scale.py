@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from listingspark import tables
 from listingspark.operators import querytext, vectors
-from listingspark.plans import joins
+from listingspark.plans import joins, repairs
 from listingspark.sources import mapping
 
 
@@ -91,3 +91,9 @@ def test_overlays_are_read_row_by_row(spark):
 def test_listings_meet_orders_before_names_join_them(spark):
     plan = tables.listings(spark, "/root/testdata/sf0.001").select("vin", "title", "dealer_name")._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"l_partkey#\d+L = p_partkey", plan).start() < plan.index("LeftOuter")  # inner joins are above the orders'
+
+
+def test_merges_read_the_listings_once(spark):
+    for query in (repairs.overlay_merge, repairs.observation_merge):
+        plan = plan_of(query(spark, "/root/testdata/sf0.001"))
+        assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) <= 1
