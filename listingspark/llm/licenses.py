@@ -114,11 +114,15 @@ FILES = r"(?i)^(licen[cs]e|copying|notice|index|default)([.].*)?$"
 CUTS = (r"\n", r"\n[ \t]*\n", r"[.!?][ \t\n]+|\n[ \t]*\n")
 
 
-def units_of(html: Column, is_file: Column) -> Column:
-    """The distinct lines, paragraphs and sentences, and a file's whole text, as words parted by one blank."""
+def plain_text(html: Column) -> Column:
+    """The text between tags in lower case, with blank lines where blocks part."""
     text = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), SCRIPTS, " "), BREAKS, "\n\n")
     text = F.regexp_replace(F.lower(F.regexp_replace(text, r"<[^>]*>", " ")), r"&[a-z0-9#]+;", " ")
-    text = F.regexp_replace(text, r"\r\n?", "\n")
+    return F.regexp_replace(text, r"\r\n?", "\n")
+
+
+def units_of(text: Column, is_file: Column) -> Column:
+    """The distinct lines, paragraphs and sentences, and a file's whole text, as words parted by one blank. The text is a column that is there: it is read four times."""
     parts = F.concat(*[F.split(text, cut) for cut in CUTS], F.when(is_file, F.array(text)).otherwise(F.array().cast("array<string>")))
     return F.filter(F.array_distinct(F.transform(F.array_distinct(parts), lambda t: F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " ")))), lambda t: t != "")
 
@@ -172,8 +176,8 @@ def license_scan(pages: DataFrame, templates: dict[str, tuple[str, ...]] | None
     path = F.when(path == "", "/").otherwise(path)
     place = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), host.alias("host"), path.alias("path"), F.col(html).alias("html"))
     place = place.withColumn("file", F.regexp_extract("path", r"[^/]*$", 0)).withColumn("is_file", (F.col("file") == "") | F.col("file").rlike(FILES))
-    place = place.select("row", "key", "host", "is_file", F.concat("host", F.regexp_extract("path", r"^.*/", 0)).alias("directory"), F.concat("host", F.rtrim(F.col("path"), F.lit("/")), F.lit("/")).alias("self"), units_of(F.col("html"), F.col("is_file")).alias("units"))
-    place = staged(place, "units")
+    place = place.select("row", "key", "host", "is_file", F.concat("host", F.regexp_extract("path", r"^.*/", 0)).alias("directory"), F.concat("host", F.rtrim(F.col("path"), F.lit("/")), F.lit("/")).alias("self"), plain_text(F.col("html")).alias("text"))
+    place = staged(place.withColumn("units", units_of(F.col("text"), F.col("is_file"))).drop("text"), "units")
     own = declared(place.select("row", "units"), templates or TEMPLATES, likeness)
     all_pages = staged(place.drop("units").join(own, "row", "left"), "declared")
     holds = all_pages.where(F.col("license_id").isNotNull() & F.col("is_file") & (F.col("host") != "")).groupBy("directory").agg(F.min_by(F.struct("license_id", "score"), F.struct(-F.col("score"), F.col("license_id"))).alias("held"))

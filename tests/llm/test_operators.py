@@ -695,3 +695,16 @@ def test_bitmap(spark):
 
 def test_digest():
     assert bpe.digest(np.array([1, 2], "<u4")) == hashlib.sha256(b"\1\0\0\0\2\0\0\0").hexdigest()
+
+
+def test_license_pages_are_cleaned_once(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return df
+
+    monkeypatch.setattr(licenses, "staged", kept)
+    pages = spark.createDataFrame([(1, "http://a.example/LICENSE", "<p>MIT License</p>")], "page_id long, url string, html string")
+    assert [r.license_id for r in licenses.license_scan(pages).collect()] == ["MIT"]
+    assert plans["units"].count("<script") == 1
