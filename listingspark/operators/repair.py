@@ -68,7 +68,11 @@ def decode_backfill(rows: DataFrame, cache: DataFrame, key: str, texts: list[str
     A text may be filled where it is empty, the year where it is null or not positive, the cylinders likewise unless the fuel says
     electric (but not plug-in). With `overwrite`, any value gives way. Rows whose key can't be decoded stay.
     """
-    joined = rows.join(cache.withColumnsRenamed({c: f"_{c}" for c in cache.columns if c != key}), key, "left")
+    return decoded(rows.join(cache.withColumnsRenamed({c: f"_{c}" for c in cache.columns if c != key}), key, "left"), rows.columns, key, texts, overwrite)
+
+
+def decoded(joined: DataFrame, columns: list[str], key: str, texts: list[str], overwrite: bool = False) -> DataFrame:
+    """decode_backfill() of rows that hold their answers already, the answers' columns with `_` before their names; `columns` are kept."""
     fuel = F.lower(F.coalesce("fuel_type", F.lit("")))
     electric = fuel.contains("electric") & ~fuel.contains("plug")
     open_slot = {c: R.is_empty(F.col(c)) for c in texts} | {"year": ~F.coalesce(F.col("year") > 0, F.lit(False)), "cylinders": ~electric & ~F.coalesce(F.col("cylinders") > 0, F.lit(False))}
@@ -76,7 +80,7 @@ def decode_backfill(rows: DataFrame, cache: DataFrame, key: str, texts: list[str
         open_slot = {c: ok | F.col(c).isNotNull() for c, ok in open_slot.items()}
     given = {c: R.is_decodable_vin(F.col(key)) & ok & ~R.is_empty(F.col(f"_{c}").cast("string")) for c, ok in open_slot.items()}
     given = {c: F.coalesce(ok, F.lit(False)) for c, ok in given.items()}
-    return joined.select(*[F.when(given[c], F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in rows.columns], names_of(given).alias("decoded"))
+    return joined.select(*[F.when(given[c], F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in columns], names_of(given).alias("decoded"))
 
 
 def overlay_merge(rows: DataFrame, overlay: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from listingspark import tables
-from listingspark.operators import querytext, vectors
+from listingspark.operators import querytext, runs, vectors
 from listingspark.plans import joins, repairs
 from listingspark.sources import mapping
 
@@ -97,3 +97,17 @@ def test_merges_read_the_listings_once(spark):
     for query in (repairs.overlay_merge, repairs.observation_merge):
         plan = plan_of(query(spark, "/root/testdata/sf0.001"))
         assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) <= 1
+
+
+def test_scans_meet_their_rows_in_one_pass(spark, monkeypatch):
+    plans = []
+
+    def kept(df, folder):
+        plans.append(plan_of(df))
+        return runs.commit(df, folder)
+
+    monkeypatch.setattr(repairs, "commit", kept)
+    assert repairs.post_scan_pipeline(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(plans) == 2 and "l_orderkey" not in plans[1]  # the second stage needs no line items and moves no listing
+    wide = [line for line in plans[1].splitlines() if "Exchange hashpartitioning(vin" in line]
+    assert not wide
