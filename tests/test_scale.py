@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from listingspark import tables
 from listingspark.operators import querytext, runs, vectors
 from listingspark.plans import joins, repairs
+from listingspark.plans import vectors as plan_vectors
 from listingspark.sources import mapping
 
 
@@ -111,3 +112,23 @@ def test_scans_meet_their_rows_in_one_pass(spark, monkeypatch):
     assert len(plans) == 2 and "l_orderkey" not in plans[1]  # the second stage needs no line items and moves no listing
     wide = [line for line in plans[1].splitlines() if "Exchange hashpartitioning(vin" in line]
     assert not wide
+
+
+def test_index_runs_meet_documents_once(spark, tmp_path):
+    schema = "kind string, key string, text string"
+    docs = spark.createDataFrame([("a", "1", "red car"), ("a", "2", None)], schema)
+    vectors.stored_model(docs, f"file://{tmp_path}/model", 8)
+    name, encode = vectors.tfidf_encoder(spark, f"file://{tmp_path}/model")
+    vectors.index_run(f"file://{tmp_path}/index", docs, name, encode)
+    upsert = vectors.index_upsert(runs.latest(spark, f"file://{tmp_path}/index"), docs.withColumn("n_words", F.size(vectors.words(F.col("text")))), name, encode)
+    assert upsert._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted((r.key, r.action, r.n_words) for r in upsert.collect()) == [("1", "kept", 2), ("2", "kept", 0)]
+
+
+def test_index_reads_the_listings_once(spark, monkeypatch):
+    plans = []
+    for module, name in ((vectors, "commit"), (plan_vectors, "staged")):
+        kept = getattr(runs, name)
+        monkeypatch.setattr(module, name, lambda df, folder, kept=kept: (plans.append(plan_of(df)), kept(df, folder))[1], raising=False)
+    plans.append(plan_of(plan_vectors.embedding_index(spark, "/root/testdata/sf0.001")))
+    assert sum(p.count("FileScan parquet [l_orderkey") > 0 for p in plans) == 1
