@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from listingspark.functions import conditions as K
 from listingspark.functions import rules as R
-from listingspark.operators.runs import staged
 
 #: Words that say too little, which an overlay may replace.
 GENERIC = {
@@ -191,21 +190,25 @@ def vehicles_of(payloads: DataFrame, key: str, payload: str, source: str, rank:
 
     payload: JSON text. A list with a vehicle that has a whole VIN is taken; other lists are searched item by item and objects by
     VEHICLE_LISTS, to VEHICLE_DEPTH levels. A vehicle needs two of year, make and model.
+
+    A payload is searched in its own row, level by level: vehicles that are found wait for the others, and nothing is moved until they are ranked.
     """
-    spark = payloads.sparkSession
-    first = lambda *names: F.coalesce(*[F.nullif(F.trim(F.expr(f"try_variant_get(v, '$.{n}', 'string')")), F.lit("")) for n in names])
-    vin = F.upper(first("vin", "VIN", "Vin"))
-    whole = F.coalesce(vin.rlike("^[A-HJ-NPR-Z0-9]{17}$"), F.lit(False))
-    level = payloads.select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(rank).alias("rank"), F.lit("").alias("place"), F.try_parse_json(payload).alias("v"))
-    found = []
-    for depth in range(VEHICLE_DEPTH + 1):
-        entries = spark.sql("SELECT k, source, rank, place, e.pos AS pos, e.key AS name, e.value AS v FROM {level}, LATERAL variant_explode(v) AS e", level=level)
-        entries = staged(entries.withColumn("whole", F.col("name").isNull() & whole), "entries")  # read for the lists, for what is found and for the next level
-        lists = entries.where("name is null").groupBy("k", "source", "rank", "place").agg(F.bool_or("whole").alias("taken"))
-        entries = entries.join(lists, ["k", "source", "rank", "place"], "left").withColumn("place", F.concat("place", F.format_string("/%06d", "pos")))
-        found.append(entries.where("whole").select("k", "source", "rank", "place", vin.alias("vin"), first("year", "Year", "modelYear").try_cast("int").alias("year"), first("make", "Make").alias("make"), first("model", "Model").alias("model")))
-        level = entries.where((F.col("name").isNull() & ~F.coalesce("taken", F.lit(False))) | F.col("name").isin(VEHICLE_LISTS)).select("k", "source", "rank", "place", "v")
-    rows = reduce(DataFrame.unionByName, found)
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    first = lambda m, *names: F.coalesce(*[F.nullif(F.trim(F.try_element_at(m, F.lit(n))), F.lit("")) for n in names])
+    whole = lambda m: F.coalesce(F.upper(first(m, "vin", "VIN", "Vin")).rlike("^[A-HJ-NPR-Z0-9]{17}$"), F.lit(False))
+    entry = lambda at, v, m: F.struct(F.concat("place", F.lit("/"), F.lpad(at.cast("string"), 6, "0")).alias("place"), v.alias("v"), m.alias("m"))
+    unread = F.lit(None).cast("map<string,string>")
+    rows = payloads.select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(rank).alias("rank"), F.lit("").alias("place"), F.try_parse_json(payload).alias("v"), unread.alias("m"))
+    for _ in range(VEHICLE_DEPTH + 1):
+        # an entry's fields are read once; those of a vehicle with a whole VIN stay in m, and its v is done with. Columns of their own, so that each is worked out once for a row
+        rows = rows.withColumn("items", F.transform(get(F.col("v"), "$", "array<variant>"), lambda v, i: entry(i, v, get(v, "$", "map<string,string>"))))
+        rows = rows.withColumn("vehicles", F.transform(F.filter("items", lambda e: whole(e["m"])), lambda e: e.withField("v", F.lit(None).cast("variant"))))
+        others = F.transform("items", lambda e: e.withField("m", unread))
+        named = F.filter(F.array(*[entry(F.lit(i), get(F.col("v"), f"$.{n}", "variant"), unread) for i, n in enumerate(sorted(VEHICLE_LISTS))]), lambda e: e["v"].isNotNull())
+        kept = F.array(F.struct("place", "v", "m"))
+        rows = rows.select("k", "source", "rank", F.inline(F.when(F.col("m").isNotNull(), kept).when(F.size("vehicles") > 0, F.col("vehicles")).when(F.col("items").isNotNull(), others).otherwise(named)))
+    m = F.col("m")
+    found = rows.where("m IS NOT NULL").select("k", "source", "rank", "place", F.upper(first(m, "vin", "VIN", "Vin")).alias("vin"), first(m, "year", "Year", "modelYear").try_cast("int").alias("year"), first(m, "make", "Make").alias("make"), first(m, "model", "Model").alias("model"))
     known = reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("year", "make", "model")])
-    best = rows.where(known >= 2).groupBy("k", "vin").agg(F.min_by(F.struct("year", "make", "model", "source"), F.struct("rank", "place")).alias("x"))
+    best = found.where(known >= 2).groupBy("k", "vin").agg(F.min_by(F.struct("year", "make", "model", "source"), F.struct("rank", "place")).alias("x"))
     return best.select(F.col("k").alias(key), "vin", "x.year", "x.make", "x.model", "x.source")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from listingspark import tables
-from listingspark.operators import querytext, runs, vectors
+from listingspark.operators import querytext, repair, runs, vectors
 from listingspark.plans import joins, repairs
 from listingspark.plans import vectors as plan_vectors
 from listingspark.sources import mapping
@@ -132,3 +132,13 @@ def test_index_reads_the_listings_once(spark, monkeypatch):
         monkeypatch.setattr(module, name, lambda df, folder, kept=kept: (plans.append(plan_of(df)), kept(df, folder))[1], raising=False)
     plans.append(plan_of(plan_vectors.embedding_index(spark, "/root/testdata/sf0.001")))
     assert sum(p.count("FileScan parquet [l_orderkey") > 0 for p in plans) == 1
+
+
+def test_payloads_are_searched_in_their_rows(spark):
+    car = '{"vin": "1abcdefgh23456789", "year": 2001, "make": " m ", "extra": {"a": [1]}, "model": null}'
+    deep = '{"data": {"items": [{"x": 1}, [%s]]}, "cars": [%s, {"vin": "short", "items": [%s]}]}' % (car, car.replace("2001", "2002"), car.replace("1abc", "2abc"))
+    rows = [(1, deep, "s", 0), (2, "[[%s], 3, null]" % car, "s", 0), (3, "{", "s", 0), (4, None, "s", 0), (5, car, "s", 0)]
+    got = repair.vehicles_of(spark.createDataFrame(rows, "k int, j string, s string, r int"), "k", "j", "s", "r")
+    plan = plan_of(got)
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert sorted(map(tuple, got.collect())) == [(1, "1ABCDEFGH23456789", 2002, "m", None, "s"), (2, "1ABCDEFGH23456789", 2001, "m", None, "s")]
