@@ -85,6 +85,7 @@ def org_candidates(pages: DataFrame) -> DataFrame:
 
     A reason tells why a name was rejected. Sites where nothing was accepted are read again for weaker signs.
     """
+    pages = staged(pages, "pages")  # texts are made once; else each filter and pattern of both passes makes them again
     weight, signal = O.page_weight(F.col("kind")), F.col("signal")
     footing = F.when(signal == "copyright", F.when(F.col("kind") == "footer", 0.88).otherwise(0.72)).otherwise(1.0)
     cued = F.lower("text").rlike(O.CUES)  # most texts have none, and needn't meet every pattern

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from listingspark import tables
-from listingspark.operators import querytext, repair, runs, vectors
+from listingspark.operators import attribution, querytext, repair, runs, vectors
 from listingspark.plans import joins, repairs
 from listingspark.plans import vectors as plan_vectors
 from listingspark.sources import mapping
@@ -142,3 +142,17 @@ def test_payloads_are_searched_in_their_rows(spark):
     plan = plan_of(got)
     assert plan.count("Exchange") == 1 and "Join" not in plan
     assert sorted(map(tuple, got.collect())) == [(1, "1ABCDEFGH23456789", 2002, "m", None, "s"), (2, "1ABCDEFGH23456789", 2001, "m", None, "s")]
+
+
+def test_page_texts_are_made_once(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = plan_of(df)
+        return runs.staged(df, name)
+
+    monkeypatch.setattr(attribution, "staged", kept)
+    text = F.concat(F.lit("We are part of the Valley Automotive Group. "), F.col("id").cast("string"))
+    pages = spark.range(3).select(F.lit("a").alias("site"), F.col("id").alias("page"), F.lit("").alias("url"), F.lit("about").alias("kind"), F.lit(False).alias("cross"), text.alias("text"))
+    assert "Valley Automotive Group" in {r.name for r in attribution.org_candidates(pages).collect()}
+    assert "We are" not in plans["found"]
