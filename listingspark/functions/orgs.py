@@ -58,6 +58,12 @@ SECOND_WORDS = [" group", "collision", "automotive", "holdings", "company", "fam
 BOOST_WORDS = ["privacy", "about", "terms", "legal", "careers", "company", "collision", "employment", "staff", "sonic"]
 #: Words of which every pattern of the first pass needs one.
 CUES = "part|member|owned|parent|operated|managed|family|group|sonic|©|copyright|&copy;"
+#: A piece in lower case that every match of a signal's pattern has; signals without one aren't listed.
+NEEDED = {
+    "explicit_is_part_of_the": "part", "member_of_the": "member", "part_of_the": "part", "owned_by": "owned", "parent_company": "parent", "part_of": " of", "family_dealerships": "family",
+    "automotive_group": "automotive", "auto_group": "auto", "known_family_group": "group", "sonic_corporate": "sonic", "second_pass_sonic": "sonic", "second_pass_auto_group": "group", "second_pass_collision": "collision",
+    "second_pass_family": "family", "second_pass_parent": "parent", "second_pass_owned": "owned", "second_pass_partof": "part", "second_pass_member": "member",
+}
 #: Names within a window: shaped like an organisation, or beginning with a known family.
 SHAPED = r"(?i)\b([A-Z][A-Za-z0-9'\-\.]*(?:\s+[&]\s+[A-Z][A-Za-z0-9'\-\.]*)*(?:\s+[A-Z][A-Za-z0-9'\-\.]*){0,5}\s*(?:Automotive\s+|Auto\s+)?(?:Group|Motors|Holdings|Family|Corporation|Corp\.?|Inc\.?|LLC|LP)\b)"
 KNOWN = r"(?i)\b((?:Hendrick|Penske|Lithia|Sonic|Asbury|AutoNation|Tuttle-Click|Tuttle\s+Click|Fletcher\s+Jones|Holman|Morgan)\s+[A-Za-z0-9'\-\s]{0,40}?)"

@@ -43,9 +43,13 @@ def names_in(window: Column) -> Column:
 
 def _found(pages: DataFrame, patterns: list[tuple]) -> DataFrame:
     """A row for each name at each match of (number, how, signal, base, pattern, from, to, before, after): windows for anchors, the group itself for others."""
-    text, hits = F.col("text"), []
+    text, low, hits = F.col("text"), F.col("_low"), []
+    pages = pages.withColumn("_low", F.lower("text"))
+    none = F.array().cast("array<struct<start:int,size:int,raw:string>>")
     for number, how, signal, base, pattern, first, last, before, after in patterns:
-        hits.append(F.transform(matches(text, pattern, int(how != "anchor")), lambda m: F.struct(  # noqa: B023
+        every = matches(text, pattern, int(how != "anchor"))
+        every = F.when(low.contains(O.NEEDED[signal]), every).otherwise(none) if signal in O.NEEDED else every  # looked for before the pattern is
+        hits.append(F.transform(every, lambda m: F.struct(  # noqa: B023
             F.lit(number).alias("number"), F.lit(signal).alias("signal"), F.lit(base).alias("base"), m["start"].alias("start"),  # noqa: B023
             (part(text, m["start"] - first if first is not None else m["start"] + m["size"], m["start"] + m["size"] + last) if how == "anchor" else m["raw"]).alias("window"),  # noqa: B023
             part(text, m["start"] - before, m["start"] + m["size"] + after).alias("snippet"), F.lit(how == "anchor").alias("anchored"),  # noqa: B023

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from listingspark import tables
+from listingspark.functions import orgs
 from listingspark.operators import attribution, querytext, repair, runs, vectors
 from listingspark.plans import joins, repairs
 from listingspark.plans import vectors as plan_vectors
@@ -156,3 +157,10 @@ def test_page_texts_are_made_once(spark, monkeypatch):
     pages = spark.range(3).select(F.lit("a").alias("site"), F.col("id").alias("page"), F.lit("").alias("url"), F.lit("about").alias("kind"), F.lit(False).alias("cross"), text.alias("text"))
     assert "Valley Automotive Group" in {r.name for r in attribution.org_candidates(pages).collect()}
     assert "We are" not in plans["found"]
+
+
+def test_needed_pieces_lose_no_match():
+    texts = ["IS  Part\nof the X", "a MEMBER of the X", "Part Of the X", "Owned\tby", "PARENT  company", "part of", "operated  by", "A Family of Dealership", "Big Automotive Group", "Big Auto Group", "HOLMAN Valley group", "SONIC automotive", "collision GROUP", "member of", "© 2001 Big|"]
+    for signal, _, pattern in (*orgs.ANCHORS, *orgs.STANDALONE, orgs.COPYRIGHT, *orgs.SECOND):
+        met = [t for t in texts if re.search(pattern, t)]
+        assert met and all(orgs.NEEDED.get(signal, "") in t.lower() for t in met)
