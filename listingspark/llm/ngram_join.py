@@ -10,13 +10,18 @@ Texts become sets of word shingles (64-bit hashes). Two documents link when inte
    passages that unlike documents share out of the prefixes.
 3. Groups: sets with the same most frequent shared shingle, dealt by hash into groups of about GROUP. Inside a group, sets are compared unless
    joined already; the least document of the shingle, a member of each of its groups, ties these together. Then sets are compared
-   with a few pivots of each of their shingles that lie in other components (stars, not all pairs), twice.
+   with a few pivots of each of their shingles that lie in other components (stars, not all pairs), twice. Before each of these
+   passes and before step 4, shingles whose sets all lie in one component go, and sets left with too few shingles to link.
 4. Token-group matrix: the union of the prefix shingles of all groups with one most frequent shingle as rows (shingle, that one), with
    sizes. A query set meets these on its prefix shingles; the number met bounds its overlap with every member, and only where at
    least l are met (and sizes can fit) are the groups opened, one by one: their members of later components are compared. A family
    of very many groups so costs a query a row for each shingle it meets, not for each of its groups.
 5. Links between components are joined by alternating large-star and small-star steps.
 
+Wherever sets are to be compared, their signatures meet first: flags of the places that a set's hashes have, two to four places a
+shingle. What one signature has and another lacks bounds the overlap from above, so only pairs that can link are left, and only the sets
+of these travel: they are told by a bitmap where they are read.
+
 Hot keys: equal sets and near copies are contracted before step 4, and shingles whose sets all lie in one component are dropped,
 so a group of thousands of copies makes thousands of rows, not their square. No cap is set anywhere: bounds only skip sets that can't link.
 
@@ -40,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingspark.llm.arrays import bitmap_bits, gathered, hash_bitmap, in_small_batches, mix, numbered, pieces, shingle_sets, staged, vector_rows, vector_sum
+from listingspark.llm.arrays import bitmap_bits, gathered, hash_bitmap, id_bitmap, in_small_batches, mix, numbered, pieces, rows_of, shingle_sets, staged, vector_rows, vector_sum
 
 SKETCH_BITS, HEAVY, GROUP, REFINEMENTS, STARS, PIVOTS = 22, 64, 128, 2, 2, 6
 
@@ -49,7 +54,7 @@ def least_overlap(size: int, num: int, den: int) -> int:
     return -(-size * num // den)
 
 
-def slack(size: int) -> int:
+def slack(size):
     return 1 + size // 32
 
 
@@ -63,6 +68,43 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (small + large - shared)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Packed flags of the places that the hashes of a set have."""
+    bits = max(6, (2 * len(s) - 1).bit_length())
+    flags = np.zeros(1 << bits, bool)
+    flags[(s >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def folded(sign: np.ndarray, width: int) -> np.ndarray:
+    """A signature of fewer places: `width` bytes."""
+    while len(sign) > width:
+        sign = np.packbits(np.unpackbits(sign).reshape(-1, 2).any(axis=1))
+    return sign
+
+
+def may_link(size: int, sign: np.ndarray, sizes: np.ndarray, signs: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether a set can link with others, by their sizes and signatures (rows) of one width: False only where it can't."""
+    shared = np.minimum(size - np.bitwise_count(sign & ~signs).sum(-1, dtype=np.int64), sizes - np.bitwise_count(signs & ~sign).sum(-1, dtype=np.int64))
+    return den * shared >= num * (size + sizes - shared)
+
+
+def _partners(sizes: np.ndarray, column: pa.ChunkedArray, asks: np.ndarray, members: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For the row numbers `asks`, the rows among `members` with which a link isn't ruled out: (row, rows), a few times for a row."""
+    signs = [np.frombuffer(v.as_py(), np.uint8) for v in column]
+    widths = np.array([len(s) for s in signs], np.int64)
+    for width in np.unique(widths).tolist():
+        rows = members[widths[members] >= width]
+        if not len(rows):
+            continue
+        table = np.stack([folded(signs[r], width) for r in rows])
+        short = widths[rows] == width
+        parts = {True: (rows, table), False: (rows[short], table[short])}
+        for i in asks[widths[asks] >= width].tolist():
+            rest, flags = parts[bool(widths[i] == width)]
+            yield i, rest[may_link(sizes[i], folded(signs[i], width), sizes[rest], flags, num, den)]
+
+
 def _heavy(rows: DataFrame, n: int) -> np.ndarray:
     """Packed flags of the sketch's places that hold many shingles."""
 
@@ -138,6 +180,34 @@ def _of(profiles: DataFrame, wanted) -> DataFrame:
     return profiles.select("mark", "prefix").mapInArrow(run, "prefix array<long>")
 
 
+def _shared(column: pa.ListArray, bitmap, least: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The rows with at least `least` tokens in the bitmap, and these tokens."""
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy().view(np.uint64)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    hit = bitmap.has(flat)
+    total = np.concatenate([[0], np.cumsum(hit)])
+    rows = np.flatnonzero(total[ends[1:]] - total[ends[:-1]] >= least)
+    return pa.array(rows), pa.array([flat[a:b][hit[a:b]].view(np.int64) for a, b in zip(ends[rows], ends[rows + 1], strict=True)], pa.list_(pa.int64()))
+
+
+def _active(placed: DataFrame, comps: DataFrame, bits: int, num: int, den: int) -> DataFrame:
+    """Placed sets and their comp, with the tokens that sets of several components have; only sets with enough of them to link with another component."""
+    named = staged(placed.join(comps, "doc").select(*(c for c in placed.columns if c != "tokens"), "comp", "tokens"), "named")
+    mixed = named.select("comp", F.explode("tokens").alias("k")).groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    mixed = named.sparkSession.sparkContext.broadcast(hash_bitmap(mixed.select("k"), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # the smaller of two sets that link may be smaller than this one by num / den
+            some, tokens = _shared(batch.column("tokens"), mixed.value, slack(batch.column("n").to_numpy().astype(np.int64) * num // den))
+            yield pa.RecordBatch.from_arrays([*(c.take(some) for c in batch.columns[:-1]), tokens], schema=batch.schema)
+
+    active = staged(named.mapInArrow(run, named.schema), "active")
+    mixed.destroy()
+    return active
+
+
 def _kept(profiles: DataFrame, shared, wanted=None) -> DataFrame:
     """Sets (of the documents in the bitmap `wanted`) with the prefix shingles that another set has too, where there are enough of them: (doc, n, mark, tokens)"""
 
@@ -145,17 +215,8 @@ def _kept(profiles: DataFrame, shared, wanted=None) -> DataFrame:
         for batch in batches:
             if wanted is not None:
                 batch = batch.filter(pa.array(wanted.value.has(batch.column(3).to_numpy().view(np.uint64))))
-            column = batch.column(2)
-            ends = column.offsets.to_numpy()
-            flat = column.values.to_numpy().view(np.uint64)[ends[0] : ends[-1]]
-            ends = ends - ends[0]
-            hit = shared.value.has(flat)
-            total = np.concatenate([[0], np.cumsum(hit)])
-            count = total[ends[1:]] - total[ends[:-1]]
-            rows = np.flatnonzero(count >= 1 + batch.column(1).to_numpy() // 32)
-            lists = [flat[a:b][hit[a:b]].view(np.int64) for a, b in zip(ends[rows], ends[rows + 1], strict=True)]
-            some = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), batch.column(3).take(some), pa.array(lists, pa.list_(pa.int64()))], names=["doc", "n", "mark", "tokens"])
+            some, tokens = _shared(batch.column(2), shared.value, slack(batch.column(1).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), batch.column(3).take(some), tokens], names=["doc", "n", "mark", "tokens"])
 
     return profiles.select("doc", "n", "prefix", "mark").mapInArrow(run, "doc long, n int, mark long, tokens array<long>")
 
@@ -181,7 +242,7 @@ def _repeated(prefixes: DataFrame) -> DataFrame:
 
 
 def _sets(rows: DataFrame, n: int, wanted) -> DataFrame:
-    """(doc, n, set) of the documents in the bitmap."""
+    """(doc, n, sign, set) of the documents in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,9 +251,22 @@ def _sets(rows: DataFrame, n: int, wanted) -> DataFrame:
             chosen = batch.take(pa.array(at))
             for low, high, data, offsets in pieces(chosen.column(1)):
                 sets = shingle_sets(data, offsets, n)
-                yield pa.RecordBatch.from_arrays([chosen.column(0)[low:high], pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "n", "set"])
+                yield pa.RecordBatch.from_arrays([chosen.column(0)[low:high], pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "n", "sign", "set"])
+
+    return rows.mapInArrow(run, "doc long, n int, sign binary, set binary")
+
+
+def _near(num: int, den: int):
+    """The rows of a group that may link with another of its documents."""
 
-    return rows.mapInArrow(run, "doc long, n int, set binary")
+    def run(table: pa.Table) -> pa.Table:
+        docs, rows, keep = table["doc"].to_numpy(), np.arange(len(table)), np.zeros(len(table), bool)
+        for i, others in _partners(table["n"].to_numpy().astype(np.int64), table["sign"], rows, rows, num, den):
+            keep[i] |= bool((docs[others] != docs[i]).any())
+            keep[others] |= docs[others] != docs[i]
+        return table.select(["first", "chunk", "doc", "n"]).filter(pa.array(keep))
+
+    return run
 
 
 def _inside(num: int, den: int):
@@ -222,6 +296,20 @@ def _inside(num: int, den: int):
     return run
 
 
+def _open(num: int, den: int):
+    """The queries and members of a group that may link with a member of a later, a query of an earlier component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        comps, asks, keep = table["comp"].to_numpy(), table["asks"].to_numpy(), np.zeros(len(table), bool)
+        for i, others in _partners(table["n"].to_numpy().astype(np.int64), table["sign"], np.flatnonzero(asks), np.flatnonzero(~asks), num, den):
+            later = others[comps[others] > comps[i]]
+            keep[i] |= len(later) > 0
+            keep[later] = True
+        return table.select(["doc", "n", "comp", "g_first", "g_chunk", "asks"]).filter(pa.array(keep))
+
+    return run
+
+
 def _opened(num: int, den: int):
     """Links between components that an opened group's queries and members show: (a, b)."""
 
@@ -240,6 +328,34 @@ def _opened(num: int, den: int):
     return run
 
 
+def _dealt(queries: DataFrame, members: DataFrame, sets: DataFrame, column: str):
+    """Queries (doc, n, comp, g_first, g_chunk) and members, likewise, of the groups that they open, with a column of sets; a group's queries are dealt into parts, of which each has all members."""
+    keys = ["g_first", "g_chunk"]
+    asked = queries.groupBy(*keys).agg(F.count("*").alias("q"))
+    deals = F.ceil(F.col("q") / GROUP).cast("int")
+    one, columns = sets.select("doc", "n", column), ["doc", "n", "comp", *keys, "deal", "asks", column]
+    asking = queries.join(asked, keys).withColumn("deal", F.pmod(F.xxhash64("doc"), deals).cast("int")).join(one, ["doc", "n"]).withColumn("asks", F.lit(True))
+    there = members.join(asked, keys).join(one, ["doc", "n"]).withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).withColumn("asks", F.lit(False))
+    return asking.select(*columns).unionAll(there.select(*columns)).groupBy(*keys, "deal")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of documents whose signatures don't rule out a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = []
+            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+                width = min(len(x), len(y))
+                hit.append(bool(may_link(n, folded(x, width), m, folded(y, width), num, den)))
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    one = sets.select("doc", "n", "sign")
+    joined = pairs.join(one.withColumnsRenamed({"doc": "a", "n": "a_n", "sign": "x"}), "a").join(one.withColumnsRenamed({"doc": "b", "n": "b_n", "sign": "y"}), "b")
+    return joined.select("a", "b", "a_n", "b_n", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of documents whose sets link."""
 
@@ -330,46 +446,58 @@ def row_components(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     seats = crowded.select("doc", "n", "first", "chunk")
     pivots = crowded.where("doc = pivot").select("doc", "n", "first", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("c") / GROUP) - 1).cast("int"))).alias("chunk"))
     seats = seats.unionAll(pivots).distinct()
-    inside = seats.join(sets, ["doc", "n"]).groupBy("first", "chunk").applyInArrow(_inside(num, den), "doc long, comp long")
+    near = staged(seats.join(sets.select("doc", "n", "sign"), ["doc", "n"]).groupBy("first", "chunk").applyInArrow(_near(num, den), "first long, chunk int, doc long, n int"), "near")
+    whole = sets.select("doc", "n", "set")
+    wanted = share(id_bitmap(near.select("doc"), bits))
+    inside = near.join(rows_of(whole, wanted), ["doc", "n"]).groupBy("first", "chunk").applyInArrow(_inside(num, den), "doc long, comp long")
     # the pivot is the least document of its groups, so what holds it has its name everywhere
     comps = staged(placed.select("doc").distinct().join(inside.groupBy("doc").agg(F.min("comp").alias("comp")), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp")), "comps")
+    wanted.destroy()
     # stars: sets against a few pivots of each of their shingles, chosen by one hash order of all documents, so that the sets of
     # a large group of near copies meet the same few pivots
     fewest = (1 + F.floor(F.col("n") / 32)).cast("int")
+    room = bitmap_bits(placed.agg(F.sum(F.size("tokens"))).first()[0] or 0, 8)
     for star in range(STARS):
-        tokens = placed.select("doc", "n", F.explode("tokens").alias("k")).join(comps, "doc")
-        order = [F.min(F.struct(F.xxhash64("doc", F.lit(star * PIVOTS + i)).alias("h"), F.col("doc"), F.col("n"), F.col("comp"))) for i in range(PIVOTS)]
+        active = _active(placed, comps, room, num, den)
+        placed = active.drop("comp")
+        tokens = active.select("doc", "n", "comp", F.explode("tokens").alias("k"))
+        order = [F.min(F.struct(F.hash("doc", F.lit(star * PIVOTS + i)).alias("h"), F.col("doc"), F.col("n"), F.col("comp"))) for i in range(PIVOTS)]
         pivots = tokens.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array_distinct(F.array(*order)).alias("p")).where("low < high")
         pivots = pivots.select("k", F.explode("p").alias("p")).select("k", F.col("p.doc").alias("b"), F.col("p.n").alias("b_n"), F.col("p.comp").alias("b_comp")).distinct()
         met = tokens.join(pivots, "k").where((F.col("comp") != F.col("b_comp")) & (F.col("n") * num <= F.col("b_n") * den) & (F.col("b_n") * num <= F.col("n") * den))
         pairs = met.groupBy("doc", "n", "b", "b_n").agg(F.count("*").alias("met")).where(F.col("met") >= F.least(fewest, (1 + F.floor(F.col("b_n") / 32)).cast("int")))
-        hits = _compared(pairs.select(F.col("doc").alias("a"), "b"), sets, num, den)
+        pairs = staged(_likely(pairs.select(F.col("doc").alias("a"), "b"), sets, num, den), "pairs")
+        if pairs.isEmpty():
+            break
+        wanted = share(id_bitmap(pairs.select("a").unionAll(pairs.select("b")), bits))
+        hits = _compared(pairs, rows_of(whole, wanted), num, den)
         named = lambda c: comps.withColumnsRenamed({"doc": c, "comp": f"{c}_comp"})
         links = staged(hits.join(named("a"), "a").join(named("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct(), "stars")
+        wanted.destroy()
         if links.isEmpty():
             break
         comps = staged(_renamed(comps, links), "comps")
-    tokens = placed.select("doc", "n", "first", "chunk", "c", F.explode("tokens").alias("k")).join(comps, "doc")
-    mixed = tokens.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("k")
-    tokens = staged(tokens.join(mixed, "k"), "tokens")
+    active = _active(placed, comps, room, num, den)
+    tokens = active.select("doc", "n", "first", "chunk", "c", "comp", F.explode("tokens").alias("k"))
     reach = [F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("comp").alias("c_high")]
     fits = (F.col("comp") < F.col("c_high")) & (F.col("n") * num <= F.col("n_high") * den) & (F.col("n_low") * num <= F.col("n") * den)
     matrix = tokens.groupBy("k", F.col("first").alias("g_first")).agg(*reach)
     met = tokens.join(matrix, "k").where(fits & ((F.col("first") != F.col("g_first")) | (F.col("c") > GROUP)))
     met = met.groupBy("doc", "n", "comp", "first", "chunk", "g_first").agg(F.count("*").alias("met"), F.min("n_low").alias("n_low"))
     met = met.where(F.col("met") >= F.least(fewest, (1 + F.floor(F.col("n_low") / 32)).cast("int"))).drop("n_low")
-    groups = placed.select("doc", "n", F.col("first").alias("g_first"), F.col("chunk").alias("g_chunk")).join(comps, "doc").groupBy("g_first", "g_chunk").agg(*reach)
+    members = active.select("doc", "n", "comp", F.col("first").alias("g_first"), F.col("chunk").alias("g_chunk"))
+    groups = members.groupBy("g_first", "g_chunk").agg(*reach)
     met = met.join(groups, "g_first").where(fits & ((F.col("first") != F.col("g_first")) | (F.col("chunk") != F.col("g_chunk"))))
     met = staged(met.select("doc", "n", "comp", "g_first", "g_chunk"), "met")
-    asked = met.groupBy("g_first", "g_chunk").agg(F.count("*").alias("q"))
-    dealt = F.ceil(F.col("q") / GROUP).cast("int")
-    columns = ["g_first", "g_chunk", "deal", "comp", "asks", "set"]
-    queries = met.join(asked, ["g_first", "g_chunk"]).withColumn("deal", F.pmod(F.xxhash64("doc"), dealt).cast("int")).join(sets, ["doc", "n"]).withColumn("asks", F.lit(True)).select(*columns)
-    members = placed.select("doc", "n", F.col("first").alias("g_first"), F.col("chunk").alias("g_chunk")).join(asked, ["g_first", "g_chunk"]).join(comps, "doc").join(sets, ["doc", "n"])
-    members = members.withColumn("deal", F.explode(F.sequence(F.lit(0), dealt - 1))).withColumn("asks", F.lit(False)).select(*columns)
-    links = staged(queries.unionAll(members).groupBy("g_first", "g_chunk", "deal").applyInArrow(_opened(num, den), "a long, b long").distinct(), "links")
-    if not links.isEmpty():
-        comps = _renamed(comps, links)
+    opened = _dealt(met, members, sets, "sign").applyInArrow(_open(num, den), "doc long, n int, comp long, g_first long, g_chunk int, asks boolean")
+    opened = staged(opened.distinct(), "opened")
+    if not opened.isEmpty():
+        wanted = share(id_bitmap(opened.select("doc"), bits))
+        asking, there = (opened.where(F.col("asks") == side).drop("asks") for side in (True, False))
+        links = staged(_dealt(asking, there, rows_of(whole, wanted), "set").applyInArrow(_opened(num, den), "a long, b long").distinct(), "links")
+        wanted.destroy()
+        if not links.isEmpty():
+            comps = _renamed(comps, links)
     vertices = vertices.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").select("sig_a", "sig_b", "n", F.coalesce("comp", "rep").alias("comp"))
     out = profiles.select("doc", "n", "sig_a", "sig_b").join(vertices, ["sig_a", "sig_b", "n"], "left")
     return out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc").alias("comp"))
