@@ -334,9 +334,11 @@ def _dealt(queries: DataFrame, members: DataFrame, sets: DataFrame, column: str)
     asked = queries.groupBy(*keys).agg(F.count("*").alias("q"))
     deals = F.ceil(F.col("q") / GROUP).cast("int")
     one, columns = sets.select("doc", "n", column), ["doc", "n", "comp", *keys, "deal", "asks", column]
-    asking = queries.join(asked, keys).withColumn("deal", F.pmod(F.xxhash64("doc"), deals).cast("int")).join(one, ["doc", "n"]).withColumn("asks", F.lit(True))
-    there = members.join(asked, keys).join(one, ["doc", "n"]).withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).withColumn("asks", F.lit(False))
-    return asking.select(*columns).unionAll(there.select(*columns)).groupBy(*keys, "deal")
+    asking = queries.select("doc", "n", "comp", *keys, F.lit(True).alias("asks"))
+    both = asking.unionAll(members.select("doc", "n", "comp", *keys, F.lit(False).alias("asks"))).join(asked, keys)
+    to = F.when(F.col("asks"), F.array(F.pmod(F.xxhash64("doc"), deals).cast("int"))).otherwise(F.sequence(F.lit(0), deals - 1))
+    # sets are met once, before a member is dealt to all parts
+    return both.withColumn("to", to).join(one, ["doc", "n"]).withColumn("deal", F.explode("to")).select(*columns).groupBy(*keys, "deal")
 
 
 def _likely(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -375,25 +377,27 @@ def _renamed(comps: DataFrame, links: DataFrame) -> DataFrame:
     return comps.join(joined.withColumnRenamed("comp", "to"), comps["comp"] == joined["v"], "left").select("doc", F.coalesce("to", "comp").alias("comp"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each vertex of the edges (a, b) has one b, or is one: then no step changes them."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("tail"), F.lit(0).alias("head")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("v").agg(F.sum("tail").alias("tail"), F.max("head").alias("head")).where("tail > 1 or tail = head").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(v, comp) for every vertex of the edges (a, b), comp the least vertex of its component.
+    """(v, comp) for every vertex of the edges (a, b) but the least of each component, which is comp.
 
-    Alternating large-star and small-star steps; every round is written to the shared folder. Stars are cut by minima, so a
-    vertex with many neighbours costs rows, not pairs.
+    Alternating large-star and small-star steps until only stars are left, which is looked at before each round; every round is written
+    to the shared folder. Stars are cut by minima, so a vertex with many neighbours costs rows, not pairs.
     """
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    while not _stars(edges):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(edges.groupBy("a").agg(F.min("b").alias("b"))).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        after = staged(down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        sums = [e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for e in (edges, after)]
-        edges = after
-        if sums[0] == sums[1]:
-            break
-    return edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "v")
+        edges = staged(down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    return edges.select(F.col("a").alias("v"), F.col("b").alias("comp"))
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

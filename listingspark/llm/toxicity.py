@@ -149,7 +149,7 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    """What a score needs; the index stays packed until a task asks it."""
+    """What a score needs. It travels with the examples' words and counts (packed), some bytes a word; each worker makes the index of them once."""
 
     weight: np.ndarray
     packed: bytes
@@ -158,7 +158,11 @@ class Model:
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        return pickle.loads(zlib.decompress(self.packed))
+        sizes, steps, n, keys, labels, mass = pickle.loads(zlib.decompress(self.packed))
+        edges = np.cumsum(sizes)[:-1]
+        places = [np.cumsum(s, dtype=np.int32) for s in np.split(steps, edges)]
+        weights = [unit(p, c, self.weight) for p, c in zip(places, np.split(n.astype(np.int64), edges), strict=True)]
+        return BlockMaxIndex(places, weights, keys, labels, mass)
 
     def votes(self, data: np.ndarray, offsets: np.ndarray, without: list[int] | None = None) -> list[tuple[float, np.ndarray]]:
         """(vote, keys of the examples that voted) of each row"""
@@ -271,31 +275,28 @@ def learn_from(texts: DataFrame, labels: DataFrame, corpus: DataFrame, key: str
     weight = (idf * relevance(counts["n"][:-1], counts["t"][:-1], rate)).astype(np.float32)
     kept = [labelled.where(F.col("y") == y).select("key").orderBy(F.xxhash64("key"), "key").limit(examples // 2) for y in (0, 1)]
     kept = staged(labelled.join(F.broadcast(kept[0].unionAll(kept[1])), "key"), "examples")
-    shared = share(weight)
+    del counts, df, idf
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in pieces(batch.column(1)):
                 bounds, places, n = word_counts(data, offsets)
-                ends = bounds.astype(np.int32)
-                units = np.concatenate([unit(places[a:b], n[a:b], shared.value) for a, b in zip(bounds, bounds[1:])] or [np.zeros(0)])
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (places, units.astype(np.float64))]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], batch.column(2)[low:high], *lists], names=["key", "y", "places", "weights"])
-
-    # at most `examples` rows, by the bound above: one task makes the index of them, and the driver only passes it on
-    def index(table: pa.Table) -> pa.Table:
-        lists = [[np.asarray(x.values, t) for x in table[c]] for c, t in (("places", np.int32), ("weights", np.float64))]
+                lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (places, n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], batch.column(2)[low:high], *lists], names=["key", "y", "places", "n"])
+
+    # at most `examples` rows, by the bound above: one task packs their words, and the driver only passes them on
+    def packed(table: pa.Table) -> pa.Table:
+        places, n = ([np.asarray(x.values, np.int32) for x in table[c]] for c in ("places", "n"))
+        steps = np.concatenate([np.diff(p, prepend=np.int32(0)) for p in places])
         y = table["y"].to_numpy().astype(np.float64)
         mass = [share / max(1e-9, float((y == k).mean())) for k, share in ((0, 1 - rate), (1, rate))]
-        made = BlockMaxIndex(*lists, table["key"].to_numpy(), y, np.where(y > 0, mass[1], mass[0]))
-        return pa.table({"index": pa.array([zlib.compress(pickle.dumps(made), 1)], pa.binary()), "clean": [mass[0]], "toxic": [mass[1]]})
+        made = np.array([len(p) for p in places], np.int32), steps, np.concatenate(n), table["key"].to_numpy(), y, np.where(y > 0, mass[1], mass[0])
+        return pa.table({"examples": pa.array([zlib.compress(pickle.dumps(made), 1)], pa.binary()), "clean": [mass[0]], "toxic": [mass[1]]})
 
-    found = kept.select("key", "text", "y").mapInArrow(vectors, "key long, y int, places array<int>, weights array<double>")
-    made = found.groupBy().applyInArrow(index, "index binary, clean double, toxic double").first()
+    found = kept.select("key", "text", "y").mapInArrow(words, "key long, y int, places array<int>, n array<int>")
+    made = found.groupBy().applyInArrow(packed, "examples binary, clean double, toxic double").first()
     mass_of = made["clean"], made["toxic"]
-    shared.destroy()
-    model = Model(weight, bytes(made["index"]), rate)
-    del made
+    model = Model(weight, bytes(made["examples"]), rate)
     judged = share(model)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,3 +48,31 @@ def test_unlike_sets_with_shared_passages_stay_where_they_are(spark):
     assert found == {k: k if k < 600 else 7 * (k - 600) for k in range(620)}
     print("moved", moved)
     assert moved < 3 * 620 * 800 * 8
+
+
+def test_stars_are_told_without_a_round(spark, monkeypatch):
+    """Edges that are stars already are written once, and a path of stars only as often as there are rounds."""
+    written, staged = [], ngram_join.staged
+    monkeypatch.setattr(ngram_join, "staged", lambda df, name: written.append(name) or staged(df, name))
+    make = lambda pairs: {r.v: r.comp for r in ngram_join.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert make([(k, k % 5) for k in range(100)]) == {k: k % 5 for k in range(5, 100)}
+    assert len(written) == 1
+    assert make([(9, 5), (9, 7), (7, 3), (12, 11)]) == {5: 3, 7: 3, 9: 3, 12: 11}
+    assert len(written) < 6
+
+
+def test_a_bitmap_takes_one_shuffle(spark):
+    from listingspark.llm import arrays
+
+    ids = spark.range(3000).selectExpr("id % 1000 as id").repartition(4).cache()
+    ids.count()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup("bitmap", "bitmap")
+    made = arrays.id_bitmap(ids, 20)
+    spark.sparkContext.setJobGroup("", "")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap") for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}
+    wrote = [s for s in stages if store.lastStageAttempt(s).shuffleWriteBytes() > 0]
+    hashes = arrays.mix(np.arange(1000, dtype=np.uint64))
+    assert made.has(hashes).all() and int(np.unpackbits(made.packed).sum()) == len(np.unique(hashes >> np.uint64(44)))
+    assert len(wrote) == 1

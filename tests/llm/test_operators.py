@@ -458,6 +458,18 @@ def test_toxicity_held_out(spark, judged):
     assert toxicity.toxicity_columns(docs, None).agg({"toxic_score": "max"}).first()[0] == 0
 
 
+def test_the_driver_passes_on_some_bytes_a_word(spark, judged):
+    """The examples travel as words and counts; the index that workers make of them is that of their weights."""
+    docs = spark.createDataFrame(judged, "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs, docs)
+    texts = {i: t.encode() for i, t, _ in judged}
+    vectors = [toxicity.word_counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1:] for raw in map(texts.get, model.index.keys.tolist())]
+    n_words = sum(len(p) for p, _ in vectors)
+    assert len(model.packed) < 6 * n_words
+    made = toxicity.BlockMaxIndex([p for p, _ in vectors], [toxicity.unit(p, n, model.weight) for p, n in vectors], model.index.keys, model.index.labels, model.index.mass)
+    assert all(np.array_equal(x, getattr(model.index, k)) for k, x in vars(made).items())
+
+
 def test_votes_are_calibrated():
     g = np.random.default_rng(3)
     true = g.random(4000)
