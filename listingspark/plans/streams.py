@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from listingspark.functions import rules as R
 from listingspark.operators import merge as M
+from listingspark.operators.runs import staged
 from listingspark.plans.catalog import query
 from listingspark.plans.listing_rules import empty_sql
 from listingspark.streaming import ingest as I
 from listingspark.streaming import jobs as J
-from listingspark.tables import listings, with_listings
+from listingspark.tables import described, listing_rows, listings, repeated_orders, table, with_copies, with_listings
 
 
 def events(spark, sf_dir):
@@ -37,16 +38,19 @@ def raw_dedupe_stream(spark, sf_dir):
 )
 def scan_ingest_stream(spark, sf_dir):
     """Three days of captured payloads (of a dealer and year, in two dialects) folded into a snapshot, each day by a run of its own that goes on from the folder's checkpoint."""
-    rows = listings(spark, sf_dir).withColumn("b", F.col("r_partkey") % 3)
+    # no field of a payload asks for an order; an order's key that comes twice makes two of a row, which counts in how many vehicles a payload has
+    items = with_copies(table(spark, sf_dir, "lineitem"), staged(repeated_orders(spark, sf_dir), "repeated"))
+    rows = described(listing_rows(spark, sf_dir, items)).withColumn("b", F.col("r_partkey") % 3)
     field = lambda name, c: c.alias(name)
-    price, stock = F.round("price").cast("long"), F.when(F.col("r_partkey") % 2 == 0, F.concat(F.lit("S"), F.col("r_partkey").cast("string")))
-    order = [F.col(c).alias(f"_{c}") for c in ("vin", "r_partkey", "r_quantity", "r_extendedprice", "r_discount", "r_tax")]
-    com = F.struct(field("vin", F.col("vin")), field("stockNumber", stock), field("pricing", F.struct(price.alias("finalPrice"))), field("odometer", F.col("mileage")), field("trimName", F.col("trim")), field("transmissionType", F.col("transmission")), field("fuelType", F.col("fuel_type")))
-    on = F.struct(field("VIN", F.col("vin")), field("stock", stock), field("internetPrice", price), field("miles", F.col("mileage")), field("trim", F.col("trim")), field("transmission", F.col("transmission")), field("fuel_type", F.col("fuel_type")))
-    cars = rows.groupBy("b", "dealer_id", "year").agg(F.array_sort(F.collect_list(F.struct(*order, com.alias("com"), on.alias("on")))).alias("cars"))
+    # rows move once each, in the order of their first columns; the dialect's names come to them in the payload
+    car = F.struct("vin", "r_partkey", "r_quantity", "r_extendedprice", "r_discount", "r_tax", F.round("price").cast("long").alias("price"), "mileage", "trim", "transmission", "fuel_type")
+    cars = rows.groupBy("b", "dealer_id", "year").agg(F.sort_array(F.collect_list(car)).alias("cars"))
+    stock = lambda c: F.when(c["r_partkey"] % 2 == 0, F.concat(F.lit("S"), c["r_partkey"].cast("string")))
+    com = lambda c: F.struct(field("vin", c["vin"]), field("stockNumber", stock(c)), field("pricing", F.struct(c["price"].alias("finalPrice"))), field("odometer", c["mileage"]), field("trimName", c["trim"]), field("transmissionType", c["transmission"]), field("fuelType", c["fuel_type"]))
+    on = lambda c: F.struct(field("VIN", c["vin"]), field("stock", stock(c)), field("internetPrice", c["price"]), field("miles", c["mileage"]), field("trim", c["trim"]), field("transmission", c["transmission"]), field("fuel_type", c["fuel_type"]))
     odd = F.col("year") % 2 == 1
-    page = lambda name: F.to_json(F.struct(F.struct(F.struct(F.transform("cars", lambda c: c[name]).alias("vehicles"), F.lit(3).alias("total")).alias("inventory")).alias("data"), F.array(F.struct(F.lit("/a").alias("href"))).alias("links")))
-    payloads = cars.select("b", F.concat_ws("/", "dealer_id", F.col("year").cast("string")).alias("k"), F.when(odd, "on").otherwise("com").alias("provider"), F.when(odd, page("on")).otherwise(page("com")).alias("payload"))
+    page = lambda named: F.to_json(F.struct(F.struct(F.struct(F.transform("cars", named).alias("vehicles"), F.lit(3).alias("total")).alias("inventory")).alias("data"), F.array(F.struct(F.lit("/a").alias("href"))).alias("links")))
+    payloads = cars.select("b", F.concat_ws("/", "dealer_id", F.col("year").cast("string")).alias("k"), F.when(odd, "on").otherwise("com").alias("provider"), F.when(odd, page(on)).otherwise(page(com)).alias("payload"))
     source, folder = J.scratch(spark, "payloads"), J.scratch(spark, "ingest")
     for day in range(3):
         payloads.where(F.col("b") == day).drop("b").write.mode("append").json(source)

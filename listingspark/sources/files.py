@@ -40,28 +40,65 @@ def json_bundles(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def largest_vehicle_lists(payloads: DataFrame, key: str, payload: str, least: int = 3) -> DataFrame:
-    """(key, path, at, vehicle): the objects of each payload's array with the most objects that have a VIN (at least `least`; ties: the longest, then the path).
+#: Keys of an object under which its VIN may be.
+VIN_AT = ["$.vin", "$.VIN", "$.vehicle.vin"]
+#: How many levels a payload is walked in its row before it is looked at again.
+LEVELS = 4
+
+
+def walked_lists(payloads: DataFrame, payload: str) -> DataFrame:
+    """`payloads` (JSON text) ready for walk(): `best` is the payload's best list so far, `pending` what is still to be searched, `told` a bound of its VINs.
+
+    told: how often a VIN's key is written. Keys in escapes (\\u) don't show, so such a payload has no bound.
+    """
+    often = lambda word: ((F.octet_length(payload) - F.octet_length(F.replace(F.col(payload), F.lit(word), F.lit("")))) / len(word)).cast("int")
+    whole = F.array(F.struct(F.lit("$").alias("path"), F.try_parse_json(payload).alias("v")))
+    none = F.lit(None).cast("struct<rank:struct<with_vin:int,n:int,path:string>,items:array<variant>>")
+    return payloads.withColumns({"told": F.when(F.contains(payload, F.lit("\\u")), F.lit(1 << 30)).otherwise(often('"vin"') + often('"VIN"')), "best": none, "pending": whole})
+
+
+def walk(rows: DataFrame, least: int = 3, levels: int = LEVELS) -> DataFrame:
+    """Rows of walked_lists() after some more levels; a row without `pending` is done: its `best` is the list with the most objects that have a VIN (at least `least`; ties: the longest, then the path).
 
-    payload: JSON text. It is walked as a variant, level by level until a level has no entries; each level is written to a scratch folder.
+    Every VIN stands for one item of one list at most. So once a list has more than half of those told, none that is left can come before it, and its items aren't searched.
     """
-    spark = payloads.sparkSession
-    level = payloads.select(F.col(key).alias("k"), F.lit("$").alias("path"), F.try_parse_json(payload).alias("v"))
-    entries = None
+    get = F.try_variant_get
+    has_vin = lambda e: F.coalesce(*[get(e, p, "string") for p in VIN_AT]).isNotNull()
+    entry = lambda path, v: F.struct(path.alias("path"), v.alias("v"))
+    for _ in range(levels):
+        rows = rows.withColumn("_open", F.transform("pending", lambda p: F.struct(p["path"].alias("path"), p["v"].alias("v"), get(p["v"], "$", "array<variant>").alias("items"))))
+        ranked = F.transform(F.filter("_open", lambda o: o["items"].isNotNull()), lambda o: F.struct(F.struct((-F.size(F.filter(o["items"], has_vin))).alias("with_vin"), (-F.size(o["items"])).alias("n"), o["path"].alias("path")).alias("rank"), o["items"].alias("items")))
+        rows = rows.withColumn("_lists", F.filter(ranked, lambda x: x["rank"]["with_vin"] <= -least))
+        rows = rows.withColumn("_first", F.array_min(F.transform(F.concat("_lists", F.array_compact(F.array("best"))), lambda x: x["rank"])))
+        # least ranks come first; the earlier best holds if it has it
+        rows = rows.withColumn("best", F.when(F.col("_first") == F.col("best.rank"), F.col("best")).otherwise(F.get(F.filter("_lists", lambda x: x["rank"] == F.col("_first")), F.lit(0))))
+        items = lambda o: F.transform(o["items"], lambda v, i: entry(F.concat(o["path"], F.lit("["), i.cast("string"), F.lit("]")), v))
+        fields = lambda o: F.transform(F.map_entries(get(o["v"], "$", "map<string,variant>")), lambda e: entry(F.concat(o["path"], F.lit("."), e["key"]), e["value"]))
+        below = F.flatten(F.filter(F.transform("_open", lambda o: F.when(o["items"].isNotNull(), items(o)).otherwise(fields(o))), lambda x: x.isNotNull()))
+        settled = F.coalesce(F.col("best.rank.with_vin") * -2 > F.col("told"), F.lit(False))
+        rows = rows.withColumn("pending", F.when(~settled, below).otherwise(F.slice("pending", 1, 0))).drop("_open", "_lists", "_first")
+    return rows
+
+
+def all_walked(rows: DataFrame, least: int = 3) -> DataFrame:
+    """Rows of walked_lists() walked to the end, in rounds of some levels; each round is written to a scratch folder, and the next reads those that aren't done."""
+    spark, done = rows.sparkSession, None
     while True:
-        level = spark.sql("SELECT k, path AS parent, e.pos AS at, path || CASE WHEN e.key IS NULL THEN '[' || e.pos || ']' ELSE '.' || e.key END AS path, e.value AS v, e.key IS NULL AS in_array FROM {level}, LATERAL variant_explode(v) AS e", level=level)
-        folder = scratch(spark, "level")
-        level.write.parquet(folder)
-        level = spark.read.schema(level.schema).parquet(folder)
-        entries = level if entries is None else entries.unionByName(level)
-        if level.isEmpty():
-            break
-        level = level.select("k", "path", "v")
-    items = entries.where("in_array").select("k", F.col("parent").alias("path"), "at", F.to_json("v").alias("vehicle"))
-    items = items.withColumn("vin", F.coalesce(*[F.get_json_object("vehicle", p) for p in ("$.vin", "$.VIN", "$.vehicle.vin")]))
-    lists = items.groupBy("k", "path").agg(F.count("vin").alias("with_vin"), F.count("*").alias("n")).where(F.col("with_vin") >= least)
-    best = lists.groupBy("k").agg(F.min_by("path", F.struct(-F.col("with_vin"), -F.col("n"), "path")).alias("path"))
-    return items.join(best, ["k", "path"]).select(F.col("k").alias(key), "path", "at", "vehicle", "vin")
+        rows, folder = walk(rows, least), scratch(rows.sparkSession, "levels")
+        rows.write.parquet(folder)
+        rows = spark.read.schema(rows.schema).parquet(folder)
+        ended = rows.where("size(pending) = 0")
+        done = ended if done is None else done.unionByName(ended)
+        rows = rows.where("size(pending) > 0")
+        if rows.isEmpty():
+            return done
+
+
+def largest_vehicle_lists(payloads: DataFrame, key: str, payload: str, least: int = 3) -> DataFrame:
+    """(key, path, at, vehicle, vin): the items of each payload's array with the most objects that have a VIN, see walk(). payload: JSON text; those without a key give nothing."""
+    rows = all_walked(walked_lists(payloads.where(F.col(key).isNotNull()).select(key, payload), payload).drop(payload), least)
+    items = rows.select(key, F.col("best.rank.path").alias("path"), F.posexplode("best.items").alias("at", "v")).withColumn("vehicle", F.to_json("v"))
+    return items.select(key, "path", "at", "vehicle", F.coalesce(*[F.get_json_object("vehicle", p) for p in VIN_AT]).alias("vin"))
 
 
 #: Where each provider's payload keeps a listing's columns; new providers are further entries.

@@ -1,12 +1,13 @@
-"""Nested payloads to listing columns by a table of paths: what a payload holds is walked into rows, and rows meet the table in a join.
+"""Nested payloads to listing columns by a table of paths: expressions made from the table look each place up in the payload's own row.
 
-A new dialect is further rows of the table; no expression has to be written for it. The table is data of the program, a few hundred rows, so it is
-broadcast; payload entries don't move until they're reduced to one for each field.
+A new dialect is further rows of the table; no expression has to be written for it. Payloads don't move.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingspark.functions import rules as R
@@ -60,55 +61,62 @@ def fields_of(dialects: dict[str, dict[str, list[str]]]) -> list[str]:
     return list(dict.fromkeys(f for paths in dialects.values() for f in paths))
 
 
-def path_table(spark: SparkSession, dialects: dict[str, dict[str, list[str]]]) -> DataFrame:
-    """(provider, path, field, rank), a row for each place of a field."""
-    rows = [(p, path, field, i) for p, fields in dialects.items() for field, paths in fields.items() for i, path in enumerate(paths)]
-    return spark.createDataFrame(rows, "provider string, path string, field string, rank int")
-
+def attributes_of(v: str) -> Column:
+    """(name, value) of each named attribute of a vehicle (a variant), in order; names without blanks and signs."""
+    said = lambda e, p: F.trim(F.try_variant_get(e, f"$.{p}", "string"))
+    text = lambda e, p: F.when(said(e, p) != "", said(e, p))
+    name = lambda e: F.regexp_replace(F.lower(F.coalesce(text(e, "name"), text(e, "key"), text(e, "id"))), "[^a-z0-9]+", "")
+    one = lambda e: F.struct(name(e).alias("name"), F.coalesce(text(e, "value"), text(e, "text")).alias("value"))
+    lists = [F.transform(F.try_variant_get(v, f"$.{a}", "array<variant>"), one) for a in ATTRIBUTES]
+    some = F.coalesce(*[F.try_variant_get(v, f"$.{a}", "variant") for a in ATTRIBUTES]).isNotNull()  # most vehicles have none
+    return F.when(some, F.filter(F.flatten(F.array_compact(F.array(*lists))), lambda x: (x["name"] != "") & x["value"].isNotNull()))
 
-def entries(payloads: DataFrame, payload: str) -> DataFrame:
-    """`payloads` with (path, at, value) for each scalar of the first two levels of its JSON, and `@name` for each named attribute. Payloads that don't parse have none."""
-    spark = payloads.sparkSession
-    rows = payloads.withColumn("_v", F.try_parse_json(payload)).drop(payload)
-    columns = ", ".join(f"`{c}`" for c in payloads.columns if c != payload)
-    two = spark.sql(
-        f"SELECT {columns}, a.pos AS _p, a.key AS _a, a.value AS _av, b.pos AS _q, b.key AS _b, b.value AS _bv FROM {{rows}}, LATERAL variant_explode(_v) AS a, LATERAL variant_explode_outer(a.value) AS b WHERE a.key IS NOT NULL", rows=rows
-    )
-    text = lambda v, p: F.expr(f"nullif(trim(try_variant_get({v}, '{p}', 'string')), '')")
-    attribute = F.col("_a").isin(ATTRIBUTES) & F.col("_b").isNull() & F.col("_bv").isNotNull()
-    name = F.regexp_replace(F.lower(F.coalesce(text("_bv", "$.name"), text("_bv", "$.key"), text("_bv", "$.id"))), "[^a-z0-9]+", "")
-    value = F.when(attribute, F.coalesce(text("_bv", "$.value"), text("_bv", "$.text"))).when(F.col("_b").isNotNull(), text("_bv", "$")).otherwise(text("_av", "$"))
-    path = F.when(attribute, F.concat(F.lit("@"), name)).when(F.col("_b").isNotNull(), F.concat_ws(".", "_a", "_b")).otherwise(F.col("_a"))
-    return two.select(*[c for c in payloads.columns if c != payload], path.alias("path"), F.coalesce("_q", F.lit(-1)).alias("at"), value.alias("value")).where("value IS NOT NULL AND path IS NOT NULL")
 
+def usable(field: str, value: Column) -> Column:
+    if field in WHOLE + DECIMAL:
+        return F.regexp_replace(value, "[^0-9.]", "").try_cast("double") > 0
+    return ~R.is_empty(value)
 
-def usable(field: Column, value: Column) -> Column:
-    number = F.regexp_replace(value, "[^0-9.]", "").try_cast("double")
-    return F.when(field.isin(WHOLE + DECIMAL), number > 0).otherwise(~R.is_empty(value))
 
-
-def mapped_by_table(payloads: DataFrame, key: str, provider: str, payload: str, dialects: dict[str, dict[str, list[str]]] = DIALECTS) -> DataFrame:
-    """(key, provider, a column for each field): the first usable value of each field, by the payload's dialect; rows of unknown providers give nothing.
+def mapped_rows(vehicles: DataFrame, provider: str, v: str, dialects: dict[str, dict[str, list[str]]] = DIALECTS, fields: list[str] | None = None) -> DataFrame:
+    """`vehicles` with a column for each field (all, or `fields`) in place of v (a variant): the first usable value of each field, by the row's dialect; rows of unknown providers give nothing.
 
     An attribute stands for a field if its name, without blanks and signs, holds the table's or is held by it (names of under five characters are too short for that).
+    An object has no value of its own. Every place is looked up in the row itself, in the table's order, so nothing is moved.
     """
-    spark, fields = payloads.sparkSession, fields_of(dialects)
-    table = path_table(spark, dialects)
-    known = payloads.where(F.col(provider).isin(list(dialects))).select(F.col(key).alias("k"), F.col(provider).alias("provider"), F.col(payload).alias("payload"))
-    rows = entries(known, "payload")
-    spot = F.struct("field", "rank")
-    places = table.where("NOT startswith(path, '@')").groupBy("provider", "path").agg(F.collect_list(spot).alias("spots"))
-    plain = places.groupBy("provider").agg(F.map_from_entries(F.collect_list(F.struct("path", "spots"))).alias("plain"))
-    needles = table.where("startswith(path, '@')").groupBy("provider").agg(F.collect_list(F.struct(F.substring("path", 2, 99).alias("needle"), "field", "rank")).alias("all"))
-    own = F.substring("path", 2, 1 << 20)
-    held = F.filter("all", lambda n: F.contains(own, n["needle"]) | ((F.length(own) >= 5) & F.contains(n["needle"], own)))
-    met = F.when(~F.startswith("path", F.lit("@")), F.try_element_at("plain", "path")).when(own != "", F.transform(held, lambda n: F.struct(n["field"].alias("field"), n["rank"].alias("rank"))))
-    # a row for each provider: every entry is read once, whichever way it is named
-    good = rows.join(F.broadcast(plain.join(needles, "provider", "full")), "provider").select("k", "provider", "at", "value", F.inline(met)).where(usable(F.col("field"), F.col("value")))
-    wide = good.groupBy("k", "provider").pivot("field", fields).agg(F.min_by("value", F.struct("rank", "at")))
-    every_key = known.select("k", "provider").join(wide.withColumnsRenamed({"k": "_k", "provider": "_provider"}), (F.col("k").eqNullSafe(F.col("_k"))) & (F.col("provider") == F.col("_provider")), "left")
+    fields = fields_of(dialects) if fields is None else fields
+    paths = {d: {f: ps for f, ps in table.items() if f in fields} for d, table in dialects.items()}
+    plain = list(dict.fromkeys(p for table in paths.values() for ps in table.values() for p in ps if not p.startswith("@")))
+    # what stands at each place, in columns of their own, so that each is read once for a row
+    at = {p: f"_at_{i}" for i, p in enumerate(plain)}
+    rows = vehicles.where(F.col(provider).isin(list(dialects))).withColumnRenamed(v, "_v")
+    rows = rows.withColumns({c: F.try_variant_get("_v", "$" + "".join(f"['{n}']" for n in p.split(".")), "string") for p, c in at.items()} | {"_attributes": attributes_of("_v")})
+    braced = reduce(lambda a, b: a | b, [F.coalesce(F.startswith(c, F.lit('{"')), F.lit(False)) for p, c in at.items() if "." not in p], F.lit(False))
+    objects = F.map_keys(F.map_filter(F.try_variant_get("_v", "$", "map<string,variant>"), lambda _, x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))))
+    rows = rows.withColumn("_objects", F.when(braced, objects))
+
+    def place(field: str, path: str) -> Column:
+        if not path.startswith("@"):
+            inner = F.lit(False) if "." in path else F.coalesce(F.array_contains("_objects", path), F.lit(False))
+            return F.when(~inner & usable(field, F.col(at[path])), F.col(at[path]))
+        needle = F.lit(path[1:])
+        held = lambda x: F.contains(x["name"], needle) | ((F.length(x["name"]) >= 5) & F.contains(needle, x["name"]))
+        return F.when(F.col("_attributes").isNotNull(), F.get(F.filter("_attributes", lambda x: held(x) & usable(field, x["value"])), F.lit(0))["value"])
+
     digits = lambda f, kind: F.regexp_replace(f, "[^0-9.]", "").try_cast("double").cast(kind)
-    return every_key.select(F.col("k").alias(key), F.col("provider").alias(provider), *[digits(f, "int").alias(f) if f in WHOLE else digits(f, "double").alias(f) if f in DECIMAL else F.trim(f).alias(f) for f in fields])
+    found = {}
+    for field in fields:
+        value = F.lit(None).cast("string")
+        for d, table in paths.items():
+            if field in table:
+                value = F.when(F.col(provider) == d, F.coalesce(*[place(field, p) for p in table[field]])).otherwise(value)
+        found[field] = digits(value, "int") if field in WHOLE else digits(value, "double") if field in DECIMAL else F.trim(value)
+    return rows.select(*[c for c in vehicles.columns if c != v], *[c.alias(f) for f, c in found.items()])
+
+
+def mapped_by_table(payloads: DataFrame, key: str, provider: str, payload: str, dialects: dict[str, dict[str, list[str]]] = DIALECTS) -> DataFrame:
+    """(key, provider, a column for each field) of vehicles in JSON, see mapped_rows(); what doesn't parse has no values."""
+    return mapped_rows(payloads.select(key, provider, F.try_parse_json(payload).alias("_v")), provider, "_v", dialects)
 
 
 def overlay_fields(payloads: DataFrame, key: str, payload: str) -> DataFrame:

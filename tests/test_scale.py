@@ -1,5 +1,6 @@
 """Plans and steps whose cost must not grow faster than their input."""
 
+import json
 import math
 import random
 import re
@@ -11,7 +12,8 @@ from listingspark.functions import orgs
 from listingspark.operators import attribution, querytext, repair, runs, vectors
 from listingspark.plans import joins, repairs
 from listingspark.plans import vectors as plan_vectors
-from listingspark.sources import mapping
+from listingspark.sources import files, mapping
+from listingspark.streaming import ingest
 
 
 def broadcast_rows(df):
@@ -164,3 +166,26 @@ def test_needed_pieces_lose_no_match():
     for signal, _, pattern in (*orgs.ANCHORS, *orgs.STANDALONE, orgs.COPYRIGHT, *orgs.SECOND):
         met = [t for t in texts if re.search(pattern, t)]
         assert met and all(orgs.NEEDED.get(signal, "") in t.lower() for t in met)
+
+
+def test_vehicles_are_found_and_mapped_in_their_rows(spark):
+    cars = [{"VIN": f"V{i}", "internetPrice": "$1,%d00" % i, "trim": {"a": 1} if i == 1 else '{"a"', "stock": "x"} for i in range(4)]
+    deep = {"inventory": {"vehicles": [{"vin": "W"}] + cars}}
+    for _ in range(9):
+        deep = {"data": deep}
+    tied = {"b": cars[:3], "a": [{"vehicle": {"vin": f"T{i}"}} for i in range(3)], "z": [1, {"vin": None}]}
+    rows = [("k1", "on", json.dumps({"data": {"vehicles": cars}})), ("k2", "on", json.dumps({"decoy": cars[1:], **deep})), ("k3", "on", json.dumps(tied)), ("k4", "gone", json.dumps(cars)), (None, "on", json.dumps(cars)), ("k5", "on", "{")]
+    payloads = spark.createDataFrame(rows, ingest.PAYLOADS)
+    lists = files.walk(files.walked_lists(payloads, "payload"))
+    assert {r.k for r in lists.select("k", F.size("pending").alias("n")).collect() if r.n > 0} == {"k2", "k3"}  # what is settled isn't searched further
+    found = mapping.mapped_rows(lists.select("k", "provider", F.explode("best.items").alias("v")), "provider", "v")
+    assert "Exchange" not in plan_of(found) and "Join" not in plan_of(found)
+    assert sorted((r.vin, r.price, r.trim) for r in ingest.vehicles(payloads).collect()) == [(f"V{i}", 1.0 * (1000 + 100 * i), None if i == 1 else '{"a"') for i in range(4)] + [("W", None, None)]
+    assert [(r.k, r.path, r.n) for r in files.largest_vehicle_lists(payloads, "k", "payload").groupBy("k", "path").agg(F.count("*").alias("n")).orderBy("k").collect()] == [("k1", "$.data.vehicles", 4), ("k2", "$" + ".data" * 9 + ".inventory.vehicles", 5), ("k3", "$.a", 3), ("k4", "$", 4)]
+
+
+def test_items_of_repeated_orders(spark):
+    items = spark.createDataFrame([(1, 7), (2, 8), (None, 9)], "l_orderkey long, l_partkey long")
+    assert sorted(r.l_partkey for r in tables.with_copies(items, spark.createDataFrame([(2, 3)], "o_orderkey long, copies long")).collect()) == [7, 8, 8, 8, 9]
+    rows = tables.listing_rows(spark, "/root/testdata/sf0.001", tables.table(spark, "/root/testdata/sf0.001", "lineitem"))
+    assert "o_orderkey" not in plan_of(rows) and rows.count() == tables.listing_rows(spark, "/root/testdata/sf0.001").count()
