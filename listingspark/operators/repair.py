@@ -145,30 +145,36 @@ def united(old: Column, new: Column) -> Column:
     return F.filter(both, lambda x, i: (x != "") & (F.array_position(low, F.lower(x)) == i + 1))
 
 
-def kept_images(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
-    """(key, gallery): each gallery in its order without the images that the class table (url, category, keep) tells to drop.
+def stays(category: Column, keep: Column) -> Column:
+    """Whether an image of this class stays: a known class decides; else `keep` (true or false, in words or digits); without a class or a word it does."""
+    name = F.regexp_replace(F.lower(F.trim(category)), "[ -]", "_")
+    said = F.lower(F.trim(keep))
+    return F.when(name.isin(GOOD_IMAGES), True).when(name.isin(BAD_IMAGES), False).when(said.isin("false", "0", "no"), False).otherwise(True)
 
-    A known class decides; else `keep` (true or false, in words or digits); images without a row, a class or a word stay.
-    """
-    name = F.regexp_replace(F.lower(F.trim("category")), "[ -]", "_")
-    said = F.lower(F.trim("keep"))
-    stays = F.when(name.isin(GOOD_IMAGES), True).when(name.isin(BAD_IMAGES), False).when(said.isin("false", "0", "no"), False).otherwise(True)
-    drop = classes.where(~stays).select(F.col("url").alias("_url")).distinct().withColumn("_bad", F.lit(True))
+
+def kept_images(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """(key, gallery): each gallery in its order without the images that the class table (url, category, keep) tells to drop, see stays(); images without a row stay."""
+    drop = classes.where(~stays(F.col("category"), F.col("keep"))).select(F.col("url").alias("_url")).distinct().withColumn("_bad", F.lit(True))
     images = rows.select(key, F.posexplode("gallery").alias("_at", "_image"))
     left = images.join(drop, F.col("_image") == F.col("_url"), "left").where("_bad IS NULL")
     return left.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_image"))), lambda x: x["_image"]).alias("gallery"))  # a gallery has some dozen images
 
 
 def observation_merge(rows: DataFrame, observed: DataFrame, stickers: DataFrame, classes: DataFrame, key: str) -> DataFrame:
-    """`rows` after tables of results of image models, with `families` of the interior and `touched`, the fields that changed.
+    """`rows` after tables of results of image models, see observed_rows(): observed (key, OBSERVED), stickers (key, options and specs), classes (url, category, keep), see kept_images()."""
+    joined = rows.drop("gallery").join(kept_images(rows, classes, key), key, "left")
+    joined = joined.join(observed.withColumnsRenamed({c: f"_{c}" for c in observed.columns if c != key}), key, "left").join(stickers.withColumnsRenamed({c: f"_s_{c}" for c in stickers.columns if c != key}), key, "left")
+    return observed_rows(joined, rows.columns)
+
+
+def observed_rows(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """observation_merge() of rows that hold their results already, those of models with `_` before their names, those of stickers with `_s_`, and whose gallery has only images that stay.
 
-    observed (key, confidence, interior, families, exterior, exterior_confidence, features): from GUESS on an empty interior takes the guess and its families join the
-    listing's; an exterior fills an empty one only if its own confidence is `high`; features join the packages. stickers (key, options and specs): specs go into
-    empty slots, numbers above 0 only; options join the packages. classes (url, category, keep): see kept_images().
+    `columns` are kept, with `families` of the interior and `touched`, the fields that changed. observed (confidence, interior, families, exterior, exterior_confidence, features):
+    from GUESS on an empty interior takes the guess and its families join the listing's; an exterior fills an empty one only if its own confidence is `high`; features join
+    the packages. Specs of stickers go into empty slots, numbers above 0 only; options join the packages.
     """
     texts, numbers = ["engine_description", "transmission", "drivetrain", "fuel_type"], ["cylinders", "mpg_city", "mpg_highway", "msrp"]
-    joined = rows.drop("gallery").join(kept_images(rows, classes, key), key, "left")
-    joined = joined.join(observed.withColumnsRenamed({c: f"_{c}" for c in observed.columns if c != key}), key, "left").join(stickers.withColumnsRenamed({c: f"_s_{c}" for c in stickers.columns if c != key}), key, "left")
     nothing = F.array().cast("array<string>")
     sure = F.coalesce(F.col("_confidence") >= GUESS, F.lit(False))
     fills = {"interior_color": sure & R.is_empty(F.col("interior_color")) & ~R.is_empty(F.col("_interior")), "exterior_color": R.is_empty(F.col("exterior_color")) & ~R.is_empty(F.col("_exterior")) & (F.lower(F.trim("_exterior_confidence")) == SURE)}
@@ -178,11 +184,11 @@ def observation_merge(rows: DataFrame, observed: DataFrame, stickers: DataFrame,
     for c in numbers:
         fills[c], value[c] = ~F.coalesce(F.col(c) > 0, F.lit(False)) & (F.col(f"_s_{c}") > 0), F.col(f"_s_{c}")
     fills = {c: F.coalesce(f, F.lit(False)) for c, f in fills.items()}
-    columns = {c: F.when(fills[c], value[c]).otherwise(F.col(c)) for c in fills}
-    columns |= {"packages": united(F.col("packages"), F.concat(F.coalesce("_features", nothing), F.coalesce("_s_options", nothing))), "gallery": F.coalesce("gallery", nothing)}
-    out = joined.select(*[columns.get(c, F.col(c)).alias(c) for c in rows.columns], names_of(fills).alias("touched"), sure.alias("_sure"), F.coalesce("_families", nothing).alias("_families"))
-    own = R.color_families(F.col("interior_color"))
-    return out.withColumn("families", F.when(F.col("_sure"), F.array_union(own, F.col("_families"))).otherwise(own)).drop("_sure", "_families")
+    own = {c: F.when(fills[c], value[c]).otherwise(F.col(c)) for c in fills}
+    own |= {"packages": united(F.col("packages"), F.concat(F.coalesce("_features", nothing), F.coalesce("_s_options", nothing))), "gallery": F.coalesce("gallery", nothing)}
+    out = joined.select(*[own.get(c, F.col(c)).alias(c) for c in columns], names_of(fills).alias("touched"), sure.alias("_sure"), F.coalesce("_families", nothing).alias("_families"))
+    families = R.color_families(F.col("interior_color"))
+    return out.withColumn("families", F.when(F.col("_sure"), F.array_union(families, F.col("_families"))).otherwise(families)).drop("_sure", "_families")
 
 
 def vehicles_of(payloads: DataFrame, key: str, payload: str, source: str, rank: str) -> DataFrame:

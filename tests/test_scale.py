@@ -189,3 +189,26 @@ def test_items_of_repeated_orders(spark):
     assert sorted(r.l_partkey for r in tables.with_copies(items, spark.createDataFrame([(2, 3)], "o_orderkey long, copies long")).collect()) == [7, 8, 8, 8, 9]
     rows = tables.listing_rows(spark, "/root/testdata/sf0.001", tables.table(spark, "/root/testdata/sf0.001", "lineitem"))
     assert "o_orderkey" not in plan_of(rows) and rows.count() == tables.listing_rows(spark, "/root/testdata/sf0.001").count()
+
+
+def test_observations_meet_their_rows_without_joins(spark):
+    plan = plan_of(repairs.observation_merge(spark, "/root/testdata/sf0.001"))
+    assert "Generate" not in plan and "o_orderkey" not in plan
+    assert plan.count("Exchange hashpartitioning(vin") <= 1 and "gallery" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_observed_rows_are_the_joined_ones(spark):
+    texts = ["interior_color", "exterior_color", "engine_description", "transmission", "drivetrain", "fuel_type"]
+    numbers = ["cylinders", "mpg_city", "mpg_highway", "msrp"]
+    schema = "vin string, " + ", ".join(f"{c} string" for c in texts) + ", " + ", ".join(f"{c} double" for c in numbers) + ", packages array<string>, gallery array<string>"
+    rows = spark.createDataFrame([("a", *[None] * 6, *[0.0] * 4, ["Tow"], ["u/1", "u/2", None]), ("b", *["x"] * 6, *[1.0] * 4, None, ["u/3"]), (None, *[""] * 6, *[None] * 4, [], None)], schema)
+    observed = spark.createDataFrame([("a", 0.6, "Tan", ["brown"], "Navy", " High", ["tow ", "Roof"])], "vin string, confidence double, interior string, families array<string>, exterior string, exterior_confidence string, features array<string>")
+    stickers = spark.createDataFrame([("b", *["s"] * 4, *[2.0] * 4, ["Tow"])], "vin string, " + ", ".join(f"{c} string" for c in texts[2:]) + ", " + ", ".join(f"{c} double" for c in numbers) + ", options array<string>")
+    classes = spark.createDataFrame([("u/1", "Logo", None), ("u/3", "", "no")], "url string, category string, keep string")
+    want = repair.observation_merge(rows, observed, stickers, classes, "vin")
+    # the same results beside the rows
+    beside = rows.join(observed.withColumnsRenamed({c: f"_{c}" for c in observed.columns[1:]}), "vin", "left").join(stickers.withColumnsRenamed({c: f"_s_{c}" for c in stickers.columns[1:]}), "vin", "left")
+    told = lambda u: F.when(u == "u/1", "Logo"), lambda u: F.when(u == "u/3", "no")
+    beside = beside.withColumn("gallery", F.filter("gallery", lambda u: repair.stays(told[0](u), told[1](u))))
+    got = sorted(map(tuple, repair.observed_rows(beside, rows.columns).collect()), key=str)
+    assert got == sorted(map(tuple, want.collect()), key=str) and {r[0]: r[-3:-1] for r in got}["a"] == (["u/2", None], ["interior_color", "exterior_color"])
