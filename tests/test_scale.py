@@ -1,5 +1,6 @@
 """Plans and steps whose cost must not grow faster than their input."""
 
+import hashlib
 import json
 import math
 import random
@@ -212,3 +213,28 @@ def test_observed_rows_are_the_joined_ones(spark):
     beside = beside.withColumn("gallery", F.filter("gallery", lambda u: repair.stays(told[0](u), told[1](u))))
     got = sorted(map(tuple, repair.observed_rows(beside, rows.columns).collect()), key=str)
     assert got == sorted(map(tuple, want.collect()), key=str) and {r[0]: r[-3:-1] for r in got}["a"] == (["u/2", None], ["interior_color", "exterior_color"])
+
+
+def test_places_are_counted_by_the_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "BATCH", 3)
+    texts = ["Red car, RED", "", None, "schöne 漢字 _x 1", "red " * 50, "!?", "a b c d e f g", "red car"]
+    docs = spark.createDataFrame([("a", str(i), t) for i, t in enumerate(texts)], "kind string, key string, text string").coalesce(1)
+    words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8
+    counts = [[sum(place(w) == p for w in ws) for p in range(8)] for ws in words]
+    idf = [math.log((len(texts) + 1) / (sum(c[p] > 0 for c in counts) + 1)) for p in range(8)]
+    assert [(r.place, r.df, round(r.idf, 12)) for r in vectors.idf_model(docs, places=8).orderBy("place").collect()] == [(p, sum(c[p] > 0 for c in counts), round(idf[p], 12)) for p in range(8)]
+    vectors.stored_model(docs, f"file://{tmp_path}/model", 8)
+    _, encode = vectors.tfidf_encoder(spark, f"file://{tmp_path}/model")
+    got = [r.v for r in docs.select("key", encode(F.col("text")).alias("v")).orderBy("key").collect()]
+    for t, c, v in zip(texts, counts, got, strict=True):
+        weights = [n * i for n, i in zip(c, idf)]
+        norm = math.sqrt(sum(w * w for w in weights)) or 1.0
+        assert v is None if t is None else all(abs(a - b / norm) < 1e-12 for a, b in zip(v, weights, strict=True))
+
+
+def test_index_texts_need_no_orders_and_one_sort(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(plan_vectors, "staged", lambda df, name: (plans.append(plan_of(df)), runs.staged(df, name))[1])
+    assert plan_vectors.embedding_index(spark, "/root/testdata/sf0.001").count() > 0
+    assert "o_orderkey" not in plans[0] and len(re.findall(r"Sort \[vin", plans[0])) == 1
