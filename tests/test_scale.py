@@ -226,7 +226,9 @@ def test_places_are_counted_by_the_batch(spark, tmp_path, monkeypatch):
     assert [(r.place, r.df, round(r.idf, 12)) for r in vectors.idf_model(docs, places=8).orderBy("place").collect()] == [(p, sum(c[p] > 0 for c in counts), round(idf[p], 12)) for p in range(8)]
     vectors.stored_model(docs, f"file://{tmp_path}/model", 8)
     _, encode = vectors.tfidf_encoder(spark, f"file://{tmp_path}/model")
-    got = [r.v for r in docs.select("key", encode(F.col("text")).alias("v")).orderBy("key").collect()]
+    rows = docs.select("key", encode(F.col("text")).alias("v"), vectors.n_words(F.col("text")).alias("n")).orderBy("key").collect()
+    got = [r.v for r in rows]
+    assert [r.n for r in rows] == [len(w) for w in words]
     for t, c, v in zip(texts, counts, got, strict=True):
         weights = [n * i for n, i in zip(c, idf)]
         norm = math.sqrt(sum(w * w for w in weights)) or 1.0
